@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -14,6 +15,12 @@ from pyspark.sql.types import StringType
 # Articles that may trail a place name after a comma.
 TRAILING_ARTICLES = ("l'", "el", "la", "els", "les")
 
+# The characters that count as blank at the ends of a name.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def _plain(text: str) -> str:
     """Compatibility-decomposed ASCII form; every character that cannot be part of a key becomes a space."""
@@ -23,14 +30,14 @@ def _plain(text: str) -> str:
 
 @cache
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """``translate`` arguments for all letters that fold to one character, and the Latin ones that fold to more."""
+    """``translate`` arguments for all characters that fold to one, and the Latin letters that fold to more."""
     source, target, longer = [], [], []
-    for code in range(0x80, 0x20000):
+    for code in range(0x01, 0x20000):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue
         plain = _plain(char)
-        if not plain:
+        if not plain or plain == char:
             continue
         if len(plain) == 1 or not plain.strip():
             source.append(char)
@@ -45,27 +52,48 @@ def _fold_any_script(texts: pd.Series) -> pd.Series:
     return texts.map(_plain, na_action="ignore")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often the body mentions it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def _article_first(name: Column) -> Column:
+    articles = "|".join(TRAILING_ARTICLES)
+    moved = F.regexp_replace(name, rf"(?diU)^(.*),\s*({articles})$", "$2 $1")
+    return F.when(F.lower(F.right(name, F.lit(3))).rlike(f"({articles})$"), moved).otherwise(name)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _spell_out(text: Column) -> Column:
+    """Replace the letters that fold to several, in the few texts that hold one."""
+    _, _, longer = _fold_tables()
+    replaced = text
+    for char, plain in longer:
+        replaced = F.replace(replaced, F.lit(char), F.lit(plain))
+    occurs = ~_is_ascii(text) & text.rlike("[" + "".join(char for char, _ in longer) + "]")
+    return F.when(occurs, replaced).otherwise(text)
+
+
+def _drop_other(text: Column) -> Column:
+    return F.when(_is_ascii(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
+
+
 def normalize_key(name: Column, any_script: bool = False) -> Column:
     """Comparable form of a name: article moved to the front, lower case, no accents, single spaces.
 
     NULL stays NULL. ``any_script=True`` adds an Arrow UDF for the few compatibility characters outside Latin
-    that decompose into several letters (such as squared units); the default stays inside Catalyst.
+    that decompose into several letters (such as squared units); the default stays inside Catalyst. One character
+    table folds letters and blanks punctuation; steps that cannot change a text are skipped for it.
     """
-    blank = r"\s\x1c-\x1f"
-    key = F.regexp_replace(name, rf"(?U)^[{blank}]+|[{blank}]+$", "")
-    articles = "|".join(TRAILING_ARTICLES)
-    key = F.regexp_replace(key, rf"(?diU)^(.*),\s*({articles})$", "$2 $1")
-    key = F.lower(key)
+    key = F.lower(_bound(F.btrim(name, F.lit(BLANKS)), _article_first))
     key = F.replace(F.replace(key, F.lit("l' "), F.lit("l ")), F.lit("l'"), F.lit("l "))
-    if any_script:
-        key = _fold_any_script(key)
-    else:
-        source, target, longer = _fold_tables()
-        for char, plain in longer:
-            key = F.replace(key, F.lit(char), F.lit(plain))
-        key = F.translate(key, source, target)
-        key = F.regexp_replace(key, r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(key, "[^a-z0-9]+", " "))
+    key = _fold_any_script(key) if any_script else _bound(key, _spell_out)
+    source, target, _ = _fold_tables()
+    key = _bound(F.translate(key, source, target), _drop_other)
+    return F.trim(F.regexp_replace(key, " {2,}", " "))
 
 
 def zero_pad_code(code: Column, width: int = 5) -> Column:

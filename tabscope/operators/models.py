@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -29,9 +29,8 @@ class LogisticModel:
         return total
 
 
-def class_weights(df: DataFrame, target: str) -> dict[int, float]:
-    """Balanced weights n / (classes * class count)."""
-    counts = {row[target]: row["n"] for row in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
+def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
+    """Weights n / (classes * class count); over all rows they add up to n."""
     total = sum(counts.values())
     return {level: total / (len(counts) * n) for level, n in counts.items()}
 
@@ -54,9 +53,10 @@ def logistic_fit(
     the same for a flipped row, while the constant now varies, which the optimiser needs to fit it.
     The encoded rows are staged once, and every iteration reads only them.
     """
-    weights = class_weights(train, target)
-    if set(weights) != {0, 1}:
-        raise ValueError(f"the target must hold both classes 0 and 1, found {sorted(weights, key=str)}")
+    counts = {row[target]: row["n"] for row in train.groupBy(target).agg(F.count("*").alias("n")).collect()}
+    if set(counts) != {0, 1}:
+        raise ValueError(f"the target must hold both classes 0 and 1, found {sorted(counts, key=str)}")
+    weights = balanced_weights(counts)
     label = F.col(target).cast("double")
     weight = F.when(label == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0]))
     columns = list(encoder.columns().values())
@@ -71,12 +71,11 @@ def logistic_fit(
     )
     rows = VectorAssembler(inputCols=slots, outputCol="features").transform(flat).select("label", "weight", "features")
     rows = stage(rows, "logistic")
-    total_weight = rows.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
-        regParam=1.0 / (c * total_weight),
+        regParam=1.0 / (c * sum(counts.values())),
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=not penalize_intercept,

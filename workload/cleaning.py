@@ -223,7 +223,7 @@ PRIORITIES = IntegrateSpec(
 
 @query(
     "integrate_flow",
-    f"""SELECT o.o_orderkey, lpad(CAST(o.o_custkey AS VARCHAR), greatest(5, length(CAST(o.o_custkey AS VARCHAR))), '0')
+    f"""SELECT o.o_orderkey, lpad(CAST(o.o_custkey AS VARCHAR), CAST(greatest(5, length(CAST(o.o_custkey AS VARCHAR))) AS INTEGER), '0')
         AS o_custkey, o.o_orderpriority, CASE WHEN o.n_items IS NULL THEN 0 ELSE 1 END AS has_items,
       CASE WHEN o.n_items IS NULL THEN 1 ELSE 0 END AS items_missing, CAST(2026 - year(o.o_orderdate) AS DOUBLE) AS order_age,
       count(*) OVER (PARTITION BY o.o_orderpriority) AS orders_in_priority, h.hours,
