@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _erfc_sqrt(h: Column) -> Column:
-    """erfc(sqrt(h)): the series of erf below h = 4, the continued fraction above it."""
-    z = F.sqrt(h)
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
-        F.struct(z.alias("term"), z.alias("total")),
-        lambda acc, i: F.struct(
-            (acc["term"] * h / (i + F.lit(0.5))).alias("term"),
-            (acc["total"] + acc["term"] * h / (i + F.lit(0.5))).alias("total"),
-        ),
-        lambda acc: F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-h) * acc["total"],
-    )
-    fraction = F.aggregate(
-        F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda acc, k: z + k.cast("double") / F.lit(2.0) / acc
-    )
-    return F.when(h < 4.0, series).otherwise(F.exp(-h) / (F.lit(math.sqrt(math.pi)) * fraction))
-
-
-def chi2_sf(statistic: Column, dof: Column) -> Column:
-    """P(chi-square with ``dof`` degrees of freedom > ``statistic``), finite sums for even and odd ``dof``.
-
-    Terms are summed from their logarithms, so large tables do not overflow and tiny tails keep their digits.
-    With no degrees of freedom the answer is 1.
+# SQL over the fields h (half the statistic) and dof of a struct x.
+# erfc(sqrt(h)): the series of erf below h = 4, the continued fraction above it.
+_ERFC_SQRT = """
+CASE WHEN x.h < 4 THEN 1 - 2 / sqrt(pi()) * exp(-x.h) * aggregate(
+    sequence(1, 60), named_struct('term', sqrt(x.h), 'total', sqrt(x.h)),
+    (s, i) -> named_struct('term', s.term * x.h / (i + 0.5D), 'total', s.total + s.term * x.h / (i + 0.5D)),
+    s -> s.total)
+ELSE exp(-x.h) / sqrt(pi()) / aggregate(sequence(120, 1, -1), sqrt(x.h), (t, k) -> sqrt(x.h) + k / 2.0D / t) END
+"""
+
+
+def _tail_sum(first_log: str, half: str) -> str:
+    """The dof / 2 terms h^(i + half) / gamma(i + half + 1) * exp(-h), summed from their logarithms."""
+    return f"""
+aggregate(slice(sequence(0, x.dof div 2), 2, x.dof div 2), named_struct('log', {first_log}, 'total', 0D),
+    (s, i) -> named_struct('log', s.log + ln(x.h / (i + {half})), 'total', s.total + exp(s.log)), s -> s.total)
+"""
+
+
+def chi2_sf(statistic: str, dof: str) -> Column:
+    """P(chi-square > ``statistic``) for the columns named, by finite sums for even and odd degrees of freedom.
+
+    Logarithms keep large tables from overflowing and tiny tails exact. Without degrees of freedom the answer is 1.
     """
-    h = F.greatest(statistic.cast("double"), F.lit(0.0)) / 2.0
-    even = dof % 2 == 0
-    half = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))
-    first = F.when(even, -h).otherwise(-h + F.ln(F.lit(2.0 / math.sqrt(math.pi)) * F.sqrt(h)))
-    terms = F.floor(dof / 2).cast("int")
-    total = F.aggregate(
-        F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
-        F.struct(first.alias("log_term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["log_term"] + F.ln(h / (i + half))).alias("log_term"),
-            (acc["total"] + F.exp(acc["log_term"])).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    tail = F.when(even, total).otherwise(_erfc_sqrt(h) + total)
-    return F.when(statistic.isNull() | dof.isNull(), F.lit(None).cast("double")).when(
-        (dof <= 0) | (h <= 0), F.lit(1.0)
-    ).otherwise(F.least(tail, F.lit(1.0)))
+    even = _tail_sum("-x.h", "0D")
+    odd = f"{_ERFC_SQRT} + {_tail_sum('ln(2 / sqrt(pi()) * sqrt(x.h)) - x.h', '0.5D')}"
+    return F.expr(f"""
+transform(
+    array(named_struct('h', greatest(CAST({statistic} AS DOUBLE), 0D) / 2, 'dof', CAST({dof} AS INT))),
+    x -> CASE WHEN {statistic} IS NULL OR x.dof IS NULL THEN NULL WHEN x.dof <= 0 OR x.h <= 0 THEN 1D
+        WHEN x.dof % 2 = 0 THEN least({even}, 1D) ELSE least({odd}, 1D) END)[0]
+""")
 
 
 def cramers_v(statistic: Column, total: Column, rows: Column, columns: Column) -> Column:

@@ -121,7 +121,7 @@ def chi_square_test(
         .withColumn("chi2", F.when(F.col("dof") == 1, F.col("continuity")).otherwise(F.col("plain")))
     )
     return (
-        tested.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof")))
+        tested.withColumn("p_value", chi2_sf("chi2", "dof"))
         .withColumn(
             "cramers_v",
             cramers_v(F.col("chi2"), F.col("margins.total"), F.col("margins.levels"), F.col("classes")),

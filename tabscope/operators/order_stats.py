@@ -1,10 +1,12 @@
 """Exact order statistics and quantiles of whole columns, without sorting or collecting them.
 
-``percentile`` keeps every distinct value of a column in one task. Here each pass counts values per bucket of the
-interval that still holds a wanted rank (a map-side combined ``groupBy`` of a bounded number of buckets), and the
-next pass looks only inside the bucket found. Intervals shrink by the number of buckets each time until one holds
-few rows, whose values are then counted one by one. A few column scans give the exact value whatever the size, and
-only a bounded number of counts reaches the driver.
+``percentile`` keeps every distinct value of a column in one task. Here each pass counts values per bucket (a
+map-side combined ``groupBy`` of a bounded number of buckets) and the next pass looks only inside the bucket that
+holds a wanted rank. The first pass uses a fixed logarithmic grid, so it needs no extremes and returns them; later
+ones cut the bucket evenly, until one holds so few rows that its values are counted one by one. A few column scans
+give the exact value whatever the size, and only a bounded number of counts reaches the driver.
+
+Every pass reads its input again: stage a table that comes from joins or groupings before calling.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabscope.functions.numbers import nan_to_null
 
 BUCKETS = 1024
-LISTED = 4096
+LISTED = 16384
+# Buckets per e-fold of the first grid; at most 2 * 710 * GRID of them exist for doubles.
+GRID = 64
 MAX_PASSES = 400
 
 
@@ -44,59 +48,52 @@ class _Interval:
     first: int
     count: int
     ranks: tuple[int, ...]
-    wide: bool = False
-
-    def holds(self) -> Column:
-        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
 
     @property
     def listed(self) -> bool:
         """Few enough rows to count every value."""
         return self.count <= LISTED
 
+    def holds(self) -> Column:
+        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+
     def bucket(self, buckets: int) -> Column:
-        """Non-decreasing bucket number: even steps, or even steps of the signed logarithm on the first pass."""
+        """Non-decreasing number of the even step a value falls in."""
         if self.listed:
             return F.lit(0)
-        value, low, high = F.col(self.column), self.low, self.high
-        if self.wide:
-            squeezed_low, squeezed_high = _signed_log(low), _signed_log(high)
-            if squeezed_high - squeezed_low > 1e-6:
-                value = F.signum(value) * F.log1p(F.abs(value))
-                low, high = squeezed_low, squeezed_high
-        step = (value - F.lit(low)) / F.lit(high - low)
-        return F.least(F.greatest(F.floor(step * F.lit(float(buckets))), F.lit(0)), F.lit(buckets - 1)).cast("long")
-
-
-def _signed_log(value: float) -> float:
-    return math.copysign(math.log1p(abs(value)), value)
+        step = (F.col(self.column) - F.lit(self.low)) / F.lit(self.high - self.low)
+        return F.least(F.floor(step * F.lit(float(buckets))), F.lit(buckets - 1))
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[nan_to_null(F.col(f"`{name}`").cast("double")).alias(name) for name in columns])
 
 
-def _extents(numbers: DataFrame, columns: Sequence[str], distinct: bool) -> dict[str, tuple]:
-    aggregates = []
-    for i, name in enumerate(columns):
-        if not distinct:
-            aggregates.append(F.count(name).alias(f"n{i}"))
-        aggregates += [F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}")]
-    row = numbers.agg(*aggregates).first()
-    counts = _distinct_counts(numbers, columns) if distinct else {name: row[f"n{i}"] for i, name in enumerate(columns)}
-    return {name: (counts[name], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
+def _counts(rows: DataFrame, keys: Sequence[Column | str], distinct: bool) -> list[Row]:
+    """Count, smallest and largest value per cell, collected: the number of cells is bounded by the caller."""
+    counted = F.count_distinct("value") if distinct else F.count("value")
+    cells = rows.groupBy(*keys).agg(counted.alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return cells.collect()
 
 
-def _distinct_counts(numbers: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    long = numbers.unpivot([], list(columns), "variable", "value")
-    rows = long.groupBy("variable").agg(F.count_distinct("value").alias("n")).collect()
-    return {name: 0 for name in columns} | {row["variable"]: row["n"] for row in rows}
+def _first_pass(numbers: DataFrame, columns: Sequence[str], distinct: bool) -> dict[str, list[Row]]:
+    """Cells of the logarithmic grid per column, in ascending order."""
+    cells = []
+    for i, name in enumerate(columns):
+        value = F.col(name)
+        place = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(GRID)))
+        cells.append(F.struct(F.lit(i).alias("place"), place.alias("cell"), value.alias("value")))
+    rows = numbers.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    found: dict[str, list[Row]] = {name: [] for name in columns}
+    for row in sorted(_counts(rows, ["place", "cell"], distinct), key=lambda r: r["lo"]):
+        found[columns[row["place"]]].append(row)
+    return found
 
 
-def _refine(
+def _next_pass(
     numbers: DataFrame, intervals: Sequence[_Interval], distinct: bool, buckets: int
-) -> tuple[dict[tuple[str, int], float], list[_Interval]]:
-    """One pass: the values settled by it, and the narrower intervals of the ranks still open."""
+) -> list[tuple[_Interval, list[Row]]]:
+    """Cells of each interval, in ascending order."""
     by_column: dict[str, Column] = {}
     for i, interval in enumerate(intervals):
         cell = (F.lit(i * buckets) + interval.bucket(buckets)).cast("long")
@@ -107,44 +104,39 @@ def _refine(
     inside = reduce(Column.__or__, [interval.holds() for interval in intervals])
     cells = [F.struct(cell.alias("cell"), F.col(name).alias("value")) for name, cell in by_column.items()]
     rows = numbers.where(inside).select(F.inline(F.array(*cells))).where(F.col("cell").isNotNull())
-    counted = F.count_distinct("value") if distinct else F.count("value")
     listed = [i * buckets for i, interval in enumerate(intervals) if interval.listed]
-    found = (
-        rows.groupBy("cell", F.when(F.col("cell").isin(listed), F.col("value")).alias("exact"))
-        .agg(counted.alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .collect()
-    )
+    exact = F.when(F.col("cell").isin(listed), F.col("value")).alias("exact")
+    found: dict[int, list[Row]] = {i: [] for i in range(len(intervals))}
+    for row in sorted(_counts(rows, ["cell", exact], distinct), key=lambda r: r["lo"]):
+        found[row["cell"] // buckets].append(row)
+    return [(interval, found[i]) for i, interval in enumerate(intervals)]
 
+
+def _locate(
+    column: str, ranks: Sequence[int], first: int, cells: Sequence[Row]
+) -> tuple[dict[tuple[str, int], float], list[_Interval]]:
+    """The ranks whose value the cells settle, and an interval per cell for the ranks still open."""
     settled: dict[tuple[str, int], float] = {}
-    narrower: list[_Interval] = []
-    cells_of: dict[int, list] = {i: [] for i in range(len(intervals))}
-    for row in sorted(found, key=lambda r: (r["cell"], r["lo"])):
-        cells_of[row["cell"] // buckets].append(row)
-    for i, interval in enumerate(intervals):
-        first = interval.first
-        for row in cells_of[i]:
-            wanted = [rank for rank in interval.ranks if first <= rank < first + row["n"]]
-            still_open = []
-            for rank in wanted:
-                if rank == first:
-                    settled[interval.column, rank] = row["lo"]
-                elif rank == first + row["n"] - 1:
-                    settled[interval.column, rank] = row["hi"]
-                elif row["lo"] == row["hi"]:
-                    settled[interval.column, rank] = row["lo"]
-                else:
-                    still_open.append(rank)
-            if still_open:
-                narrower.append(
-                    _Interval(interval.column, row["lo"], row["hi"], first, row["n"], tuple(still_open))
-                )
-            first += row["n"]
-    return settled, narrower
+    still_open: list[_Interval] = []
+    for cell in cells:
+        last = first + cell["n"] - 1
+        inner = []
+        for rank in ranks:
+            if rank == first or (first < rank <= last and cell["lo"] == cell["hi"]):
+                settled[column, rank] = cell["lo"]
+            elif rank == last:
+                settled[column, rank] = cell["hi"]
+            elif first < rank < last:
+                inner.append(rank)
+        if inner:
+            still_open.append(_Interval(column, cell["lo"], cell["hi"], first, cell["n"], tuple(inner)))
+        first = last + 1
+    return settled, still_open
 
 
 def _settle(
     numbers: DataFrame,
-    extents: Mapping[str, tuple],
+    grid: Mapping[str, Sequence[Row]],
     ranks: Mapping[str, Sequence[int]],
     distinct: bool,
     buckets: int,
@@ -152,34 +144,40 @@ def _settle(
     settled: dict[tuple[str, int], float] = {}
     intervals: list[_Interval] = []
     for name, wanted in ranks.items():
-        n, low, high = extents[name]
-        still_open = []
-        for rank in sorted(set(wanted)):
-            if not 0 <= rank < n:
-                raise ValueError(f"rank {rank} is outside the {n} values of {name}")
-            if rank == 0 or low == high:
-                settled[name, rank] = low
-            elif rank == n - 1:
-                settled[name, rank] = high
-            else:
-                still_open.append(rank)
-        if still_open:
-            intervals.append(_Interval(name, low, high, 0, n, tuple(still_open), wide=True))
+        n = sum(cell["n"] for cell in grid[name])
+        outside = [rank for rank in wanted if not 0 <= rank < n]
+        if outside:
+            raise ValueError(f"ranks {outside} are outside the {n} values of {name}")
+        found, still_open = _locate(name, sorted(set(wanted)), 0, grid[name])
+        settled |= found
+        intervals += still_open
     for _ in range(MAX_PASSES):
         if not intervals:
             return settled
-        found, intervals = _refine(numbers, intervals, distinct, buckets)
-        settled |= found
+        cells_of = _next_pass(numbers, intervals, distinct, buckets)
+        intervals = []
+        for interval, cells in cells_of:
+            found, still_open = _locate(interval.column, interval.ranks, interval.first, cells)
+            settled |= found
+            intervals += still_open
     raise RuntimeError("order statistics did not settle; are there infinite values?")
 
 
+def _extents(numbers: DataFrame, columns: Sequence[str]) -> dict[str, ColumnSummary]:
+    aggregates = []
+    for i, name in enumerate(columns):
+        aggregates += [F.count(name).alias(f"n{i}"), F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}")]
+    row = numbers.agg(*aggregates).first()
+    return {name: ColumnSummary(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
+
+
 def kth_values(
     df: DataFrame, ranks: Mapping[str, Sequence[int]], distinct: bool = False, buckets: int = BUCKETS
 ) -> dict[tuple[str, int], float]:
     """Exact values at zero-based ``ranks`` of the sorted present values of each column."""
     columns = list(ranks)
     numbers = _numbers(df, columns)
-    return _settle(numbers, _extents(numbers, columns, distinct), ranks, distinct, buckets)
+    return _settle(numbers, _first_pass(numbers, columns, distinct), ranks, distinct, buckets)
 
 
 def summarize_columns(
@@ -195,32 +193,28 @@ def summarize_columns(
     """
     columns = list(columns)
     numbers = _numbers(df, columns)
-    extents = _extents(numbers, columns, distinct)
-    places: dict[tuple[str, float], tuple[int, float]] = {}
-    ranks: dict[str, set[int]] = {}
-    for name in columns:
-        n = extents[name][0]
-        for p in probabilities:
-            if n == 0:
-                continue
-            position = p * (n - 1)
-            below = math.floor(position)
-            places[name, p] = (below, position - below)
-            ranks.setdefault(name, set()).update({below, min(below + 1, n - 1)})
-    values = _settle(numbers, extents, {k: sorted(v) for k, v in ranks.items()}, distinct, buckets)
-
-    summaries = {}
-    for name in columns:
-        n, low, high = extents[name]
+    if not probabilities and not distinct:
+        return _extents(numbers, columns)
+    grid = _first_pass(numbers, columns, distinct)
+    size = {name: sum(cell["n"] for cell in grid[name]) for name in columns}
+
+    def neighbours(name: str, p: float) -> tuple[int, int, float]:
+        position = p * (size[name] - 1)
+        below = math.floor(position)
+        return below, min(below + 1, size[name] - 1), position - below
+
+    filled = [name for name in columns if size[name]]
+    ranks = {name: [rank for p in probabilities for rank in neighbours(name, p)[:2]] for name in filled}
+    values = _settle(numbers, grid, ranks, distinct, buckets)
+
+    summaries = {name: ColumnSummary(0, None, None, dict.fromkeys(probabilities)) for name in columns}
+    for name in filled:
         quantiles: dict[float, float | None] = {}
         for p in probabilities:
-            if n == 0:
-                quantiles[p] = None
-                continue
-            below, fraction = places[name, p]
-            a, b = values[name, below], values[name, min(below + 1, n - 1)]
-            quantiles[p] = a + (b - a) * fraction
-        summaries[name] = ColumnSummary(n, low, high, quantiles)
+            below, above, fraction = neighbours(name, p)
+            low, high = values[name, below], values[name, above]
+            quantiles[p] = low + (high - low) * fraction
+        summaries[name] = ColumnSummary(size[name], grid[name][0]["lo"], grid[name][-1]["hi"], quantiles)
     return summaries
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.operators.columns import missing, present, require_columns
+from tabscope.operators.columns import missing, present, require_columns, union_reports
 from tabscope.operators.profile import duplicate_count, levels_long, stack_row
 
 REPORT_COLUMNS = ("rule_no", "block", "check", "result", "decision", "justification")
@@ -173,76 +173,63 @@ def _outside_domains(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFram
     return levels_long(blanked, columns)
 
 
-def _level_rows(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """Report rows of the binary and domain rules: observed or unexpected levels, listed."""
-    domains = {f"r{no}": (rule.allowed if isinstance(rule, DomainRule) else (0, 1)) for no, rule in numbered}
-    observed = df.select(*[F.col(rule.column).alias(f"r{no}") for no, rule in numbered])
-    # Binary rules list what occurs, domain rules only what should not.
-    shown = observed.select(
-        *[
-            (
-                F.when(~F.col(f"r{no}").isin(*domains[f"r{no}"]), F.col(f"r{no}"))
-                if isinstance(rule, DomainRule)
-                else F.col(f"r{no}")
-            ).alias(f"r{no}")
-            for no, rule in numbered
-        ]
-    )
-    lists = level_lists(shown, list(domains))
-    bad = observed.agg(
-        *[F.count_if(~F.col(name).isin(*allowed)).alias(name) for name, allowed in domains.items()]
-    )
-    entries = []
+def _observed_levels(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """Level lists per rule number: all levels for binary rules, only the undeclared ones for domain rules."""
+    shown = []
     for no, rule in numbered:
-        binary = isinstance(rule, BinaryRule)
-        entries.append(
-            (
-                F.lit(no),
-                F.lit("binary coding" if binary else "category levels"),
-                F.lit(f"{'values of' if binary else 'unexpected levels of'} {rule.column}"),
-                F.lit(f"r{no}"),
-                F.lit("" if binary else "0"),
-                F.lit("only 0 and 1 may occur" if binary else "only declared levels may occur"),
-                _verdict(F.col(f"r{no}"), rule.action),
-            )
-        )
-    names = ("rule_no", "block", "check", "variable", "if_none", "justification", "decision")
-    rules = stack_row(bad, entries, names)
-    return rules.join(F.broadcast(lists), "variable", "left").select(
-        "rule_no",
-        "block",
-        "check",
-        F.coalesce(_level_text(F.col("n_levels"), F.col("levels")), F.col("if_none")).alias("result"),
-        "decision",
-        "justification",
+        value = F.col(rule.column)
+        if isinstance(rule, DomainRule):
+            value = F.when(~value.isin(*rule.allowed), value)
+        shown.append(value.alias(str(no)))
+    lists = level_lists(df.select(*shown), [str(no) for no, _ in numbered])
+    return lists.select(
+        F.col("variable").cast("int").alias("rule_no"), _level_text(F.col("n_levels"), F.col("levels")).alias("listed")
     )
 
 
+def _checked(rule: Rule) -> tuple[str, str, Column, str, str | None] | None:
+    """(block, check, violations, justification, text shown for an empty list) of an aggregated rule."""
+    match rule:
+        case BinaryRule(column):
+            violations = F.count_if(~F.col(column).isin(0, 1))
+            return "binary coding", f"values of {column}", violations, "only 0 and 1 may occur", ""
+        case DomainRule(column, allowed):
+            violations = F.count_if(~F.col(column).isin(*allowed))
+            return "category levels", f"unexpected levels of {column}", violations, "only declared levels may occur", "0"
+    counted = _counted(rule)
+    return counted and (*counted, None)
+
+
 def quality_report(df: DataFrame, rules: Sequence[Rule], first_no: int = 1) -> DataFrame:
     """Check all ``rules`` on ``df``: one row each, numbered in the order given.
 
-    All scalar rules share one aggregate, all level rules one distinct over their columns, and each duplicate
-    rule adds one grouping.
+    One aggregate counts the violations of every scalar and level rule, one distinct lists the levels of all level
+    rules, and each duplicate rule adds one grouping.
     """
     numbered = list(enumerate(rules, start=first_no))
     require_columns(df, sorted({name for _, rule in numbered for name in _columns(rule)}))
     parts: list[DataFrame] = []
 
-    scalar = [(no, rule, counted) for no, rule in numbered if (counted := _counted(rule)) is not None]
-    if scalar:
-        counts = df.agg(*[violations.alias(f"v{no}") for no, _, (_, _, violations, _) in scalar])
-        entries = [
-            (
-                F.lit(no), F.lit(block), F.lit(check), F.col(f"v{no}").cast("string"),
-                _verdict(F.col(f"v{no}"), rule.action), F.lit(why),
+    checked = [(no, rule, found) for no, rule in numbered if (found := _checked(rule)) is not None]
+    if checked:
+        counts = df.agg(*[violations.alias(f"v{no}") for no, _, (_, _, violations, _, _) in checked])
+        entries = []
+        for no, rule, (block, check, _, why, if_none) in checked:
+            shown = F.col(f"v{no}").cast("string") if if_none is None else F.lit(None).cast("string")
+            entries.append(
+                (
+                    F.lit(no), F.lit(block), F.lit(check), shown, _verdict(F.col(f"v{no}"), rule.action), F.lit(why),
+                    F.lit(if_none).cast("string"),
+                )
+            )
+        rows = stack_row(counts, entries, (*REPORT_COLUMNS, "if_none"))
+        levels = [(no, rule) for no, rule, (*_, if_none) in checked if if_none is not None]
+        if levels:
+            lists = _observed_levels(df, levels)
+            rows = rows.join(F.broadcast(lists), "rule_no", "left").withColumn(
+                "result", F.coalesce("result", "listed", "if_none")
             )
-            for no, rule, (block, check, _, why) in scalar
-        ]
-        parts.append(stack_row(counts, entries, REPORT_COLUMNS))
-
-    levels = [(no, rule) for no, rule in numbered if isinstance(rule, (BinaryRule, DomainRule))]
-    if levels:
-        parts.append(_level_rows(df, levels))
+        parts.append(rows.select(*REPORT_COLUMNS))
 
     for no, rule in numbered:
         if isinstance(rule, DuplicateRule):
@@ -273,21 +260,16 @@ def quality_report(df: DataFrame, rules: Sequence[Rule], first_no: int = 1) -> D
     if constant:
         schema = "rule_no int, block string, check string, result string, decision string, justification string"
         parts.append(df.sparkSession.createDataFrame(constant, schema))
-
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report.select(*REPORT_COLUMNS)
+    return union_reports(*parts)
 
 
 def joint_report(tables: Sequence[tuple[DataFrame, Sequence[Rule]]]) -> DataFrame:
     """One report over several tables, rules numbered through, sorted by number."""
-    report, first_no = None, 1
+    reports, first_no = [], 1
     for df, rules in tables:
-        part = quality_report(df, rules, first_no)
-        report = part if report is None else report.unionByName(part)
+        reports.append(quality_report(df, rules, first_no))
         first_no += len(rules)
-    return report.orderBy("rule_no")
+    return union_reports(*reports).orderBy("rule_no")
 
 
 def assert_binary(df: DataFrame, columns: Sequence[str]) -> None:
