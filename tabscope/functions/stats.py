@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 # SQL over the fields h (half the statistic) and dof of a struct x.
 # erfc(sqrt(h)): the series of erf below h = 4, the continued fraction above it.
 _ERFC_SQRT = """
@@ -34,8 +33,8 @@ def chi2_sf(statistic: str, dof: str) -> Column:
     odd = f"{_ERFC_SQRT} + {_tail_sum('ln(2 / sqrt(pi()) * sqrt(x.h)) - x.h', '0.5D')}"
     return F.expr(f"""
 transform(
-    array(named_struct('h', greatest(CAST({statistic} AS DOUBLE), 0D) / 2, 'dof', CAST({dof} AS INT))),
-    x -> CASE WHEN {statistic} IS NULL OR x.dof IS NULL THEN NULL WHEN x.dof <= 0 OR x.h <= 0 THEN 1D
+    array(named_struct('h', abs(CAST({statistic} AS DOUBLE)) / 2, 'dof', CAST({dof} AS INT))),
+    x -> CASE WHEN x.h IS NULL OR x.dof IS NULL THEN NULL WHEN x.dof <= 0 OR x.h <= 0 THEN 1D
         WHEN x.dof % 2 = 0 THEN least({even}, 1D) ELSE least({odd}, 1D) END)[0]
 """)
 

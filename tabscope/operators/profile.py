@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructType
 
 from tabscope.functions.numbers import min_max_scale, percent
 from tabscope.functions.text import key_digest
@@ -156,9 +156,16 @@ def iqr_summary(
 
 
 def outlier_rows(df: DataFrame, variable: str, suffix: str = "_imputed") -> DataFrame:
-    """The rows whose observed value lies outside its IQR limits; the limits are pushed to the scan."""
+    """The rows whose observed value lies outside its IQR limits.
+
+    Limits of a whole-number column are rounded inwards to whole numbers, so that the comparison needs no cast and
+    the filter is pushed to the scan.
+    """
     summary = summarize_columns(observed_columns(df, [variable], suffix), [variable], QUARTILES)[variable]
-    return df.where(outside(observed_value(df, variable, suffix), *_limits(summary)[1:]))
+    _, low, high = _limits(summary)
+    if low is not None and isinstance(df.schema[variable].dataType, IntegralType):
+        low, high = math.ceil(low), math.floor(high)
+    return df.where(outside(observed_value(df, variable, suffix), low, high))
 
 
 def bin_count(n: int) -> int:
