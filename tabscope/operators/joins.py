@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,9 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from tabscope.operators.columns import require_columns
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+# A key holding more than 1 / HOT_SHARE of the rows is hot; its rows are cut into pieces of about that size.
+HOT_SHARE = 1000
+TRACKED_KEYS = 8192
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -40,6 +43,19 @@ def measure_dimension(dim: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["bytes"] or 0, row["rows"] or 0
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[list[int], int]:
+    """Hashes of the keys (NULL included) that hold a large share of the rows, and the pieces to cut them into.
+
+    One scan of the key columns with a sketch of bounded size; it decides how work is spread, never what is joined.
+    """
+    hashed = F.xxhash64(*[F.col(key) for key in keys])
+    sketch = F.expr(f"approx_top_k(hash, {HOT_SHARE}, {TRACKED_KEYS})")
+    row = df.select(hashed.alias("hash")).agg(F.count("*").alias("n"), sketch.alias("top")).first()
+    hot = [item for item in row["top"] or [] if item["count"] * HOT_SHARE > row["n"]]
+    pieces = max((math.ceil(item["count"] * HOT_SHARE / row["n"]) for item in hot), default=1)
+    return [item["item"] for item in hot], min(pieces, HOT_SHARE)
+
+
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -48,31 +64,32 @@ def lookup_join(
     spread_by: Sequence[str] | None = None,
     null_safe: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Left join of ``fact`` to a ``dim`` with unique keys whose measured ``size`` is given in bytes.
 
     A side within ``broadcast_bytes`` is broadcast and the fact table is not shuffled. A larger one is joined by
-    shuffle on (key, salt): fact rows of one key, also of the NULL key, spread over ``salts`` partitions by a
-    hash of ``spread_by`` (columns that vary within a key), and each dimension row is repeated once per salt.
+    shuffle, with the rows of hot keys (also of a hot NULL) spread over pieces by a hash of ``spread_by``, columns
+    that vary within a key. Only the dimension rows of hot keys are repeated, once per piece.
     """
-    dim = dim.withColumnsRenamed({key: f"__dim_{key}" for key in keys})
-    conditions = []
-    for key in keys:
-        left, right = fact[key], F.col(f"__dim_{key}")
-        conditions.append(left.eqNullSafe(right) if null_safe else left == right)
+    renamed = {key: f"__dim_{key}" for key in keys}
+    dim = dim.withColumnsRenamed(renamed)
+
+    def matches(left: DataFrame) -> list[Column]:
+        pairs = [(left[key], F.col(other)) for key, other in renamed.items()]
+        return [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+
     if size <= broadcast_bytes:
-        joined = fact.join(F.broadcast(dim), conditions, "left")
-        return joined.drop(*[f"__dim_{key}" for key in keys])
+        return fact.join(F.broadcast(dim), matches(fact), "left").drop(*renamed.values())
+    hot, pieces = hot_keys(fact, keys)
+    if not hot:
+        return fact.join(dim, matches(fact), "left").drop(*renamed.values())
     spread = list(spread_by or [name for name in fact.columns if name not in keys][:1])
-    salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = dim.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    conditions = [
-        salted[key].eqNullSafe(F.col(f"__dim_{key}")) if null_safe else salted[key] == F.col(f"__dim_{key}")
-        for key in keys
-    ]
-    joined = salted.join(repeated, [*conditions, F.col("__salt") == F.col("__dim_salt")], "left")
-    return joined.drop("__salt", "__dim_salt", *[f"__dim_{key}" for key in keys])
+    piece = F.pmod(F.xxhash64(*spread), F.lit(pieces)).cast("int")
+    salted = fact.withColumn("__salt", F.when(F.xxhash64(*keys).isin(hot), piece).otherwise(F.lit(0)))
+    copies = F.when(F.xxhash64(*renamed.values()).isin(hot), F.lit(pieces - 1)).otherwise(F.lit(0))
+    repeated = dim.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), copies)))
+    joined = salted.join(repeated, [*matches(salted), F.col("__salt") == F.col("__dim_salt")], "left")
+    return joined.drop("__salt", "__dim_salt", *renamed.values())
 
 
 def enrich_left_join(
@@ -83,12 +100,11 @@ def enrich_left_join(
     flag_source: str | None = None,
     spread_by: Sequence[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Add the columns of ``dim`` to every fact row; ``flag`` marks the rows that found ``flag_source``.
 
     One job measures the dimension: a repeated key is refused (it would multiply fact rows) and the measured
-    size picks broadcast or salted shuffle. NULL keys match nothing.
+    size picks broadcast or shuffle. NULL keys match nothing.
     """
     require_columns(fact, keys)
     require_columns(dim, keys)
@@ -96,7 +112,7 @@ def enrich_left_join(
     if rows > 1:
         raise ValueError(f"dimension keys {list(keys)} are not unique: one key has {rows} rows")
     joined = lookup_join(
-        fact, dim.dropna(subset=list(keys)), keys, size, spread_by, broadcast_bytes=broadcast_bytes, salts=salts
+        fact, dim.dropna(subset=list(keys)), keys, size, spread_by, broadcast_bytes=broadcast_bytes
     )
     if flag is None:
         return joined
@@ -116,7 +132,6 @@ def group_count_broadcast(
     name: str,
     spread_by: Sequence[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Number of non-missing ``counted`` values of each row's key, on every row.
 
@@ -127,5 +142,5 @@ def group_count_broadcast(
     counts = df.groupBy(*keys).agg(F.count(counted).alias(name))
     size = counts.agg(F.sum(_row_bytes(counts))).first()[0] or 0
     return lookup_join(
-        df, counts, keys, size, spread_by or [counted], null_safe=True, broadcast_bytes=broadcast_bytes, salts=salts
+        df, counts, keys, size, spread_by or [counted], null_safe=True, broadcast_bytes=broadcast_bytes
     )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tabscope.operators.columns import require_columns
 from tabscope.operators.order_stats import kth_values
 
 TRAIN, TEST = "train", "test"
+MAX_CLASSES = 1000
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -48,8 +47,10 @@ def stratified_split(
     target stays out of both parts.
     """
     require_columns(df, [target, key])
-    counts = {row[target]: row["n"] for row in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
-    counts.pop(None, None)
+    rows = df.groupBy(target).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 2).collect()
+    counts = {row[target]: row["n"] for row in rows if row[target] is not None}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     quotas = class_quotas(dict(sorted(counts.items())), test_size) if counts else {}
     # 52 bits of the digest, exact in a double.
     place = F.conv(F.substring(_digest(key, seed), 1, 13), 16, 10).cast("double")
@@ -78,14 +79,3 @@ def split_summary(df: DataFrame, target: str, name: str = "split") -> DataFrame:
 def parts(df: DataFrame, name: str = "split") -> tuple[DataFrame, DataFrame]:
     """(train rows, test rows)."""
     return tuple(df.where(F.col(name) == part).drop(name) for part in (TRAIN, TEST))
-
-
-def stratified_parts(
-    df: DataFrame, target: str, key: str, test_size: float = 0.3, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    return parts(stratified_split(df, target, key, test_size, seed))
-
-
-__all__: Sequence[str] = (
-    "TEST", "TRAIN", "class_quotas", "hash_split", "parts", "split_summary", "stratified_parts", "stratified_split",
-)

@@ -108,9 +108,10 @@ class CleanResult:
 def cleaning_flow(integrated: DataFrame, spec: CleanSpec) -> CleanResult:
     """Select, impute, type and recode; then summarise outliers and check every rule.
 
-    The typed table is staged once: the medians, the summaries and the report read it, not the join above it.
+    The integrated and the typed table are staged, as medians, summaries and rules each scan a few of their columns.
     """
-    base = stage(select_required(integrated, spec.columns), "model-base")
+    integrated = stage(integrated, "integrated")
+    base = select_required(integrated, spec.columns)
     clean, medians = clean_stage(base, spec.impute, spec.distinct_medians, spec.suffix)
     assert_binary(clean, spec.binary)
     typed = cast_columns(clean, {name: "int" for name in spec.binary})

@@ -93,7 +93,9 @@ def test_quality_report(spark):
 
 def test_level_lists_are_bounded_but_complete_elsewhere(spark):
     df = spark.range(500).select(F.format_string("v%03d", "id").alias("c"))
-    row = level_lists(df, ["c"], listed=3).first()
+    lists = level_lists(df, ["c"], listed=3)
+    assert "WindowGroupLimit" in lists._jdf.queryExecution().executedPlan().toString()
+    row = lists.first()
     assert row["n_levels"] == 500 and row["levels"] == ["v000", "v001", "v002"]
     assert unexpected_values(df, {"c": ["v000"]}).count() == 499
     report = quality_report(df, [DomainRule("c", ("v000",))]).first()

@@ -15,7 +15,7 @@ from tabscope.operators.columns import (
     select_required,
     split_features_target,
 )
-from tabscope.operators.joins import enrich_left_join, group_count_broadcast, join_coverage
+from tabscope.operators.joins import enrich_left_join, group_count_broadcast, hot_keys, join_coverage
 from tabscope.session import scratch_dir, stage
 from tabscope.sources.tables import (
     literal_dimension,
@@ -112,3 +112,12 @@ def test_group_count_broadcast(spark, limit):
         expected[row["key"]] = expected.get(row["key"], 0) + (row["name"] is not None)
     assert len(got) == 3000 and all(row["n"] == expected[row["key"]] for row in got)
     assert None in expected
+
+
+def test_hot_keys_are_found_and_cut(spark):
+    hot, pieces = hot_keys(_facts(spark), ["key"])
+    known = spark.createDataFrame([("hot",), (None,)], "key string").select(F.xxhash64("key")).collect()
+    assert {row[0] for row in known} <= set(hot)
+    assert 300 < pieces <= 1000
+    assert hot_keys(spark.range(5000), ["id"]) == ([], 1)
+    assert hot_keys(spark.range(0), ["id"]) == ([], 1)
