@@ -21,6 +21,9 @@ BLANKS = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# ASCII characters that cannot be part of a key.
+OTHER_ASCII = "".join(chr(code) for code in range(1, 128) if not re.match("[a-z0-9 ]", chr(code)))
+
 
 def _plain(text: str) -> str:
     """Compatibility-decomposed ASCII form; every character that cannot be part of a key becomes a space."""
@@ -32,12 +35,12 @@ def _plain(text: str) -> str:
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """``translate`` arguments for all characters that fold to one, and the Latin letters that fold to more."""
     source, target, longer = [], [], []
-    for code in range(0x01, 0x20000):
+    for code in range(0x80, 0x20000):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue
         plain = _plain(char)
-        if not plain or plain == char:
+        if not plain:
             continue
         if len(plain) == 1 or not plain.strip():
             source.append(char)
@@ -63,37 +66,28 @@ def _article_first(name: Column) -> Column:
     return F.when(F.lower(F.right(name, F.lit(3))).rlike(f"({articles})$"), moved).otherwise(name)
 
 
-def _is_ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
-
-
-def _spell_out(text: Column) -> Column:
-    """Replace the letters that fold to several, in the few texts that hold one."""
-    _, _, longer = _fold_tables()
-    replaced = text
+def _fold(text: Column) -> Column:
+    """Accents off and other letters dropped; ASCII texts pass, and the long replacements run only where needed."""
+    source, target, longer = _fold_tables()
+    spelled_out = text
     for char, plain in longer:
-        replaced = F.replace(replaced, F.lit(char), F.lit(plain))
-    occurs = ~_is_ascii(text) & text.rlike("[" + "".join(char for char, _ in longer) + "]")
-    return F.when(occurs, replaced).otherwise(text)
-
-
-def _drop_other(text: Column) -> Column:
-    return F.when(_is_ascii(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
+        spelled_out = F.replace(spelled_out, F.lit(char), F.lit(plain))
+    occurs = text.rlike("[" + "".join(char for char, _ in longer) + "]")
+    letters = F.translate(F.when(occurs, spelled_out).otherwise(text), source, target)
+    folded = F.regexp_replace(letters, r"[^\x00-\x7F]+", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def normalize_key(name: Column, any_script: bool = False) -> Column:
     """Comparable form of a name: article moved to the front, lower case, no accents, single spaces.
 
     NULL stays NULL. ``any_script=True`` adds an Arrow UDF for the few compatibility characters outside Latin
-    that decompose into several letters (such as squared units); the default stays inside Catalyst. One character
-    table folds letters and blanks punctuation; steps that cannot change a text are skipped for it.
+    that decompose into several letters (such as squared units); the default stays inside Catalyst.
     """
-    key = F.lower(_bound(F.btrim(name, F.lit(BLANKS)), _article_first))
+    key = F.lower(_article_first(F.btrim(name, F.lit(BLANKS))))
     key = F.replace(F.replace(key, F.lit("l' "), F.lit("l ")), F.lit("l'"), F.lit("l "))
-    key = _fold_any_script(key) if any_script else _bound(key, _spell_out)
-    source, target, _ = _fold_tables()
-    key = _bound(F.translate(key, source, target), _drop_other)
-    return F.trim(F.regexp_replace(key, " {2,}", " "))
+    key = _fold_any_script(key) if any_script else _bound(key, _fold)
+    return F.trim(F.regexp_replace(F.translate(key, OTHER_ASCII, " " * len(OTHER_ASCII)), " {2,}", " "))
 
 
 def zero_pad_code(code: Column, width: int = 5) -> Column:

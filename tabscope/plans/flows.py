@@ -148,11 +148,14 @@ class ModelSpec:
 def supervised_flow(
     typed: DataFrame, spec: ModelSpec, test_size: float = 0.3, seed: int = 42, penalize_intercept: bool = True
 ) -> dict[str, DataFrame]:
-    """Split, encode, fit, score and evaluate; levels are learned before the split, scales on the training part."""
+    """Split, encode, fit, score and evaluate; levels are learned before the split, scales on the training part.
+
+    ``typed`` should be a stored table, such as the cleaning stage returns: it is scanned several times.
+    """
     columns = [spec.key, spec.target, *spec.numeric, *spec.binary, *spec.categorical]
     table = select_required(typed, columns).withColumn(spec.target, F.col(spec.target).cast("int"))
     levels = category_levels(table, spec.categorical)
-    split = stage(stratified_split(table, spec.target, spec.key, test_size, seed), "split")
+    split = stratified_split(table, spec.target, spec.key, test_size, seed)
     train, test = parts(split)
     encoder = fit_encoder(train, spec.numeric, spec.binary, spec.categorical, drop_first=True, levels=levels)
     model = logistic_fit(train, spec.target, spec.key, encoder, penalize_intercept)
@@ -177,7 +180,10 @@ def clustering_flow(
     metric: str = "squaredEuclidean",
     flags: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """Encode every level, sweep k, keep the best model and describe its groups. The target only describes."""
+    """Encode every level, sweep k, keep the best model and describe its groups. The target only describes.
+
+    ``typed`` should be a stored table; the encoded matrix is staged for the sweep.
+    """
     encoder = fit_encoder(typed, spec.numeric, spec.binary, spec.categorical)
     kept = list(dict.fromkeys([spec.key, spec.target, *flags, *spec.numeric, *spec.categorical]))
     matrix = stage(encoder.assemble(typed, keep=kept), "matrix")

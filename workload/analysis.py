@@ -187,9 +187,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled_only(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with the number of documents of their source."""
+    """Labelled documents with the number of documents of their source, stored for the passes that follow."""
     known = labelled(spark, sf).drop("text").where(F.col("quality").isNotNull())
-    return group_count_broadcast(known, ["source"], "doc_id", "in_source")
+    return stage(group_count_broadcast(known, ["source"], "doc_id", "in_source"), "labelled")
 
 
 @query(
@@ -279,7 +279,7 @@ QUALITY = ModelSpec("doc_id", "quality", ("n_chars", "in_source"), ("toxic",), (
 
 
 def _logistic(spark: SparkSession, sf: str):
-    rows = stage(_labelled_only(spark, sf), "labelled")
+    rows = _labelled_only(spark, sf)
     encoder = fit_encoder(rows, QUALITY.numeric, QUALITY.binary, QUALITY.categorical, drop_first=True)
     return rows, logistic_fit(rows, QUALITY.target, QUALITY.key, encoder)
 
