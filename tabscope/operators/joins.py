@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
 
 from tabscope.operators.columns import require_columns
 
@@ -56,6 +56,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[list[int], int]:
     return [item["item"] for item in hot], min(pieces, HOT_SHARE)
 
 
+def _typed_like(dim: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The dimension with its keys in the types of the fact table, so that equal keys have equal hashes."""
+    for key in keys:
+        own, wanted = dim.schema[key].dataType, fact.schema[key].dataType
+        if own != wanted:
+            if not (isinstance(own, NumericType) and isinstance(wanted, NumericType)):
+                raise ValueError(f"key {key} is {wanted.simpleString()} on one side and {own.simpleString()} on the other")
+            dim = dim.withColumn(key, F.col(key).try_cast(wanted))
+    return dim
+
+
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -72,7 +83,7 @@ def lookup_join(
     that vary within a key. Only the dimension rows of hot keys are repeated, once per piece.
     """
     renamed = {key: f"__dim_{key}" for key in keys}
-    dim = dim.withColumnsRenamed(renamed)
+    dim = _typed_like(dim, fact, keys).withColumnsRenamed(renamed)
 
     def matches(left: DataFrame) -> list[Column]:
         pairs = [(left[key], F.col(other)) for key, other in renamed.items()]

@@ -52,7 +52,8 @@ def distinct_profile(df: DataFrame, columns: Sequence[str], relative_error: floa
         counts = df.agg(*[F.approx_count_distinct(F.col(name), relative_error).alias(name) for name in columns])
         return stack_row(counts, [(F.lit(name), F.col(f"`{name}`")) for name in columns], ("variable", "n_distinct"))
     names = df.sparkSession.createDataFrame([(name,) for name in columns], "variable string")
-    counted = levels_long(df, columns).groupBy("variable").agg(F.count_distinct("value").alias("n_distinct"))
+    levels = levels_long(df, columns).withColumn("value", key_digest(F.col("value")))
+    counted = levels.groupBy("variable").agg(F.count_distinct("value").alias("n_distinct"))
     return names.join(F.broadcast(counted), "variable", "left").select(
         "variable", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")
     )

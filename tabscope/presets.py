@@ -48,6 +48,7 @@ MANAGER_DEFAULT = "Otras gestiones"
 CONTRAST_KEEP = ("Bibliotecas publicas", "Bibliotecas universitarias")
 CONTRAST_OTHER = "Bibliotecas especializadas, especificas y otras"
 
+# Column names of the published tables, in their order.
 SUFFIX = "_imputada"
 TARGET = "tiene_catalogo"
 NUMERIC = ("antiguedad_biblioteca", "bibliotecas_municipio", "poblacion_municipio", "densidad_hab_km2")

@@ -121,3 +121,12 @@ def test_hot_keys_are_found_and_cut(spark):
     assert 300 < pieces <= 1000
     assert hot_keys(spark.range(5000), ["id"]) == ([], 1)
     assert hot_keys(spark.range(0), ["id"]) == ([], 1)
+
+
+def test_key_types_may_differ_only_among_numbers(spark):
+    facts = spark.range(900).withColumn("key", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int"))
+    dim = spark.createDataFrame([(7, "hot"), (10**12, "far")], "key long, v string")
+    got = enrich_left_join(facts, dim, ["key"], "matched", spread_by=["id"], broadcast_bytes=0)
+    assert got.agg(F.sum("matched")).first()[0] == facts.where("key = 7").count()
+    with pytest.raises(ValueError, match="key key is int"):
+        enrich_left_join(facts, dim.withColumn("key", F.col("key").cast("string")), ["key"])
