@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numbers import round_half_even
@@ -63,18 +62,35 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, score: st
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve, ties counted half.
+    """Exact area under the ROC curve: the share of (positive, negative) pairs in the right order, ties half.
 
-    The evaluator groups equal scores before a distributed sort and adds the trapezoids per partition, so no task
-    sees all scores.
+    Equal scores are counted first, so a frequent score is one row. The distinct scores are range-partitioned; pairs
+    inside a partition come from running counts, pairs across partitions from the partition totals, one small row
+    each. No task sees all scores. NULL where a class is absent.
     """
-    pairs = df.where(F.col(label).isNotNull()).select(
-        F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score")
+    positive = F.count_if(F.col(label) == 1)
+    negative = F.count_if(F.col(label) == 0)
+    per_score = (
+        df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+        .groupBy(F.col(score).cast("double").alias("score"))
+        .agg(positive.cast("double").alias("pos"), negative.cast("double").alias("neg"))
     )
-    evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="score", metricName="areaUnderROC", numBins=0
+    ranged = per_score.repartitionByRange("score").withColumn("range", F.spark_partition_id())
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(before.partitionBy("range").orderBy("score")), F.lit(0.0))
+    per_range = (
+        ranged.withColumn("below", below)
+        .groupBy("range")
+        .agg(
+            F.sum("pos").alias("pos"),
+            F.sum("neg").alias("neg"),
+            F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("pairs"),
+        )
     )
-    return df.sparkSession.createDataFrame([(evaluator.evaluate(pairs),)], "value double")
+    # One row per range from here on.
+    lower = F.coalesce(F.sum("neg").over(before.orderBy("range")), F.lit(0.0))
+    pairs = per_range.withColumn("pairs", F.col("pairs") + F.col("pos") * lower)
+    return pairs.agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("value"))
 
 
 def rounded_metrics(metrics: DataFrame, digits: int = 6) -> DataFrame:

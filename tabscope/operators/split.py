@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.operators.columns import require_columns
-from tabscope.operators.order_stats import kth_values
 
 TRAIN, TEST = "train", "test"
 MAX_CLASSES = 1000
+PREFIX_DIGITS = 3
+LISTED = 4096
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -37,14 +38,46 @@ def class_quotas(counts: dict, test_size: float) -> dict:
     return {level: counts[level] - train[level] for level in counts}
 
 
+def _digest_cuts(rows: DataFrame, quotas: dict) -> dict:
+    """Per class, the digest at its quota rank.
+
+    Rows are counted by the next digits of their digest and the next pass keeps those that share the prefix found,
+    until so few are left that they are listed. Each pass returns a bounded number of cells or digests per class.
+    """
+    cuts: dict = {}
+    # Per open class: the prefix, the rows that share it, and the rank wanted among them.
+    places = {level: ("", None, quota) for level, quota in quotas.items() if quota > 0}
+    digits = 0
+    while places:
+        listed = all(n is not None and n <= LISTED for _, n, _ in places.values())
+        digits = 32 if listed else digits + PREFIX_DIGITS
+        inside = F.lit(False)
+        for level, (prefix, _, _) in places.items():
+            inside = inside | ((F.col("level") == level) & (F.col("digest").startswith(prefix) if prefix else F.lit(True)))
+        cells = rows.where(inside).groupBy("level", F.substring("digest", 1, digits).alias("prefix"))
+        counted = sorted(map(tuple, cells.agg(F.count("*").alias("n")).collect()))
+        narrower = {}
+        for level, (_, _, rank) in places.items():
+            for prefix, n in ((prefix, n) for own, prefix, n in counted if own == level):
+                if rank <= n:
+                    break
+                rank -= n
+            if digits >= 32:
+                cuts[level] = prefix
+            else:
+                narrower[level] = (prefix, n, rank)
+        places = narrower
+    return cuts
+
+
 def stratified_split(
     df: DataFrame, target: str, key: str, test_size: float = 0.3, seed: int = 42, name: str = "split"
 ) -> DataFrame:
     """Split with the exact quota of every class: the rows with the smallest digests of their class are test rows.
 
-    Instead of ranking each class in one task, the digest at the quota rank is found by bucket counts and rows
-    are compared with it, so the split itself is a map-side expression. ``key`` must be unique; a row without
-    target stays out of both parts.
+    Instead of ranking each class in one task, the digest at the quota rank is found by prefix counts and rows are
+    compared with it, so the split itself is a map-side expression. ``key`` must be unique; a row without target
+    stays out of both parts.
     """
     require_columns(df, [target, key])
     rows = df.groupBy(target).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 2).collect()
@@ -52,18 +85,11 @@ def stratified_split(
     if len(counts) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     quotas = class_quotas(dict(sorted(counts.items())), test_size) if counts else {}
-    # 52 bits of the digest, exact in a double.
-    place = F.conv(F.substring(_digest(key, seed), 1, 13), 16, 10).cast("double")
-    wanted = {level: quota for level, quota in quotas.items() if quota > 0}
-    by_class = df.select(
-        *[F.when(F.col(target) == level, place).alias(f"class{i}") for i, level in enumerate(wanted)]
-    )
-    ranks = {f"class{i}": [quota - 1] for i, quota in enumerate(wanted.values())}
-    cuts = kth_values(by_class, ranks) if ranks else {}
-    is_test: Column = F.lit(False)
-    for i, (level, quota) in enumerate(wanted.items()):
-        is_test = is_test | ((F.col(target) == level) & (place <= cuts[f"class{i}", quota - 1]))
-    part = F.when(is_test, F.lit(TEST)).otherwise(F.lit(TRAIN))
+    cuts = _digest_cuts(df.select(F.col(target).alias("level"), _digest(key, seed).alias("digest")), quotas)
+    cut = F.lit(None).cast("string")
+    for level, digest in cuts.items():
+        cut = F.when(F.col(target) == level, F.lit(digest)).otherwise(cut)
+    part = F.when(_digest(key, seed) <= cut, F.lit(TEST)).otherwise(F.lit(TRAIN))
     return df.withColumn(name, F.when(F.col(target).isNotNull(), part))
 
 
