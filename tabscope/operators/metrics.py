@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.numbers import round_half_even
 from tabscope.operators.profile import stack_row
 
 
@@ -91,7 +90,3 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     lower = F.coalesce(F.sum("neg").over(before.orderBy("range")), F.lit(0.0))
     pairs = per_range.withColumn("pairs", F.col("pairs") + F.col("pos") * lower)
     return pairs.agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("value"))
-
-
-def rounded_metrics(metrics: DataFrame, digits: int = 6) -> DataFrame:
-    return metrics.withColumn("value", round_half_even(F.col("value"), digits))
