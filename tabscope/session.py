@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
 
 def local_session(cores: int | str = "*", app: str = "tabscope", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the session the cluster provides."""
@@ -31,19 +28,9 @@ def local_session(cores: int | str = "*", app: str = "tabscope", **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: the one named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is made only where that setting is absent and the master is local, as in tests.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tabscope-")
-    return _LOCAL_SCRATCH[app]
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, else the context's own, else the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
