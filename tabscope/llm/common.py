@@ -15,6 +15,8 @@ from tabscope.session import stage
 
 # A list of keys within this many rows (8 bytes each and its overhead) is sent to every task; a longer one is shuffled.
 BROADCAST_KEYS = 1_000_000
+# Bytes of a batch that a task turns into Python values at a time; a single longer row is taken alone.
+BATCH_BYTES = 2 << 20
 
 
 def by_value(*names: str) -> None:
@@ -34,13 +36,24 @@ def map_rows(
     arrow = _arrow_schema(df, declared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)} for batch in batches)
+        parts = (part for batch in batches for part in _slices(batch))
+        columns = ({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)} for part in parts)
         for out in task(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[field.name], field.type) for field in arrow], schema=arrow)
 
     return df.mapInArrow(run, declared)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in halves of halves, until each holds at most ``BATCH_BYTES`` or one row."""
+    if batch.num_rows < 2 or batch.nbytes <= BATCH_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _slices(batch.slice(0, half))
+        yield from _slices(batch.slice(half))
+
+
 def _arrow_schema(df: DataFrame, declared: StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -59,7 +72,9 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], rows: int | None = None)
     need no shuffle; a longer one is joined by shuffle. Both give the same rows.
     """
     small = rows is not None and rows <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    right = keys.select(*[F.col(name).alias(f"__{name}") for name in on])
+    match = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in on]
+    return df.join(F.broadcast(right) if small else right, match, "left_semi")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import chat, language, packing, quality, secrets, tokens
+from tabscope.llm import chat, decontaminate, jaccard, language, licenses, packing, quality, secrets, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,6 +80,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# -- 3: WARC derivatives -----------------------------------------------------------------------------------------
+
+
+@query("op3_warc_derivatives")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(table(spark, sf, "pages")))
+
+
 # -- 4: packing --------------------------------------------------------------------------------------------------
 
 CAPACITY = 2048
@@ -96,6 +104,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+# -- 5: license scans --------------------------------------------------------------------------------------------
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{name}', {licenses.template_bigrams(text)})" for name, text in licenses.TEMPLATES.items())
+    return f"""WITH templates AS (SELECT * FROM (VALUES {rows}) v(license, grams)),
+    lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    segments AS (
+      SELECT doc_id, unnest(range(len(parts))) AS segment, unnest(parts) AS part FROM lines
+      UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(parts) > 1),
+    words AS (
+      SELECT doc_id, segment, list_filter(string_split(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), ' '),
+        lambda w: w <> '') AS w FROM segments),
+    grams AS (
+      SELECT doc_id, segment, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS own FROM words
+      WHERE len(w) > 1),
+    compared AS (
+      SELECT doc_id, segment, license, len(own) AS n_bigrams, len(list_intersect(own, grams.grams)) AS overlap, grams.size
+      FROM (SELECT g.*, t.license, t.grams, len(t.grams) AS size FROM grams g, templates t) grams)
+    SELECT doc_id, CAST(segment AS BIGINT) AS segment, license, CAST(n_bigrams AS BIGINT) AS n_bigrams,
+      CAST(overlap AS BIGINT) AS overlap, round(2.0 * overlap / (n_bigrams + size), 6) AS dice
+    FROM compared WHERE round(2.0 * overlap / (n_bigrams + size), 6) >= {licenses.LEAST_DICE}"""
+
+
+@query("op5_license_scans", _license_sql())
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
 # -- 6: secret scans ---------------------------------------------------------------------------------------------
 
 
@@ -110,6 +147,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# -- 7: benchmark decontamination --------------------------------------------------------------------------------
+
+
+@query("op7_decontamination")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# -- 8: n-gram Jaccard join --------------------------------------------------------------------------------------
+
+
+@query("op8_jaccard_join")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
 # -- 9: token counts ---------------------------------------------------------------------------------------------
 
 

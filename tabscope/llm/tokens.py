@@ -14,12 +14,17 @@ from pyspark.sql import Window
 from tabscope.llm.common import by_value, map_rows, staged, texts_of
 
 # Distinct chunks remembered by a task; beyond it the memory starts afresh, which changes no result.
-REMEMBERED_CHUNKS = 300_000
+REMEMBERED_CHUNKS = 600_000
 REMEMBERED_LENGTH = 64
+# Chunks encoded in one call, with a separator between them that no such chunk holds.
+CALL_CHUNKS = 2_000
+SEPARATOR = "\x01"
+# The normaliser lowers case; doing so first for ASCII only makes fewer distinct chunks.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class ChunkEncoder:
-    """Ids of whole texts under a tokenizer that drops white space and never joins text across it.
+    """Ids of whole texts under a tokenizer that lowers case, drops white space and never joins text across it.
 
     A text is cut at ASCII white space. The tokenizer's normaliser, splitter and merges all act inside such chunks, so
     the ids of the text are the ids of its chunks in order. Each distinct chunk is encoded once per task.
@@ -30,23 +35,42 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self._encode(SEPARATOR)
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.tokenizer.encode_batch_fast([chunk.decode() for chunk in chunks], add_special_tokens=False)
-        return {chunk: np.array(e.ids, "<u4").tobytes() for chunk, e in zip(chunks, encoded)}
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each chunk with its ids; many chunks in one call where the separator tells them apart."""
+        apart = len(self.separator) == 1
+        plain = [chunk for chunk in chunks if apart and b"\x01" not in chunk]
+        for at in range(0, len(plain), CALL_CHUNKS):
+            part = plain[at : at + CALL_CHUNKS]
+            ids = self._encode(f" {SEPARATOR} ".join(chunk.decode() for chunk in part))
+            cuts = np.flatnonzero(ids == self.separator[0])
+            raw, starts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            ends = [*(4 * cuts).tolist(), len(raw)]
+            yield from zip(part, [raw[a:b] for a, b in zip(starts, ends)])
+        for chunk in chunks if not apart else [chunk for chunk in chunks if b"\x01" in chunk]:
+            yield chunk, self._encode(chunk.decode()).tobytes()
+
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        # Special tokens are recognised before case is lowered.
+        return (text if b"<|" in text else text.translate(_LOWER)).split()
 
     def encode(self, texts: Iterable[bytes | None]) -> list[list[bytes]]:
         """Per text the little-endian 32-bit ids of its chunks; a missing text has none."""
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known = {}
-        split = [(text or b"").split() for text in texts]
-        new = set().union(*split).difference(self.known) if split else set()
+        split = [self._chunks(text or b"") for text in texts]
         table = self.known
+        new = set().union(*split).difference(table)
         long = {chunk for chunk in new if len(chunk) > REMEMBERED_LENGTH}
         table.update(self._learn(list(new - long)))
         if long:
-            table = {**table, **self._learn(list(long))}
+            table = {**table, **dict(self._learn(list(long)))}
         return [list(map(table.__getitem__, chunks)) for chunks in split]
 
 
