@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import string
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -21,28 +24,63 @@ CALL_CHUNKS = 2_000
 SEPARATOR = "\x01"
 # The normaliser lowers case; doing so first for ASCII only makes fewer distinct chunks.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# Marks that may follow a word without changing its ids: all of ASCII but the apostrophe.
+_MARKS = bytes(c for c in string.punctuation.encode() if c != ord("'"))
+# Lower-case letters below this code point are left alone by normalisers and known to every version of Unicode.
+PLAIN_LETTERS = 0x250
 
 
 class ChunkEncoder:
     """Ids of whole texts under a tokenizer that lowers case, drops white space and never joins text across it.
 
     A text is cut at ASCII white space. The tokenizer's normaliser, splitter and merges all act inside such chunks, so
-    the ids of the text are the ids of its chunks in order. Each distinct chunk is encoded once per task.
+    the ids of the text are the ids of its chunks in order. Each distinct chunk is encoded once per task. A chunk of
+    plain lower-case letters, with marks behind it or not, needs the merges alone: its letters are one word, and its marks another.
+    Whether that holds is tried on each letter, with the whole tokenizer, when the encoder is made.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.separator = self._encode(SEPARATOR)
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+        letters = [chr(i) for i in range(PLAIN_LETTERS) if chr(i).isalpha() and chr(i) == chr(i).lower()]
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
+        plain = [c for c in letters if self._word(f"a{c}{c}b") == self._encode(f"a{c}{c}b").tobytes()]
+        self.plain = re.compile(f"[{''.join(plain)}]+") if plain else re.compile(r"(?!)")
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.packed[token.id] for token in self.model.tokenize(word.translate(self.spelling))])
+
     def _learn(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each chunk with its ids; many chunks in one call where the separator tells them apart."""
+        """Each chunk with its ids."""
+        others = []
+        for chunk in chunks:
+            head = chunk.rstrip(_MARKS)
+            word = head.decode()
+            if not self.plain.fullmatch(word):
+                others.append(chunk)
+            elif len(head) == len(chunk):
+                yield chunk, self._word(word)
+            else:
+                marks = chunk[len(head) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self._encode(marks.decode()).tobytes()
+                yield chunk, self._word(word) + self.marks[marks]
+        yield from self._learn_others(others)
+
+    def _learn_others(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Many chunks in one call where the separator tells them apart."""
         apart = len(self.separator) == 1
         plain = [chunk for chunk in chunks if apart and b"\x01" not in chunk]
         for at in range(0, len(plain), CALL_CHUNKS):
@@ -64,6 +102,8 @@ class ChunkEncoder:
         """Per text the little-endian 32-bit ids of its chunks; a missing text has none."""
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known = {}
+        if len(self.marks) > REMEMBERED_CHUNKS:
+            self.marks = {}
         split = [self._chunks(text or b"") for text in texts]
         table = self.known
         new = set().union(*split).difference(table)
