@@ -65,16 +65,24 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
-def semi(df: DataFrame, keys: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
+def _joined(df: DataFrame, keys: DataFrame, on: list[str], rows: int, how: str) -> DataFrame:
+    right = keys.select(*[F.col(name).alias(f"__{name}") for name in on])
+    match = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in on]
+    return df.join(F.broadcast(right) if rows <= BROADCAST_KEYS else right, match, how)
+
+
+def semi(df: DataFrame, keys: DataFrame, on: list[str], rows: int) -> DataFrame:
     """Rows of ``df`` whose ``on`` columns occur in ``keys``.
 
     ``rows`` is the measured number of keys: a list within ``BROADCAST_KEYS`` goes to every task, so that long texts
     need no shuffle; a longer one is joined by shuffle. Both give the same rows.
     """
-    small = rows is not None and rows <= BROADCAST_KEYS
-    right = keys.select(*[F.col(name).alias(f"__{name}") for name in on])
-    match = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in on]
-    return df.join(F.broadcast(right) if small else right, match, "left_semi")
+    return _joined(df, keys, on, rows, "left_semi")
+
+
+def except_rows(df: DataFrame, keys: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Rows of ``df`` whose ``on`` columns do not occur in ``keys``; see ``semi``."""
+    return _joined(df, keys, on, rows, "left_anti")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

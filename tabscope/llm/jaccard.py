@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import by_value, map_rows, semi, staged, texts_of
+from tabscope.llm.common import by_value, except_rows, map_rows, semi, staged, texts_of
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-# A token with a longer posting list is expensive: its documents lengthen their prefixes, and what then still meets on
-# such a token is compared with one centre first. It decides how pairs are found, never which.
+# A token with a longer posting list is expensive and is not used to find pairs, as long as the prefixes are long enough
+# to do without it. It decides how pairs are found, never which.
 LONG_LIST = 50
+# Every set asks for so many shared tokens at least, and for one more per so many tokens of its size.
+LEAST_MATCHES, TOKENS_PER_MATCH = 2, 12
 # Prefix extensions that the cost estimate chooses from (shared tokens required).
 MATCHES = (1, 2, 4, 8, 16)
 REMEMBERED_WORDS = 500_000
@@ -52,12 +54,14 @@ def shingle_set(text: bytes | None, known: WordHashes, size: int) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
-def _least_overlap(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
+def prefix_length(n: int, percent: int) -> int:
+    """Tokens in hash order of which two linked sets share as many as the smaller asks for (``_matches``)."""
+    need = -(-percent * n // 100)
+    return n - need + min(LEAST_MATCHES + n // TOKENS_PER_MATCH, need)
 
 
 def _sets(df: DataFrame, key: str, text: str, size: int, percent: int, whole: bool) -> DataFrame:
-    """key, node (identity of the set), n (its size), tokens (all, or the shortest prefix in hash order)."""
+    """key, node (identity of the set), n (its size), tokens (all, or a prefix in hash order)."""
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         known = WordHashes()
@@ -71,7 +75,7 @@ def _sets(df: DataFrame, key: str, text: str, size: int, percent: int, whole: bo
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=8).digest()
                 out["node"].append(int.from_bytes(digest, "little", signed=True) if n else None)
                 out["n"].append(n)
-                out["tokens"].append(tokens if whole else tokens[: n - _least_overlap(n, percent) + 1])
+                out["tokens"].append(tokens if whole else tokens[: prefix_length(n, percent)])
             yield out
 
     schema = f"key {df.schema[key].dataType.simpleString()}, node long, n long, tokens array<long>"
@@ -83,6 +87,11 @@ def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
+def _matches(n: Column, percent: int) -> Column:
+    """Shared tokens that a set asks for in the first index."""
+    return F.least(F.lit(LEAST_MATCHES) + F.floor(n / TOKENS_PER_MATCH), _need(n, percent))
+
+
 def _overlap(a: Column, b: Column, percent: int) -> Column:
     """Least overlap of two linked sets of these sizes."""
     return F.ceil((a + b) * percent / (100 + percent))
@@ -205,40 +214,49 @@ def jaccard_components(
     without words link with nothing; equal sets are one node throughout, however many copies there are. Only key and
     text are read, whole; repeated rows share their component; an empty table gives an empty result.
 
-    1. Every set posts its shortest prefix in hash order; tokens held once are dropped after a count that is combined
-       map-side. Pairs on short posting lists are counted, and kept if they share as many tokens as a link requires.
-    2. Sets with an expensive token (a longer list) lengthen their prefix to a cheaper one: their whole sets are
-       ordered by frequency among themselves, see ``_adaptive_index``. A link to a set without expensive tokens was found in 1.
+    1. Every set posts a prefix in hash order, long enough that linked sets share l tokens of it; tokens held once are
+       dropped after a count that is combined map-side. A set with fewer than l expensive tokens shares a cheap one with
+       every partner, so only short posting lists are paired, and pairs kept that can share as many tokens as a link needs.
+    2. The other sets, whose prefixes would cost too many candidates, are lengthened: their whole sets are ordered by
+       frequency among themselves, and each asks for as many shared tokens as is cheapest, see ``_adaptive_index``.
     3. Sets that still meet on an expensive token are compared with one centre of the token. By then most are in one
        component and need no further pair. For pairs across components, the triangle inequality over the centre's
        distances and the size bounds leave few; these are all verified.
     Every kept pair is verified on the whole sets. Nothing is capped: each link joins its two components.
     """
     df = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    sets = staged(_sets(df, "key", "text", size, percent, whole=False), "prefixes")
-    nodes = sets.where("n > 0").select("node", "n", "tokens").dropDuplicates(["node"])
+    sets = _sets(df, "key", "text", size, percent, whole=False).withColumn("row", F.monotonically_increasing_id())
+    sets = staged(sets, "prefixes")
+    first = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("key").alias("key"), F.count("*").alias("rows"))
+    first = staged(first, "nodes")
+    copies = sets.select("node", "row").join(first.where("rows > 1").select("node", F.col("row").alias("kept")), "node")
+    copies = staged(copies.where("row <> kept").select("row"), "copies")
+    nodes = except_rows(sets.where("n > 0").select("row", "node", "n", "tokens"), copies, ["row"], copies.count())
     postings = nodes.select("node", "n", F.explode("tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = staged(postings.join(frequency, "token"), "shared-tokens")
-    later = staged(shared.where(F.col("df") > long_list).select("node").distinct(), "later-nodes")
-    cheap = shared.where(F.col("df") <= long_list).join(later.withColumn("later", F.lit(True)), "node", "left")
+    costly = shared.where(F.col("df") > long_list).groupBy("node").agg(F.count("*").alias("h"), F.first("n").alias("n"))
+    # A pair without a cheap shared token shares l expensive ones; l is that of the smaller set, at least 3/4 of the other.
+    later = F.col("h") >= _matches(_need(F.col("n"), percent), percent)
+    costly = staged(costly.select("node", "h", later.alias("later")), "costly-nodes")
+    cheap = shared.where(F.col("df") <= long_list).join(costly, "node", "left")
     cheap = cheap.withColumns(
         {
             "later": F.coalesce("later", F.lit(False)),
-            "l": F.lit(1),
-            "h": F.lit(0).cast("long"),
+            "l": _matches(F.col("n"), percent),
+            "h": F.coalesce("h", F.lit(0)),
             "reach": F.floor(F.col("n") * 100 / percent),
         }
     )
     early = staged(_list_pairs(cheap, percent), "early-pairs")
 
+    later = costly.where("later").select("node")
     wanted = early.select(F.explode(F.array("a", "b")).alias("node")).unionByName(later).distinct()
-    keys = sets.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi")
-    keys = staged(keys, "wanted-keys")
+    keys = staged(first.join(wanted, "node", "left_semi").select("node", "key"), "wanted-keys")
     whole = _sets(semi(df, keys.select("key").distinct(), ["key"], keys.count()), "key", "text", size, percent, whole=True)
-    whole = staged(
-        whole.drop("key").dropDuplicates(["node"]).join(keys.select("node"), "node", "left_semi"), "whole-sets"
-    )
+    whole = staged(whole.drop("key").join(keys.select("node"), "node", "left_semi"), "whole-sets")
+    if whole.count() > keys.count():  # a repeated key, whose rows were all read
+        whole = staged(whole.dropDuplicates(["node"]), "whole-sets")
 
     index = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
     lists = index.groupBy("token").agg(F.count("*").alias("list")).where("list > 1")
@@ -263,11 +281,11 @@ def jaccard_components(
     links = verified.where(_linked(percent)).select("a", "b")
     labels = connected(links)
     rest = staged(_across(met, centre, verified, labels, percent), "across-pairs")
-    more = staged(_verify(rest, whole).where(_linked(percent)).select("a", "b"), "across-links")
-    if not more.isEmpty():
+    if not rest.isEmpty():
+        more = _verify(rest, whole).where(_linked(percent)).select("a", "b")
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    least = _labelled(sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")), labels)
+    least = _labelled(first.select("node", "key"), labels)
     smallest = least.groupBy("label").agg(F.min("key").alias("component_id"))
     component = least.join(smallest, "label").select("node", "component_id")
     return sets.join(component, "node", "left").select(
