@@ -99,7 +99,7 @@ RULES = (
     *BASE_RULES,
     Rule("symbols", lambda t: 10 * t.n_symbols > 3 * t.n_words),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
-    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("letters", lambda t: 10 * t.n_lettered_words < 7 * t.n_words),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -73,7 +73,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # -- 2: quality rules --------------------------------------------------------------------------------------------
 
 
-@query("op2_quality_rules")
+_QUALITY_SQL = r"""WITH texts AS (
+      SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM documents),
+    places AS (SELECT row_no, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) > 3),
+    grams AS (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+    repeats AS (SELECT row_no, count(DISTINCT i + k) AS n FROM grams, (SELECT unnest(range(3)) AS k) WHERE n > 1 GROUP BY row_no),
+    features AS (
+      SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered
+      FROM texts t LEFT JOIN repeats r ON t.row_no = r.row_no),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM features)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+      CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+      CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+      NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+        OR 2 * n_dup_lines > n_lines OR 10 * n_lettered < 7 * n_words) AS kept
+    FROM judged"""
+
+
+@query("op2_quality_rules", _QUALITY_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_cascade(
         table(spark, sf, "documents"), report=quality.BASE, verdicts={"base_failed": quality.BASE_RULES}
