@@ -85,6 +85,11 @@ def except_rows(df: DataFrame, keys: DataFrame, on: list[str], rows: int) -> Dat
     return _joined(df, keys, on, rows, "left_anti")
 
 
+def lookup(df: DataFrame, table: DataFrame, on: str, rows: int) -> DataFrame:
+    """``df`` with the columns of ``table`` (its measured number of ``rows``, unique in ``on``) where it has the key."""
+    return df.join(F.broadcast(table) if rows <= BROADCAST_KEYS else table, on, "left")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: it cuts the lineage and survives lost executors."""
     return stage(df, name)

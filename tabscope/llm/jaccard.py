@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import by_value, except_rows, map_rows, semi, staged, texts_of
+from tabscope.llm.common import by_value, except_rows, lookup, map_rows, semi, staged, texts_of
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -104,7 +104,7 @@ def _fits(small: Column, large: Column, percent: int) -> Column:
 
 
 def _list_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough tokens of short posting lists: (a, b), each once.
+    """Pairs that share enough tokens of short posting lists: (a, b, c), each once with its shared tokens.
 
     ``index`` has a row per token and node with n, l (shared tokens asked for), h (its expensive tokens, which are not
     in the index) and reach (largest partner). Tokens with the same list become one row first, so that copies
@@ -120,17 +120,36 @@ def _list_pairs(index: DataFrame, percent: int) -> DataFrame:
     counted = pairs.groupBy("x", "y").agg(F.sum("k").alias("c"))
     unseen = F.greatest(_need(x["n"], percent) - x["l"], _need(y["n"], percent) - y["l"])
     enough = F.col("c") + F.least(x["h"], y["h"]) >= _overlap(x["n"], y["n"], percent) - unseen
-    return counted.where(enough).select(x["node"].alias("a"), y["node"].alias("b"))
+    a, b = x["node"], y["node"]
+    return counted.where(enough).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "c")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with the sizes and the exact overlap of their sets."""
+    """The pairs (a written table) with the sizes and the exact overlap of their sets; only these sets are moved."""
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    sets = semi(sets, nodes, ["node"], nodes.count())
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     joined = pairs.join(left, "a").join(right, "b")
     return joined.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("overlap"))
 
 
+def _promising(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs the one that shares most tokens, so that groups become components with few pairs tried."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    best = both.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        pairs = pairs.join(known, side, "left")
+    own = [F.coalesce(f"label_{side}", side) for side in ("a", "b")]
+    return pairs.where(own[0] != own[1]).select("a", "b")
+
+
 def _linked(percent: int) -> Column:
     return 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))
 
@@ -219,10 +238,11 @@ def jaccard_components(
        every partner, so only short posting lists are paired, and pairs kept that can share as many tokens as a link needs.
     2. The other sets, whose prefixes would cost too many candidates, are lengthened: their whole sets are ordered by
        frequency among themselves, and each asks for as many shared tokens as is cheapest, see ``_adaptive_index``.
-    3. Sets that still meet on an expensive token are compared with one centre of the token. By then most are in one
-       component and need no further pair. For pairs across components, the triangle inequality over the centre's
-       distances and the size bounds leave few; these are all verified.
-    Every kept pair is verified on the whole sets. Nothing is capped: each link joins its two components.
+    3. The most promising pair of each set is verified on the whole sets. Sets that still meet on an expensive token are
+       compared with one centre of the token instead. By then most are in one component and need no further pair.
+    4. Every pair across components is verified, except those that a bound rules out: their sizes, or what both share
+       with the centre.
+    Nothing is capped: each link joins its two components.
     """
     df = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     sets = _sets(df, "key", "text", size, percent, whole=False).withColumn("row", F.monotonically_increasing_id())
@@ -239,7 +259,7 @@ def jaccard_components(
     # A pair without a cheap shared token shares l expensive ones; l is that of the smaller set, at least 3/4 of the other.
     later = F.col("h") >= _matches(_need(F.col("n"), percent), percent)
     costly = staged(costly.select("node", "h", later.alias("later")), "costly-nodes")
-    cheap = shared.where(F.col("df") <= long_list).join(costly, "node", "left")
+    cheap = lookup(shared.where(F.col("df") <= long_list), costly, "node", costly.count())
     cheap = cheap.withColumns(
         {
             "later": F.coalesce("later", F.lit(False)),
@@ -254,9 +274,9 @@ def jaccard_components(
     wanted = early.select(F.explode(F.array("a", "b")).alias("node")).unionByName(later).distinct()
     keys = staged(first.join(wanted, "node", "left_semi").select("node", "key"), "wanted-keys")
     whole = _sets(semi(df, keys.select("key").distinct(), ["key"], keys.count()), "key", "text", size, percent, whole=True)
-    whole = staged(whole.drop("key").join(keys.select("node"), "node", "left_semi"), "whole-sets")
-    if whole.count() > keys.count():  # a repeated key, whose rows were all read
-        whole = staged(whole.dropDuplicates(["node"]), "whole-sets")
+    whole = staged(whole.drop("key"), "whole-sets")
+    if whole.count() > keys.count():  # rows of a repeated key were all read
+        whole = staged(whole.join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
 
     index = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
     lists = index.groupBy("token").agg(F.count("*").alias("list")).where("list > 1")
@@ -265,22 +285,18 @@ def jaccard_components(
     costly_tokens = costly.groupBy("node").agg(F.count("*").alias("h"))
     short = index.where(F.col("list") <= long_list).join(costly_tokens, "node", "left")
     short = short.withColumns({"h": F.coalesce("h", F.lit(0)), "later": F.lit(False)})
-    pairs = _list_pairs(short, percent).unionByName(early)
+    pairs = staged(_list_pairs(short, percent).unionByName(early), "pairs")
 
     # What meets on an expensive token: the first l = 1 prefix must share one, so longer prefixes need not be compared.
     met = staged(costly.where(F.col("place") <= F.col("base")).drop("l", "list", "place", "base"), "met")
-    centre = met.groupBy("token").agg(F.min(F.struct("u", "node", "n", "reach")).alias("c"))
-    around = met.join(centre, "token").where(F.col("node") != F.col("c.node"))
-    me = F.struct("n", "reach", "node")
-    either = F.when(F.col("n") <= F.col("c.n"), _fits(me, F.col("c"), percent)).otherwise(_fits(F.col("c"), me, percent))
-    stars = around.where(either).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-    )
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    verified = staged(_verify(pairs.unionByName(stars).distinct(), whole), "verified")
+    centre = met.groupBy("token").agg(F.min(F.struct("u", "node"))["node"].alias("c"))
+    stars = met.join(centre, "token").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    tried = staged(_promising(pairs).unionByName(stars).distinct(), "tried")
+    verified = staged(_verify(tried, whole), "verified")
     links = verified.where(_linked(percent)).select("a", "b")
     labels = connected(links)
-    rest = staged(_across(met, centre, verified, labels, percent), "across-pairs")
+    rest = _apart(pairs.select("a", "b"), labels).unionByName(_across(met, centre, verified, labels, percent)).distinct()
+    rest = staged(rest.join(verified, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verify(rest, whole).where(_linked(percent)).select("a", "b")
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
@@ -296,24 +312,27 @@ def jaccard_components(
 
 
 def _across(met: DataFrame, centre: DataFrame, verified: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs on one expensive token that are in different components and that no bound rules out, not yet verified."""
-    similarity = F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))
-    seen = verified.select("a", "b", (1 - similarity).alias("d"))
-    rows = _labelled(met, labels).join(centre.select("token", F.col("c.node").alias("c")), "token")
+    """Pairs on one expensive token that are in different components and that no bound rules out.
+
+    With o tokens shared with the centre and r others that any set holds, two sets overlap in at most the smaller o plus the
+    smaller r. Copies of the centre with edits of their own have no r, and differ from each other by the edits of both.
+    """
+    rows = _labelled(met, labels).join(centre, "token")
     parts = rows.groupBy("token", "label").agg(F.count("*").alias("size"))
     main = parts.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
     rows = rows.join(main.where("parts > 1"), "token").where("node <> c")
-    rows = rows.withColumns({"a": F.least("node", "c"), "b": F.greatest("node", "c")}).join(seen, ["a", "b"], "left")
-    side = F.struct("n", "node", "reach", "label", "d")
+    rows = rows.withColumns({"a": F.least("node", "c"), "b": F.greatest("node", "c")})
+    rows = rows.join(verified.select("a", "b", F.col("overlap").alias("o")), ["a", "b"])
+    rows = rows.withColumn("r", F.col("n") - F.col("o") - F.col("u"))
+    side = F.struct("n", "node", "reach", "label", "o", "r")
     left = rows.where("label <> main").select("token", side.alias("x"))
     right = rows.select("token", side.alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
     x, y = F.col("x"), F.col("y")
-    near = F.coalesce(F.abs(x["d"] - y["d"]) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    enough = F.least(x["o"], y["o"]) + F.least(x["r"], y["r"]) >= _overlap(x["n"], y["n"], percent)
     sizes = F.when(x["n"] <= y["n"], _fits(x, y, percent)).otherwise(_fits(y, x, percent))
     once = F.col("in_main") | (x["node"] < y["node"])
-    pairs = left.join(right, "token").where((x["label"] != y["label"]) & once & near & sizes)
-    pairs = pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
-    return pairs.join(verified, ["a", "b"], "left_anti")
+    pairs = left.join(right, "token").where((x["label"] != y["label"]) & once & enough & sizes)
+    return pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
 
 
 by_value(__name__)
