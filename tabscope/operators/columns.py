@@ -7,6 +7,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from tabscope.functions.numbers import nan_to_null
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -33,6 +36,12 @@ def drop_rename(df: DataFrame, drop: Sequence[str] = (), rename: Mapping[str, st
     return df.drop(*drop).withColumnsRenamed(dict(rename or {}))
 
 
+def value_of(df: DataFrame, name: str) -> Column:
+    """A column with NaN as NULL, the one missing value, where its type has NaN."""
+    column = F.col(f"`{name}`")
+    return nan_to_null(column) if isinstance(df.schema[name].dataType, (DoubleType, FloatType)) else column
+
+
 def present(column: Column) -> Column:
     """1 where a value is informed, else 0."""
     return column.isNotNull().cast("int")
@@ -47,33 +56,41 @@ def presence_flags(
     df: DataFrame, informed: Mapping[str, str] | None = None, absent: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Add 0/1 columns: ``informed`` maps flag -> source (1 if present), ``absent`` the inverse."""
-    flags = {flag: present(F.col(source)) for flag, source in (informed or {}).items()}
-    flags |= {flag: missing(F.col(source)) for flag, source in (absent or {}).items()}
+    flags = {flag: present(value_of(df, source)) for flag, source in (informed or {}).items()}
+    flags |= {flag: missing(value_of(df, source)) for flag, source in (absent or {}).items()}
     return df.withColumns(flags)
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Strict casts by column; a value that does not fit fails the query. ``category`` means text."""
-    return df.withColumns(
-        {name: F.col(name).cast("string" if kind == "category" else kind) for name, kind in types.items()}
-    )
+    """Strict casts by column; a value that does not fit fails the query, in ANSI mode or not. ``category`` means text."""
+
+    def strict(name: str, kind: str) -> Column:
+        value = F.col(name)
+        cast = value.try_cast("string" if kind == "category" else kind)
+        unfit = F.raise_error(F.concat(F.lit(f"{name} does not fit {kind}: "), value.cast("string"))).cast(cast_type(kind))
+        return F.when(value.isNotNull() & cast.isNull(), unfit).otherwise(cast)
+
+    def cast_type(kind: str) -> str:
+        return "string" if kind == "category" else kind
+
+    return df.withColumns({name: strict(name, kind) for name, kind in types.items()})
 
 
 def coalesce_constant(df: DataFrame, fills: Mapping[str, Any]) -> DataFrame:
     """Fill missing values of each column with its scalar."""
-    return df.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in fills.items()})
+    return df.withColumns({name: F.coalesce(value_of(df, name), F.lit(value)) for name, value in fills.items()})
 
 
 def observed_value(df: DataFrame, variable: str, suffix: str = "_imputed") -> Column:
     """The variable where it was observed: NULL on rows its imputation flag marks, if it has one."""
-    value = F.col(variable)
+    value = value_of(df, variable)
     flag = f"{variable}{suffix}"
     return F.when(F.col(flag) == 0, value) if flag in df.columns else value
 
 
 def filter_observed(df: DataFrame, variable: str, suffix: str = "_imputed") -> DataFrame:
     """Rows with a present, not imputed value."""
-    present_rows = df.where(F.col(variable).isNotNull())
+    present_rows = df.where(value_of(df, variable).isNotNull())
     flag = f"{variable}{suffix}"
     return present_rows.where(F.col(flag) == 0) if flag in df.columns else present_rows
 

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators.columns import coalesce_constant, missing, require_columns
+from tabscope.operators.columns import coalesce_constant, missing, require_columns, value_of
 from tabscope.operators.order_stats import medians
 
 
 def imputation_flags(df: DataFrame, variables: Sequence[str], suffix: str = "_imputed") -> DataFrame:
     """Add ``<variable><suffix>`` = 1 where the value is absent, before any fill."""
     require_columns(df, variables)
-    return df.withColumns({f"{name}{suffix}": missing(F.col(name)) for name in variables})
+    return df.withColumns({f"{name}{suffix}": missing(value_of(df, name)) for name in variables})
 
 
 def median_impute(
@@ -26,13 +26,7 @@ def median_impute(
     rows (an attribute of the group a row belongs to) counts once.
     """
     require_columns(df, variables)
-    by_row = [name for name in variables if name not in distinct]
-    by_value = [name for name in variables if name in distinct]
-    used: dict[str, float | None] = {}
-    if by_row:
-        used |= medians(df, by_row)
-    if by_value:
-        used |= medians(df, by_value, distinct=True)
+    used = medians(df, variables, distinct)
     typed = df.withColumns({name: F.col(name).cast("double") for name in variables})
     known = {name: used[name] for name in variables if used[name] is not None}
     return coalesce_constant(typed, known), {name: used[name] for name in variables}

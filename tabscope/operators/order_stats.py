@@ -2,9 +2,10 @@
 
 ``percentile`` keeps every distinct value of a column in one task. Here each pass counts values per bucket (a
 map-side combined ``groupBy`` of a bounded number of buckets) and the next pass looks only inside the bucket that
-holds a wanted rank. The first pass uses a fixed logarithmic grid, so it needs no extremes and returns them; later
-ones cut the bucket evenly, until one holds so few rows that its values are counted one by one. A few column scans
-give the exact value whatever the size, and only a bounded number of counts reaches the driver.
+holds a wanted rank. The first pass cuts by magnitude, so that the values of a bucket differ by a few percent; later
+ones cut a bucket evenly, each gaining ten bits of the 52 that are left at most. So six passes settle any values, from
+the smallest to infinities, and fewer do when a bucket holds so few rows that its values are counted one by one.
+The buckets of the wanted ranks are found in Spark; the driver receives one row per column and rank.
 
 Every pass reads its input again: stage a table that comes from joins or groupings before calling.
 """
@@ -12,20 +13,19 @@ Every pass reads its input again: stage a table that comes from joins or groupin
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numbers import nan_to_null
 
 BUCKETS = 1024
 LISTED = 16384
-# Buckets per e-fold of the first grid; at most 2 * 710 * GRID of them exist for doubles.
-GRID = 64
-MAX_PASSES = 400
+# Buckets per doubling of the first pass, and the doublings between the smallest and the largest double.
+GRID = 32
+LOWEST_DOUBLING, HIGHEST_DOUBLING = -1075, 1025
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,9 @@ class ColumnSummary:
 
 @dataclass(frozen=True)
 class _Interval:
-    """Values of ``column`` in [low, high]; the smallest of them has rank ``first``."""
+    """Values of a place in [low, high], the smallest of rank ``first``, and the ranks still open among them."""
 
-    column: str
+    place: int
     low: float
     high: float
     first: int
@@ -54,171 +54,161 @@ class _Interval:
         """Few enough rows to count every value."""
         return self.count <= LISTED
 
-    def holds(self) -> Column:
-        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+    def holds(self, value: Column) -> Column:
+        return value.between(F.lit(self.low), F.lit(self.high))
 
-    def bucket(self, buckets: int) -> Column:
+    def bucket(self, value: Column, buckets: int) -> Column:
         """Non-decreasing number of the even step a value falls in."""
         if self.listed:
-            return F.lit(0)
-        step = (F.col(self.column) - F.lit(self.low)) / F.lit(self.high - self.low)
-        return F.least(F.floor(step * F.lit(float(buckets))), F.lit(buckets - 1))
-
-
-def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[nan_to_null(F.col(f"`{name}`").cast("double")).alias(name) for name in columns])
-
-
-def _counts(rows: DataFrame, keys: Sequence[Column | str], distinct: bool) -> list[Row]:
-    """Count, smallest and largest value per cell, collected: the number of cells is bounded by the caller."""
-    counted = F.count_distinct("value") if distinct else F.count("value")
-    cells = rows.groupBy(*keys).agg(counted.alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return cells.collect()
-
-
-def _first_pass(numbers: DataFrame, columns: Sequence[str], distinct: bool) -> dict[str, list[Row]]:
-    """Cells of the logarithmic grid per column, in ascending order."""
-    cells = []
-    for i, name in enumerate(columns):
-        value = F.col(name)
-        place = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(GRID)))
-        cells.append(F.struct(F.lit(i).alias("place"), place.alias("cell"), value.alias("value")))
-    rows = numbers.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-    found: dict[str, list[Row]] = {name: [] for name in columns}
-    for row in sorted(_counts(rows, ["place", "cell"], distinct), key=lambda r: r["lo"]):
-        found[columns[row["place"]]].append(row)
-    return found
-
-
-def _next_pass(
-    numbers: DataFrame, intervals: Sequence[_Interval], distinct: bool, buckets: int
-) -> list[tuple[_Interval, list[Row]]]:
-    """Cells of each interval, in ascending order."""
-    by_column: dict[str, Column] = {}
-    for i, interval in enumerate(intervals):
-        cell = (F.lit(i * buckets) + interval.bucket(buckets)).cast("long")
-        known = by_column.get(interval.column)
-        by_column[interval.column] = (
-            F.when(interval.holds(), cell) if known is None else known.when(interval.holds(), cell)
-        )
-    inside = reduce(Column.__or__, [interval.holds() for interval in intervals])
-    cells = [F.struct(cell.alias("cell"), F.col(name).alias("value")) for name, cell in by_column.items()]
-    rows = numbers.where(inside).select(F.inline(F.array(*cells))).where(F.col("cell").isNotNull())
-    listed = [i * buckets for i, interval in enumerate(intervals) if interval.listed]
-    exact = F.when(F.col("cell").isin(listed), F.col("value")).alias("exact")
-    found: dict[int, list[Row]] = {i: [] for i in range(len(intervals))}
-    for row in sorted(_counts(rows, ["cell", exact], distinct), key=lambda r: r["lo"]):
-        found[row["cell"] // buckets].append(row)
-    return [(interval, found[i]) for i, interval in enumerate(intervals)]
-
-
-def _locate(
-    column: str, ranks: Sequence[int], first: int, cells: Sequence[Row]
-) -> tuple[dict[tuple[str, int], float], list[_Interval]]:
-    """The ranks whose value the cells settle, and an interval per cell for the ranks still open."""
-    settled: dict[tuple[str, int], float] = {}
-    still_open: list[_Interval] = []
-    for cell in cells:
-        last = first + cell["n"] - 1
-        inner = []
-        for rank in ranks:
-            if rank == first or (first < rank <= last and cell["lo"] == cell["hi"]):
-                settled[column, rank] = cell["lo"]
-            elif rank == last:
-                settled[column, rank] = cell["hi"]
-            elif first < rank < last:
-                inner.append(rank)
-        if inner:
-            still_open.append(_Interval(column, cell["lo"], cell["hi"], first, cell["n"], tuple(inner)))
-        first = last + 1
-    return settled, still_open
-
-
-def _settle(
-    numbers: DataFrame,
-    grid: Mapping[str, Sequence[Row]],
-    ranks: Mapping[str, Sequence[int]],
-    distinct: bool,
-    buckets: int,
-) -> dict[tuple[str, int], float]:
-    settled: dict[tuple[str, int], float] = {}
-    intervals: list[_Interval] = []
-    for name, wanted in ranks.items():
-        n = sum(cell["n"] for cell in grid[name])
-        outside = [rank for rank in wanted if not 0 <= rank < n]
-        if outside:
-            raise ValueError(f"ranks {outside} are outside the {n} values of {name}")
-        found, still_open = _locate(name, sorted(set(wanted)), 0, grid[name])
-        settled |= found
-        intervals += still_open
-    for _ in range(MAX_PASSES):
-        if not intervals:
-            return settled
-        cells_of = _next_pass(numbers, intervals, distinct, buckets)
-        intervals = []
-        for interval, cells in cells_of:
-            found, still_open = _locate(interval.column, interval.ranks, interval.first, cells)
-            settled |= found
-            intervals += still_open
-    raise RuntimeError("order statistics did not settle; are there infinite values?")
-
-
-def _extents(numbers: DataFrame, columns: Sequence[str]) -> dict[str, ColumnSummary]:
-    aggregates = []
-    for i, name in enumerate(columns):
-        aggregates += [F.count(name).alias(f"n{i}"), F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}")]
-    row = numbers.agg(*aggregates).first()
-    return {name: ColumnSummary(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
+            return F.lit(0).cast("long")
+        step = (value - F.lit(self.low)) / F.lit(self.high - self.low)
+        return F.least(F.floor(step * F.lit(float(buckets))), F.lit(buckets - 1)).cast("long")
+
+
+@dataclass(frozen=True)
+class _Series:
+    """The columns under study, each weighed by row or by distinct value: a place is a position in ``columns``."""
+
+    numbers: DataFrame
+    columns: tuple[str, ...]
+    distinct: frozenset[int]
+
+    def located(self, cells: list[Column], wanted: Column, first: Column) -> list[Row]:
+        """Count ``cells`` (structs of place, part, cell, exact, value; NULL cells are left out), and return those that
+        hold a wanted rank with their extremes, first rank, and the size and extremes of their part."""
+        rows = self.numbers.select(F.inline(F.array(*cells))).where(F.col("cell").isNotNull())
+        counts = [F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+        if self.distinct:
+            once = F.when(F.col("place").isin(*self.distinct), F.col("value"))
+            counts.append(F.count_distinct(once).alias("n_distinct"))
+        counted = rows.groupBy("place", "part", "cell", "exact").agg(*counts)
+        if self.distinct:
+            weighed = F.when(F.col("place").isin(*self.distinct), F.col("n_distinct")).otherwise(F.col("n"))
+            counted = counted.withColumn("n", weighed)
+        part = Window.partitionBy("part")
+        before = part.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumns(
+            {
+                "total": F.sum("n").over(part),
+                "least": F.min("lo").over(part),
+                "greatest": F.max("hi").over(part),
+                "first": first + F.coalesce(F.sum("n").over(before), F.lit(0)),
+            }
+        ).withColumn("wanted", wanted)
+        held = F.filter("wanted", lambda rank: (rank >= F.col("first")) & (rank < F.col("first") + F.col("n")))
+        return placed.withColumn("ranks", F.array_distinct(held)).where(F.size("ranks") > 0).collect()
+
+    def first_pass(self, wanted: Column) -> list[Row]:
+        """Cells by magnitude; a part is a whole place."""
+        cells = []
+        for i, name in enumerate(self.columns):
+            value = F.col(f"`{name}`")
+            doubling = F.least(F.log2(F.abs(value)), F.lit(float(HIGHEST_DOUBLING)))
+            size = F.floor((doubling - F.lit(float(LOWEST_DOUBLING))) * F.lit(float(GRID))).cast("long")
+            cell = F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * size)
+            cells.append(self._cell(i, i, cell, F.lit(None).cast("double"), value))
+        return self.located(cells, wanted, F.lit(0).cast("long"))
+
+    def next_pass(self, intervals: Sequence[_Interval], buckets: int) -> list[Row]:
+        """Cells inside each interval; a part is an interval."""
+        cells = []
+        for i, interval in enumerate(intervals):
+            value = F.col(f"`{self.columns[interval.place]}`")
+            cell = F.when(interval.holds(value), interval.bucket(value, buckets))
+            exact = value if interval.listed else F.lit(None).cast("double")
+            cells.append(self._cell(interval.place, i, cell, exact, value))
+        at = F.col("part") + 1
+        first = F.element_at(F.array(*[F.lit(interval.first).cast("long") for interval in intervals]), at)
+        ranks = F.array(*[_longs(interval.ranks) for interval in intervals])
+        return self.located(cells, F.element_at(ranks, at), first)
+
+    @staticmethod
+    def _cell(place: int, part: int, cell: Column, exact: Column, value: Column) -> Column:
+        names = {"place": F.lit(place), "part": F.lit(part), "cell": cell, "exact": exact, "value": value}
+        return F.struct(*[column.alias(name) for name, column in names.items()])
+
+    def settle(self, rows: Sequence[Row], buckets: int) -> dict[tuple[int, int], float]:
+        """Value of every rank that ``rows``, the located cells of the first pass, hold."""
+        settled: dict[tuple[int, int], float] = {}
+        while rows:
+            intervals = []
+            for row in rows:
+                last, inner = row["first"] + row["n"] - 1, []
+                for rank in row["ranks"]:
+                    if rank == row["first"] or row["lo"] == row["hi"]:
+                        settled[row["place"], rank] = row["lo"]
+                    elif rank == last:
+                        settled[row["place"], rank] = row["hi"]
+                    else:
+                        inner.append(rank)
+                if inner:
+                    found = (row["place"], row["lo"], row["hi"], row["first"], row["n"], tuple(inner))
+                    intervals.append(_Interval(*found))
+            rows = self.next_pass(intervals, buckets) if intervals else ()
+        return settled
+
+
+def _longs(values: Sequence[int]) -> Column:
+    return F.array(*[F.lit(value).cast("long") for value in values])
+
+
+def _series(df: DataFrame, columns: Sequence[str], distinct: bool | Collection[str]) -> _Series:
+    """Columns as doubles, NaN as missing and one zero, so that equal values are one value."""
+    numbers = df.select(
+        *[(nan_to_null(F.col(f"`{name}`").cast("double")) + F.lit(0.0)).alias(name) for name in columns]
+    )
+    by_value = set(columns) if distinct is True else set(distinct or ())
+    return _Series(numbers, tuple(columns), frozenset(i for i, name in enumerate(columns) if name in by_value))
 
 
 def kth_values(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], distinct: bool = False, buckets: int = BUCKETS
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], distinct: bool | Collection[str] = False, buckets: int = BUCKETS
 ) -> dict[tuple[str, int], float]:
     """Exact values at zero-based ``ranks`` of the sorted present values of each column."""
     columns = list(ranks)
-    numbers = _numbers(df, columns)
-    return _settle(numbers, _first_pass(numbers, columns, distinct), ranks, distinct, buckets)
+    series = _series(df, columns, distinct)
+    wanted = F.element_at(F.array(*[_longs(ranks[name]) for name in columns]), F.col("place") + 1)
+    found = series.settle(series.first_pass(wanted), buckets)
+    values = {(columns[place], rank): value for (place, rank), value in found.items()}
+    outside = [(name, rank) for name in columns for rank in ranks[name] if (name, rank) not in values]
+    if outside:
+        raise ValueError(f"ranks outside the present values: {outside}")
+    return values
 
 
 def summarize_columns(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float] = (),
-    distinct: bool = False,
+    distinct: bool | Collection[str] = False,
     buckets: int = BUCKETS,
 ) -> dict[str, ColumnSummary]:
     """Count, extremes and exact linearly interpolated quantiles of whole columns.
 
-    ``distinct=True`` weighs every distinct value once. All columns share each scan.
+    Columns named in ``distinct`` (all, if True) weigh every distinct value once. All columns share each scan.
     """
-    columns = list(columns)
-    numbers = _numbers(df, columns)
-    if not probabilities and not distinct:
-        return _extents(numbers, columns)
-    grid = _first_pass(numbers, columns, distinct)
-    size = {name: sum(cell["n"] for cell in grid[name]) for name in columns}
-
-    def neighbours(name: str, p: float) -> tuple[int, int, float]:
-        position = p * (size[name] - 1)
-        below = math.floor(position)
-        return below, min(below + 1, size[name] - 1), position - below
-
-    filled = [name for name in columns if size[name]]
-    ranks = {name: [rank for p in probabilities for rank in neighbours(name, p)[:2]] for name in filled}
-    values = _settle(numbers, grid, ranks, distinct, buckets)
-
-    summaries = {name: ColumnSummary(0, None, None, dict.fromkeys(probabilities)) for name in columns}
-    for name in filled:
-        quantiles: dict[float, float | None] = {}
+    columns = list(dict.fromkeys(columns))
+    series = _series(df, columns, distinct)
+    empty = dict.fromkeys(probabilities)
+    summaries = {name: ColumnSummary(0, None, None, dict(empty)) for name in columns}
+    positions = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
+    below = [F.floor(position).cast("long") for position in positions]
+    above = [F.least(low + 1, F.col("total") - 1) for low in below]
+    rows = series.first_pass(F.array(*below, *above, F.lit(0).cast("long")))
+    values = series.settle(rows, buckets)
+    for row in rows:
+        n, quantiles = row["total"], {}
         for p in probabilities:
-            below, above, fraction = neighbours(name, p)
-            low, high = values[name, below], values[name, above]
-            quantiles[p] = low + (high - low) * fraction
-        summaries[name] = ColumnSummary(size[name], grid[name][0]["lo"], grid[name][-1]["hi"], quantiles)
+            position = p * (n - 1)
+            rank = math.floor(position)
+            low, high = values[row["place"], rank], values[row["place"], min(rank + 1, n - 1)]
+            fraction = position - rank
+            quantiles[p] = low if fraction == 0 or low == high else low + (high - low) * fraction
+        summaries[columns[row["place"]]] = ColumnSummary(n, row["least"], row["greatest"], quantiles)
     return summaries
 
 
-def medians(df: DataFrame, columns: Sequence[str], distinct: bool = False) -> dict[str, float | None]:
-    """Exact medians of present values, by row or over distinct values."""
+def medians(df: DataFrame, columns: Sequence[str], distinct: bool | Collection[str] = False) -> dict[str, float | None]:
+    """Exact medians of present values, by row or (for columns in ``distinct``) over distinct values."""
     found = summarize_columns(df, columns, (0.5,), distinct)
     return {name: summary.quantiles[0.5] for name, summary in found.items()}

@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegralType, MapType, StringType, StructType
 
 from tabscope.functions.numbers import min_max_scale, percent
 from tabscope.functions.text import key_digest
-from tabscope.operators.columns import observed_value, require_columns
+from tabscope.operators.columns import observed_value, require_columns, value_of
 from tabscope.operators.order_stats import ColumnSummary, summarize_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -30,7 +30,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     require_columns(df, columns)
     counts = df.agg(
         F.count("*").alias("__rows"),
-        *[F.count_if(F.col(name).isNull()).alias(f"__missing{i}") for i, name in enumerate(columns)],
+        *[F.count_if(value_of(df, name).isNull()).alias(f"__missing{i}") for i, name in enumerate(columns)],
     )
     entries = [
         (F.lit(name), F.col("__rows"), F.col(f"__missing{i}"), F.lit(len(df.columns)))
@@ -39,9 +39,17 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return stack_row(counts, entries, ("variable", "n_rows", "n_missing", "n_columns"))
 
 
+def plain_value(df: DataFrame, name: str) -> Column:
+    """A column in which equal values are one value: NaN is missing, zero has no sign."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (DoubleType, FloatType)):
+        return value_of(df, name) + F.lit(0.0).cast(kind)
+    return F.col(f"`{name}`")
+
+
 def levels_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, value) pairs of the present values of several columns, as text."""
-    texts = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in columns])
+    texts = df.select(*[plain_value(df, name).cast("string").alias(name) for name in columns])
     return texts.unpivot([], list(columns), "variable", "value").where(F.col("value").isNotNull())
 
 
@@ -49,7 +57,7 @@ def distinct_profile(df: DataFrame, columns: Sequence[str], relative_error: floa
     """Distinct present values per column: exact, or sketched when ``relative_error`` is given."""
     require_columns(df, columns)
     if relative_error is not None:
-        counts = df.agg(*[F.approx_count_distinct(F.col(name), relative_error).alias(name) for name in columns])
+        counts = df.agg(*[F.approx_count_distinct(value_of(df, name), relative_error).alias(name) for name in columns])
         return stack_row(counts, [(F.lit(name), F.col(f"`{name}`")) for name in columns], ("variable", "n_distinct"))
     names = df.sparkSession.createDataFrame([(name,) for name in columns], "variable string")
     levels = levels_long(df, columns).withColumn("value", key_digest(F.col("value")))
@@ -241,10 +249,15 @@ def boxplot_stats(
     )
 
 
-def distribution_bundle(df: DataFrame, variables: Sequence[str], suffix: str = "_imputed") -> dict[str, DataFrame]:
+def distribution_bundle(
+    df: DataFrame,
+    variables: Sequence[str],
+    suffix: str = "_imputed",
+    summaries: Mapping[str, ColumnSummary] | None = None,
+) -> dict[str, DataFrame]:
     """Histogram and box tables of all variables; the summaries behind both are taken once."""
-    observed = observed_columns(df, variables, suffix)
-    summaries = summarize_columns(observed, variables, QUARTILES)
+    if summaries is None:
+        summaries = summarize_columns(observed_columns(df, variables, suffix), variables, QUARTILES)
     return {
         "histograms": histogram_bins(df, variables, suffix, summaries),
         "boxplots": boxplot_stats(df, variables, suffix, summaries),

@@ -54,6 +54,44 @@ def test_exact_quantiles(spark, monkeypatch, buckets, listed):
         assert [got[name].quantiles[p] for p in PROBABILITIES] == pytest.approx(expected, rel=1e-12, abs=1e-300)
 
 
+@pytest.mark.parametrize("listed", [1, 16384])
+def test_passes_are_few_for_any_values(spark, monkeypatch, listed):
+    monkeypatch.setattr(order_stats, "LISTED", listed)
+    passes = []
+    located = order_stats._Series.located
+    monkeypatch.setattr(order_stats._Series, "located", lambda self, *a: passes.append(1) or located(self, *a))
+    rng = np.random.default_rng(8)
+    wide = rng.choice([-1, 1], 3001) * 10.0 ** rng.uniform(-300, 300, 3001)
+    dense = 1.0 + rng.random(3001) * 1e-12
+    infinite = np.array([1.0, 2.0] + [math.inf] * 3 + [-math.inf])
+    for values in (wide, dense, infinite, np.array([5e-324, 1e-323, 0.0, -0.0, 1.7e308, -1.7e308])):
+        passes.clear()
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        got = summarize_columns(df, ["x"], (0.25, 0.5, 0.9))["x"]
+        ordered = np.sort(values)
+        for p, value in got.quantiles.items():
+            low, rest = divmod(p * (len(values) - 1), 1)
+            a, b = ordered[int(low)], ordered[min(int(low) + 1, len(values) - 1)]
+            assert value == pytest.approx(a if rest == 0 or a == b else a + (b - a) * rest, rel=1e-12)
+        assert len(passes) <= 6
+    missing = spark.createDataFrame([(1.0,), (2.0,), (math.inf,), (math.inf,), (math.inf,)], "x double")
+    assert summarize_columns(missing, ["x"], (0.5,))["x"].quantiles[0.5] == math.inf
+
+
+def test_nan_is_missing_and_zero_has_no_sign(spark):
+    rows = [(float(v),) for v in range(1, 21)] + [(float("nan"),), (float("nan"),)]
+    df = spark.createDataFrame(rows, "x double")
+    summary = iqr_summary(df, ["x"]).first()
+    assert (summary["n"], summary["n_outliers"], summary["pct_outliers"]) == (20, 0, 0.0)
+    assert outlier_rows(df, "x").count() == 0
+    assert sum(row["n"] for row in histogram_bins(df, ["x"]).collect()) == 20
+    assert null_profile(df).first()["n_missing"] == 2
+    filled, used = clean_stage(df, ["x"])
+    assert used == {"x": 10.5} and filled.where("x_imputed = 1 AND x = 10.5").count() == 2
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),)], "x double")
+    assert distinct_profile(zeros, ["x"]).first()["n_distinct"] == 1
+
+
 def test_distinct_quantiles(spark, monkeypatch):
     monkeypatch.setattr(order_stats, "LISTED", 8)
     values = np.random.default_rng(1).integers(0, 300, 2000).astype(float) ** 3
