@@ -30,6 +30,12 @@ def nan_to_null(number: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def zero_or_one(number: Column, name: str) -> Column:
+    """The number where it is 0, 1 or missing; any other value fails the query."""
+    bad = F.raise_error(F.concat(F.lit(f"{name} must be 0 or 1, found "), number.cast("string"))).cast("int")
+    return F.when(number.isNull() | number.isin(0, 1), number.cast("int")).otherwise(bad)
+
+
 def age_from_year(year: Column, reference_year: int) -> Column:
     return F.lit(reference_year) - year
 

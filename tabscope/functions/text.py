@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Articles that may trail a place name after a comma.
-TRAILING_ARTICLES = ("l'", "el", "la", "els", "les")
 
 # The characters that count as blank at the ends of a name.
 BLANKS = (
@@ -22,7 +17,7 @@ BLANKS = (
 )
 
 # ASCII characters that cannot be part of a key.
-OTHER_ASCII = "".join(chr(code) for code in range(1, 128) if not re.match("[a-z0-9 ]", chr(code)))
+OTHER_ASCII = "".join(chr(code) for code in range(128) if not re.match("[a-z0-9 ]", chr(code)))
 
 
 def _plain(text: str) -> str:
@@ -32,9 +27,10 @@ def _plain(text: str) -> str:
 
 
 @cache
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """``translate`` arguments for all characters that fold to one, and the Latin letters that fold to more."""
-    source, target, longer = [], [], []
+def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """``translate`` arguments for all characters that fold to one, the characters that fold to more, and a pattern
+    that finds the latter."""
+    source, target, longer, codes = [], [], [], []
     for code in range(0x80, 0x20000):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF:
@@ -45,14 +41,13 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(plain) == 1 or not plain.strip():
             source.append(char)
             target.append(plain[0])
-        elif code < 0x250 or 0xFB00 <= code <= 0xFB06:
+        else:
             longer.append((char, plain))
-    return "".join(source), "".join(target), tuple(longer)
-
-
-@F.pandas_udf(StringType())
-def _fold_any_script(texts: pd.Series) -> pd.Series:
-    return texts.map(_plain, na_action="ignore")
+            codes.append(code)
+    starts = [code for code in codes if code - 1 not in set(codes)]
+    ends = [code for code in codes if code + 1 not in set(codes)]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+    return "".join(source), "".join(target), tuple(longer), f"[{ranges}]"
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,33 +55,42 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def _article_first(name: Column) -> Column:
-    articles = "|".join(TRAILING_ARTICLES)
-    moved = F.regexp_replace(name, rf"(?diU)^(.*),\s*({articles})$", "$2 $1")
-    return F.when(F.lower(F.right(name, F.lit(3))).rlike(f"({articles})$"), moved).otherwise(name)
+def _article_first(name: Column, articles: Sequence[str]) -> Column:
+    if not articles:
+        return name
+    choice = "|".join(re.escape(article) for article in articles)
+    moved = F.regexp_replace(name, rf"(?diU)^(.*),\s*({choice})$", "$2 $1")
+    longest = max(map(len, articles))
+    return F.when(F.lower(F.right(name, F.lit(longest))).rlike(f"({choice})$"), moved).otherwise(name)
 
 
 def _fold(text: Column) -> Column:
-    """Accents off and other letters dropped; ASCII texts pass, and the long replacements run only where needed."""
-    source, target, longer = _fold_tables()
-    spelled_out = text
-    for char, plain in longer:
-        spelled_out = F.replace(spelled_out, F.lit(char), F.lit(plain))
-    occurs = text.rlike("[" + "".join(char for char, _ in longer) + "]")
-    letters = F.translate(F.when(occurs, spelled_out).otherwise(text), source, target)
+    """Accents off and other letters dropped; ASCII texts pass, and single characters are spelled out only where needed."""
+    source, target, longer, pattern = _fold_tables()
+    spelling = F.create_map(*[F.lit(part) for pair in longer for part in pair])
+    spelled = F.array_join(
+        F.transform(
+            F.split(text, ""), lambda char: F.when(char.rlike(pattern), F.try_element_at(spelling, char)).otherwise(char)
+        ),
+        "",
+    )
+    letters = F.translate(F.when(text.rlike(pattern), spelled).otherwise(text), source, target)
     folded = F.regexp_replace(letters, r"[^\x00-\x7F]+", "")
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
-def normalize_key(name: Column, any_script: bool = False) -> Column:
-    """Comparable form of a name: article moved to the front, lower case, no accents, single spaces.
+def normalize_key(name: Column, articles: Sequence[str] = ()) -> Column:
+    """Comparable form of a name: lower case, no accents, compatibility characters spelled out, single spaces.
 
-    NULL stays NULL. ``any_script=True`` adds an Arrow UDF for the few compatibility characters outside Latin
-    that decompose into several letters (such as squared units); the default stays inside Catalyst.
+    NULL stays NULL. ``articles`` are words that may trail a name after a comma and are moved to its front; one that
+    ends in an apostrophe is also set apart from the word behind it. Everything stays inside Catalyst.
     """
-    key = F.lower(_article_first(F.btrim(name, F.lit(BLANKS))))
-    key = F.replace(F.replace(key, F.lit("l' "), F.lit("l ")), F.lit("l'"), F.lit("l "))
-    key = _fold_any_script(key) if any_script else _bound(key, _fold)
+    key = F.lower(_article_first(F.btrim(name, F.lit(BLANKS)), articles))
+    for article in articles:
+        if article.endswith("'"):
+            word = article[:-1]
+            key = F.replace(F.replace(key, F.lit(f"{article} "), F.lit(f"{word} ")), F.lit(article), F.lit(f"{word} "))
+    key = _bound(key, _fold)
     return F.trim(F.regexp_replace(F.translate(key, OTHER_ASCII, " " * len(OTHER_ASCII)), " {2,}", " "))
 
 

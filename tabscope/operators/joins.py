@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
 
 from tabscope.operators.columns import require_columns
+from tabscope.session import stage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key holding more than 1 / HOT_SHARE of the rows is hot; its rows are cut into pieces of about that size.
@@ -31,6 +32,11 @@ def _row_bytes(df: DataFrame) -> Column:
     return sum((F.coalesce(width, F.lit(0)) for width in widths), F.lit(8)).cast("long")
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if isinstance(df.schema[name].dataType, (ArrayType, MapType, StructType)) else column
+
+
 def measure_dimension(dim: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """(bytes, largest number of rows sharing one key) of a join side, in one job. NULL keys are left out."""
     per_key = (
@@ -43,6 +49,11 @@ def measure_dimension(dim: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["bytes"] or 0, row["rows"] or 0
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows, from one aggregate."""
+    return df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[list[int], int]:
     """Hashes of the keys (NULL included) that hold a large share of the rows, and the pieces to cut them into.
 
@@ -79,8 +90,8 @@ def lookup_join(
     """Left join of ``fact`` to a ``dim`` with unique keys whose measured ``size`` is given in bytes.
 
     A side within ``broadcast_bytes`` is broadcast and the fact table is not shuffled. A larger one is joined by
-    shuffle, with the rows of hot keys (also of a hot NULL) spread over pieces by a hash of ``spread_by``, columns
-    that vary within a key. Only the dimension rows of hot keys are repeated, once per piece.
+    shuffle, with the rows of hot keys (also of a hot NULL) spread over pieces by a hash of ``spread_by``, by default all
+    columns beside the key. Only the dimension rows of hot keys are repeated, once per piece.
     """
     renamed = {key: f"__dim_{key}" for key in keys}
     dim = _typed_like(dim, fact, keys).withColumnsRenamed(renamed)
@@ -94,8 +105,8 @@ def lookup_join(
     hot, pieces = hot_keys(fact, keys)
     if not hot:
         return fact.join(dim, matches(fact), "left").drop(*renamed.values())
-    spread = list(spread_by or [name for name in fact.columns if name not in keys][:1])
-    piece = F.pmod(F.xxhash64(*spread), F.lit(pieces)).cast("int")
+    spread = [_hashable(fact, name) for name in spread_by or [name for name in fact.columns if name not in keys]]
+    piece = F.pmod(F.xxhash64(*spread) if spread else F.lit(0), F.lit(pieces)).cast("int")
     salted = fact.withColumn("__salt", F.when(F.xxhash64(*keys).isin(hot), piece).otherwise(F.lit(0)))
     copies = F.when(F.xxhash64(*renamed.values()).isin(hot), F.lit(pieces - 1)).otherwise(F.lit(0))
     repeated = dim.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), copies)))
@@ -111,14 +122,23 @@ def enrich_left_join(
     flag_source: str | None = None,
     spread_by: Sequence[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    suffix: str | None = None,
 ) -> DataFrame:
     """Add the columns of ``dim`` to every fact row; ``flag`` marks the rows that found ``flag_source``.
 
-    One job measures the dimension: a repeated key is refused (it would multiply fact rows) and the measured
-    size picks broadcast or shuffle. NULL keys match nothing.
+    Columns of ``dim`` that the fact also has get ``suffix``; without one they are refused before any job runs.
+    ``flag_source`` is named as in ``dim``. One job measures the dimension: a repeated key is refused (it would
+    multiply fact rows) and the measured size picks broadcast or shuffle. NULL keys match nothing.
     """
     require_columns(fact, keys)
     require_columns(dim, keys)
+    source = flag_source or next((name for name in dim.columns if name not in keys), None)
+    shared = [name for name in dim.columns if name not in keys and name in fact.columns]
+    renamed = {name: f"{name}{suffix}" for name in shared} if suffix else {}
+    taken = [name for name in shared if renamed.get(name, name) in [*fact.columns, *dim.columns]]
+    if taken:
+        raise ValueError(f"columns on both sides of the join: {taken}; give a suffix that makes them unique")
+    dim, source = dim.withColumnsRenamed(renamed), renamed.get(source, source)
     size, rows = measure_dimension(dim, keys)
     if rows > 1:
         raise ValueError(f"dimension keys {list(keys)} are not unique: one key has {rows} rows")
@@ -127,7 +147,8 @@ def enrich_left_join(
     )
     if flag is None:
         return joined
-    source = flag_source or next(name for name in dim.columns if name not in keys)
+    if source is None:
+        raise ValueError("the dimension has no column that could mark a match")
     return joined.withColumn(flag, F.col(source).isNotNull().cast("int"))
 
 
@@ -146,12 +167,9 @@ def group_count_broadcast(
 ) -> DataFrame:
     """Number of non-missing ``counted`` values of each row's key, on every row.
 
-    Counts are combined map-side and joined back, so a key holding most rows never meets in one task as it
-    would in a window. Rows with a NULL key form one group.
+    Counts are combined map-side, written once, and joined back, so a key holding most rows never meets in one task as
+    it would in a window. Rows with a NULL key form one group.
     """
     require_columns(df, [*keys, counted])
-    counts = df.groupBy(*keys).agg(F.count(counted).alias(name))
-    size = counts.agg(F.sum(_row_bytes(counts))).first()[0] or 0
-    return lookup_join(
-        df, counts, keys, size, spread_by or [counted], null_safe=True, broadcast_bytes=broadcast_bytes
-    )
+    counts = stage(df.groupBy(*keys).agg(F.count(counted).alias(name)), "counts")
+    return lookup_join(df, counts, keys, measured_bytes(counts), spread_by, null_safe=True, broadcast_bytes=broadcast_bytes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tabscope.operators.clusters import (
     kmeans_sweep,
     pca_2d,
 )
-from tabscope.operators.columns import cast_columns, missing, present, select_required, union_reports
+from tabscope.operators.columns import cast_columns, missing, present, select_required, union_reports, value_of
 from tabscope.operators.contingency import (
     chi_square_test,
     contingency_percent,
@@ -28,11 +29,12 @@ from tabscope.operators.contingency import (
 )
 from tabscope.operators.features import category_levels, feature_names, fit_encoder
 from tabscope.operators.impute import clean_stage
-from tabscope.operators.joins import enrich_left_join, group_count_broadcast
+from tabscope.operators.joins import enrich_left_join, lookup_join, measured_bytes
 from tabscope.operators.metrics import classification_metrics, confusion_matrix
 from tabscope.operators.models import coefficient_table, logistic_fit, logistic_score
-from tabscope.operators.profile import distribution_bundle, iqr_summary
-from tabscope.operators.quality import Rule, assert_binary, assert_finite, joint_report
+from tabscope.operators.order_stats import ColumnSummary, summarize_columns
+from tabscope.operators.profile import QUARTILES, distribution_bundle, iqr_summary, observed_columns
+from tabscope.operators.quality import Rule, assert_binary, assert_finite, joint_levels, joint_report, rule_columns
 from tabscope.operators.split import parts, split_summary, stratified_split
 from tabscope.session import stage
 
@@ -58,27 +60,40 @@ class IntegrateSpec:
     reference_year: int = 2026
     rates: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     spread_by: Sequence[str] | None = None
+    articles: Sequence[str] = ()
 
 
 def integrate_flow(fact: DataFrame, dim: DataFrame, spec: IntegrateSpec) -> DataFrame:
-    """Derive flags, ages and per-key counts, then enrich by the normalised key."""
+    """Derive flags, ages and per-key counts, then enrich by the normalised key.
+
+    The fact is grouped by its raw names, and only these are normalised; their counts are summed per key and joined to
+    the dimension. That small table is written once and looked up by raw name, so the fact is read twice and never
+    normalised row by row.
+    """
     derived = {
         **{name: zero_pad_code(F.col(name), width) for name, width in spec.pad.items()},
-        **{flag: present(F.col(source)) for flag, source in spec.present_flags.items()},
-        **{flag: missing(F.col(source)) for flag, source in spec.missing_flags.items()},
+        **{flag: present(value_of(fact, source)) for flag, source in spec.present_flags.items()},
+        **{flag: missing(value_of(fact, source)) for flag, source in spec.missing_flags.items()},
     }
-    base = fact.withColumns({**derived, "__key": normalize_key(F.col(spec.key))})
+    raw = fact.groupBy(F.col(spec.key).alias("__raw")).agg(F.count(spec.counted).alias("__n"))
+    names = stage(raw.withColumn("__key", normalize_key(F.col("__raw"), spec.articles)), "names")
+    counts = names.groupBy("__key").agg(F.sum("__n").alias(spec.count_name))
+    keyed = dim.withColumn("__key", normalize_key(F.col(spec.dim_key), spec.articles))
+    known = lookup_join(names.drop("__n"), counts, ["__key"], measured_bytes(counts), null_safe=True)
+    known = enrich_left_join(known, keyed, ["__key"], spec.match_flag, spec.match_source).drop("__key")
+    shared = [name for name in known.columns if name in fact.columns]
+    if shared:
+        raise ValueError(f"columns of the dimension that the fact also has: {shared}")
+    known = stage(known, "known-names")
+    base = fact.withColumns(derived)
     if spec.year is not None:
         source, year_name, age_name = spec.year
         base = base.withColumn(year_name, coerce_numeric(F.col(source).cast("string")))
         base = base.withColumn(age_name, age_from_year(F.col(year_name), spec.reference_year))
-    base = group_count_broadcast(base, ["__key"], spec.counted, spec.count_name, spec.spread_by)
-    keyed = dim.withColumn("__key", normalize_key(F.col(spec.dim_key)))
-    joined = enrich_left_join(
-        base, keyed, ["__key"], spec.match_flag, spec.match_source, spec.spread_by or [spec.counted]
-    )
+    base = base.withColumn("__raw", F.col(spec.key))
+    joined = lookup_join(base, known, ["__raw"], measured_bytes(known), spec.spread_by, null_safe=True)
     rates = {name: rate_per(F.col(count), F.col(over)) for name, (count, over) in spec.rates.items()}
-    return joined.withColumns(rates).drop("__key")
+    return joined.withColumns(rates).drop("__raw")
 
 
 @dataclass(frozen=True)
@@ -98,20 +113,51 @@ class CleanSpec:
 
 @dataclass(frozen=True)
 class CleanResult:
+    """The cleaned table and the medians used; the reports are made when they are first asked for."""
+
     table: DataFrame
     medians: dict[str, float | None]
-    outliers: DataFrame
-    report: DataFrame | None
-    distributions: dict[str, DataFrame] = field(default_factory=dict)
+    source: DataFrame
+    source_columns: Sequence[str]
+    spec: CleanSpec
+
+    @cached_property
+    def _summaries(self) -> dict[str, ColumnSummary]:
+        observed = observed_columns(self.table, self.spec.numeric, self.spec.suffix)
+        return summarize_columns(observed, self.spec.numeric, QUARTILES)
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        return iqr_summary(self.table, self.spec.numeric, self.spec.suffix, self._summaries)
+
+    @cached_property
+    def distributions(self) -> dict[str, DataFrame]:
+        return distribution_bundle(self.table, self.spec.numeric, self.spec.suffix, self._summaries)
+
+    @property
+    def _checks(self) -> list[tuple[DataFrame, Sequence[Rule], Sequence[str]]]:
+        checks = [(self.source, self.spec.source_rules, self.source_columns)]
+        checks.append((self.table, self.spec.rules, self.table.columns))
+        return [check for check in checks if check[1]]
+
+    @cached_property
+    def report(self) -> DataFrame | None:
+        return joint_report(self._checks) if self._checks else None
+
+    @cached_property
+    def levels(self) -> DataFrame | None:
+        """The levels behind the report's level rules, one row each."""
+        return joint_levels(self._checks) if self._checks else None
 
 
 def cleaning_flow(integrated: DataFrame, spec: CleanSpec) -> CleanResult:
-    """Select, impute, type and recode; then summarise outliers and check every rule.
+    """Select, impute, type and recode; outliers, distributions and rules are checked on demand.
 
-    The integrated and the typed table are staged, as medians, summaries and rules each scan a few of their columns.
+    Only the columns that the settings name are written (with a digest of the whole row where a rule compares rows),
+    once before the fill and once after it, as medians, summaries and rules each scan a few of them.
     """
-    integrated = stage(integrated, "integrated")
-    base = select_required(integrated, spec.columns)
+    source = stage(rule_columns(integrated, spec.source_rules, spec.columns), "integrated")
+    base = select_required(source, spec.columns)
     clean, medians = clean_stage(base, spec.impute, spec.distinct_medians, spec.suffix)
     assert_binary(clean, spec.binary)
     typed = cast_columns(clean, {name: "int" for name in spec.binary})
@@ -122,16 +168,7 @@ def cleaning_flow(integrated: DataFrame, spec: CleanSpec) -> CleanResult:
     typed = typed.withColumns(
         {name: recode(F.col(source), rules, default) for name, (source, rules, default) in spec.recodes.items()}
     )
-    typed = stage(typed, "typed")
-    checks = [(integrated, spec.source_rules)] if spec.source_rules else []
-    checks += [(typed, spec.rules)] if spec.rules else []
-    return CleanResult(
-        table=typed,
-        medians=medians,
-        outliers=iqr_summary(typed, spec.numeric, spec.suffix),
-        report=joint_report(checks) if checks else None,
-        distributions=distribution_bundle(typed, spec.numeric, spec.suffix),
-    )
+    return CleanResult(stage(typed, "typed"), medians, source, integrated.columns, spec)
 
 
 @dataclass(frozen=True)
@@ -175,9 +212,8 @@ def clustering_flow(
     spec: ModelSpec,
     k_min: int = 2,
     k_max: int = 6,
-    n_init: int = 3,
+    n_init: int = 20,
     seed: int = 42,
-    metric: str = "squaredEuclidean",
     flags: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """Encode every level, sweep k, keep the best model and describe its groups. The target only describes.
@@ -187,7 +223,7 @@ def clustering_flow(
     encoder = fit_encoder(typed, spec.numeric, spec.binary, spec.categorical)
     kept = list(dict.fromkeys([spec.key, spec.target, *flags, *spec.numeric, *spec.categorical]))
     matrix = stage(encoder.assemble(typed, keep=kept), "matrix")
-    sweep = kmeans_sweep(matrix, k_min, k_max, n_init, seed, metric)
+    sweep = kmeans_sweep(matrix, k_min, k_max, n_init, seed)
     chosen = best_k(sweep.scores)
     model = sweep.models[chosen.first()["k"]]
     labelled = model.transform(matrix)

@@ -66,6 +66,9 @@ MODEL_COLUMNS = (
     "bibliotecas_municipio", "poblacion_municipio", "densidad_hab_km2", "tiene_poblacion_externa",
 )
 
+# Articles that may trail a place name after a comma.
+TRAILING_ARTICLES = ("l'", "el", "la", "els", "les")
+
 INTEGRATE = IntegrateSpec(
     key="municipio",
     dim_key="municipio_idescat",
@@ -73,6 +76,7 @@ INTEGRATE = IntegrateSpec(
     count_name="bibliotecas_municipio",
     match_flag="tiene_poblacion_externa",
     match_source="poblacion_municipio",
+    articles=TRAILING_ARTICLES,
     pad={"codigo_postal": 5},
     present_flags={"tiene_web": "pagina_web", TARGET: "acceso_catalogo"},
     missing_flags={"anio_fundacion_missing": "anio_fundacion"},

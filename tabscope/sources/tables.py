@@ -51,13 +51,14 @@ def literal_dimension(
     schema: StructType | str,
     constants: Mapping[str, Any] | None = None,
     key: tuple[str, str] | None = None,
+    articles: Sequence[str] = (),
 ) -> DataFrame:
     """A small inline table with constant columns; ``key=(source, name)`` adds its normalised key."""
     table = spark.createDataFrame(list(rows), schema)
     table = table.withColumns({name: F.lit(value) for name, value in (constants or {}).items()})
     if key is not None:
         source, name = key
-        table = table.withColumn(name, normalize_key(F.col(source)))
+        table = table.withColumn(name, normalize_key(F.col(source), articles))
     return table
 
 
