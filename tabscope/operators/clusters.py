@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -19,14 +19,12 @@ from tabscope.functions.numbers import min_max_scale, percent, round_half_even
 from tabscope.operators.columns import require_columns
 
 SWEEP_SCHEMA = "k int, inertia double, silhouette double"
-EXACT_POINTS = 50_000
-EXACT_BYTES = 256 * 1024 * 1024
 
 
 def kmeans_fit(
     features: DataFrame,
     k: int,
-    n_init: int = 3,
+    n_init: int = 20,
     seed: int = 42,
     max_iter: int = 300,
     column: str = "features",
@@ -55,20 +53,20 @@ def kmeans_sweep(
     features: DataFrame,
     k_min: int = 2,
     k_max: int = 6,
-    n_init: int = 3,
+    n_init: int = 20,
     seed: int = 42,
-    metric: str = "squaredEuclidean",
     column: str = "features",
     prediction: str = "cluster",
 ) -> KSweep:
-    """Inertia and silhouette for each k."""
+    """Inertia and silhouette for each k. The vectors are kept in memory, and on disk beyond it, for the sweep."""
     rows, models = [], {}
+    kept = features.select(column).persist(StorageLevel.MEMORY_AND_DISK)
     for k in range(k_min, k_max + 1):
-        model = kmeans_fit(features, k, n_init, seed, column=column, prediction=prediction)
-        labelled = model.transform(features)
-        score = silhouette(labelled, column, prediction, metric).first()["silhouette"]
+        model = kmeans_fit(kept, k, n_init, seed, column=column, prediction=prediction)
+        score = silhouette(model.transform(kept), column, prediction).first()["silhouette"]
         rows.append((k, float(model.summary.trainingCost), score))
         models[k] = model
+    kept.unpersist()
     return KSweep(features.sparkSession.createDataFrame(rows, SWEEP_SCHEMA), models)
 
 
@@ -87,66 +85,10 @@ def inertia(df: DataFrame, column: str, label: str) -> DataFrame:
     return per_group.agg(F.sum(squares).alias("inertia"))
 
 
-def _euclidean_silhouette(df: DataFrame, column: str, label: str) -> float:
-    """Exact mean over all points by the plain distance; compares every point with every other.
-
-    The points are broadcast, after a check of their number and size, and each task handles a share of them in
-    blocks.
-    """
-    points = df.select(vector_to_array(F.col(column)).alias("x"), F.col(label).cast("long").alias("g"))
-    shape = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-    n, width = shape["n"], shape["d"] or 0
-    if n > EXACT_POINTS or n * width * 8 > EXACT_BYTES:
-        raise ValueError(
-            f"{n} points of width {width} are too many for all pairwise distances; use metric='squaredEuclidean'"
-        )
-    local = points.toPandas()
-    matrix = np.vstack(local["x"].to_numpy()).astype(float)
-    groups, codes = np.unique(local["g"].to_numpy(), return_inverse=True)
-    member = np.zeros((n, len(groups)))
-    member[np.arange(n), codes] = 1.0
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((matrix, codes, member))
-
-    def widths(batches):
-        matrix, codes, member = shared.value
-        sizes = member.sum(axis=0)
-        for batch in batches:
-            for start in range(0, len(batch), 128):
-                rows = batch["i"].to_numpy()[start : start + 128]
-                squares = np.zeros((len(rows), len(matrix)))
-                for axis in matrix.T:
-                    squares += (axis[rows, None] - axis[None, :]) ** 2
-                sums = np.sqrt(squares) @ member
-                own = codes[rows]
-                at = np.arange(len(rows))
-                inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[at, own] = np.inf
-                outer = means.min(axis=1)
-                top = np.maximum(inner, outer)
-                value = np.where((sizes[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
-                yield pd.DataFrame({"value": value})
-
-    total = spark.range(n).withColumnRenamed("id", "i").mapInPandas(widths, "value double").agg(F.avg("value"))
-    return total.first()[0]
-
-
-def silhouette(
-    df: DataFrame, column: str = "features", label: str = "cluster", metric: str = "squaredEuclidean"
-) -> DataFrame:
-    """Mean silhouette of a labelling as one row.
-
-    ``squaredEuclidean`` is linear in the rows and the choice for large tables; ``euclidean`` is the plain
-    distance, quadratic, and refused beyond a checked size.
-    """
-    if metric == "euclidean":
-        value = _euclidean_silhouette(df, column, label)
-    else:
-        points = df.select(F.col(column).alias("features"), F.col(label).cast("double").alias("label"))
-        value = ClusteringEvaluator(
-            featuresCol="features", predictionCol="label", metricName="silhouette", distanceMeasure=metric
-        ).evaluate(points)
+def silhouette(df: DataFrame, column: str = "features", label: str = "cluster") -> DataFrame:
+    """Mean silhouette of a labelling by squared distances, as one row; linear in the rows."""
+    points = df.select(F.col(column).alias("features"), F.col(label).cast("double").alias("label"))
+    value = ClusteringEvaluator(featuresCol="features", predictionCol="label", metricName="silhouette").evaluate(points)
     return df.sparkSession.createDataFrame([(float(value),)], "silhouette double")
 
 

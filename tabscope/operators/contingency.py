@@ -14,6 +14,7 @@ from tabscope.functions.numbers import (
     band_label,
     decision_label,
     percent,
+    zero_or_one,
 )
 from tabscope.functions.stats import chi2_sf, cramers_v
 from tabscope.operators.columns import require_columns
@@ -23,12 +24,11 @@ SMALL_CELL = 5
 
 
 def _observed(df: DataFrame, rows: str, target: str) -> DataFrame:
-    """One row per level with the counts of both classes; rows missing either value are left out."""
+    """One row per level with the counts of both classes; rows missing either value are left out, other targets fail."""
     require_columns(df, [rows, target])
-    known = df.where(F.col(rows).isNotNull() & F.col(target).isin(0, 1))
-    return known.groupBy(rows).agg(
-        F.count_if(F.col(target) == 0).alias("n_negative"), F.count_if(F.col(target) == 1).alias("n_positive")
-    )
+    known = df.where(F.col(rows).isNotNull() & F.col(target).isNotNull())
+    value = zero_or_one(F.col(target), target)
+    return known.groupBy(rows).agg(F.count_if(value == 0).alias("n_negative"), F.count_if(value == 1).alias("n_positive"))
 
 
 def contingency_table(df: DataFrame, rows: str, target: str) -> DataFrame:

@@ -5,64 +5,77 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.columns import require_columns
 from tabscope.operators.profile import levels_long
 
-MAX_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class FeatureEncoder:
-    """Standardised numerics, 0/1 columns as they are, one 0/1 column per category level."""
+    """Standardised numerics, 0/1 columns as they are, one 0/1 feature per category level.
+
+    The driver holds the names of the features, as their coefficients need them; rows look their level up and become
+    sparse vectors, whatever the number of levels.
+    """
 
     numeric: tuple[tuple[str, float, float], ...]
     binary: tuple[str, ...]
     levels: tuple[tuple[str, tuple[str, ...]], ...]
 
-    def columns(self) -> dict[str, Column]:
-        """Output name -> expression, in matrix order. An unknown or missing level is all zeros."""
+    def scaled(self) -> dict[str, Column]:
+        """Output name -> expression of the numeric and 0/1 features."""
         out: dict[str, Column] = {}
         for name, mean, scale in self.numeric:
             out[f"num__{name}"] = (F.col(name).cast("double") - F.lit(mean)) / F.lit(scale)
         for name in self.binary:
             out[f"bin__{name}"] = F.col(name).cast("double")
-        for name, levels in self.levels:
-            for level in levels:
-                hit = F.coalesce(F.col(name).cast("string") == level, F.lit(False))
-                out[f"cat__{name}_{level}"] = hit.cast("double")
         return out
 
+    def flags(self) -> dict[str, Column]:
+        """Output name -> 0/1 expression per level: for wide tables, which have a column for each by definition."""
+        return {
+            f"cat__{name}_{level}": F.coalesce(F.col(name).cast("string") == level, F.lit(False)).cast("double")
+            for name, levels in self.levels
+            for level in levels
+        }
+
     @property
     def names(self) -> list[str]:
-        return list(self.columns())
+        """Feature names in matrix order."""
+        return [*self.scaled(), *[f"cat__{name}_{level}" for name, levels in self.levels for level in levels]]
 
     def flat(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns plus one column per feature."""
-        return df.select(*keep, *[value.alias(name) for name, value in self.columns().items()])
+        features = {**self.scaled(), **self.flags()}
+        return df.select(*keep, *[value.alias(name) for name, value in features.items()])
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
-        """``keep`` columns plus one vector column."""
-        features = list(self.columns().values())
-        slots = [f"__f{i}" for i in range(len(features))]
-        flat = df.select(*keep, *[value.alias(slot) for value, slot in zip(features, slots)])
-        return VectorAssembler(inputCols=slots, outputCol=output).transform(flat).drop(*slots)
-
-
-def category_levels(df: DataFrame, categorical: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted levels of each categorical. More than ``limit`` levels per column on average is an error: recode first."""
+        """``keep`` columns plus one sparse vector column. An unknown or missing level is all zeros."""
+        plain = {f"__f{i}": value for i, value in enumerate(self.scaled().values())}
+        levels = [(name, list(known)) for name, known in self.levels if known]
+        texts = {f"__c{i}": F.col(name).cast("string") for i, (name, _) in enumerate(levels)}
+        rows = df.select(*keep, *[value.alias(slot) for slot, value in {**plain, **texts}.items()])
+        indexed, vectors = [f"__i{i}" for i in range(len(levels))], [f"__v{i}" for i in range(len(levels))]
+        if levels:
+            # "keep" puts unknown levels behind the known ones, and the encoder leaves that last place out.
+            for (_, known), text, place in zip(levels, texts, indexed):
+                indexer = StringIndexerModel.from_labels(known, inputCol=text, outputCol=place, handleInvalid="keep")
+                rows = indexer.transform(rows)
+            rows = OneHotEncoder(inputCols=indexed, outputCols=vectors, dropLast=True).fit(rows).transform(rows)
+        assembler = VectorAssembler(inputCols=[*plain, *vectors], outputCol=output)
+        return assembler.transform(rows).drop(*plain, *texts, *indexed, *vectors)
+
+
+def category_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted levels of each categorical: the names of the features, one coefficient each."""
     require_columns(df, categorical)
     if not categorical:
         return {}
-    bound = limit * len(categorical)
-    rows = levels_long(df, categorical).distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} levels in {list(categorical)}: recode or collapse them before encoding")
     found: dict[str, list[str]] = {name: [] for name in categorical}
-    for row in rows:
+    for row in levels_long(df, categorical).distinct().collect():
         found[row["variable"]].append(row["value"])
     return {name: sorted(levels) for name, levels in found.items()}
 
@@ -99,14 +112,14 @@ def fit_encoder(
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Add (x - mean) / population deviation of each column."""
     encoder = fit_encoder(df, numeric=columns)
-    scaled = encoder.columns()
+    scaled = encoder.scaled()
     return df.withColumns({f"{name}{suffix}": scaled[f"num__{name}"] for name in columns})
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), drop_first: bool = False) -> DataFrame:
     """One 0/1 column per sorted level (without the first one when ``drop_first``)."""
     encoder = fit_encoder(df, categorical=columns, drop_first=drop_first)
-    flags = {name.removeprefix("cat__"): value.cast("int") for name, value in encoder.columns().items()}
+    flags = {name.removeprefix("cat__"): value.cast("int") for name, value in encoder.flags().items()}
     return df.select(*keep, *[value.alias(name) for name, value in flags.items()])
 
 

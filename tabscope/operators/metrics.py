@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscope.functions.numbers import zero_or_one
 from tabscope.operators.profile import stack_row
 
 
 def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """The four confusion counts in one row."""
-    real, said = F.col(label), F.col(prediction)
+    real, said = zero_or_one(F.col(label), label), zero_or_one(F.col(prediction), prediction)
     return df.agg(
         F.count_if((real == 0) & (said == 0)).alias("tn"),
         F.count_if((real == 0) & (said == 1)).alias("fp"),
@@ -67,10 +68,10 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     inside a partition come from running counts, pairs across partitions from the partition totals, one small row
     each. No task sees all scores. NULL where a class is absent.
     """
-    positive = F.count_if(F.col(label) == 1)
-    negative = F.count_if(F.col(label) == 0)
+    real = zero_or_one(F.col(label), label)
+    positive, negative = F.count_if(real == 1), F.count_if(real == 0)
     per_score = (
-        df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(positive.cast("double").alias("pos"), negative.cast("double").alias("neg"))
     )

@@ -6,28 +6,23 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import Interaction, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.features import FeatureEncoder
+from tabscope.operators.joins import lookup_join, measured_bytes
 from tabscope.session import stage
 
 
 @dataclass(frozen=True)
 class LogisticModel:
-    """Coefficients per encoded feature; scoring is one column expression."""
+    """An intercept and a coefficient per encoded feature."""
 
     encoder: FeatureEncoder
     intercept: float
     coefficients: tuple[float, ...]
 
-    def margin(self) -> Column:
-        total = F.lit(self.intercept)
-        for value, weight in zip(self.encoder.columns().values(), self.coefficients):
-            total = total + value * F.lit(weight)
-        return total
-
 
 def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
     """Weights n / (classes * class count); over all rows they add up to n."""
@@ -43,7 +38,7 @@ def logistic_fit(
     penalize_intercept: bool = True,
     c: float = 1.0,
     max_iter: int = 1000,
-    tolerance: float = 1e-9,
+    tolerance: float = 1e-6,
     aggregation_depth: int = 2,
 ) -> LogisticModel:
     """L2 logistic regression, inverse strength ``c``, balanced class weights.
@@ -51,7 +46,7 @@ def logistic_fit(
     With ``penalize_intercept`` the bias is a coefficient like any other: a constant feature is appended, and on
     half of the rows (chosen by a hash of ``key``) the whole feature vector and the label are flipped. The loss is
     the same for a flipped row, while the constant now varies, which the optimiser needs to fit it.
-    The encoded rows are staged once, and every iteration reads only them.
+    The encoded rows are staged once, as sparse vectors, and every iteration reads only them.
     """
     classes = train.groupBy(target).agg(F.count("*").alias("n")).limit(3)
     counts = {row[target]: row["n"] for row in classes.collect()}
@@ -60,18 +55,22 @@ def logistic_fit(
     weights = balanced_weights(counts)
     label = F.col(target).cast("double")
     weight = F.when(label == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0]))
-    columns = list(encoder.columns().values())
-    if penalize_intercept:
-        flipped = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 1
-        sign = F.when(flipped, F.lit(-1.0)).otherwise(F.lit(1.0))
-        columns = [value * sign for value in [*columns, F.lit(1.0)]]
-        label = F.when(flipped, 1.0 - label).otherwise(label)
-    slots = [f"__f{i}" for i in range(len(columns))]
-    flat = train.select(
-        label.alias("label"), weight.alias("weight"), *[value.alias(slot) for value, slot in zip(columns, slots)]
+    flipped = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 1 if penalize_intercept else F.lit(False)
+    given = train.withColumns(
+        {
+            "__label": F.when(flipped, 1.0 - label).otherwise(label),
+            "__weight": weight,
+            "__sign": F.when(flipped, F.lit(-1.0)).otherwise(F.lit(1.0)),
+            "__one": F.lit(1.0),
+        }
     )
-    rows = VectorAssembler(inputCols=slots, outputCol="features").transform(flat).select("label", "weight", "features")
-    rows = stage(rows, "logistic")
+    rows = encoder.assemble(given, ["__label", "__weight", "__sign", "__one"], "__plain")
+    if penalize_intercept:
+        rows = VectorAssembler(inputCols=["__plain", "__one"], outputCol="__with_one").transform(rows)
+        rows = Interaction(inputCols=["__sign", "__with_one"], outputCol="features").transform(rows)
+    else:
+        rows = rows.withColumnRenamed("__plain", "features")
+    rows = stage(rows.select(F.col("__label").alias("label"), F.col("__weight").alias("weight"), "features"), "logistic")
     model = LogisticRegression(
         featuresCol="features",
         labelCol="label",
@@ -91,14 +90,27 @@ def logistic_fit(
 
 
 def logistic_score(df: DataFrame, model: LogisticModel, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns, the probability of class 1 and the predicted class: a projection, no Python per row."""
-    margin = model.margin()
-    return (
-        df.select(*keep, margin.alias("__margin"))
-        .withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin"))))
-        .withColumn("prediction", (F.col("__margin") > 0).cast("int"))
-        .drop("__margin")
-    )
+    """``keep`` columns, the probability of class 1 and the predicted class; no Python per row.
+
+    Numeric and 0/1 features enter as one expression; each category looks the coefficient of its level up in a table,
+    by broadcast within its measured size.
+    """
+    encoder, weights = model.encoder, iter(model.coefficients)
+    margin = F.lit(float(model.intercept))
+    for value in encoder.scaled().values():
+        margin = margin + value * F.lit(float(next(weights)))
+    scored = df.withColumn("__margin", margin)
+    for name, levels in encoder.levels:
+        table = [(level, float(next(weights))) for level in levels]
+        if not table:
+            continue
+        known = df.sparkSession.createDataFrame(table, "__level string, __weight double")
+        scored = scored.withColumn("__level", F.col(name).cast("string"))
+        scored = lookup_join(scored, known, ["__level"], measured_bytes(known))
+        scored = scored.withColumn("__margin", F.col("__margin") + F.coalesce("__weight", F.lit(0.0)))
+        scored = scored.drop("__weight", "__level")
+    probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))
+    return scored.select(*keep, probability.alias("probability"), (F.col("__margin") > 0).cast("int").alias("prediction"))
 
 
 def coefficient_table(spark: SparkSession, model: LogisticModel) -> DataFrame:

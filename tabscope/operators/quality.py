@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators.columns import missing, present, require_columns, union_reports
-from tabscope.operators.profile import duplicate_count, levels_long, stack_row
+from tabscope.functions.text import key_digest
+from tabscope.operators.columns import missing, present, require_columns, union_reports, value_of
+from tabscope.operators.profile import levels_long, plain_value, stack_row
+from tabscope.session import stage
 
 REPORT_COLUMNS = ("rule_no", "block", "check", "result", "decision", "justification")
 NO_ACTION = "no correction"
-LISTED_LEVELS = 100
+REPORT_SCHEMA = "rule_no int, block string, check string, result string, decision string, justification string"
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class DerivedFlagRule:
 
 @dataclass(frozen=True)
 class BinaryRule:
-    """Only 0 and 1 may occur; the observed values are listed."""
+    """Only 0 and 1 may occur; the report counts the other values, ``level_report`` lists all."""
 
     column: str
     action: str = "review coding"
@@ -54,7 +56,7 @@ class RangeRule:
 
 @dataclass(frozen=True)
 class DomainRule:
-    """Only declared levels may occur; unexpected ones are listed."""
+    """Only declared levels may occur; the report counts the others, ``level_report`` lists them."""
 
     column: str
     allowed: tuple[str, ...]
@@ -91,11 +93,12 @@ Rule = (
 )
 
 
-def _counted(rule: Rule) -> tuple[str, str, Column, str] | None:
-    """(block, check, violations, justification) of a rule that one aggregate can answer."""
+def _counted(df: DataFrame, rule: Rule) -> tuple[str, str, Column, str] | None:
+    """(block, check, violating rows, justification) of a rule that one aggregate can answer."""
     match rule:
         case DerivedFlagRule(flag, source, when_present):
-            recomputed = present(F.col(source)) if when_present else missing(F.col(source))
+            value = value_of(df, source)
+            recomputed = present(value) if when_present else missing(value)
             state = "present" if when_present else "missing"
             return (
                 "derived consistency",
@@ -104,7 +107,7 @@ def _counted(rule: Rule) -> tuple[str, str, Column, str] | None:
                 "the stored flag must equal the recomputed one",
             )
         case RangeRule(column, bound, strict):
-            value = F.col(column)
+            value = value_of(df, column)
             return (
                 "numeric range",
                 f"{column} {'>' if strict else '>='} {bound:g}",
@@ -112,7 +115,14 @@ def _counted(rule: Rule) -> tuple[str, str, Column, str] | None:
                 "values beyond the bound are invalid",
             )
         case NotNullRule(column):
-            return ("category levels", f"missing {column}", F.count_if(F.col(column).isNull()), "no value may be absent")
+            absent = F.count_if(value_of(df, column).isNull())
+            return ("category levels", f"missing {column}", absent, "no value may be absent")
+        case BinaryRule(column):
+            violations = F.count_if(~value_of(df, column).isin(0, 1))
+            return "binary coding", f"other values of {column}", violations, "only 0 and 1 may occur"
+        case DomainRule(column, allowed):
+            violations = F.count_if(~value_of(df, column).isin(*allowed))
+            return "category levels", f"unexpected levels of {column}", violations, "only declared levels may occur"
     return None
 
 
@@ -131,28 +141,28 @@ def _verdict(violations: Column, action: str) -> Column:
     return F.when(violations == 0, F.lit(NO_ACTION)).otherwise(F.lit(action))
 
 
-def level_lists(df: DataFrame, columns: Sequence[str], listed: int = LISTED_LEVELS) -> DataFrame:
-    """(variable, n_levels, levels) of the distinct present values, the smallest ``listed`` of them in the list.
+def _same(keys: Sequence[str]) -> str:
+    """Name of the column that identifies rows with equal ``keys`` (none: equal rows)."""
+    return f"__same({', '.join(keys)})"
 
-    The row-number filter is applied before the shuffle, so a column full of unexpected values costs one
-    distinct, not one huge list; all of them remain available from ``unexpected_values``.
-    """
-    distinct = levels_long(df, columns).distinct()
-    totals = distinct.groupBy("variable").agg(F.count("*").alias("n_levels"))
-    order = Window.partitionBy("variable").orderBy("value")
-    shown = (
-        distinct.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= listed)
-        .groupBy("variable")
-        .agg(F.array_sort(F.collect_list("value")).alias("levels"))
-    )
-    return totals.join(F.broadcast(shown), "variable")
 
+def rule_columns(df: DataFrame, rules: Sequence[Rule], also: Sequence[str] = ()) -> DataFrame:
+    """The columns that the rules and ``also`` read, and a short digest for the keys of each duplicate rule.
 
-def _level_text(n_levels: Column, levels: Column, listed: int = LISTED_LEVELS) -> Column:
-    text = F.array_join(levels, ", ")
-    more = F.concat(text, F.lit(" (+"), (n_levels - listed).cast("string"), F.lit(" more)"))
-    return F.when(n_levels > listed, more).otherwise(text)
+    Missing values are equal to each other, and long texts leave as digests.
+    """
+    digested = [rule for rule in rules if isinstance(rule, DuplicateRule) and _same(rule.keys) in df.columns]
+    require_columns(df, sorted({name for rule in rules if rule not in digested for name in _columns(rule)}))
+    compared = [rule.keys for rule in rules if isinstance(rule, DuplicateRule)]
+    named = [name for rule in rules if not isinstance(rule, DuplicateRule) for name in _columns(rule)]
+    digests = []
+    for keys in dict.fromkeys(compared):
+        if _same(keys) in df.columns:
+            digests.append(F.col(f"`{_same(keys)}`"))
+            continue
+        parts = [plain_value(df, name).alias(name) for name in keys or df.columns]
+        digests.append(key_digest(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})).alias(_same(keys)))
+    return df.select(*[F.col(f"`{name}`") for name in dict.fromkeys([*also, *named])], *digests)
 
 
 def unexpected_values(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFrame:
@@ -173,84 +183,97 @@ def _outside_domains(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFram
     return levels_long(blanked, columns)
 
 
-def _observed_levels(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """Level lists per rule number: all levels for binary rules, only the undeclared ones for domain rules."""
+def _shown_levels(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """(variable, value) rows, the variable being a rule number: all values for binary rules, others for domains."""
     shown = []
     for no, rule in numbered:
-        value = F.col(rule.column)
+        value = value_of(df, rule.column)
         if isinstance(rule, DomainRule):
             value = F.when(~value.isin(*rule.allowed), value)
         shown.append(value.alias(str(no)))
-    lists = level_lists(df.select(*shown), [str(no) for no, _ in numbered])
-    return lists.select(
-        F.col("variable").cast("int").alias("rule_no"), _level_text(F.col("n_levels"), F.col("levels")).alias("listed")
-    )
+    return levels_long(df.select(*shown), [str(no) for no, _ in numbered])
 
 
-def _checked(rule: Rule) -> tuple[str, str, Column, str, str | None] | None:
-    """(block, check, violations, justification, text shown for an empty list) of an aggregated rule."""
-    match rule:
-        case BinaryRule(column):
-            violations = F.count_if(~F.col(column).isin(0, 1))
-            return "binary coding", f"values of {column}", violations, "only 0 and 1 may occur", ""
-        case DomainRule(column, allowed):
-            violations = F.count_if(~F.col(column).isin(*allowed))
-            return "category levels", f"unexpected levels of {column}", violations, "only declared levels may occur", "0"
-    counted = _counted(rule)
-    return counted and (*counted, None)
+def _numbered_levels(rules: Sequence[Rule], first_no: int) -> list[tuple[int, Rule]]:
+    return [(no, rule) for no, rule in enumerate(rules, first_no) if isinstance(rule, BinaryRule | DomainRule)]
+
+
+def level_report(df: DataFrame, rules: Sequence[Rule], first_no: int = 1) -> DataFrame:
+    """The levels behind the level rules: rule_no, variable, value and its rows, one row per level, however many."""
+    numbered = _numbered_levels(rules, first_no)
+    if not numbered:
+        return df.sparkSession.createDataFrame([], "rule_no int, variable string, value string, n long")
+    named = {str(no): rule.column for no, rule in numbered}
+    column = F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("variable"))
+    counted = _shown_levels(df, numbered).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    return counted.select(F.col("variable").cast("int").alias("rule_no"), column.alias("variable"), "value", "n")
 
 
-def quality_report(df: DataFrame, rules: Sequence[Rule], first_no: int = 1) -> DataFrame:
+def quality_report(
+    df: DataFrame, rules: Sequence[Rule], first_no: int = 1, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Check all ``rules`` on ``df``: one row each, numbered in the order given.
 
-    One aggregate counts the violations of every scalar and level rule, one distinct lists the levels of all level
-    rules, and each duplicate rule adds one grouping.
+    ``df`` is read once: the columns in question are written with short digests of duplicate keys, where more than one
+    pass needs them. One aggregate counts the violations of every scalar and level rule, one distinct the levels that
+    level rules object to, and one grouping serves all duplicate rules. ``columns`` are those of the table under
+    judgement, if ``df`` is already a narrow form of it.
     """
     numbered = list(enumerate(rules, start=first_no))
-    require_columns(df, sorted({name for _, rule in numbered for name in _columns(rule)}))
+    known = list(columns or df.columns)
+    narrow = rule_columns(df, rules)
+    checked = [(no, rule, found) for no, rule in numbered if (found := _counted(narrow, rule)) is not None]
+    levels = _numbered_levels(rules, first_no)
+    repeated = [(no, rule) for no, rule in numbered if isinstance(rule, DuplicateRule)]
+    if sum(map(bool, (checked, levels, repeated))) > 1:
+        narrow = stage(narrow, "rules")
     parts: list[DataFrame] = []
 
-    checked = [(no, rule, found) for no, rule in numbered if (found := _checked(rule)) is not None]
     if checked:
-        counts = df.agg(*[violations.alias(f"v{no}") for no, _, (_, _, violations, _, _) in checked])
+        counts = narrow.agg(*[violations.alias(f"v{no}") for no, _, (_, _, violations, _) in checked])
         entries = []
-        for no, rule, (block, check, _, why, if_none) in checked:
-            shown = F.col(f"v{no}").cast("string") if if_none is None else F.lit(None).cast("string")
-            entries.append(
-                (
-                    F.lit(no), F.lit(block), F.lit(check), shown, _verdict(F.col(f"v{no}"), rule.action), F.lit(why),
-                    F.lit(if_none).cast("string"),
-                )
-            )
-        rows = stack_row(counts, entries, (*REPORT_COLUMNS, "if_none"))
-        levels = [(no, rule) for no, rule, (*_, if_none) in checked if if_none is not None]
+        for no, rule, (block, check, _, why) in checked:
+            found = F.col(f"v{no}")
+            result = F.lit(None).cast("string") if isinstance(rule, BinaryRule | DomainRule) else found.cast("string")
+            entries.append((F.lit(no), F.lit(block), F.lit(check), result, _verdict(found, rule.action), F.lit(why)))
+        rows = stack_row(counts, entries, REPORT_COLUMNS)
         if levels:
-            lists = _observed_levels(df, levels)
-            rows = rows.join(F.broadcast(lists), "rule_no", "left").withColumn(
-                "result", F.coalesce("result", "listed", "if_none")
+            others = _shown_levels(narrow, levels).distinct()
+            binary = [str(no) for no, rule in levels if isinstance(rule, BinaryRule)]
+            others = others.where(~(F.col("variable").isin(*binary) & F.col("value").try_cast("double").isin(0, 1)))
+            counted = others.groupBy(F.col("variable").cast("int").alias("rule_no")).agg(F.count("*").alias("__levels"))
+            numbers = F.when(F.col("rule_no").isin(*[no for no, _ in levels]), F.coalesce("__levels", F.lit(0)))
+            rows = rows.join(F.broadcast(counted), "rule_no", "left").withColumn(
+                "result", F.coalesce("result", numbers.cast("string"))
             )
         parts.append(rows.select(*REPORT_COLUMNS))
 
-    for no, rule in numbered:
-        if isinstance(rule, DuplicateRule):
-            what = ", ".join(rule.keys) or "whole row"
-            parts.append(
-                duplicate_count(df, rule.keys or None).select(
-                    F.lit(no).alias("rule_no"),
-                    F.lit("duplicates").alias("block"),
-                    F.lit(f"duplicates by {what}").alias("check"),
-                    F.col("n_duplicates").cast("string").alias("result"),
-                    _verdict(F.col("n_duplicates"), rule.action).alias("decision"),
-                    F.lit("copies beyond the first are counted").alias("justification"),
-                )
+    if repeated:
+        keyed = [F.struct(F.lit(no).alias("rule_no"), F.col(f"`{_same(rule.keys)}`").alias("k")) for no, rule in repeated]
+        copies = narrow.select(F.inline(F.array(*keyed))).groupBy("rule_no", "k").agg(F.count("*").alias("n"))
+        extra = copies.groupBy("rule_no").agg(F.sum(F.col("n") - 1).alias("extra"))
+        named = df.sparkSession.createDataFrame(
+            [(no, f"duplicates by {', '.join(rule.keys) or 'whole row'}", rule.action) for no, rule in repeated],
+            "rule_no int, check string, action string",
+        )
+        found = named.join(F.broadcast(extra), "rule_no", "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+        parts.append(
+            found.select(
+                "rule_no",
+                F.lit("duplicates").alias("block"),
+                "check",
+                F.col("extra").cast("string").alias("result"),
+                F.when(F.col("extra") == 0, F.lit(NO_ACTION)).otherwise(F.col("action")).alias("decision"),
+                F.lit("copies beyond the first are counted").alias("justification"),
             )
+        )
 
     constant = []
     for no, rule in numbered:
         if isinstance(rule, NoteRule):
             constant.append((no, rule.block, rule.check, rule.result, rule.decision, rule.justification))
         elif isinstance(rule, ForbiddenColumnRule):
-            included = rule.column in df.columns
+            included = rule.column in known
             constant.append(
                 (
                     no, "leakage", f"{rule.column} in the table", "included" if included else "not included",
@@ -258,20 +281,31 @@ def quality_report(df: DataFrame, rules: Sequence[Rule], first_no: int = 1) -> D
                 )
             )
     if constant:
-        schema = "rule_no int, block string, check string, result string, decision string, justification string"
-        parts.append(df.sparkSession.createDataFrame(constant, schema))
+        parts.append(df.sparkSession.createDataFrame(constant, REPORT_SCHEMA))
     return union_reports(*parts)
 
 
-def joint_report(tables: Sequence[tuple[DataFrame, Sequence[Rule]]]) -> DataFrame:
-    """One report over several tables, rules numbered through, sorted by number."""
+Checks = Sequence[tuple[DataFrame, Sequence[Rule]] | tuple[DataFrame, Sequence[Rule], Sequence[str]]]
+
+
+def joint_report(tables: Checks) -> DataFrame:
+    """One report over several tables (with rules, and the columns under judgement if they are others), sorted by number."""
     reports, first_no = [], 1
-    for df, rules in tables:
-        reports.append(quality_report(df, rules, first_no))
+    for df, rules, *columns in tables:
+        reports.append(quality_report(df, rules, first_no, *columns))
         first_no += len(rules)
     return union_reports(*reports).orderBy("rule_no")
 
 
+def joint_levels(tables: Checks) -> DataFrame:
+    """``level_report`` over several tables, with the numbers of ``joint_report``."""
+    reports, first_no = [], 1
+    for df, rules, *_ in tables:
+        reports.append(level_report(df, rules, first_no))
+        first_no += len(rules)
+    return union_reports(*reports)
+
+
 def assert_binary(df: DataFrame, columns: Sequence[str]) -> None:
     """Fail when a column holds a present value other than 0 and 1; every offending column is named."""
     require_columns(df, columns)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from pyspark.sql import Column, DataFrame
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.operators.columns import require_columns
+from tabscope.operators.joins import lookup_join, measured_bytes
+from tabscope.session import stage
 
 TRAIN, TEST = "train", "test"
-MAX_CLASSES = 1000
 PREFIX_DIGITS = 3
-LISTED = 4096
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -26,48 +27,40 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int = 42,
     return df.withColumn(name, part)
 
 
-def class_quotas(counts: dict, test_size: float) -> dict:
-    """Test rows per class: proportional, whole numbers, largest remainders first, ceil(n * test_size) in all."""
-    total = sum(counts.values())
-    n_train = total - math.ceil(total * test_size)
-    exact = {level: count / total * n_train for level, count in counts.items()}
-    train = {level: math.floor(share) for level, share in exact.items()}
-    order = sorted(counts, key=lambda level: (train[level] - exact[level], level))
-    for level in order[: n_train - sum(train.values())]:
-        train[level] += 1
-    return {level: counts[level] - train[level] for level in counts}
-
-
-def _digest_cuts(rows: DataFrame, quotas: dict) -> dict:
-    """Per class, the digest at its quota rank.
+def class_quotas(df: DataFrame, target: str, test_size: float) -> DataFrame:
+    """(target, n, n_test): proportional, whole numbers, largest remainders first, ceil(rows * test_size) in all.
 
-    Rows are counted by the next digits of their digest and the next pass keeps those that share the prefix found,
-    until so few are left that they are listed. Each pass returns a bounded number of cells or digests per class.
+    One row per class from here on; ties of the remainder go to the smaller class.
     """
-    cuts: dict = {}
-    # Per open class: the prefix, the rows that share it, and the rank wanted among them.
-    places = {level: ("", None, quota) for level, quota in quotas.items() if quota > 0}
-    digits = 0
-    while places:
-        listed = all(n is not None and n <= LISTED for _, n, _ in places.values())
-        digits = 32 if listed else digits + PREFIX_DIGITS
-        inside = F.lit(False)
-        for level, (prefix, _, _) in places.items():
-            inside = inside | ((F.col("level") == level) & (F.col("digest").startswith(prefix) if prefix else F.lit(True)))
-        cells = rows.where(inside).groupBy("level", F.substring("digest", 1, digits).alias("prefix"))
-        counted = sorted(map(tuple, cells.agg(F.count("*").alias("n")).collect()))
-        narrower = {}
-        for level, (_, _, rank) in places.items():
-            for prefix, n in ((prefix, n) for own, prefix, n in counted if own == level):
-                if rank <= n:
-                    break
-                rank -= n
-            if digits >= 32:
-                cuts[level] = prefix
-            else:
-                narrower[level] = (prefix, n, rank)
-        places = narrower
-    return cuts
+    counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    n_train = total - F.ceil(total * F.lit(test_size))
+    shares = counts.withColumn("n_train", n_train).withColumn("share", F.col("n") / total * F.col("n_train"))
+    whole = shares.withColumn("whole", F.floor("share"))
+    spare = F.col("n_train") - F.sum("whole").over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("share") - F.col("whole")), target))
+    train = F.col("whole") + (place <= spare).cast("long")
+    return whole.withColumn("n_test", F.col("n") - train).select(target, "n", "n_test")
+
+
+def digest_cuts(df: DataFrame, target: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
+    """(target, cut): the digest at the quota rank of each class; classes with a quota of 0 are left out.
+
+    Rows are counted by class and the first digits of their digest, map-side; running counts over at most 4096 cells a
+    class name the cell that holds the rank, and only the rows of that cell are ranked.
+    """
+    digits = F.substring("digest", 1, PREFIX_DIGITS)
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target), _digest(key, seed).alias("digest"))
+    rows = rows.withColumn("cell", digits)
+    cells = rows.groupBy(target, "cell").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(target).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).join(quotas, target)
+    rank = F.col("n_test") - F.col("before")
+    edge = placed.where(rank.between(1, F.col("rows"))).select(target, "cell", rank.alias("rank"))
+    ranked = rows.join(edge, [target, "cell"]).withColumn(
+        "place", F.row_number().over(Window.partitionBy(target, "cell").orderBy("digest"))
+    )
+    return ranked.where(F.col("place") == F.col("rank")).select(target, F.col("digest").alias("__cut"))
 
 
 def stratified_split(
@@ -76,21 +69,15 @@ def stratified_split(
     """Split with the exact quota of every class: the rows with the smallest digests of their class are test rows.
 
     Instead of ranking each class in one task, the digest at the quota rank is found by prefix counts and rows are
-    compared with it, so the split itself is a map-side expression. ``key`` must be unique; a row without target
-    stays out of both parts.
+    compared with it. Any number of classes will do: their cuts are a table that is looked up, by broadcast within its
+    measured size and else by shuffle. ``key`` must be unique; a row without target stays out of both parts.
     """
     require_columns(df, [target, key])
-    rows = df.groupBy(target).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 2).collect()
-    counts = {row[target]: row["n"] for row in rows if row[target] is not None}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    quotas = class_quotas(dict(sorted(counts.items())), test_size) if counts else {}
-    cuts = _digest_cuts(df.select(F.col(target).alias("level"), _digest(key, seed).alias("digest")), quotas)
-    cut = F.lit(None).cast("string")
-    for level, digest in cuts.items():
-        cut = F.when(F.col(target) == level, F.lit(digest)).otherwise(cut)
-    part = F.when(_digest(key, seed) <= cut, F.lit(TEST)).otherwise(F.lit(TRAIN))
-    return df.withColumn(name, F.when(F.col(target).isNotNull(), part))
+    quotas = stage(class_quotas(df, target, test_size), "quotas")
+    cuts = stage(digest_cuts(df, target, key, quotas, seed), "cuts")
+    found = lookup_join(df, cuts, [target], measured_bytes(cuts))
+    part = F.when(_digest(key, seed) <= F.col("__cut"), F.lit(TEST)).otherwise(F.lit(TRAIN))
+    return found.withColumn(name, F.when(F.col(target).isNotNull(), part)).drop("__cut")
 
 
 def split_summary(df: DataFrame, target: str, name: str = "split") -> DataFrame:

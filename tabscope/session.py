@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths staged inside the open ``staging`` blocks, innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def local_session(cores: int | str = "*", app: str = "tabscope", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the session the cluster provides."""
@@ -38,12 +43,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/tabscope/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends: take out what you need of lazy results before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the scratch folder and read it back.
+    """Write ``df`` as a Parquet table in the scratch folder and read it back; see ``staging`` for its end.
 
     Used before iterative work (model sweeps), so that every pass scans the pruned table instead of
     re-running the joins above it, and a lost executor only costs a re-read.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

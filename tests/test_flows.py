@@ -74,7 +74,8 @@ def test_cleaning(integrated, cleaned):
     by_check = {row["check"]: row for row in report}
     assert by_check["duplicates by nombre"]["result"] == "10"
     assert by_check["acceso_catalogo in the table"]["result"] == "not included"
-    assert by_check["values of tiene_catalogo"]["result"] == "0, 1"
+    assert by_check["other values of tiene_catalogo"]["result"] == "0"
+    assert cleaned.levels.where("variable = 'tiene_catalogo'").count() == 2
     assert by_check["unexpected levels of gestion_simplificada"]["result"] == "0"
     assert {row["variable"] for row in cleaned.outliers.collect()} == set(presets.NUMERIC)
     counts = cleaned.distributions["histograms"].groupBy("variable").agg(F.sum("n").alias("n")).collect()
@@ -95,7 +96,7 @@ def test_supervised(cleaned):
 
 
 def test_clustering(cleaned):
-    out = clustering_flow(cleaned.table, presets.model_spec(), 2, 3, n_init=2, metric="euclidean", flags=["tiene_web"])
+    out = clustering_flow(cleaned.table, presets.model_spec(), 2, 3, n_init=2, flags=["tiene_web"])
     assert [row["k"] for row in out["k_scores"].orderBy("k").collect()] == [2, 3]
     profile = out["profile"].collect()
     assert sum(row["n_rows"] for row in profile) == 160

@@ -34,8 +34,11 @@ def test_encoder(spark):
     assert one_hot(train, ["c"], ["x"]).columns == ["x", "c_a", "c_b"]
     flat = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [row["x_z"] for row in standardize(flat, ["x"]).collect()] == [0.0, 0.0]
-    with pytest.raises(ValueError, match="levels"):
-        category_levels(spark.range(50).select(F.col("id").cast("string").alias("c")), ["c"], limit=10)
+    many = spark.range(4500).select(F.format_string("l%04d", F.col("id") % 1500).alias("c"))
+    assert len(category_levels(many, ["c"])["c"]) == 1500
+    wide = fit_encoder(many, categorical=["c"], drop_first=True)
+    vector = wide.assemble(many.where("c = 'l0700'").limit(1)).first()["features"]
+    assert vector.size == 1499 and vector.indices.tolist() == [699] and vector.values.tolist() == [1.0]
 
 
 def _newton(x, y, weights):
@@ -120,12 +123,7 @@ def test_cluster_quality(spark, points, vectors):
     within = sum(((x[labels == g] - x[labels == g].mean(0)) ** 2).sum() for g in range(3))
     assert inertia(vectors, "features", "label").first()[0] == pytest.approx(within)
     assert silhouette(vectors, label="label").first()[0] == pytest.approx(_silhouette(x, labels, 2))
-    euclidean = silhouette(vectors, label="label", metric="euclidean").first()[0]
-    assert euclidean == pytest.approx(_silhouette(x, labels, 1))
-    alone = labels.copy()
-    alone[0] = 9
     lonely = vectors.withColumn("label", F.when(F.col("id") == 0, 9).otherwise(F.col("label")))
-    assert silhouette(lonely, label="label", metric="euclidean").first()[0] == pytest.approx(_silhouette(x, alone, 1))
     assert inertia(lonely.where("id = 0"), "features", "label").first()[0] == 0.0
 
 

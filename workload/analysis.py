@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions.numbers import band_label
+from tabscope.functions.numbers import assumption_label, band_label, decision_label
 from tabscope.functions.recode import collapse_levels
 from tabscope.functions.stats import cramers_v
 from tabscope.operators.clusters import (
+    best_k,
     cluster_assignments,
     cluster_bars,
     cluster_profile,
@@ -31,7 +35,8 @@ from tabscope.operators.contingency import (
 from tabscope.operators.features import feature_names, fit_encoder, one_hot, standardize
 from tabscope.operators.joins import group_count_broadcast
 from tabscope.operators.metrics import classification_metrics, confusion_matrix, confusion_shares, roc_auc
-from tabscope.operators.models import coefficient_table, logistic_fit, logistic_score
+from tabscope.operators.models import LogisticModel, coefficient_table, logistic_fit, logistic_score
+from tabscope.operators.profile import stack_row
 from tabscope.operators.split import hash_split, split_summary, stratified_split
 from tabscope.plans.flows import ModelSpec, association_flow, clustering_flow, supervised_flow
 from tabscope.session import stage
@@ -44,6 +49,7 @@ from workload.base import (
     contingency_sql,
     labelled,
     query,
+    r6,
     rounded,
     scored_labels,
     table,
@@ -117,16 +123,33 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(union_reports(*tests), *_CHI)
 
 
-@query(
-    "cramers_v",
-    f"""SELECT doc_id, {R("v")} AS v, CASE WHEN v < 0.1 THEN 'very weak' WHEN v < 0.3 THEN 'weak'
-      WHEN v < 0.5 THEN 'moderate' ELSE 'strong' END AS strength
-      FROM (SELECT doc_id, sqrt(CAST(doc_id AS DOUBLE) / (n_chars * 2)) AS v FROM documents)""",
-)
+_TESTS = " UNION ALL ".join(chi_square_sql(name, name, LABELLED) for name in ("lang", "source", "toxic"))
+
+
+def _tests(spark: SparkSession, sf: str) -> DataFrame:
+    return union_reports(*[chi_square_test(labelled(spark, sf), rows, "quality") for rows in ("lang", "source", "toxic")])
+
+
+@query("cramers_v", f"SELECT row_variable, cramers_v AS v, strength FROM ({_TESTS})")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """From the statistics of the tests, with the rows and classes that went into them."""
+    counts = [
+        contingency_table(labelled(spark, sf), rows, "quality").agg(
+            F.lit(rows).alias("row_variable"),
+            F.sum(F.col("n_negative") + F.col("n_positive")).alias("n"),
+            F.count("*").alias("levels"),
+        )
+        for rows in ("lang", "source", "toxic")
+    ]
+    found = _tests(spark, sf).select("row_variable", "chi2").join(union_reports(*counts), "row_variable")
+    v = cramers_v(F.col("chi2"), F.col("n"), F.col("levels"), F.lit(2))
+    return rounded(found.select("row_variable", v.alias("v"), band_label(v).alias("strength")), "v")
+
+
+@query("decision_label", f"SELECT row_variable, decision, assumption FROM ({_TESTS})")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    v = cramers_v(F.col("doc_id").cast("double"), F.col("n_chars"), F.lit(4), F.lit(3))
-    found = table(spark, sf, "documents").select("doc_id", v.alias("v"))
-    return rounded(found.withColumn("strength", band_label(F.col("v"))), "v")
+    decision, assumption = decision_label(F.col("p_value")), assumption_label(F.col("cells_below_5"))
+    return _tests(spark, sf).select("row_variable", decision.alias("decision"), assumption.alias("assumption"))
 
 
 # -- splits ------------------------------------------------------------------------------------------------------
@@ -219,6 +242,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return feature_names(spark, encoder)
 
 
+@query(
+    "one_hot_many_levels",
+    """SELECT 'cat__l_partkey_' || CAST(l_partkey AS VARCHAR) AS feature, CAST(count(*) AS DOUBLE) AS n_rows FROM lineitem
+      GROUP BY l_partkey""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per feature of an encoding with thousands of levels: the sums of its sparse vectors."""
+    rows = table(spark, sf, "lineitem").select("l_partkey")
+    encoder = fit_encoder(rows, categorical=["l_partkey"])
+    sums = encoder.assemble(rows).agg(vector_to_array(Summarizer.sum(F.col("features"))).alias("sums"))
+    placed = sums.select(F.posexplode("sums").alias("position", "n_rows"))
+    return feature_names(spark, encoder).join(placed, "position").select("feature", "n_rows")
+
+
 # -- metrics -----------------------------------------------------------------------------------------------------
 
 _CELLS = f"""(SELECT count(*) FILTER (WHERE quality = 0 AND prediction = 0) AS tn,
@@ -284,23 +321,62 @@ def _logistic(spark: SparkSession, sf: str):
     return rows, logistic_fit(rows, QUALITY.target, QUALITY.key, encoder)
 
 
-@query("logistic_fit")
+@query(
+    "logistic_fit",
+    """SELECT unnest(['num__n_chars', 'num__in_source', 'bin__toxic', 'cat__lang_en', 'cat__lang_es', 'cat__lang_fr',
+      'intercept']) AS variable, CAST(0 AS DOUBLE) AS gradient FROM (SELECT count(*) FROM labels)""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The gradient of the penalised loss, per row, at the fitted coefficients: zero where the fit is optimal."""
     rows, model = _logistic(spark, sf)
-    table = coefficient_table(spark, model).select("variable", "coefficient")
-    bias = spark.createDataFrame([("intercept", model.intercept)], "variable string, coefficient double")
-    return union_reports(table, bias)
+    n = rows.count()
+    counts = {row["quality"]: row["n"] for row in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    weight = F.lit(n / 2.0) / F.when(F.col("quality") == 1, F.lit(counts[1])).otherwise(F.lit(counts[0]))
+    scored = logistic_score(rows, model, rows.columns)
+    residual = weight * (F.col("probability") - F.col("quality"))
+    features = {**model.encoder.scaled(), **model.encoder.flags(), "intercept": F.lit(1.0)}
+    weights = [*model.coefficients, model.intercept]
+    sums = scored.agg(*[F.sum(residual * value).alias(name) for name, value in features.items()])
+    entries = [(F.lit(name), r6((F.col(name) + w) / n).alias("g")) for name, w in zip(features, weights)]
+    gradient = stack_row(sums, entries, ("variable", "gradient"))
+    return gradient.withColumn("gradient", F.round("gradient", 3) + F.lit(0.0))
+
+
+# A model with given coefficients: its scores and its table have a closed form.
+GIVEN_WEIGHTS = (0.8, -0.3, 0.5, -0.2, 0.1, 0.4)
+GIVEN_INTERCEPT = -0.25
+_GIVEN_NAMES = ("num__n_chars", "num__in_source", "bin__toxic", "cat__lang_en", "cat__lang_es", "cat__lang_fr")
+_KNOWN = f"""(SELECT k.*, s.in_source, (n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER () AS z1,
+  (in_source - avg(in_source) OVER ()) / nullif(stddev_pop(in_source) OVER (), 0) AS z2
+  FROM {LABELLED} k JOIN (SELECT source, count(*) AS in_source FROM {LABELLED} WHERE quality IS NOT NULL GROUP BY source) s
+  ON k.source = s.source WHERE k.quality IS NOT NULL)"""
+_MARGIN = """(-0.25 + 0.8 * z1 - 0.3 * coalesce(z2, 0) + 0.5 * toxic
+  + CASE lang WHEN 'en' THEN -0.2 WHEN 'es' THEN 0.1 WHEN 'fr' THEN 0.4 ELSE 0 END)"""
+
+
+def _given_model(rows: DataFrame) -> LogisticModel:
+    encoder = fit_encoder(rows, QUALITY.numeric, QUALITY.binary, QUALITY.categorical, drop_first=True)
+    return LogisticModel(encoder, GIVEN_INTERCEPT, GIVEN_WEIGHTS)
 
 
-@query("logistic_score")
+@query(
+    "logistic_score",
+    f"""SELECT doc_id, quality, {R(f"1 / (1 + exp(-{_MARGIN}))")} AS probability,
+      CASE WHEN {_MARGIN} > 0 THEN 1 ELSE 0 END AS prediction FROM {_KNOWN}""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows, model = _logistic(spark, sf)
-    return logistic_score(rows, model, ["doc_id", "quality"])
+    rows = _labelled_only(spark, sf)
+    return rounded(logistic_score(rows, _given_model(rows), ["doc_id", "quality"]), "probability")
 
 
-@query("coefficient_table")
+@query(
+    "coefficient_table",
+    "SELECT variable, coefficient, abs(coefficient) AS abs_coefficient FROM (SELECT * FROM (VALUES "
+    + ", ".join(f"('{name}', CAST({weight} AS DOUBLE))" for name, weight in zip(_GIVEN_NAMES, GIVEN_WEIGHTS))
+    + ") v(variable, coefficient)) WHERE (SELECT count(*) FROM labels) > 0",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return coefficient_table(spark, _logistic(spark, sf)[1])
+    return coefficient_table(spark, _given_model(_labelled_only(spark, sf)))
 
 
 def _register_flow(prefix: str, flow, names: tuple[str, ...]) -> None:
@@ -310,6 +386,7 @@ def _register_flow(prefix: str, flow, names: tuple[str, ...]) -> None:
         )
 
 
+@lru_cache(maxsize=2)
 def _supervised(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return supervised_flow(_labelled_only(spark, sf), QUALITY)
 
@@ -339,23 +416,56 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.select("vec_id", "label", array_to_vector("embedding").alias("features"))
 
 
-@query("kmeans_fit")
+# Two groups of one feature: the best of all cuts of the sorted values, by their running sums.
+_TWO = """(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)"""
+_CUT = f"""(SELECT arg_min(cut, cost) AS cut, min(cost) AS cost, arg_min(low, cost) AS low, arg_min(high, cost) AS high FROM (
+  SELECT x AS cut, s / n AS low, (ts - s) / (tn - n) AS high, (q - s * s / n) + (tq - q - (ts - s) * (ts - s) / (tn - n)) AS cost
+  FROM (SELECT x, count(*) OVER w AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, count(*) OVER () AS tn,
+    sum(x) OVER () AS ts, sum(x * x) OVER () AS tq FROM {_TWO} WINDOW w AS (ORDER BY x)) WHERE n < tn))"""
+
+
+def _one_feature(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.col("embedding")[0].cast("double")
+    return stage(table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(F.array(first)).alias("features")), "one")
+
+
+@query(
+    "kmeans_fit",
+    f"""SELECT {R("low")} AS centre, {R("cost")} AS inertia FROM {_CUT} UNION ALL SELECT {R("high")}, {R("cost")} FROM {_CUT}""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = stage(_vectors(spark, sf), "vectors")
-    model = kmeans_fit(vectors, 4, n_init=2)
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, centre array<double>")
+    model = kmeans_fit(_one_feature(spark, sf), 2)
+    rows = [(float(centre[0]), float(model.summary.trainingCost)) for centre in model.clusterCenters()]
+    return rounded(spark.createDataFrame(rows, "centre double, inertia double"), "centre", "inertia")
 
 
 @query("kmeans_sweep")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return kmeans_sweep(stage(_vectors(spark, sf), "vectors"), 2, 4, n_init=1).scores
+    return _sweep(spark, sf)
 
 
-@query("cluster_assignments")
+@lru_cache(maxsize=2)
+def _sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return kmeans_sweep(stage(_vectors(spark, sf), "vectors")).scores
+
+
+@query("best_k")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return best_k(_sweep(spark, sf))
+
+
+@query(
+    "cluster_assignments",
+    f"""SELECT t.vec_id, e.label, CASE WHEN t.x <= c.cut THEN 0 ELSE 1 END AS side
+      FROM {_TWO} t JOIN embeddings e ON t.vec_id = e.vec_id, {_CUT} c""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = stage(_vectors(spark, sf), "vectors")
-    return cluster_assignments(vectors, kmeans_fit(vectors, 4, n_init=1), "vec_id", ["label"])
+    """The cluster is given as the order of its centre, as numbers depend on the start."""
+    vectors = _one_feature(spark, sf)
+    model = kmeans_fit(vectors, 2)
+    centres = [float(centre[0]) for centre in model.clusterCenters()]
+    side = F.element_at(F.array(*[F.lit(int(c > min(centres))) for c in centres]), F.col("cluster") + 1)
+    return cluster_assignments(vectors, model, "vec_id", ["label"]).select("vec_id", "label", side.alias("side"))
 
 
 _POINTS = """points AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS axis,
@@ -388,14 +498,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(silhouette(_vectors(spark, sf), "features", "label"), "silhouette")
 
 
-@query("silhouette_euclidean", _silhouette_sql(_DISTANCE))
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(silhouette(_vectors(spark, sf), "features", "label", "euclidean"), "silhouette")
+# Two features: the eigenvectors of their 2x2 covariance in closed form, the larger loading of each made positive.
+_PCA = f"""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+  m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM p),
+  r AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS turn, sqrt(pow((a - c) / 2, 2) + b * b) AS half FROM m),
+  v AS (SELECT *, cos(turn) AS u1, sin(turn) AS u2 FROM r),
+  f AS (SELECT *, CASE WHEN abs(u1) >= abs(u2) THEN sign(u1) ELSE sign(u2) END AS s1,
+    CASE WHEN abs(u2) >= abs(u1) THEN sign(-u2) ELSE sign(u1) END AS s2 FROM v),
+  t AS (SELECT p.vec_id, p.label, s1 * (u1 * (x - mx) + u2 * (y - my)) AS pca_1, s2 * (-u2 * (x - mx) + u1 * (y - my)) AS pca_2,
+    ((a + c) / 2 + half) / (a + c) AS share_1, ((a + c) / 2 - half) / (a + c) AS share_2 FROM p, f)"""
+
+
+def _plane(spark: SparkSession, sf: str) -> DataFrame:
+    two = F.array(*[F.col("embedding")[i].cast("double") for i in (0, 1)])
+    return table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(two).alias("features"))
 
 
-@query("pca_2d")
+@query("pca_2d", f"""{_PCA} SELECT vec_id, label, {R("pca_1")} AS pca_1, {R("pca_2")} AS pca_2 FROM t""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return pca_2d(_vectors(spark, sf), keep=("vec_id", "label"))
+    found = pca_2d(_plane(spark, sf), keep=("vec_id", "label"))
+    return rounded(found.select("vec_id", "label", "pca_1", "pca_2"), "pca_1", "pca_2")
 
 
 @query("pca_scaled")
@@ -429,8 +551,10 @@ def _cluster_spec() -> ModelSpec:
     return ModelSpec("doc_id", "quality", ("n_chars",), ("toxic",), ("lang",))
 
 
+@lru_cache(maxsize=2)
 def _clustering(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return clustering_flow(_labelled_only(spark, sf), _cluster_spec(), 2, 4, n_init=1)
+    """One sweep serves the queries over its tables."""
+    return clustering_flow(_labelled_only(spark, sf), _cluster_spec())
 
 
 _register_flow("clustering_flow", _clustering, ("k_scores", "profile", "pca"))

@@ -17,6 +17,7 @@ from tabscope.operators.profile import (
     histogram_bins,
     iqr_summary,
     null_profile,
+    outlier_rows,
 )
 from tabscope.operators.quality import BinaryRule, DerivedFlagRule, DomainRule, DuplicateRule, NotNullRule, RangeRule
 from tabscope.plans.flows import CleanSpec, IntegrateSpec, cleaning_flow, integrate_flow
@@ -177,6 +178,59 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return union_reports(bins, whiskers)
 
 
+# -- floating columns with NaN -----------------------------------------------------------------------------------
+
+# ``value`` is NaN in error events; NaN is a missing value everywhere.
+GAPPY = "(SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events)"
+
+
+def _gappy(spark: SparkSession, sf: str) -> DataFrame:
+    value = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
+    return stage(table(spark, sf, "events").select("event_id", "event_type", value.alias("value")), "gappy")
+
+
+@query(
+    "nan_null_profile",
+    f"SELECT 'value' AS variable, count(*) AS n_rows, count(*) - count(value) AS n_missing, 3 AS n_columns FROM {GAPPY}",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return null_profile(_gappy(spark, sf), ["value"])
+
+
+@query("nan_distinct_profile", f"SELECT 'value' AS variable, count(DISTINCT value) AS n_distinct FROM {GAPPY}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct_profile(_gappy(spark, sf), ["value"])
+
+
+@query(
+    "nan_imputation",
+    f"""SELECT event_id, {R("coalesce(value, m)")} AS value, CASE WHEN value IS NULL THEN 1 ELSE 0 END AS value_imputed
+      FROM {GAPPY}, (SELECT median(value) AS m FROM {GAPPY})""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    filled, _ = clean_stage(_gappy(spark, sf), ["value"])
+    return rounded(filled.select("event_id", "value", "value_imputed"), "value")
+
+
+@query("nan_iqr_summary", iqr_sql([summary_sql("value", GAPPY)]))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(iqr_summary(_gappy(spark, sf), ["value"]), *IQR_NUMBERS)
+
+
+@query("nan_histogram_bins", histogram_sql("value", GAPPY, "value IS NOT NULL"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(histogram_bins(_gappy(spark, sf), ["value"]), "lower", "upper")
+
+
+@query(
+    "nan_outlier_rows",
+    f"""SELECT event_id, {R("value")} AS value FROM {GAPPY}, (SELECT quantile_cont(value, 0.25) AS q1,
+      quantile_cont(value, 0.75) AS q3 FROM {GAPPY}) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(outlier_rows(_gappy(spark, sf), "value").select("event_id", "value"), "value")
+
+
 # -- imputation --------------------------------------------------------------------------------------------------
 
 
@@ -300,13 +354,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT 1 AS rule_no, 'duplicates by o_custkey' AS "check", CAST(count(*) - count(DISTINCT o_custkey) AS VARCHAR)
         AS result, 'review duplicates' AS decision FROM orders
       UNION ALL SELECT 2, 'has_items against present n_items', '0', 'no correction'
-      UNION ALL SELECT 3, 'values of has_items', string_agg(DISTINCT CAST(1 - n_items_imputed AS VARCHAR), ', '
-        ORDER BY CAST(1 - n_items_imputed AS VARCHAR)), 'no correction' FROM ({_IMPUTED})
+      UNION ALL SELECT 3, 'other values of has_items', '0', 'no correction'
       UNION ALL SELECT 4, 'n_items >= 1', CAST(count(*) FILTER (WHERE n_items < 1) AS VARCHAR), 'no correction'
         FROM ({_IMPUTED})
       UNION ALL SELECT 5, 'item_qty > 10', CAST(count(*) FILTER (WHERE item_qty <= 10) AS VARCHAR), 'review range'
         FROM ({_IMPUTED})
-      UNION ALL SELECT 6, 'unexpected levels of urgency', 'slow', 'review recoding'
+      UNION ALL SELECT 6, 'unexpected levels of urgency', '1', 'review recoding'
       UNION ALL SELECT 7, 'missing urgency', '0', 'no correction'""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:

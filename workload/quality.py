@@ -17,6 +17,7 @@ from tabscope.operators.quality import (
     assert_binary,
     assert_finite,
     joint_report,
+    level_report,
     quality_report,
 )
 from workload.base import LABELLED, R, SCORED, labelled, query, rounded, scored_labels, table
@@ -96,31 +97,32 @@ def _derived_sql(first: int = 1) -> str:
     )
 
 
-def _levels_sql(no: int, block: str, check: str, column: str, allowed: str, shown: str, empty: str, action: str, why: str):
+def _levels_sql(no: int, block: str, check: str, column: str, allowed: str, action: str, why: str, relation: str = FLAGGED):
     return f"""SELECT {no} AS rule_no, '{block}' AS block, '{check}' AS "check",
-      coalesce((SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS x FROM {FLAGGED}
-        WHERE {column} IS NOT NULL AND {shown})), '{empty}') AS result,
-      CASE WHEN (SELECT count(*) FROM {FLAGGED} WHERE {column} NOT IN ({allowed})) = 0 THEN 'no correction'
+      CAST((SELECT count(DISTINCT {column}) FROM {relation} WHERE {column} NOT IN ({allowed})) AS VARCHAR) AS result,
+      CASE WHEN (SELECT count(*) FROM {relation} WHERE {column} NOT IN ({allowed})) = 0 THEN 'no correction'
         ELSE '{action}' END AS decision, '{why}' AS justification"""
 
 
 def _binary_sql(first: int = 1) -> str:
     return " UNION ALL ".join(
         _levels_sql(
-            first + i, "binary coding", f"values of {c}", c, "0, 1", "TRUE", "", "review coding", "only 0 and 1 may occur"
+            first + i, "binary coding", f"other values of {c}", c, "0, 1", "review coding", "only 0 and 1 may occur"
         )
         for i, c in enumerate(("quality", "toxic", "thousands"))
     )
 
 
+_DECLARED = {"lang": "'en', 'fr', 'de'", "source": ", ".join(f"'{s}'" for s in _SOURCES)}
+
+
 def _domain_sql(first: int = 1) -> str:
-    domains = {"lang": "'en', 'fr', 'de'", "source": ", ".join(f"'{s}'" for s in _SOURCES)}
     return " UNION ALL ".join(
         _levels_sql(
-            first + i, "category levels", f"unexpected levels of {c}", c, allowed, f"{c} NOT IN ({allowed})", "0",
-            "review recoding", "only declared levels may occur",
+            first + i, "category levels", f"unexpected levels of {c}", c, allowed, "review recoding",
+            "only declared levels may occur",
         )
-        for i, (c, allowed) in enumerate(domains.items())
+        for i, (c, allowed) in enumerate(_DECLARED.items())
     )
 
 
@@ -192,10 +194,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality_report(_flagged(spark, sf), NULLS)
 
 
-@query("dq_schema_rules", f"SELECT s.*, n.n_rows FROM ({_schema_sql()}) s, (SELECT count(*) AS n_rows FROM documents) n")
+PARTS = (DomainRule("part", ("1", "2", "3")), BinaryRule("l_linenumber"))
+
+
+@query(
+    "dq_levels",
+    """SELECT 1 AS rule_no, 'part' AS variable, CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem
+      WHERE l_partkey NOT IN (1, 2, 3) GROUP BY l_partkey
+      UNION ALL SELECT 2, 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY l_linenumber""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").withColumn("part", F.col("l_partkey").cast("string"))
+    return level_report(rows, PARTS)
+
+
+@query(
+    "dq_many_levels",
+    _levels_sql(
+        1, "category levels", "unexpected levels of part", "l_partkey", "1, 2, 3", "review recoding",
+        "only declared levels may occur", "lineitem",
+    )
+    + " UNION ALL "
+    + _levels_sql(
+        2, "binary coding", "other values of l_linenumber", "l_linenumber", "0, 1", "review coding",
+        "only 0 and 1 may occur", "lineitem",
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    df = _flagged(spark, sf)
-    return quality_report(df, SCHEMA).withColumn("n_rows", df.agg(F.count("*")).scalar())
+    rows = table(spark, sf, "lineitem").withColumn("part", F.col("l_partkey").cast("string"))
+    return quality_report(rows, PARTS)
 
 
 @query(

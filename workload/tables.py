@@ -8,16 +8,13 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from tabscope.functions.numbers import (
     age_from_year,
-    assumption_label,
     band_label,
     coerce_numeric,
-    decision_label,
     rate_per,
     strict_numeric,
 )
 from tabscope.functions.recode import RecodeRule, collapse_levels, recode
 from tabscope.functions.text import normalize_key, zero_pad_code
-from tabscope.operators.clusters import best_k
 from tabscope.operators.columns import (
     cast_columns,
     coalesce_constant,
@@ -34,6 +31,7 @@ from tabscope.operators.joins import enrich_left_join, group_count_broadcast, jo
 from tabscope.operators.models import top_coefficients
 from tabscope.operators.profile import outlier_rows, scale_column, sorted_levels
 from tabscope.operators.quality import unexpected_values
+from tabscope.presets import TRAILING_ARTICLES
 from tabscope.session import scratch_path
 from tabscope.sources.tables import (
     literal_dimension,
@@ -82,7 +80,7 @@ ZONES = [(0, "Àfrica, l'"), (1, "Amèriques, les"), (2, "Àsia"), (3, "Europa")
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     constants = {"zone_year": 2025, "zone_origin": "inline"}
-    zones = literal_dimension(spark, ZONES, "n_regionkey int, zone string", constants, ("zone", "zone_key"))
+    zones = literal_dimension(spark, ZONES, "n_regionkey int, zone string", constants, ("zone", "zone_key"), TRAILING_ARTICLES)
     return table(spark, sf, "nation").join(F.broadcast(zones), "n_regionkey", "left").drop("n_regionkey")
 
 
@@ -172,7 +170,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       'l'' ', 'l '), 'l''', 'l ')), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", normalize_key(F.col("text")).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", normalize_key(F.col("text"), TRAILING_ARTICLES).alias("key"))
 
 
 @query(
@@ -272,20 +270,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", band.alias("band"))
 
 
-@query(
-    "decision_label",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < CAST(0.05 AS DOUBLE) THEN 'reject H0' ELSE 'do not reject H0' END
-      AS decision, CASE WHEN l_linenumber = 1 THEN 'met' ELSE 'interpret with caution' END AS assumption FROM lineitem""",
-)
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        decision_label(F.col("l_tax")).alias("decision"),
-        assumption_label(F.col("l_linenumber") - 1).alias("assumption"),
-    )
-
-
 # -- joins and per-key counts ------------------------------------------------------------------------------------
 
 
@@ -315,19 +299,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return group_count_broadcast(customer, ["c_nationkey"], "c_name", "customers_in_nation").drop("c_name")
 
 
-# -- sorts, limits, set operations -------------------------------------------------------------------------------
-
-
 @query(
-    "best_k",
-    """SELECT l_linenumber AS k, round_even(avg(l_quantity), 0) AS silhouette FROM lineitem GROUP BY l_linenumber
-      ORDER BY 2 DESC, 1 LIMIT 1""",
+    "enrich_hot_key",
+    """SELECT 1 AS same, CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.user_id END AS user_id, e.event_id, c.c_custkey AS buyer,
+      c.c_name AS user_id_dim, CASE WHEN c.c_custkey IS NULL THEN 0 ELSE 1 END AS known FROM events e
+      LEFT JOIN customer c ON CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.user_id END = c.c_custkey - 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    scores = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(
-        F.rint(F.avg("l_quantity")).alias("silhouette")
+    """A third of the rows has one key, the first column is constant, and a column name is on both sides."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+    events = table(spark, sf, "events").select(F.lit(1).alias("same"), user.alias("user_id"), "event_id")
+    keyed = events.withColumn("user", F.col("user_id"))
+    customer = table(spark, sf, "customer").select(
+        (F.col("c_custkey") - 1).alias("user"), F.col("c_custkey").alias("buyer"), F.col("c_name").alias("user_id")
     )
-    return best_k(scores)
+    joined = enrich_left_join(keyed, customer, ["user"], "known", "buyer", broadcast_bytes=0, suffix="_dim")
+    return joined.drop("user")
+
+
+# -- sorts, limits, set operations -------------------------------------------------------------------------------
 
 
 @query(
