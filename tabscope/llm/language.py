@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,33 +23,47 @@ SCRIPT_STARTS = (
     (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"),
     (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
 )
-STARTS = [start for start, _ in SCRIPT_STARTS]
+STARTS = np.array([start for start, _ in SCRIPT_STARTS])
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+SCRIPT_PLACES = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 # Cells of n-gram counts per language: the bound of the model, whatever the corpus.
 CELLS = 1 << 16
 LONGEST_GRAM = 4
 # Labelled rows per language that the counts are taken from, in expectation.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 1_000
 SWITCH_PENALTY = 12.0
 LEAST_SCRIPT_SHARE = 0.01
 OUTSIDE_SCRIPT = -20.0
 REMEMBERED_WORDS = 300_000
+# Fixed value: multiplier of the n-gram hash.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
 
 
-def script_of(word: str) -> int:
-    """Place in ``SCRIPTS`` of the word's first letter."""
-    return SCRIPTS.index(SCRIPT_STARTS[bisect_right(STARTS, ord(word[0])) - 1][1])
-
-
-def gram_cells(word: str) -> list[int]:
-    """Cells of all n-grams of the lower-cased word with its ends marked."""
-    marked = f" {word.lower()} ".encode("utf-32-le")
-    return [
-        zlib.crc32(marked[at : at + 4 * n]) % CELLS
-        for n in range(1, LONGEST_GRAM + 1)
-        for at in range(0, len(marked) - 4 * n + 4, 4)
-    ]
+def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, cell) of every n-gram of the lower-cased words, with their ends marked."""
+    marked = [f" {word.lower()} " for word in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    total = np.zeros(len(codes), np.uint64)
+    places, cells = [], []
+    for n in range(1, LONGEST_GRAM + 1):
+        size = len(codes) - n + 1
+        if size <= 0:
+            break
+        total = (total[:size] + codes[n - 1 :] + np.uint64(n)) * _STEP
+        total ^= total >> np.uint64(31)
+        inside = owner[:size] == owner[n - 1 :]
+        places.append(owner[:size][inside])
+        cells.append((total[inside] >> np.uint64(20)) % np.uint64(CELLS))
+    return np.concatenate(places), np.concatenate(cells).astype(np.int64)
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Place in ``SCRIPTS`` of each word's first letter."""
+    first = np.fromiter((ord(word[0]) for word in words), np.int64, len(words))
+    return SCRIPT_PLACES[np.searchsorted(STARTS, first, side="right") - 1]
 
 
 @dataclass
@@ -84,17 +97,17 @@ def train_language_model(
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         counts = np.zeros((len(languages), CELLS + len(SCRIPTS)), np.int64)
-        known: dict[str, np.ndarray] = {}
         for batch in batches:
+            words: dict[str, Counter] = defaultdict(Counter)
             for name, value in zip(batch["lang"], batch["text"]):
-                row = counts[place[name]]
-                for word in WORD.findall(value):
-                    cells = known.get(word)
-                    if cells is None:
-                        if len(known) > REMEMBERED_WORDS:
-                            known.clear()
-                        cells = known[word] = np.array([*gram_cells(word), CELLS + script_of(word)])
-                    np.add.at(row, cells, 1)
+                words[name].update(WORD.findall(value))
+            for name, found in words.items():
+                if not found:
+                    continue
+                row, times = counts[place[name]], np.fromiter(found.values(), np.int64, len(found))
+                owner, cells = gram_cells(list(found))
+                row[:CELLS] += np.bincount(cells, times[owner], CELLS).astype(np.int64)
+                row[CELLS:] += np.bincount(scripts_of(list(found)), times, len(SCRIPTS)).astype(np.int64)
         language, cell = counts.nonzero()
         yield {"language": language, "cell": cell, "n": counts[language, cell]}
 
@@ -112,28 +125,26 @@ class WordScorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.known = model, {}
-        self.rows = np.zeros((1024, len(model.languages)))
-
-    def _learn(self, word: str) -> int:
-        model = self.model
-        allowed = model.allowed[:, script_of(word)]
-        score = np.zeros(len(allowed))
-        if allowed.any():
-            score = model.log_probs[:, gram_cells(word)].sum(1) / LONGEST_GRAM
-            score = np.where(allowed, score - score[allowed].max(), OUTSIDE_SCRIPT)
-        if len(self.known) == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(self.known)] = score
-        return self.known.setdefault(word, len(self.known))
+        self.rows = np.zeros((0, len(model.languages)))
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Score the words of these texts that are not known yet, all at once."""
         if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
-        ids = [self.known.get(word, -1) for word in words]
-        for i, found in enumerate(ids):
-            if found < 0:
-                ids[i] = self.known[words[i]] if words[i] in self.known else self._learn(words[i])
-        return self.rows[ids]
+            self.known, self.rows = {}, self.rows[:0]
+        new = list(set().union(*texts).difference(self.known))
+        if not new or not self.model.languages:
+            return
+        owner, cells = gram_cells(new)
+        sums = [np.bincount(owner, probs[cells], len(new)) / LONGEST_GRAM for probs in self.model.log_probs]
+        scores, allowed = np.stack(sums, 1), self.model.allowed[:, scripts_of(new)].T
+        top = np.where(allowed, scores, -np.inf).max(1, keepdims=True)
+        some = np.isfinite(top)
+        scores = np.where(allowed, scores - np.where(some, top, 0.0), np.where(some, OUTSIDE_SCRIPT, 0.0))
+        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, scores])
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -147,25 +158,23 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     lowest = np.minimum(np.minimum.accumulate(gains, axis=0), 0.0)
     if (gains - lowest).max() <= penalty / 2:
         return np.full(len(scores), best)
-    value = scores[0].copy()
-    origins = np.empty(scores.shape, np.int32)
-    same = np.arange(scores.shape[1], dtype=np.int32)
-    for t in range(1, len(scores)):
-        top = int(value.argmax())
-        switched = value[top] - penalty
-        stay = value >= switched
-        origins[t] = np.where(stay, same, top)
-        value = np.where(stay, value, switched) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    path[-1] = value.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = origins[t, path[t]]
-    return path
-
-
-def identify(text: str, scorer: WordScorer, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """(language of most words, score, spans of (start, end, language) in code points)."""
-    words = WORD.findall(text)
+    rows = scores.tolist()
+    value, origins = rows[0], []
+    for row in rows[1:]:
+        top = max(value)
+        origin, switched = value.index(top), top - penalty
+        origins.append([i if stay >= switched else origin for i, stay in enumerate(value)])
+        value = [(stay if stay >= switched else switched) + own for stay, own in zip(value, row)]
+    path = [value.index(max(value))]
+    for origin in reversed(origins):
+        path.append(origin[path[-1]])
+    return np.array(path[::-1])
+
+
+def identify(
+    text: str, words: list[str], scorer: WordScorer, penalty: float
+) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """(language of most words, score, spans of (start, end, language) in code points); the words must be learned."""
     languages = scorer.model.languages
     if not words or not languages:
         return UNDETERMINED, 0.0, []
@@ -196,7 +205,10 @@ def identify_languages(
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         scorer = WordScorer(LanguageModel(*shared.value))
         for batch in batches:
-            found = [identify((value or b"").decode(), scorer, penalty) for value in batch["text"]]
+            texts = [(value or b"").decode() for value in batch["text"]]
+            words = [WORD.findall(text) for text in texts]
+            scorer.learn(words)
+            found = [identify(text, own, scorer, penalty) for text, own in zip(texts, words)]
             yield {
                 "key": batch["key"],
                 "lang_pred": [x[0] for x in found],
