@@ -116,6 +116,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     A cell holds its score and, below it, the place where its alignment begins (the earlier wins a tie), as one number,
     so that a row is a few vector operations; gaps along the row are a running maximum.
     """
+    if not len(passage):
+        return 0, 0, 0
     width = 1 << 32
     places = np.arange(len(passage), dtype=np.int64)
     fresh = width - 1 - places
