@@ -176,7 +176,7 @@ def identify(
 ) -> tuple[str, float, list[tuple[int, int, str]]]:
     """(language of most words, score, spans of (start, end, language) in code points); the words must be learned."""
     languages = scorer.model.languages
-    if not words or not languages:
+    if not languages or not any(char.isalpha() for word in words for char in word):
         return UNDETERMINED, 0.0, []
     scores = scorer.scores(words)
     path = best_path(scores, penalty)

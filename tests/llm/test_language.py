@@ -41,8 +41,10 @@ def test_scripts_narrow_candidates(spark):
     rows = [(i, "привет как дела друг", "ru", "s", 1) for i in range(5)] + [(i, "hello how are you friend", "en", "s", 1) for i in range(5)]
     model = train_language_model(spark.createDataFrame(rows, DOCUMENTS))
     texts = [(1, "незнакомое слово", None, None, None), (2, "unknown words", None, None, None), (3, "漢字", None, None, None)]
+    texts.append((4, "12 _ ² ½ !", None, None, None))
     found = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(texts, DOCUMENTS), model).collect()}
     assert (found[1]["lang_pred"], found[2]["lang_pred"]) == ("ru", "en")
+    assert (found[4]["lang_pred"], found[4]["score"]) == ("und", 0.0)
     assert found[3]["lang_pred"] in ("ru", "en") and found[3]["score"] <= 0.5
 
 
