@@ -316,22 +316,24 @@ def _across(met: DataFrame, centre: DataFrame, verified: DataFrame, labels: Data
 
     With o tokens shared with the centre and r others that any set holds, two sets overlap in at most the smaller o plus the
     smaller r. Copies of the centre with edits of their own have no r, and differ from each other by the edits of both.
+    Sets meet at the centre, once each with all expensive tokens that brought them there, so a pair is made once.
     """
-    rows = _labelled(met, labels).join(centre, "token")
-    parts = rows.groupBy("token", "label").agg(F.count("*").alias("size"))
-    main = parts.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
-    rows = rows.join(main.where("parts > 1"), "token").where("node <> c")
+    rows = met.join(centre, "token").where("node <> c").groupBy("node", "n", "u", "reach", "c")
+    rows = _labelled(rows.agg(F.collect_list("token").alias("ts")), labels)
+    parts = rows.groupBy("c", "label").agg(F.count("*").alias("size"))
+    main = parts.groupBy("c").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
     rows = rows.withColumns({"a": F.least("node", "c"), "b": F.greatest("node", "c")})
-    rows = rows.join(verified.select("a", "b", F.col("overlap").alias("o")), ["a", "b"])
+    rows = rows.join(verified.select("a", "b", F.col("overlap").alias("o")), ["a", "b"]).join(main, "c")
     rows = rows.withColumn("r", F.col("n") - F.col("o") - F.col("u"))
-    side = F.struct("n", "node", "reach", "label", "o", "r")
-    left = rows.where("label <> main").select("token", side.alias("x"))
-    right = rows.select("token", side.alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
+    side = F.struct("n", "node", "reach", "label", "o", "r", "ts")
+    left = rows.where("label <> main").select("c", side.alias("x"))
+    right = rows.select("c", side.alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
     x, y = F.col("x"), F.col("y")
     enough = F.least(x["o"], y["o"]) + F.least(x["r"], y["r"]) >= _overlap(x["n"], y["n"], percent)
     sizes = F.when(x["n"] <= y["n"], _fits(x, y, percent)).otherwise(_fits(y, x, percent))
     once = F.col("in_main") | (x["node"] < y["node"])
-    pairs = left.join(right, "token").where((x["label"] != y["label"]) & once & enough & sizes)
+    allowed = (x["label"] != y["label"]) & once & enough & sizes & F.arrays_overlap(x["ts"], y["ts"])
+    pairs = left.join(right, "c").where(allowed)
     return pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
 
 
