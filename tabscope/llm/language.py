@@ -38,6 +38,10 @@ REMEMBERED_WORDS = 300_000
 # Fixed value: multiplier of the n-gram hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
+# Share of the words of the training sample that may lie below the level of their language.
+BELOW_LEVEL = 0.02
+# Bins of mean log probabilities, per unit and in all (the last one for what is lower still).
+BINS_PER_UNIT, BINS = 64, 64 * 24
 
 
 def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +72,25 @@ def scripts_of(words: list[str]) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Languages, log probabilities (language by cell) and the languages that each script allows."""
+    """Languages, log probabilities (language by cell), the languages that each script allows, and sums of counts."""
 
     languages: list[str]
     log_probs: np.ndarray
     allowed: np.ndarray
+    totals: np.ndarray | None = None
+
+
+def _sample(df: DataFrame, text: str, lang: str, key: str, sample_rows: int) -> tuple[list[str], DataFrame | None]:
+    """The languages, and about ``sample_rows`` labelled rows of each, picked by a hash of the key."""
+    labelled = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(
+        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")
+    )
+    rows = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(rows)
+    if not languages:
+        return [], None
+    share = F.create_map(*[F.lit(x) for name, n in rows.items() for x in (name, min(1.0, sample_rows / n))])
+    return languages, labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
 
 def train_language_model(
@@ -84,15 +102,9 @@ def train_language_model(
     by (language, cell); the driver receives at most ``CELLS`` + scripts numbers a language. Rows without text or label
     are left out. Without any labelled row every text is undetermined.
     """
-    labelled = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(
-        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")
-    )
-    rows = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(rows)
+    languages, sample = _sample(df, text, lang, key, sample_rows)
     if not languages:
         return LanguageModel([], np.zeros((0, CELLS)), np.zeros((0, len(SCRIPTS)), bool))
-    share = F.create_map(*[F.lit(x) for name, n in rows.items() for x in (name, min(1.0, sample_rows / n))])
-    sample = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     place = {name: i for i, name in enumerate(languages)}
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
@@ -117,7 +129,97 @@ def train_language_model(
         counts[row["language"], row["cell"]] = row["n"]
     grams, scripts = counts[:, :CELLS] + 0.5, counts[:, CELLS:]
     allowed = scripts >= LEAST_SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
-    return LanguageModel(languages, np.log(grams / grams.sum(1, keepdims=True)), allowed)
+    totals = grams.sum(1, keepdims=True)
+    return LanguageModel(languages, np.log(grams / totals), allowed, totals)
+
+
+def mean_log_probs(words: list[str], model: LanguageModel) -> np.ndarray:
+    """Mean log probability of each word's n-grams (word by language); -inf where its script rules the language out."""
+    owner, cells = gram_cells(words)
+    sums = np.stack([np.bincount(owner, probs[cells], len(words)) for probs in model.log_probs], 1)
+    means = sums / np.bincount(owner, minlength=len(words))[:, None]
+    return np.where(model.allowed[:, scripts_of(words)].T, means, -np.inf)
+
+
+def _lettered(text: str) -> list[str]:
+    return [word for word in WORD.findall(text) if any(map(str.isalpha, word))]
+
+
+def explained_levels(
+    df: DataFrame,
+    model: LanguageModel,
+    text: str = "text",
+    lang: str = "lang",
+    key: str = "doc_id",
+    sample_rows: int = SAMPLE_ROWS,
+    below: float = BELOW_LEVEL,
+) -> np.ndarray:
+    """Per language the mean log probability that all but a share ``below`` of the words of its training sample reach.
+
+    ``df`` and ``sample_rows`` are those of the model. Each word is scored without one occurrence of itself, so that
+    the level is that of words not seen in training. Tasks count words per bin; the driver receives ``BINS`` numbers a
+    language. A language without words has no level that a word could reach.
+    """
+    levels = np.full(len(model.languages), np.inf)
+    _, sample = _sample(df, text, lang, key, sample_rows)
+    if sample is None:
+        return levels
+    counts = np.exp(model.log_probs) * model.totals
+    without = np.log(np.maximum(counts - 1.0, 0.5) / model.totals)
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, without, model.allowed))
+
+    def task(batches: Iterator[dict]) -> Iterator[dict]:
+        rest = LanguageModel(*shared.value)
+        place = {name: i for i, name in enumerate(rest.languages)}
+        found = np.zeros((len(place), BINS), np.int64)
+        for batch in batches:
+            words: dict[str, Counter] = defaultdict(Counter)
+            for name, value in zip(batch["lang"], batch["text"]):
+                words[name].update(_lettered(value))
+            for name, own in words.items():
+                if own:
+                    means = mean_log_probs(list(own), rest)[:, place[name]]
+                    bins = np.minimum(-means * BINS_PER_UNIT, BINS - 1).astype(np.int64)
+                    times = np.fromiter(own.values(), np.int64, len(own))
+                    found[place[name]] += np.bincount(bins, times, BINS).astype(np.int64)
+        language, at = found.nonzero()
+        yield {"language": language, "bin": at, "n": found[language, at]}
+
+    found = map_rows(sample.select("lang", "text"), "language int, bin int, n long", task)
+    bins = np.zeros((len(levels), BINS), np.int64)
+    for row in found.groupBy("language", "bin").agg(F.sum("n").alias("n")).collect():
+        bins[row["language"], row["bin"]] = row["n"]
+    for i, own in enumerate(bins):
+        if own.any():
+            last = int(np.searchsorted(np.cumsum(own), (1 - below) * own.sum()))
+            levels[i] = -(last + 1) / BINS_PER_UNIT
+    return levels
+
+
+def explained_shares(
+    df: DataFrame, model: LanguageModel, levels: np.ndarray, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per row: key and explained, the share of its words that reach the level of any learned language.
+
+    A text that is missing or has no letter has share 0. Whole texts are read; repeated rows are judged one by one.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs, model.allowed, levels))
+
+    def task(batches: Iterator[dict]) -> Iterator[dict]:
+        *parts, levels = shared.value
+        own, known = LanguageModel(*parts), {}
+        for batch in batches:
+            texts = [_lettered((value or b"").decode()) for value in batch["text"]]
+            if len(known) > REMEMBERED_WORDS:
+                known = {}
+            new = list(set().union(*texts).difference(known))
+            if new and own.languages:
+                known.update(zip(new, (mean_log_probs(new, own) >= levels).any(1).tolist()))
+            shares = [sum(known.get(word, False) for word in words) / max(len(words), 1) for words in texts]
+            yield {"key": batch["key"], "explained": [float(share) for share in shares]}
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_rows(texts_of(df, key, text), f"key {kind}, explained double", task).withColumnRenamed("key", key)
 
 
 class WordScorer:
