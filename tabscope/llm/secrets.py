@@ -26,9 +26,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-# Parts of paths, names and dates: only letters, only digits, or letters with a number behind.
-NAME_PART = re.compile(r"[A-Za-z]*[0-9]*")
-LEAST_RANDOM = 20
+# Dates and years, joined by separators.
+DATES = re.compile(r"(19|20)[0-9]{2}([-/_]((19|20)[0-9]{2}|[0-3]?[0-9]))*")
+# A run that is not random is cut at the first of these that it holds, and each piece is tested alone.
+SEPARATORS = "=/_-+"
+LEAST_RANDOM = 16
 CHARS_PER_TOKEN = 2.2
 # A run is encoded in slices, so that the cost is in proportion to its length.
 SLICE = 512
@@ -43,10 +45,28 @@ def _encoding(ranks_path: str, pattern: str):
 
 
 def is_known_identifier(run: str, known: frozenset[str]) -> bool:
-    """Digests by their length, UUIDs, given values, and names or paths whose parts are words or numbers."""
-    if run in known or UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)):
-        return True
-    return all(NAME_PART.fullmatch(part) for part in re.split(r"[+/_=-]+", run))
+    """Digests by their length, UUIDs, dates, given values, and digits that count up one by one."""
+    digest = len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)
+    counting = run.isdigit() and all((int(b) - int(a)) % 10 == 1 for a, b in zip(run, run[1:]))
+    return bool(run in known or UUID.fullmatch(run) or digest or counting or DATES.fullmatch(run))
+
+
+def random_parts(at: int, run: str, free, efficient, known: frozenset[str]) -> list[tuple[int, int, int]]:
+    """Spans of the random strings of a run that begins at ``at``: the run itself, or those of its pieces.
+
+    ``free`` tells whether a span overlaps no known form, ``efficient`` whether a string is made of long tokens.
+    """
+    if len(run) < LEAST_RANDOM or is_known_identifier(run, known):
+        return []
+    end = at + len(run)
+    if free(at, end) and any(map(str.isalnum, run)) and not efficient(run):
+        return [(at, 3, end)]
+    cut = next((x for x in SEPARATORS if x in run), None)
+    spans = []
+    for piece in run.split(cut) if cut else ():
+        spans += random_parts(at, piece, free, efficient, known)
+        at += len(piece) + 1
+    return spans
 
 
 def find_spans(text: str, encoding, chars_per_token: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
@@ -59,15 +79,16 @@ def find_spans(text: str, encoding, chars_per_token: float, known: frozenset[str
         for kind, form, least in ((1, ACCESS, LEAST_ACCESS), (2, HEX, LEAST_HEX)):
             spans += [(at + m.start(), kind, at + m.end()) for m in form.finditer(run) if len(m[0]) >= least]
     taken = list(spans)
-    for at, run in runs:
-        end = at + len(run)
-        if len(run) < LEAST_RANDOM or run.isalpha() or run.isdigit() or is_known_identifier(run, known):
-            continue
-        if any(start < end and at < stop for start, _, stop in taken):
-            continue
+
+    def free(at: int, end: int) -> bool:
+        return not any(start < end and at < stop for start, _, stop in taken)
+
+    def efficient(run: str) -> bool:
         tokens = sum(len(encoding.encode_ordinary(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
-        if len(run) < chars_per_token * tokens:
-            spans.append((at, 3, end))
+        return len(run) >= chars_per_token * tokens
+
+    for at, run in runs:
+        spans += random_parts(at, run, free, efficient, known)
     return sorted(spans)
 
 

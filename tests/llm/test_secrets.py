@@ -64,3 +64,26 @@ def test_random_strings_by_token_efficiency(spark):
     assert all("random" not in found[i] for i in range(len(secret), len(found)))
     masked = {r["doc_id"]: r["text"] for r in redact_secrets(df, RANKS, PATTERN, known=known).collect()}
     assert masked[0] == "see é [secret] there" and masked[len(secret)] == f"see é {plain[0]} there"
+
+
+def test_random_strings_of_any_shape_and_behind_readable_parts(spark):
+    rng = random.Random(8)
+
+    def made(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    key = made(string.ascii_letters + string.digits, 32)
+    path = "international/documentation/directory/information/" * 4
+    whole = [
+        made(string.ascii_letters, 30), made(string.ascii_letters, 30) + "42", made(string.ascii_lowercase, 32),
+        "-".join(made(string.ascii_uppercase, 5) for _ in range(5)), made(string.ascii_letters + string.digits, 18),
+    ]
+    behind = [path + key, "international_documentation_information_" * 4 + "=" + key, path + whole[3] + "/information"]
+    plain = [path, "1999-12-31/2024-01-01", "=" * 40, "-_" * 20, "9e107d9d372bb6826bd81d3542a419d6", "internationalization"]
+    texts = [f"see {x} there" for x in [*whole, *behind, *plain]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in scan_secrets(df, RANKS, PATTERN).collect()}
+    for i, x in enumerate([*whole, key, key, whole[3]]):
+        at = texts[i].index(x)
+        assert found[i] == f"random:{at}:{at + len(x)}", texts[i]
+    assert all("random" not in found[i] for i in range(len(whole) + len(behind), len(texts)))
