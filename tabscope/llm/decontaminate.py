@@ -20,6 +20,8 @@ LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Items whose words and seeds a task holds at once; more items are taken in blocks.
 BLOCK_ITEMS = 20_000
+# An alignment of so many words or more is reported by its own score, whatever share of the item it is.
+LEAST_WORDS = 13
 # Letters and digits stay, other ASCII becomes a space; bytes of other characters stay.
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -46,13 +48,13 @@ class Block:
     vocabulary: dict
     items: list[np.ndarray]
 
-    def codes(self, places: np.ndarray) -> np.ndarray:
+    def codes(self, places: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
         """Code of the n-gram at each place; -1 where a word is not of the benchmark."""
-        if len(places) < SEED_WORDS:
+        if len(places) < size:
             return np.zeros(0, np.int64)
-        n = len(places) - SEED_WORDS + 1
+        n = len(places) - size + 1
         total, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(SEED_WORDS):
+        for k in range(size):
             part = places[k : k + n]
             total = total * len(self.vocabulary) + part
             known &= part >= 0
@@ -89,43 +91,48 @@ def _word_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndar
     return counts[1:], int(counts.sum())
 
 
-def rare_seeds(block: Block, counts: np.ndarray, total: int, rare: float = RARE) -> dict[int, list[tuple[int, int]]]:
-    """Code of each seed with the (item, place) pairs that hold it.
+def rare_seeds(block: Block, counts: np.ndarray, total: int, rare: float = RARE) -> dict[int, dict[int, list]]:
+    """By the number of words of a seed: code of each seed with the (item, place) pairs that hold it.
 
     Rarity is judged by the words' counts over the whole corpus: how often they would meet by chance in a thousand
-    words. Copies of an item, however many, do not make its seeds common. An item without rare n-gram keeps its rarest;
-    an item shorter than a seed has none and is reported by nobody.
+    words. Copies of an item, however many, do not make its seeds common. Each stretch of ``LEAST_WORDS`` words keeps
+    its rarest n-gram, rare or not, so that a copy of any such part holds a seed; so does an item shorter than that. An
+    item shorter than a seed has none and is reported by nobody.
     """
     share = np.maximum(counts, 1) / max(total, 1)
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    seeds: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
     for i, places in enumerate(block.items):
-        codes = block.codes(places)
-        if not len(codes):
+        size = min(SEED_WORDS, len(places))
+        if size < SEED_WORDS:
             continue
+        codes = block.codes(places, size)
         chance = np.ones(len(codes))
-        for k in range(SEED_WORDS):
+        for k in range(size):
             chance *= share[places[k : k + len(codes)]]
-        for at in np.flatnonzero(1000 * chance <= max(rare, 1000 * chance.min())).tolist():
-            seeds[int(codes[at])].append((i, at))
-    return dict(seeds)
+        stretches = np.lib.stride_tricks.sliding_window_view(chance, min(LEAST_WORDS - SEED_WORDS + 1, len(chance)))
+        kept = np.union1d(np.arange(len(stretches)) + stretches.argmin(1), np.flatnonzero(1000 * chance <= rare))
+        for at in kept.tolist():
+            seeds[size][int(codes[at])].append((i, at))
+    return {size: dict(own) for size, own in seeds.items()}
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+def align(item: np.ndarray, passage: np.ndarray, per_word: int = 0) -> tuple[int, int, int]:
     """Best local alignment by Smith-Waterman with linear gaps: (score, first, end) of the passage's words.
 
-    A cell holds its score and, below it, the place where its alignment begins (the earlier wins a tie), as one number,
-    so that a row is a few vector operations; gaps along the row are a running maximum.
+    Every aligned word of the passage costs ``per_word`` of its score. A cell holds its score and, below it, the place
+    where its alignment begins (the earlier wins a tie), as one number, so that a row is a few vector operations; gaps
+    along the row are a running maximum.
     """
     if not len(passage):
         return 0, 0, 0
     width = 1 << 32
     places = np.arange(len(passage), dtype=np.int64)
     fresh = width - 1 - places
-    fall = GAP * width * places
+    fall = (GAP - per_word) * width * places
     above = np.concatenate([[width - 1], fresh])  # cell before the first word, then one per word
     best = (0, 0, 0)
     for word in item.tolist():
-        step = np.where(passage == word, MATCH, MISMATCH) * width
+        step = (np.where(passage == word, MATCH, MISMATCH) - per_word) * width
         diagonal = np.where(above[:-1] >= width, above[:-1], fresh) + step
         cell = np.maximum(np.maximum(diagonal, above[1:] + GAP * width), fresh)
         cell = np.maximum.accumulate(cell - fall) + fall
@@ -138,15 +145,37 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def find_items(places: np.ndarray, block: Block, codes: np.ndarray, holders: list, least: float) -> list[tuple]:
-    """(item, score share, first, end) of the best passage of each item that reaches ``least``."""
-    own = block.codes(places)
-    at = np.searchsorted(codes, own)
-    at[at == len(codes)] = 0
+def passage_of(item: np.ndarray, passage: np.ndarray, least: float) -> tuple[int, int, int] | None:
+    """(score, first, end) of a passage that reaches ``least`` of a copy of the item, or of ``LEAST_WORDS`` of its words.
+
+    The best alignment may reach across words between two copied parts, so that it falls below the share of its own
+    length; then the best one that gains by every word more than half of a match is taken. Words that the item does not
+    hold add nothing, so too few others rule a passage out.
+    """
+    if MATCH * np.isin(passage, item).sum() < least * MATCH * min(len(item), LEAST_WORDS):
+        return None
+    score, first, end = align(item, passage)
+    if score >= least * MATCH * len(item):
+        return score, first, end
+    if score < least * MATCH * LEAST_WORDS:
+        return None
+    if end - first >= LEAST_WORDS and score >= least * MATCH * (end - first):
+        return score, first, end
+    gain, first, end = align(item, passage, per_word=MATCH // 2)
+    score = gain + MATCH // 2 * (end - first)
+    return (score, first, end) if end - first >= LEAST_WORDS and score >= least * MATCH * (end - first) else None
+
+
+def find_items(places: np.ndarray, block: Block, seeds: list[tuple], least: float) -> list[tuple]:
+    """(item, score share, first, end) of the best passage of each item that ``passage_of`` accepts."""
     hits: dict[int, list[int]] = defaultdict(list)
-    for where in np.flatnonzero(codes[at] == own).tolist() if len(codes) else ():
-        for item, place in holders[at[where]]:
-            hits[item].append(where - place)
+    for size, codes, holders in seeds:
+        own = block.codes(places, size)
+        at = np.searchsorted(codes, own)
+        at[at == len(codes)] = 0
+        for where in np.flatnonzero(codes[at] == own).tolist():
+            for item, place in holders[at[where]]:
+                hits[item].append(where - place)
     found = []
     for item, begins in hits.items():
         words = block.items[item]
@@ -160,9 +189,9 @@ def find_items(places: np.ndarray, block: Block, codes: np.ndarray, holders: lis
             stop = high
             if i + 1 < len(begins) and begins[i + 1] - slack <= stop:
                 continue  # the next window overlaps: take both as one
-            score, first, end = align(words, places[start : max(stop, 0)])
-            best = max(best, (score, -(start + first), start + end))
-        if best[0] >= least * MATCH * len(words):
+            if passage := passage_of(words, places[start : max(stop, 0)], least):
+                best = max(best, (passage[0], -(start + passage[1]), start + passage[2]))
+        if best[0]:
             found.append((item, best[0] / (MATCH * len(words)), -best[1], best[2]))
     return found
 
@@ -180,6 +209,8 @@ def contaminated(
 ) -> DataFrame:
     """One row per document row and item it holds: both keys, score (1 for an unchanged copy), first and end word.
 
+    An item is held by a passage of at least ``least_score`` of its score, or of ``LEAST_WORDS`` or more of its words at
+    that share of their own score; the score is always the share of the whole item.
     Items are the query set: they come in blocks of about ``block_items``, so a task never holds more, and every block
     meets all documents. One pass counts the items' words over the whole corpus, a second finds the rare seeds and aligns
     around them; nothing is shuffled but the counts. Texts are compared whole, as lower-case words. Missing or empty texts, of documents or items, hold and give nothing;
@@ -196,17 +227,16 @@ def contaminated(
         own = given.where(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == number)
         block = _block([(row["key"], bytes(row["text"])) for row in own.collect()])
         seeds = rare_seeds(block, *_word_counts(texts, block.vocabulary), rare)
-        codes = np.array(sorted(seeds), np.int64)
-        holders = [seeds[code] for code in codes.tolist()]
-        shared = spark.sparkContext.broadcast((block.ids, block.vocabulary, block.items, codes, holders))
+        listed = [(size, np.array(sorted(own), np.int64), [own[code] for code in sorted(own)]) for size, own in seeds.items()]
+        shared = spark.sparkContext.broadcast((block.ids, block.vocabulary, block.items, listed))
 
         def task(batches: Iterator[dict], shared=shared) -> Iterator[dict]:
-            ids, vocabulary, items, codes, holders = shared.value
+            ids, vocabulary, items, listed = shared.value
             block, known = Block(ids, vocabulary, items), Vocabulary(vocabulary)
             for batch in batches:
                 out: dict[str, list] = {"key": [], "item": [], "score": [], "first_word": [], "end_word": []}
                 for key, text in zip(batch["key"], batch["text"]):
-                    for item, *rest in find_items(known.places(normal_words(text)), block, codes, holders, least_score):
+                    for item, *rest in find_items(known.places(normal_words(text)), block, listed, least_score):
                         for name, value in zip(out, (key, ids[item], *rest)):
                             out[name].append(value)
                 yield out

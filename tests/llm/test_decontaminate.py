@@ -61,3 +61,21 @@ def test_an_item_that_a_third_of_documents_hold(spark):
     docs = [(i, f"{prose(i, 50)} {item if i % 3 == 0 else prose(i + 5000, 30)}", "x", 0) for i in range(300)]
     found = contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, item, "k")], ITEM)).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(0, 300, 3))
+
+
+def pairs(spark, docs, items):
+    documents = spark.createDataFrame([(*doc, "x", 0) for doc in docs], DOC)
+    found = contaminated(documents, spark.createDataFrame([(*item, "k") for item in items], ITEM)).collect()
+    return sorted((r["doc_id"], r["item_id"]) for r in found)
+
+
+def test_parts_of_long_items_are_found(spark):
+    long, words = prose(9000, 500), prose(9000, 500).split()
+    question = prose(9001, 20)
+    common = " ".join(prose(1, 300).split()[i % 7] for i in range(40))
+    items = [(1, long), (2, f"{prose(9002, 150)} {question}"), (3, f"{prose(9003, 20)} {common}")]
+    docs = [(i, prose(i, 200)) for i in range(20)]
+    docs += [(100, f"{prose(50, 80)} {' '.join(words[150:350])} {prose(51, 80)}"), (101, f"{prose(52, 80)} {question.upper()}?")]
+    docs += [(102, f"{prose(53, 60)} {' '.join(words[40:53])} {prose(54, 30)} {' '.join(words[83:96])} {prose(55, 60)}")]
+    docs += [(103, f"{prose(56, 60)} {' '.join(words[40:46])} {prose(57, 60)}"), (104, f"{prose(58, 60)} {common[: len(common) // 2]}")]
+    assert pairs(spark, docs, items) == [(100, 1), (101, 2), (102, 1), (104, 3)]
