@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,12 +23,47 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 20_000
 # An alignment of so many words or more is reported by its own score, whatever share of the item it is.
 LEAST_WORDS = 13
-# Letters and digits stay, other ASCII becomes a space; bytes of other characters stay.
+# Letters and digits of ASCII stay, the rest of it becomes a space; bytes of other characters stay.
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
+# A text with more distinct characters beyond ASCII is translated in one pass instead of one by one.
+MANY_CHARACTERS = 40
+# Ranges of scripts written without spaces, whose characters are words (Thai and Lao, Myanmar, Khmer, Tai,
+# kana, Han, Javanese).
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007),
+    (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF),
+)
+
+
+class _Characters(dict):
+    """What each code point becomes: letters, marks and digits stay, alone in scripts without spaces; the rest splits."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if unicodedata.category(char)[0] not in "LMN":
+            value = " "
+        else:
+            value = f" {char} " if any(low <= code <= high for low, high in SPACELESS) else char
+        self[code] = value
+        return value
+
+
+_CHARACTERS = _Characters({code: chr(code) for code in range(128)})
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").decode().lower().encode().translate(_WORDS).split()
+    """Lower-case words in UTF-8, split at all that is no letter, mark or digit of Unicode."""
+    lower = (text or b"").decode().lower()
+    if not lower.isascii():
+        others = [char for char in set(lower) if char > "\x7f"]
+        if len(others) > MANY_CHARACTERS:
+            lower = lower.translate(_CHARACTERS)
+        else:
+            for char in others:
+                if (value := _CHARACTERS[ord(char)]) != char:
+                    lower = lower.replace(char, value)
+    return lower.encode().translate(_WORDS).split()
 
 
 class Vocabulary(dict):
@@ -97,13 +133,13 @@ def rare_seeds(block: Block, counts: np.ndarray, total: int, rare: float = RARE)
     Rarity is judged by the words' counts over the whole corpus: how often they would meet by chance in a thousand
     words. Copies of an item, however many, do not make its seeds common. Each stretch of ``LEAST_WORDS`` words keeps
     its rarest n-gram, rare or not, so that a copy of any such part holds a seed; so does an item shorter than that. An
-    item shorter than a seed has none and is reported by nobody.
+    item shorter than a seed is one as a whole.
     """
     share = np.maximum(counts, 1) / max(total, 1)
     seeds: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
     for i, places in enumerate(block.items):
         size = min(SEED_WORDS, len(places))
-        if size < SEED_WORDS:
+        if not size:
             continue
         codes = block.codes(places, size)
         chance = np.ones(len(codes))

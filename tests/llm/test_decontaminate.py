@@ -79,3 +79,11 @@ def test_parts_of_long_items_are_found(spark):
     docs += [(102, f"{prose(53, 60)} {' '.join(words[40:53])} {prose(54, 30)} {' '.join(words[83:96])} {prose(55, 60)}")]
     docs += [(103, f"{prose(56, 60)} {' '.join(words[40:46])} {prose(57, 60)}"), (104, f"{prose(58, 60)} {common[: len(common) // 2]}")]
     assert pairs(spark, docs, items) == [(100, 1), (101, 2), (102, 1), (104, 3)]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Fermat"), (2, "Noether's"), (3, "中国的首都是哪里"), (4, "ประเทศไทย"), (5, "the “second” law—of motion’s end"), (6, "日本")]
+    docs = [(i, prose(i, 60)) for i in range(20)]
+    docs += [(100, f"{prose(50, 9)}, FERMAT. {prose(51, 9)}"), (101, f"{prose(52, 9)} (Noether’s) {prose(53, 9)}"), (102, "Noether")]
+    docs += [(103, "他问：中国的首都是哪里？我不知道。"), (104, "ในประเทศไทยมี"), (105, 'now the "second" law - of motion\'s end is'), (106, "在日本国"), (107, "本日")]
+    assert pairs(spark, docs, items) == [(100, 1), (101, 2), (103, 3), (104, 4), (105, 5), (106, 6)]
