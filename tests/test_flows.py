@@ -1,12 +1,14 @@
 """The library-directory analysis from raw CSV texts to every report."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabscope import presets
 from tabscope.plans.flows import association_flow, cleaning_flow, clustering_flow, integrate_flow, supervised_flow
+from workload import analysis
 
 TOWNS = [
     ("Barcelona", 1713247, 101.4, 16904.3, 1), ("Hospitalet de Llobregat, l'", 292161, 12.4, 23561.4, 2),
@@ -114,3 +116,16 @@ def test_association(cleaned):
     assert out["comments"].count() == 6
     total = out["percent_collapsed"].agg(F.sum("n_total")).first()[0]
     assert total == 160
+
+
+def test_registered_flows_compute_anew(monkeypatch):
+    calls = []
+    for name in ("supervised_flow", "clustering_flow", "kmeans_sweep"):
+        result = SimpleNamespace(scores=None)
+        monkeypatch.setattr(analysis, name, lambda *args, name=name, result=result: calls.append(name) or result)
+    for name in ("_labelled_only", "_vectors", "_cluster_spec", "stage"):
+        monkeypatch.setattr(analysis, name, lambda *args: None)
+    for flow in (analysis._supervised, analysis._clustering, analysis._sweep):
+        flow("one session", "one path")
+        flow("one session", "one path")
+    assert calls == ["supervised_flow"] * 2 + ["clustering_flow"] * 2 + ["kmeans_sweep"] * 2

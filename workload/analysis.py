@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -386,7 +384,6 @@ def _register_flow(prefix: str, flow, names: tuple[str, ...]) -> None:
         )
 
 
-@lru_cache(maxsize=2)
 def _supervised(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return supervised_flow(_labelled_only(spark, sf), QUALITY)
 
@@ -444,7 +441,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _sweep(spark, sf)
 
 
-@lru_cache(maxsize=2)
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     return kmeans_sweep(stage(_vectors(spark, sf), "vectors")).scores
 
@@ -551,9 +547,7 @@ def _cluster_spec() -> ModelSpec:
     return ModelSpec("doc_id", "quality", ("n_chars",), ("toxic",), ("lang",))
 
 
-@lru_cache(maxsize=2)
 def _clustering(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """One sweep serves the queries over its tables."""
     return clustering_flow(_labelled_only(spark, sf), _cluster_spec())
 
 
