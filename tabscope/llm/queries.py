@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import chat, decontaminate, jaccard, language, licenses, packing, quality, secrets, tokens, warc
+from tabscope.llm import alignment, chat, decontaminate, jaccard, language, licenses, mixing, packing, quality
+from tabscope.llm import search, secrets, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,3 +219,94 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = language.identify_languages(docs, language_model(docs))
     return found.withColumn("held_out", F.coalesce(fold(docs), F.lit(False)))
+
+
+# -- 11: ranked lexical search -----------------------------------------------------------------------------------
+
+_SEARCH_SQL = r"""WITH texts AS (
+      SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    words AS (SELECT row_no, unnest(terms) AS term FROM texts),
+    frequencies AS (SELECT row_no, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (SELECT row_no, doc_id, len(terms) AS n FROM texts WHERE len(terms) > 0),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM frequencies, total GROUP BY term, docs),
+    asked AS (
+      SELECT item_row, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS item_row, item_id, unnest(
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+    scores AS (
+      SELECT item_row, item_id, row_no, doc_id,
+        CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM asked JOIN frequencies USING (term) JOIN weights USING (term) JOIN sizes USING (row_no), total GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS rank FROM scores
+      WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op11_ranked_search", _SEARCH_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
+
+
+# -- 12: mixing sources to target weights ------------------------------------------------------------------------
+
+MIX_CYCLE, MIX_SHARE, MIX_CAP, MIX_SEED = (3, 1, 2), 1.5, 2.0, 42
+
+_MIX_SQL = rf"""WITH RECURSIVE docs AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        md5('{MIX_SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS digest
+      FROM documents),
+    drawn AS (SELECT doc_id, source, size, CAST('0x' || digest[1:3] AS INTEGER) AS step,
+      CASE WHEN size > 0 THEN CAST(floor(log2(size)) AS INTEGER) ELSE 0 END AS cls FROM docs),
+    sources AS (
+      SELECT source, sum(size) AS s, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]
+        ::DOUBLE AS w FROM drawn GROUP BY source),
+    ordered AS (
+      SELECT sum(s) OVER () AS total, coalesce(sum(s) OVER before, 0) AS cut, sum(w) OVER after AS weights
+      FROM sources WINDOW before AS (ORDER BY 2.0 * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        after AS (ORDER BY 2.0 * s / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    level AS (SELECT max((1.5::DOUBLE * total - 2.0::DOUBLE * cut) / weights) AS x FROM ordered),
+    targets AS (SELECT source, s, least(2.0::DOUBLE * s, x * w) AS target FROM sources, level),
+    rates AS (SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS INTEGER) ELSE 0 END AS whole FROM targets),
+    cells AS (SELECT source, cls, step, sum(size) AS words FROM drawn GROUP BY ALL),
+    classes AS (SELECT source, cls, sum(words) AS words, list(step ORDER BY step) AS steps, list(words ORDER BY step) AS parts
+      FROM cells GROUP BY source, cls),
+    walk AS (
+      SELECT source, 48 AS cls, target - whole * s AS owed, CAST(s AS DOUBLE) AS rest, 0 AS taken FROM rates
+      UNION ALL
+      SELECT source, cls, owed - coalesce(list_sum([parts[i] for i in range(1, len(steps) + 1) if steps[i] < t]), 0), rest - words, t
+      FROM (SELECT w.source, w.cls - 1 AS cls, owed, rest, coalesce(c.words, 0) AS words, coalesce(c.steps, []) AS steps,
+          coalesce(c.parts, []) AS parts,
+          CASE WHEN rest > 0 THEN CAST(floor(least(greatest(owed / rest, 0), 1) * 4096 + 0.5) AS INTEGER) ELSE 0 END AS t
+        FROM walk w LEFT JOIN classes c ON w.source IS NOT DISTINCT FROM c.source AND c.cls = w.cls - 1 WHERE w.cls > 0))
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target,
+      CAST(size * (whole + CASE WHEN s > 0 AND step < taken THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+      JOIN walk w ON d.source IS NOT DISTINCT FROM w.source AND d.cls = w.cls AND w.cls < 48"""
+
+
+@query("op12_source_mixing", _MIX_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix_copies(docs, MIX_CYCLE, MIX_SHARE, MIX_CAP, MIX_SEED).select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
+
+
+# -- 13: cross-tokenizer alignment -------------------------------------------------------------------------------
+
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query("op13_tokenizer_alignment")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    return alignment.align_tokenizers(table(spark, sf, "documents"), *files)
