@@ -6,19 +6,73 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.numbers import min_max_scale, percent, round_half_even
+from tabscope.operators import lloyd, sums
 from tabscope.operators.columns import require_columns
+from tabscope.operators.projection import fit_components, project
+from tabscope.operators.silhouettes import ANCHORS, euclidean_silhouettes, nearest
 
-SWEEP_SCHEMA = "k int, inertia double, silhouette double"
+SWEEP_SCHEMA = "k int, inertia double, silhouette double, silhouette_error double"
+
+
+@dataclass(frozen=True)
+class ClusterModel:
+    """Centres (k x width) with their cost over the fitted rows; labels rows as MLlib does, dense or sparse."""
+
+    model: KMeansModel
+    inertia: float
+    rounds: int
+
+    @property
+    def centres(self) -> np.ndarray:
+        """One centre per label, in the order of the labels."""
+        return np.array(self.model.clusterCenters())
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+def given_centres(spark: SparkSession, centres: np.ndarray, column: str = "features", prediction: str = "cluster") -> KMeansModel:
+    """An MLlib model of these centres: a fit of no rounds whose first centres are all rows there are."""
+    rows = spark.createDataFrame([(Vectors.dense(centre),) for centre in centres.tolist()], [column])
+    fit = KMeans(featuresCol=column, predictionCol=prediction, k=max(len(centres), 2), initMode="random", maxIter=0, seed=1)
+    return fit.fit(rows)
+
+
+def _fits(
+    data: sums.Vectors,
+    ks: Sequence[int],
+    n_init: int,
+    seed: int,
+    max_iter: int,
+    tolerance: float,
+    first: Sequence[np.ndarray] | None,
+    column: str,
+    prediction: str,
+) -> tuple[dict[int, ClusterModel], np.ndarray]:
+    """The best start of each k, all fitted together; and the middle of the rows."""
+    shift = lloyd.middle(data)
+    if first is None:
+        starts = lloyd.seeds(data, max(ks), range(n_init), seed, shift)
+    else:
+        starts = {number: np.asarray(centres, np.float64) - shift for number, centres in enumerate(first)}
+    wanted = [(k, lloyd.Start(number, centres[:k])) for k in ks for number, centres in starts.items()]
+    done = lloyd.lloyd(data, [run for _, run in wanted], shift, max_iter, tolerance)
+    models = {}
+    for k in ks:
+        own = [run for (asked, _), run in zip(wanted, done) if asked == k]
+        best = min(own, key=lambda run: (run.cost, run.number))
+        centres = given_centres(data.table.sparkSession, best.centres + shift, column, prediction)
+        models[k] = ClusterModel(centres, best.cost, best.rounds)
+    return models, shift
 
 
 def kmeans_fit(
@@ -27,18 +81,17 @@ def kmeans_fit(
     n_init: int = 20,
     seed: int = 42,
     max_iter: int = 300,
+    tolerance: float = 1e-4,
+    first: Sequence[np.ndarray] | None = None,
     column: str = "features",
     prediction: str = "cluster",
-) -> KMeansModel:
-    """The best of ``n_init`` seeded starts by within-cluster cost. Stage ``features`` before calling."""
-    best = None
-    for start in range(n_init):
-        model = KMeans(
-            featuresCol=column, predictionCol=prediction, k=k, seed=seed + start, maxIter=max_iter, tol=1e-4
-        ).fit(features)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+) -> ClusterModel:
+    """The best of ``n_init`` seeded starts, or of the given ``first`` centres, by within-cluster cost.
+
+    All starts are fitted by the same scans, until no centre moves by more than ``tolerance``; see ``lloyd``.
+    """
+    data = sums.vectors(features, column, name="kmeans")
+    return _fits(data, [k], n_init, seed, max_iter, tolerance, first, column, prediction)[0][k]
 
 
 @dataclass(frozen=True)
@@ -46,7 +99,7 @@ class KSweep:
     """Scores per k and the fitted model of each k, so that the chosen one is not fitted again."""
 
     scores: DataFrame
-    models: Mapping[int, KMeansModel]
+    models: Mapping[int, ClusterModel]
 
 
 def kmeans_sweep(
@@ -55,18 +108,23 @@ def kmeans_sweep(
     k_max: int = 6,
     n_init: int = 20,
     seed: int = 42,
+    max_iter: int = 300,
+    tolerance: float = 1e-4,
+    first: Sequence[np.ndarray] | None = None,
     column: str = "features",
     prediction: str = "cluster",
+    anchors: int = ANCHORS,
 ) -> KSweep:
-    """Inertia and silhouette for each k. The vectors are kept in memory, and on disk beyond it, for the sweep."""
-    rows, models = [], {}
-    kept = features.select(column).persist(StorageLevel.MEMORY_AND_DISK)
-    for k in range(k_min, k_max + 1):
-        model = kmeans_fit(kept, k, n_init, seed, column=column, prediction=prediction)
-        score = silhouette(model.transform(kept), column, prediction).first()["silhouette"]
-        rows.append((k, float(model.summary.trainingCost), score))
-        models[k] = model
-    kept.unpersist()
+    """Inertia and Euclidean silhouette, with its error, for each k.
+
+    The vectors are written once. All starts of all k share each scan (of ``first`` centres, k of each start serve k): one a centre for the seeds, one a round until all rest,
+    and one each for the anchors and the silhouettes of the best models; see ``euclidean_silhouettes``.
+    """
+    data = sums.vectors(features, column, name="sweep")
+    ks = range(k_min, k_max + 1)
+    models, shift = _fits(data, ks, n_init, seed, max_iter, tolerance, first, column, prediction)
+    scores = euclidean_silhouettes(data, nearest([model.centres - shift for model in models.values()], shift), anchors, seed)
+    rows = [(k, model.inertia, score.mean, score.error) for (k, model), score in zip(models.items(), scores)]
     return KSweep(features.sparkSession.createDataFrame(rows, SWEEP_SCHEMA), models)
 
 
@@ -93,11 +151,11 @@ def silhouette(df: DataFrame, column: str = "features", label: str = "cluster")
 
 
 def cluster_assignments(
-    features: DataFrame, model: KMeansModel, key: str, keep: Sequence[str] = ()
+    features: DataFrame, model: ClusterModel, key: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Row key, cluster and descriptive columns."""
     labelled = model.transform(features)
-    return labelled.select(key, model.getPredictionCol(), *keep)
+    return labelled.select(key, model.model.getPredictionCol(), *keep)
 
 
 def modes_by_group(df: DataFrame, group: str, columns: Sequence[str], suffix: str = "_mode") -> DataFrame:
@@ -152,22 +210,12 @@ def pca_2d(
 ) -> DataFrame:
     """Centred projection on the first two principal components, with the variance share of each.
 
-    The largest loading of each component is made positive, so that signs do not depend on the solver.
+    The largest loading of each component is made positive, so that signs do not depend on the solver. Sparse rows stay
+    sparse; see ``principal_components``.
     """
-    centred = (
-        StandardScaler(inputCol=column, outputCol="__centred", withMean=True, withStd=False).fit(df).transform(df)
-    )
-    model = PCA(k=2, inputCol="__centred", outputCol="__pc").fit(centred)
-    loadings = model.pc.toArray()
-    shares = [float(value) for value in model.explainedVariance]
-    point = vector_to_array(F.col("__pc"))
-    axes: list[Column] = []
-    for i, name in enumerate(names):
-        sign = 1.0 if loadings[np.abs(loadings[:, i]).argmax(), i] >= 0 else -1.0
-        axes.append((point[i] * F.lit(sign)).alias(name))
-    return model.transform(centred).select(
-        *keep, *axes, *[F.lit(share).alias(f"share_{name}") for share, name in zip(shares, names)]
-    )
+    model = fit_components(df, column, len(names))
+    points = project(df, model, column, keep, names)
+    return points.select("*", *[F.lit(share).alias(f"share_{name}") for share, name in zip(model.shares, names)])
 
 
 def pca_scaled(projection: DataFrame, names: tuple[str, str] = ("pca_1", "pca_2")) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Interaction, VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.features import FeatureEncoder
 from tabscope.operators.joins import lookup_join, measured_bytes
-from tabscope.session import stage
+from tabscope.operators.newton import Problem, trust_region
+from tabscope.operators.sums import vectors
 
 
 @dataclass(frozen=True)
@@ -33,20 +33,16 @@ def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
 def logistic_fit(
     train: DataFrame,
     target: str,
-    key: str,
     encoder: FeatureEncoder,
     penalize_intercept: bool = True,
     c: float = 1.0,
     max_iter: int = 1000,
     tolerance: float = 1e-6,
-    aggregation_depth: int = 2,
 ) -> LogisticModel:
-    """L2 logistic regression, inverse strength ``c``, balanced class weights.
+    """L2 logistic regression, inverse strength ``c``, balanced class weights, by a trust-region Newton method.
 
-    With ``penalize_intercept`` the bias is a coefficient like any other: a constant feature is appended, and on
-    half of the rows (chosen by a hash of ``key``) the whole feature vector and the label are flipped. The loss is
-    the same for a flipped row, while the constant now varies, which the optimiser needs to fit it.
-    The encoded rows are staged once, as sparse vectors, and every iteration reads only them.
+    With ``penalize_intercept`` the bias is a coefficient like any other. The encoded rows are written once, as sparse
+    vectors; each step scans only them, see ``trust_region``. It ends at a gradient of ``tolerance`` times that at zero.
     """
     classes = train.groupBy(target).agg(F.count("*").alias("n")).limit(3)
     counts = {row[target]: row["n"] for row in classes.collect()}
@@ -54,39 +50,17 @@ def logistic_fit(
         raise ValueError(f"the target must hold both classes 0 and 1, found {sorted(counts, key=str)}")
     weights = balanced_weights(counts)
     label = F.col(target).cast("double")
-    weight = F.when(label == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0]))
-    flipped = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 1 if penalize_intercept else F.lit(False)
     given = train.withColumns(
-        {
-            "__label": F.when(flipped, 1.0 - label).otherwise(label),
-            "__weight": weight,
-            "__sign": F.when(flipped, F.lit(-1.0)).otherwise(F.lit(1.0)),
-            "__one": F.lit(1.0),
-        }
+        {"__label": label, "__weight": F.when(label == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0]))}
     )
-    rows = encoder.assemble(given, ["__label", "__weight", "__sign", "__one"], "__plain")
-    if penalize_intercept:
-        rows = VectorAssembler(inputCols=["__plain", "__one"], outputCol="__with_one").transform(rows)
-        rows = Interaction(inputCols=["__sign", "__with_one"], outputCol="features").transform(rows)
-    else:
-        rows = rows.withColumnRenamed("__plain", "features")
-    rows = stage(rows.select(F.col("__label").alias("label"), F.col("__weight").alias("weight"), "features"), "logistic")
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        regParam=1.0 / (c * sum(counts.values())),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=not penalize_intercept,
-        maxIter=max_iter,
-        tol=tolerance,
-        aggregationDepth=aggregation_depth,
-    ).fit(rows)
-    found = [float(value) for value in model.coefficients]
-    if penalize_intercept:
-        return LogisticModel(encoder, found[-1], tuple(found[:-1]))
-    return LogisticModel(encoder, float(model.intercept), tuple(found))
+    rows = encoder.assemble(given, ["__label", "__weight"], "__features")
+    rows = rows.select(F.col("__label").alias("label"), F.col("__weight").alias("weight"), "__features")
+    data = vectors(rows, "__features", ["label", "weight"], "logistic")
+    penalty = np.ones(data.width + 1)
+    penalty[-1] = 1.0 if penalize_intercept else 0.0
+    fit = trust_region(Problem(data, c, penalty), tolerance, max_iter)
+    found = fit.weights.tolist()
+    return LogisticModel(encoder, found[-1], tuple(found[:-1]))
 
 
 def logistic_score(df: DataFrame, model: LogisticModel, keep: Sequence[str]) -> DataFrame:

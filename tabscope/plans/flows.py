@@ -195,7 +195,7 @@ def supervised_flow(
     split = stratified_split(table, spec.target, spec.key, test_size, seed)
     train, test = parts(split)
     encoder = fit_encoder(train, spec.numeric, spec.binary, spec.categorical, drop_first=True, levels=levels)
-    model = logistic_fit(train, spec.target, spec.key, encoder, penalize_intercept)
+    model = logistic_fit(train, spec.target, encoder, penalize_intercept)
     scored = logistic_score(test, model, [spec.key, spec.target])
     assert_finite(scored, "probability")
     return {

@@ -122,8 +122,8 @@ def test_registered_flows_compute_anew(monkeypatch):
     calls = []
     for name in ("supervised_flow", "clustering_flow", "kmeans_sweep"):
         result = SimpleNamespace(scores=None)
-        monkeypatch.setattr(analysis, name, lambda *args, name=name, result=result: calls.append(name) or result)
-    for name in ("_labelled_only", "_vectors", "_cluster_spec", "stage"):
+        monkeypatch.setattr(analysis, name, lambda *args, name=name, result=result, **settings: calls.append(name) or result)
+    for name in ("_labelled_only", "_vectors", "_cluster_spec", "stage", "_first_centres", "rounded"):
         monkeypatch.setattr(analysis, name, lambda *args: None)
     for flow in (analysis._supervised, analysis._clustering, analysis._sweep):
         flow("one session", "one path")

@@ -68,7 +68,7 @@ def test_logistic_equals_newton(spark, labelled_rows):
     rows = [(i, *map(float, x[i]), int(f[i]), str(c[i]), int(y[i])) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, x1 double, x2 double, f int, c string, y int")
     encoder = fit_encoder(df, ["x1", "x2"], ["f"], ["c"], drop_first=True)
-    model = logistic_fit(df, "y", "id", encoder)
+    model = logistic_fit(df, "y", encoder)
     z = (x - x.mean(0)) / x.std(0)
     matrix = np.column_stack([z, f, c == "b", c == "c"]).astype(float)
     weights = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (1 - y).sum()))
@@ -83,10 +83,10 @@ def test_logistic_equals_newton(spark, labelled_rows):
     assert [row["abs_coefficient"] for row in table] == sorted((abs(v) for v in model.coefficients), reverse=True)
     top = [row["coefficient"] for row in top_coefficients(coefficient_table(spark, model), 3).collect()]
     assert top == sorted(row["coefficient"] for row in table[:3])
-    free = logistic_fit(df, "y", "id", encoder, penalize_intercept=False)
+    free = logistic_fit(df, "y", encoder, penalize_intercept=False)
     assert free.intercept != pytest.approx(model.intercept, abs=1e-4)
     with pytest.raises(ValueError, match="both classes"):
-        logistic_fit(df.where("y = 1"), "y", "id", encoder)
+        logistic_fit(df.where("y = 1"), "y", encoder)
 
 
 @pytest.fixture(scope="module")
@@ -134,11 +134,11 @@ def test_kmeans(spark, points, vectors):
     assert best_k(sweep.scores).first()["k"] == 3
     assert scores[2]["inertia"] > scores[3]["inertia"] > scores[4]["inertia"]
     model = sweep.models[3]
-    centres = np.array(model.clusterCenters())
+    centres = model.centres
     for row in cluster_assignments(vectors, model, "id", ["label"]).collect():
         assert row["cluster"] == ((centres - x[row["id"]]) ** 2).sum(1).argmin()
     again = kmeans_fit(vectors, 3, n_init=2)
-    assert np.allclose(np.array(again.clusterCenters()), centres)
+    assert np.allclose(again.centres, centres)
     tied = spark.createDataFrame([(4, 0.5), (2, 0.5), (3, 0.1)], "k int, silhouette double")
     assert best_k(tied).first()["k"] == 2
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tabscope.functions.numbers import assumption_label, band_label, decision_la
 from tabscope.functions.recode import collapse_levels
 from tabscope.functions.stats import cramers_v
 from tabscope.operators.clusters import (
+    ClusterModel,
     best_k,
     cluster_assignments,
     cluster_bars,
@@ -35,6 +37,7 @@ from tabscope.operators.joins import group_count_broadcast
 from tabscope.operators.metrics import classification_metrics, confusion_matrix, confusion_shares, roc_auc
 from tabscope.operators.models import LogisticModel, coefficient_table, logistic_fit, logistic_score
 from tabscope.operators.profile import stack_row
+from tabscope.operators.silhouettes import euclidean_silhouette
 from tabscope.operators.split import hash_split, split_summary, stratified_split
 from tabscope.plans.flows import ModelSpec, association_flow, clustering_flow, supervised_flow
 from tabscope.session import stage
@@ -316,7 +319,7 @@ QUALITY = ModelSpec("doc_id", "quality", ("n_chars", "in_source"), ("toxic",), (
 def _logistic(spark: SparkSession, sf: str):
     rows = _labelled_only(spark, sf)
     encoder = fit_encoder(rows, QUALITY.numeric, QUALITY.binary, QUALITY.categorical, drop_first=True)
-    return rows, logistic_fit(rows, QUALITY.target, QUALITY.key, encoder)
+    return rows, logistic_fit(rows, QUALITY.target, encoder)
 
 
 @query(
@@ -335,9 +338,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     features = {**model.encoder.scaled(), **model.encoder.flags(), "intercept": F.lit(1.0)}
     weights = [*model.coefficients, model.intercept]
     sums = scored.agg(*[F.sum(residual * value).alias(name) for name, value in features.items()])
-    entries = [(F.lit(name), r6((F.col(name) + w) / n).alias("g")) for name, w in zip(features, weights)]
-    gradient = stack_row(sums, entries, ("variable", "gradient"))
-    return gradient.withColumn("gradient", F.round("gradient", 3) + F.lit(0.0))
+    entries = [(F.lit(name), (r6((F.col(name) + w) / n) + F.lit(0.0)).alias("g")) for name, w in zip(features, weights)]
+    return stack_row(sums, entries, ("variable", "gradient"))
 
 
 # A model with given coefficients: its scores and its table have a closed form.
@@ -413,54 +415,97 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.select("vec_id", "label", array_to_vector("embedding").alias("features"))
 
 
-# Two groups of one feature: the best of all cuts of the sorted values, by their running sums.
-_TWO = """(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)"""
-_CUT = f"""(SELECT arg_min(cut, cost) AS cut, min(cost) AS cost, arg_min(low, cost) AS low, arg_min(high, cost) AS high FROM (
-  SELECT x AS cut, s / n AS low, (ts - s) / (tn - n) AS high, (q - s * s / n) + (tq - q - (ts - s) * (ts - s) / (tn - n)) AS cost
-  FROM (SELECT x, count(*) OVER w AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, count(*) OVER () AS tn,
-    sum(x) OVER () AS ts, sum(x * x) OVER () AS tq FROM {_TWO} WINDOW w AS (ORDER BY x)) WHERE n < tn))"""
+# Fits from fixed starts, which a recursive query can follow round by round: start s takes the rows 6 s, 6 s + 1, ...
+FIXED_STARTS, LARGEST_K, SQL_ROUNDS = 4, 6, 60
 
 
-def _one_feature(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.col("embedding")[0].cast("double")
-    return stage(table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(F.array(first)).alias("features")), "one")
+def _first_centres(vectors: DataFrame, starts: int) -> list[np.ndarray]:
+    rows = vectors.where(F.col("vec_id") < starts * LARGEST_K).orderBy("vec_id").select("features").collect()
+    centres = np.array([row[0].toArray() for row in rows])
+    return [centres[s * LARGEST_K : (s + 1) * LARGEST_K] for s in range(starts)]
+
+
+def _lloyd_sql(starts: int, ks: str) -> str:
+    """Rounds of assignment and means; fit: the last centres of each start s and k, with their cost; best: the best start."""
+    return f"""WITH RECURSIVE pts AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    rounds AS (
+      SELECT 0 AS i, s.s, k.k, c.c, p.x AS centre FROM (SELECT unnest(range({starts})) AS s) s, (SELECT unnest({ks}) AS k) k,
+        (SELECT unnest(range({LARGEST_K})) AS c) c, pts p WHERE c.c < k.k AND p.vec_id = {LARGEST_K} * s.s + c.c
+      UNION ALL
+      SELECT i + 1, s, k, c, list(m ORDER BY axis) FROM (
+        SELECT n.i, n.s, n.k, n.c, g.axis, avg(p.x[g.axis]) AS m FROM (
+          SELECT r.i, r.s, r.k, p.vec_id, arg_min(r.c, list_distance(p.x, r.centre)) AS c FROM rounds r, pts p
+          WHERE r.i < {SQL_ROUNDS} GROUP BY ALL) n
+        JOIN pts p ON p.vec_id = n.vec_id, (SELECT unnest(range(1, 65)) AS axis) g GROUP BY ALL) GROUP BY i, s, k, c),
+    near AS (SELECT r.s, r.k, p.vec_id, arg_min(r.c, list_distance(p.x, r.centre)) AS c, min(list_distance(p.x, r.centre)) AS d
+      FROM rounds r, pts p WHERE r.i = {SQL_ROUNDS} GROUP BY ALL),
+    costs AS (SELECT s, k, sum(d * d) AS inertia FROM near GROUP BY s, k),
+    best AS (SELECT k, arg_min(s, inertia) AS s, min(inertia) AS inertia FROM costs GROUP BY k),
+    fit AS (SELECT r.k, r.c, r.centre, b.inertia, row_number() OVER (PARTITION BY r.k ORDER BY r.centre[1]) - 1 AS side
+      FROM rounds r JOIN best b ON r.s = b.s AND r.k = b.k WHERE r.i = {SQL_ROUNDS}),
+    labelled AS (SELECT n.k, n.vec_id, n.c FROM near n JOIN best b ON n.s = b.s AND n.k = b.k)"""
+
+
+def _fixed_fit(spark: SparkSession, sf: str) -> tuple[DataFrame, ClusterModel]:
+    vectors = stage(_vectors(spark, sf), "vectors")
+    return vectors, kmeans_fit(vectors, 3, tolerance=1e-9, first=_first_centres(vectors, 1))
+
+
+def _sides(model: ClusterModel) -> list[int]:
+    """The place of each centre by its first coordinate, as numbers of clusters depend on the start."""
+    return np.argsort(np.argsort(model.centres[:, 0])).tolist()
 
 
 @query(
     "kmeans_fit",
-    f"""SELECT {R("low")} AS centre, {R("cost")} AS inertia FROM {_CUT} UNION ALL SELECT {R("high")}, {R("cost")} FROM {_CUT}""",
+    f"""{_lloyd_sql(1, "[3]")} SELECT CAST(side AS INTEGER) AS side, CAST(axis AS INTEGER) AS axis,
+      {R("centre[axis + 1]")} AS centre, {R("inertia")} AS inertia FROM fit, (SELECT unnest(range(64)) AS axis)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    model = kmeans_fit(_one_feature(spark, sf), 2)
-    rows = [(float(centre[0]), float(model.summary.trainingCost)) for centre in model.clusterCenters()]
-    return rounded(spark.createDataFrame(rows, "centre double, inertia double"), "centre", "inertia")
+    _, model = _fixed_fit(spark, sf)
+    rows = [
+        (side, axis, value, model.inertia)
+        for side, centre in zip(_sides(model), model.centres.tolist())
+        for axis, value in enumerate(centre)
+    ]
+    return rounded(spark.createDataFrame(rows, "side int, axis int, centre double, inertia double"), "centre", "inertia")
 
 
-@query("kmeans_sweep")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _sweep(spark, sf)
+_SWEEP = f"""{_lloyd_sql(FIXED_STARTS, f"range(2, {LARGEST_K + 1})")},
+    pairs AS (SELECT a.k, a.vec_id, a.c AS own, b.c AS other, avg(list_distance(p.x, q.x)) AS m FROM labelled a
+      JOIN labelled b ON a.k = b.k AND a.vec_id <> b.vec_id JOIN pts p ON p.vec_id = a.vec_id JOIN pts q ON q.vec_id = b.vec_id
+      GROUP BY a.k, a.vec_id, a.c, b.c),
+    sides AS (SELECT k, vec_id, max(CASE WHEN own = other THEN m END) AS a, min(CASE WHEN own <> other THEN m END) AS b
+      FROM pairs GROUP BY k, vec_id),
+    scores AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sides GROUP BY k)
+    SELECT CAST(b.k AS INTEGER) AS k, {R("inertia")} AS inertia, {R("silhouette")} AS silhouette,
+      CAST(0 AS DOUBLE) AS silhouette_error FROM best b JOIN scores s ON b.k = s.k"""
 
 
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return kmeans_sweep(stage(_vectors(spark, sf), "vectors")).scores
+    vectors = stage(_vectors(spark, sf), "vectors")
+    sweep = kmeans_sweep(vectors, 2, LARGEST_K, tolerance=1e-9, first=_first_centres(vectors, FIXED_STARTS))
+    return rounded(sweep.scores, "inertia", "silhouette", "silhouette_error")
 
 
-@query("best_k")
+@query("kmeans_sweep", _SWEEP)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _sweep(spark, sf)
+
+
+@query("best_k", f"SELECT * FROM ({_SWEEP}) ORDER BY silhouette DESC, k LIMIT 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return best_k(_sweep(spark, sf))
 
 
 @query(
     "cluster_assignments",
-    f"""SELECT t.vec_id, e.label, CASE WHEN t.x <= c.cut THEN 0 ELSE 1 END AS side
-      FROM {_TWO} t JOIN embeddings e ON t.vec_id = e.vec_id, {_CUT} c""",
+    f"""{_lloyd_sql(1, "[3]")} SELECT p.vec_id, p.label, CAST(f.side AS INTEGER) AS side
+      FROM labelled l JOIN fit f ON l.c = f.c JOIN pts p ON p.vec_id = l.vec_id""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """The cluster is given as the order of its centre, as numbers depend on the start."""
-    vectors = _one_feature(spark, sf)
-    model = kmeans_fit(vectors, 2)
-    centres = [float(centre[0]) for centre in model.clusterCenters()]
-    side = F.element_at(F.array(*[F.lit(int(c > min(centres))) for c in centres]), F.col("cluster") + 1)
+    vectors, model = _fixed_fit(spark, sf)
+    side = F.element_at(F.array(*[F.lit(s) for s in _sides(model)]), F.col("cluster") + 1)
     return cluster_assignments(vectors, model, "vec_id", ["label"]).select("vec_id", "label", side.alias("side"))
 
 
@@ -494,31 +539,64 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(silhouette(_vectors(spark, sf), "features", "label"), "silhouette")
 
 
-# Two features: the eigenvectors of their 2x2 covariance in closed form, the larger loading of each made positive.
-_PCA = f"""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-  m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM p),
-  r AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS turn, sqrt(pow((a - c) / 2, 2) + b * b) AS half FROM m),
-  v AS (SELECT *, cos(turn) AS u1, sin(turn) AS u2 FROM r),
-  f AS (SELECT *, CASE WHEN abs(u1) >= abs(u2) THEN sign(u1) ELSE sign(u2) END AS s1,
-    CASE WHEN abs(u2) >= abs(u1) THEN sign(-u2) ELSE sign(u1) END AS s2 FROM v),
-  t AS (SELECT p.vec_id, p.label, s1 * (u1 * (x - mx) + u2 * (y - my)) AS pca_1, s2 * (-u2 * (x - mx) + u1 * (y - my)) AS pca_2,
-    ((a + c) / 2 + half) / (a + c) AS share_1, ((a + c) / 2 - half) / (a + c) AS share_2 FROM p, f)"""
+@query("silhouette_euclidean", _silhouette_sql(_DISTANCE))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(euclidean_silhouette(_vectors(spark, sf), "features", "label").select("silhouette"), "silhouette")
+
+
+@query("silhouette_exact", _silhouette_sql(_DISTANCE))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = euclidean_silhouette(_vectors(spark, sf), "features", "label", exact=True)
+    return rounded(found.select("silhouette"), "silhouette")
+
 
+def _power_sql(matrix: str, name: str) -> str:
+    """The leading eigenvector of a symmetric matrix (a, b, v): its 2^17th power by squaring, and its longest column."""
+    return f"""{name}_powers AS (
+      SELECT 0 AS turn, a, b, v FROM {matrix}
+      UNION ALL
+      SELECT turn + 1, a, b, v / max(abs(v)) OVER () FROM (SELECT l.turn, l.a, r.b, sum(l.v * r.v) AS v
+        FROM {name}_powers l JOIN {name}_powers r ON l.b = r.a WHERE l.turn < 17 GROUP BY l.turn, l.a, r.b)),
+    {name}_column AS (SELECT b, sqrt(sum(v * v)) AS size FROM {name}_powers WHERE turn = 17 GROUP BY b ORDER BY 2 DESC LIMIT 1),
+    {name}_unit AS (SELECT p.a, p.v / c.size AS u FROM {name}_powers p JOIN {name}_column c ON p.b = c.b WHERE turn = 17),
+    {name} AS (SELECT a, u * (SELECT sign(arg_max(u, abs(u))) FROM {name}_unit) AS u FROM {name}_unit),
+    {name}_value AS (SELECT sum(l.u * m.v * r.u) AS value FROM {matrix} m JOIN {name} l ON m.a = l.a JOIN {name} r ON m.b = r.a)"""
 
-def _plane(spark: SparkSession, sf: str) -> DataFrame:
-    two = F.array(*[F.col("embedding")[i].cast("double") for i in (0, 1)])
-    return table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(two).alias("features"))
 
+_PCA = f"""WITH RECURSIVE {_POINTS},
+  means AS (SELECT axis, avg(x) AS m FROM points GROUP BY axis),
+  cells AS MATERIALIZED (SELECT vec_id, label, p.axis, x - m AS x FROM points p JOIN means ON p.axis = means.axis),
+  spread AS MATERIALIZED (SELECT l.axis AS a, r.axis AS b, sum(l.x * r.x) / ((SELECT count(*) FROM embeddings) - 1) AS v
+    FROM cells l JOIN cells r ON l.vec_id = r.vec_id GROUP BY l.axis, r.axis),
+  {_power_sql("spread", "first")},
+  rest AS MATERIALIZED (SELECT s.a, s.b, s.v - f.value * l.u * r.u AS v FROM spread s JOIN first l ON s.a = l.a JOIN first r ON s.b = r.a,
+    first_value f),
+  {_power_sql("rest", "second")},
+  total AS (SELECT sum(v) AS v FROM spread WHERE a = b),
+  t AS (SELECT vec_id, label, sum(x * f.u) AS pca_1, sum(x * s.u) AS pca_2, max(fv.value / total.v) AS share_pca_1,
+      max(sv.value / total.v) AS share_pca_2 FROM cells JOIN first f ON axis = f.a JOIN second s ON axis = s.a, first_value fv,
+    second_value sv, total GROUP BY vec_id, label)"""
+_PCA_COLUMNS = ("pca_1", "pca_2", "share_pca_1", "share_pca_2")
 
-@query("pca_2d", f"""{_PCA} SELECT vec_id, label, {R("pca_1")} AS pca_1, {R("pca_2")} AS pca_2 FROM t""")
+
+def _projection(spark: SparkSession, sf: str) -> DataFrame:
+    return pca_2d(_vectors(spark, sf), keep=("vec_id", "label"))
+
+
+@query("pca_2d", f"""{_PCA} SELECT vec_id, label, {", ".join(f"{R(name)} AS {name}" for name in _PCA_COLUMNS)} FROM t""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = pca_2d(_plane(spark, sf), keep=("vec_id", "label"))
-    return rounded(found.select("vec_id", "label", "pca_1", "pca_2"), "pca_1", "pca_2")
+    return rounded(_projection(spark, sf), *_PCA_COLUMNS)
 
 
-@query("pca_scaled")
+@query(
+    "pca_scaled",
+    f"""{_PCA} SELECT vec_id, label, {", ".join(f"{R(name)} AS {name}" for name in _PCA_COLUMNS)},
+      {R("(pca_1 - min(pca_1) OVER ()) / (max(pca_1) OVER () - min(pca_1) OVER ())")} AS pca_1_scaled,
+      {R("(pca_2 - min(pca_2) OVER ()) / (max(pca_2) OVER () - min(pca_2) OVER ())")} AS pca_2_scaled FROM t""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return pca_scaled(pca_2d(_vectors(spark, sf), keep=("vec_id", "label")))
+    scaled = pca_scaled(stage(_projection(spark, sf), "projection"))
+    return rounded(scaled, *_PCA_COLUMNS, "pca_1_scaled", "pca_2_scaled")
 
 
 _PROFILE = f"""SELECT lang, count(*) AS n_rows, {PCT("count(*)", "(SELECT count(*) FROM documents)")} AS pct_rows,
