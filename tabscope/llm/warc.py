@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.common import by_value, map_rows
@@ -18,18 +18,16 @@ from tabscope.llm.common import by_value, map_rows
 # Date and HTTP headers of responses that are built from pages, which carry none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 PAGE_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-# Comments, elements whose content is not text, and tags; an unclosed one ends with the page.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<[!?/]?([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""",
-    re.S | re.I,
-)
+# How a tag begins, and the elements whose content is not text.
+TAG = re.compile(r"<([!?/]?)([a-z][^\s/>\"']*)", re.I)
+HIDDEN = frozenset(("script", "style", "noscript", "template"))
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
+QUOTE_OR_END = re.compile(r"""["'>]""")
 # Elements that do not break a line.
 INLINE = frozenset(
     "a abbr b bdi bdo cite code em font i kbd mark q s samp small span strong sub sup time tt u var".split()
 )
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(r"<title\b", re.I)
 HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
@@ -44,22 +42,90 @@ def record_id(*parts: str) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts)).urn}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text: markup out, a line break at every block element, character references resolved, space folded."""
+def titles(page: str) -> Iterator[tuple[int, int, str]]:
+    """Title elements in order: where each begins and ends, and its content. An unclosed one ends with the page."""
+    at = 0
+    while (tag := TITLE.search(page, at)) and (opened := page.find(">", tag.end())) >= 0:
+        closed = CLOSING["title"].search(page, opened)
+        end = closed.start() if closed else len(page)
+        at = closed.end() if closed else end
+        yield tag.start(), at, page[opened + 1 : end]
+
+
+class _TagEnds:
+    """Where tags end: at the first > outside of quotes. Each quote and > is looked at once, however many tags are broken."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def after(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at ``at``; -1 if a quote or the tag stays open."""
+        seen, found = [], -1
+        while special := QUOTE_OR_END.search(self.page, at):
+            at = special.start()
+            if at in self.known:
+                found = self.known[at]
+                break
+            seen.append(at)
+            if special[0] == ">":
+                found = at
+                break
+            at = self.page.find(special[0], at + 1) + 1
+            if not at:
+                break
+        self.known.update(dict.fromkeys(seen, found))
+        return found
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Comments, hidden elements and tags in order: where each begins and ends, the name of a tag and its attributes.
+
+    One scan, linear in the page also where nothing is closed: comments and hidden elements then end with the page, and
+    a broken tag is text.
+    """
+    at, ends = 0, _TagEnds(page)
+    last = page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            closed = page.find("-->", at + 4)
+            end = len(page) if closed < 0 else closed + 3
+            yield at, end, "", ""
+            at = end
+            continue
+        tag = TAG.match(page, at) if at < last else None
+        name = tag[2].lower() if tag else ""
+        if tag and not tag[1] and name in HIDDEN:
+            closed = CLOSING[name].search(page, page.find(">", tag.end()))
+            end = closed.end() if closed else len(page)
+            yield at, end, "", ""
+            at = end
+        elif tag and (end := ends.after(tag.end())) >= 0:
+            yield at, end + 1, name, page[tag.end() : end]
+            at = end + 1
+        else:
+            at += 1
+
+
+def _without(page: str, parts: Iterator[tuple[int, int, str]]) -> str:
+    pieces, at = [], 0
+    for start, end, instead in parts:
+        pieces += [page[at:start], instead]
+        at = end
+    return "".join([*pieces, page[at:]])
 
-    def replace(match: re.Match) -> str:
-        name = (match[2] or "").lower()
-        return "" if name in INLINE else "\n"
 
-    text = html.unescape(MARKUP.sub(replace, TITLE.sub("\n", page)))
-    return LINES.sub("\n", SPACE.sub(" ", text)).strip()
+def plain_text(page: str) -> str:
+    """Visible text: markup out, a line break at every block element, character references resolved, space folded."""
+    page = _without(page, ((start, end, "\n") for start, end, _ in titles(page)))
+    text = _without(page, ((start, end, "" if name in INLINE else "\n") for start, end, name, _ in markup(page)))
+    return LINES.sub("\n", SPACE.sub(" ", html.unescape(text))).strip()
 
 
 def page_links(page: str, base: str) -> list[str]:
     """Targets of the anchors in order, made absolute, each once."""
     links: dict[str, None] = {}
-    for match in MARKUP.finditer(page):
-        if (match[2] or "").lower() == "a" and (found := HREF.search(match[3] or "")):
+    for _, _, name, attributes in markup(page):
+        if name == "a" and (found := HREF.search(attributes)):
             target = html.unescape(next(x for x in found.groups() if x is not None)).strip()
             try:
                 links.setdefault(urljoin(base, target))
@@ -68,6 +134,11 @@ def page_links(page: str, base: str) -> list[str]:
     return list(links)
 
 
+def _valid(value: Column) -> Column:
+    """As text; missing values are empty, and bytes that are no UTF-8 become the replacement character."""
+    return F.make_valid_utf8(F.coalesce(value.cast("string"), F.lit("")))
+
+
 def one_line(value: str) -> str:
     return " ".join(value.split())
 
@@ -79,7 +150,7 @@ def responses_of_pages(
 
     The identifier follows from key and address. Missing addresses and pages become empty ones.
     """
-    columns = {name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in (key, url, page)}
+    columns = {name: _valid(F.col(f"`{name}`")) for name in (key, url, page)}
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -107,8 +178,8 @@ def derive(key, source_id: str, uri: str, date: str, http: str, payload: str) ->
         "WARC-Refers-To-Payload-Digest": digest(body),
         "WARC-Refers-To-Block-Digest": digest(http.encode() + body),
     }
-    title = TITLE.search(payload)
-    fields = [("title", one_line(html.unescape(title[1])) if title else "")]
+    title = next((content for _, _, content in titles(payload)), "")
+    fields = [("title", one_line(html.unescape(title)))]
     fields += [("http-header", line) for line in http.split("\r\n") if line]
     fields += [("outlink", one_line(link)) for link in page_links(payload, uri)]
     metadata = "".join(f"{name}: {value}\r\n" for name, value in fields)
@@ -147,7 +218,8 @@ def derivatives(
     Rows: key, record_type, record_id, refers_to, target_uri, block_digest, source_digest, header (the record's WARC
     header) and block. Both name the response (WARC-Refers-To) with its address, date and digests, and each other. The
     identifiers follow from the response's, so repeated rows give equal records. Missing values count as empty; an
-    empty page has an empty conversion. Pages are read whole; other columns are ignored.
+    empty page has an empty conversion; bytes that are no UTF-8 become the replacement character. Pages are read whole, in
+    one linear scan; other columns are ignored; an empty table gives no rows.
     """
     names = (identifier, uri, date, http, payload)
     fields = ("key", "record_type", "record_id", "refers_to", "target_uri", "block_digest", "source_digest", "header", "block")
@@ -159,7 +231,7 @@ def derivatives(
 
     given = responses.select(
         F.col(f"`{key}`").alias("key"),
-        *[F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).alias(f"v{i}") for i, name in enumerate(names)],
+        *[_valid(F.col(f"`{name}`")).alias(f"v{i}") for i, name in enumerate(names)],
     )
     schema = f"key {responses.schema[key].dataType.simpleString()}, " + ", ".join(f"{name} string" for name in fields[1:])
     return map_rows(given, schema, task).withColumnRenamed("key", key)

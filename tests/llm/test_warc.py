@@ -1,8 +1,12 @@
 import base64
 import hashlib
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
+import pytest
+from pyspark.sql import functions as F
+
 from tabscope.llm.warc import derivatives, page_links, plain_text, responses_of_pages
 
 
@@ -70,3 +74,29 @@ def test_edges(spark):
     assert len(found) == 8 and len({r["record_id"] for r in found}) == 6
     assert all("\r\nX: y" not in r["header"] for r in found)
     assert derivatives(responses_of_pages(df.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", "<title ", "<!--", "<script", "<a '", '<a "', "<a \"'", "<", "</", "<title>", "<script>", "<a href=", "&", "<p\n", " "]
+)
+def test_a_megabyte_of_broken_markup_is_read_at_once(part):
+    page = part * (1_000_000 // len(part))
+    begun = time.perf_counter()
+    plain_text(page)
+    page_links(page + ">", "http://e.org/")
+    assert time.perf_counter() - begun < 20
+
+
+def test_broken_tags_are_text():
+    assert plain_text("a <b class='x> c") == "a <b class='x> c"
+    assert plain_text("a <i \"'\">b</i> <i \"'\"'>'>c") == "a b c"
+    assert plain_text("x<scripty>y</scripty>z<SCRIPT src=a>hidden</Script >seen") == "x\ny\nz\nseen"
+    assert plain_text("<title>one</title>text<title>two") == "text"
+    assert plain_text("<!-->still") == "" and plain_text("<!-- a --> b <!-- c") == "b"
+
+
+def test_invalid_bytes_become_replacement_characters(spark):
+    page = F.expr("cast(X'3C623E61FF62' as string)")
+    given = spark.range(1).select(F.col("id").alias("page_id"), F.lit("http://e.org").alias("url"), page.alias("html"))
+    records = {r["record_type"]: r for r in derivatives(responses_of_pages(given)).collect()}
+    assert records["conversion"]["block"] == "a�b"
