@@ -5,9 +5,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabscope.llm.common import by_value, map_rows, texts_of
 
@@ -70,7 +73,11 @@ def random_parts(at: int, run: str, free, efficient, known: frozenset[str]) -> l
 
 
 def find_spans(text: str, encoding, chars_per_token: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) in code points, sorted; kinds are places in ``KINDS``. Random strings overlap no other span."""
+    """(start, kind, end) in code points, sorted; kinds are places in ``KINDS``. Random strings overlap no other span.
+
+    A run longer than ``SLICE`` characters is encoded in slices of that length, so its tokens are those of its slices: at
+    most one more a slice than those of the whole run. Random strings have ``LEAST_RANDOM`` characters at least.
+    """
     spans = []
     if ":" in text or "=" in text:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_VALUE]
@@ -78,10 +85,12 @@ def find_spans(text: str, encoding, chars_per_token: float, known: frozenset[str
     for at, run in runs:
         for kind, form, least in ((1, ACCESS, LEAST_ACCESS), (2, HEX, LEAST_HEX)):
             spans += [(at + m.start(), kind, at + m.end()) for m in form.finditer(run) if len(m[0]) >= least]
-    taken = list(spans)
+    taken = sorted(spans)
+    starts, reach = [start for start, _, _ in taken], list(accumulate((stop for _, _, stop in taken), max))
 
     def free(at: int, end: int) -> bool:
-        return not any(start < end and at < stop for start, _, stop in taken)
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= at
 
     def efficient(run: str) -> bool:
         tokens = sum(len(encoding.encode_ordinary(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
@@ -126,7 +135,7 @@ def scan_secrets(
 
     counts = ", ".join(f"n_{kind} long" for kind in KINDS)
     schema = f"key {df.schema[key].dataType.simpleString()}, {counts}, base_spans string, spans string"
-    return map_rows(texts_of(df, key, text), schema, task).withColumnRenamed("key", key)
+    return map_rows(texts_of(df, key, text, valid=True), schema, task).withColumnRenamed("key", key)
 
 
 def redact_secrets(
@@ -138,7 +147,11 @@ def redact_secrets(
     known: frozenset[str] = frozenset(),
     mark: str = "[secret]",
 ) -> DataFrame:
-    """``df`` with every span of its text replaced by ``mark`` (overlapping spans by one); missing text stays missing."""
+    """``df`` with every span of its text replaced by ``mark`` (overlapping spans by one); missing text stays missing.
+
+    Bytes that are no UTF-8 become the replacement character in every column of strings. Rows are masked one by one,
+    repeated or not; an empty table gives an empty result; all columns are kept, whatever their names.
+    """
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         encoding = _encoding(ranks_path, pattern)
@@ -156,7 +169,8 @@ def redact_secrets(
             yield {**batch, text: out}
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in df.schema)
-    return map_rows(df, fields, task)
+    strings = [field.name for field in df.schema if field.dataType.typeName() == "string"]
+    return map_rows(df.withColumns({name: F.make_valid_utf8(F.col(f"`{name}`")) for name in strings}), fields, task)
 
 
 by_value(__name__)

@@ -1,9 +1,11 @@
 import random
 import re
 import string
+import time
 
 import public_tokenizers
 
+from tabscope.llm import secrets
 from tabscope.llm.queries import BYTE_RANKS
 from tabscope.llm.secrets import redact_secrets, scan_secrets
 
@@ -87,3 +89,27 @@ def test_random_strings_of_any_shape_and_behind_readable_parts(spark):
         at = texts[i].index(x)
         assert found[i] == f"random:{at}:{at + len(x)}", texts[i]
     assert all("random" not in found[i] for i in range(len(whole) + len(behind), len(texts)))
+
+
+def test_many_spans_take_time_in_proportion():
+    encoding = secrets._encoding(RANKS, PATTERN)
+    text = "password=hunter2hunter2 x\n" * 20_000
+    begun = time.perf_counter()
+    spans = secrets.find_spans(text, encoding, 2.2, frozenset())
+    assert len(spans) == 20_000 and time.perf_counter() - begun < 15
+
+
+def test_bounds_of_random_strings():
+    """Runs are encoded in slices, and shorter strings than the least are not looked at: both as documented."""
+    encoding = secrets._encoding(RANKS, PATTERN)
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def found(run):
+        return [span for span in secrets.find_spans(f"see {run} there", encoding, 2.2, frozenset()) if span[1] == 3]
+
+    runs = ["".join(rng.choice(letters) for _ in range(n)) for n in (16, 40, 700, 3000)]
+    assert all(found(run) == [(4, 3, 4 + len(run))] for run in runs)
+    assert not any(found(run[: secrets.LEAST_RANDOM - 1]) for run in runs)
+    sliced = sum(len(encoding.encode_ordinary(runs[3][i : i + secrets.SLICE])) for i in range(0, 3000, secrets.SLICE))
+    assert 0 <= sliced - len(encoding.encode_ordinary(runs[3])) <= 3000 // secrets.SLICE + 1
