@@ -24,7 +24,8 @@ def token_pieces(
     """Cut every document's ids (with ``end_id`` after them) into pieces of ``capacity`` and one remainder.
 
     Rows: doc_id, start, length, doc_tokens and ids (little-endian unsigned 32 bits). A missing or empty text has the
-    end id alone. Repeated rows are cut once each. No other column of ``df`` is read.
+    end id alone; bytes that are no UTF-8 become the replacement character. Repeated rows are cut once each. No other
+    column of ``df`` is read.
     """
     end = struct.pack("<I", end_id)
     width = 4 * capacity
@@ -45,7 +46,7 @@ def token_pieces(
             yield out
 
     schema = f"doc_id {df.schema[key].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary"
-    return map_rows(texts_of(df, key, text), schema, task)
+    return map_rows(texts_of(df, key, text, valid=True), schema, task)
 
 
 def fill_window(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -122,7 +123,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     Only the histogram of lengths (at most ``capacity`` rows) reaches the driver, and the plan made from it goes back
     as at most capacity^2 / 2 short rows, by far fewer in practice. Pieces of one length are ranked in buckets by a
     hash of their row, and buckets by their counts, so a length that holds most rows is spread over all buckets.
-    Pieces of an unfit length fail the job. An empty table gives an empty result.
+    Pieces of an unfit length fail the job. An empty table gives an empty result. Names that begin with two underscores
+    are the operator's own.
     """
     spark = pieces.sparkSession
     own = staged(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
@@ -132,29 +134,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         F.raise_error(F.lit(f"a piece must have 1 to {capacity} tokens")).cast("long")
     )
     own = own.withColumns({"length": checked, "__bucket": bucket})
-    counts = staged(own.groupBy("length", "__bucket").agg(F.count("*").alias("n")), "piece-counts")
-    histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    counts = staged(own.groupBy("length", "__bucket").agg(F.count("*").alias("__n")), "piece-counts")
+    histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     segments = spark.createDataFrame(
         _segments(plan_windows(histogram, capacity)),
-        "length long, low long, high long, first long, per_window long, place long",
+        "__length long, __low long, __high long, __first long, __per_window long, __place long",
     )
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("length", "__bucket").orderBy("__piece")
     ranked = (
         own.withColumn("__in", F.row_number().over(inside) - 1)
         .join(starts, ["length", "__bucket"])
-        .withColumn("__rank", F.col("before") + F.col("__in"))
+        .withColumn("__rank", F.col("__before") + F.col("__in"))
     )
     placed = ranked.join(
-        F.broadcast(segments.withColumnRenamed("length", "s_length")),
-        (F.col("length") == F.col("s_length")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")),
+        F.broadcast(segments),
+        (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")),
     )
-    nth = F.col("__rank") - F.col("low")
+    nth = F.col("__rank") - F.col("__low")
     return placed.select(
         *[F.col(f"`{name}`") for name in pieces.columns],
-        (F.col("first") + F.floor(nth / F.col("per_window"))).cast("long").alias("sequence_id"),
-        (F.col("place") + nth % F.col("per_window") * F.col("length")).cast("long").alias("offset"),
+        (F.col("__first") + F.floor(nth / F.col("__per_window"))).cast("long").alias("sequence_id"),
+        (F.col("__place") + nth % F.col("__per_window") * F.col("length")).cast("long").alias("offset"),
     )
 
 

@@ -78,3 +78,12 @@ def test_hot_length_empty_and_unfit(spark, no_documents):
     assert packed(no_documents).collect() == []
     with pytest.raises(Exception, match="1 to 2048"):
         pack(same.withColumn("length", F.lit(2049).cast("long")), 2048).collect()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["place", "first", "before", "low", "high", "per_window", "s_length", "n", "piece", "rank"]
+    pieces = spark.createDataFrame([(i, 1 + i % 7) for i in range(60)], "doc_id long, length long")
+    named = pieces.withColumns({name: F.col("doc_id") * (at + 2) for at, name in enumerate(names)})
+    rows = pack(named, 16).collect()
+    assert len(rows) == 60
+    assert all(r[name] == r["doc_id"] * (at + 2) for r in rows for at, name in enumerate(names))
