@@ -60,9 +60,14 @@ def _arrow_schema(df: DataFrame, declared: StructType) -> pa.Schema:
     return to_arrow_schema(declared)
 
 
-def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Only the key and the UTF-8 bytes of the text, so that other columns (also of clashing names) play no part."""
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
+def texts_of(df: DataFrame, key: str, text: str, valid: bool = False) -> DataFrame:
+    """Only the key and the UTF-8 bytes of the text, so that other columns (also of clashing names) play no part.
+
+    With ``valid``, bytes that are no UTF-8 become the replacement character; else they are given as they are.
+    """
+    value = F.col(f"`{text}`")
+    value = F.make_valid_utf8(value.cast("string")) if valid else value
+    return df.select(F.col(f"`{key}`").alias("key"), value.cast("binary").alias("text"))
 
 
 def _joined(df: DataFrame, keys: DataFrame, on: list[str], rows: int, how: str) -> DataFrame:
@@ -85,11 +90,6 @@ def except_rows(df: DataFrame, keys: DataFrame, on: list[str], rows: int) -> Dat
     return _joined(df, keys, on, rows, "left_anti")
 
 
-def lookup(df: DataFrame, table: DataFrame, on: str, rows: int) -> DataFrame:
-    """``df`` with the columns of ``table`` (its measured number of ``rows``, unique in ``on``) where it has the key."""
-    return df.join(F.broadcast(table) if rows <= BROADCAST_KEYS else table, on, "left")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: it cuts the lineage and survives lost executors."""
     return stage(df, name)

@@ -54,7 +54,7 @@ _CHARACTERS = _Characters({code: chr(code) for code in range(128)})
 
 def normal_words(text: bytes | None) -> list[bytes]:
     """Lower-case words in UTF-8, split at all that is no letter, mark or digit of Unicode."""
-    lower = (text or b"").decode().lower()
+    lower = (text or b"").decode("utf-8", "replace").lower()
     if not lower.isascii():
         others = [char for char in set(lower) if char > "\x7f"]
         if len(others) > MANY_CHARACTERS:

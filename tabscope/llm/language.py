@@ -31,6 +31,8 @@ CELLS = 1 << 16
 LONGEST_GRAM = 4
 # Labelled rows per language that the counts are taken from, in expectation.
 SAMPLE_ROWS = 1_000
+# Languages of a model at most: those with most labelled rows.
+MOST_LANGUAGES = 256
 SWITCH_PENALTY = 12.0
 LEAST_SCRIPT_SHARE = 0.01
 OUTSIDE_SCRIPT = -20.0
@@ -83,14 +85,16 @@ class LanguageModel:
 def _sample(df: DataFrame, text: str, lang: str, key: str, sample_rows: int) -> tuple[list[str], DataFrame | None]:
     """The languages, and about ``sample_rows`` labelled rows of each, picked by a hash of the key."""
     labelled = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(
-        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")
+        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{lang}`").alias("lang"), F.make_valid_utf8(F.col(f"`{text}`")).alias("text")
     )
-    rows = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    rows = {row["lang"]: row["n"] for row in counted.collect()}
     languages = sorted(rows)
     if not languages:
         return [], None
     share = F.create_map(*[F.lit(x) for name, n in rows.items() for x in (name, min(1.0, sample_rows / n))])
-    return languages, labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    picked = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    return languages, labelled.where(F.col("lang").isin(languages) & picked)
 
 
 def train_language_model(
@@ -99,7 +103,8 @@ def train_language_model(
     """Counts of n-grams and scripts per language over a bounded sample of labelled rows.
 
     Each language keeps about ``sample_rows`` rows, picked by a hash of the key. Counts are summed inside tasks, then
-    by (language, cell); the driver receives at most ``CELLS`` + scripts numbers a language. Rows without text or label
+    by (language, cell); the driver receives at most ``CELLS`` + scripts numbers a language. The ``MOST_LANGUAGES`` labels
+    of most rows are learned, so that a model has a bounded size; rows of other labels, without text or without label
     are left out. Without any labelled row every text is undetermined.
     """
     languages, sample = _sample(df, text, lang, key, sample_rows)
@@ -219,7 +224,7 @@ def explained_shares(
             yield {"key": batch["key"], "explained": [float(share) for share in shares]}
 
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(texts_of(df, key, text), f"key {kind}, explained double", task).withColumnRenamed("key", key)
+    return map_rows(texts_of(df, key, text, valid=True), f"key {kind}, explained double", task).withColumnRenamed("key", key)
 
 
 class WordScorer:
@@ -321,7 +326,7 @@ def identify_languages(
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double, n_spans long, spans string"
-    return map_rows(texts_of(df, key, text), schema, task).withColumnRenamed("key", key)
+    return map_rows(texts_of(df, key, text, valid=True), schema, task).withColumnRenamed("key", key)
 
 
 by_value(__name__)

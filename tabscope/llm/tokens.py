@@ -115,7 +115,11 @@ class ChunkEncoder:
 
 
 def count_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its key and the number of tokens of its whole text (0 for missing text)."""
+    """One row per row of ``df``: its key and the number of tokens of its whole text.
+
+    Missing and empty texts have 0; bytes that are no UTF-8 count as the replacement character; repeated rows are counted
+    one by one, whatever their keys; an empty table gives no rows; other columns play no part.
+    """
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         encoder = ChunkEncoder(tokenizer)
@@ -124,7 +128,7 @@ def count_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             yield {"key": batch["key"], "n_tokens": lengths}
 
     kind = df.schema[key].dataType.simpleString()
-    counted = map_rows(texts_of(df, key, text), f"key {kind}, n_tokens long", task)
+    counted = map_rows(texts_of(df, key, text, valid=True), f"key {kind}, n_tokens long", task)
     return counted.withColumnRenamed("key", key)
 
 

@@ -57,3 +57,12 @@ def test_edges(messy, messy_rows, no_documents):
     empty = train_language_model(no_documents)
     assert identify_languages(no_documents, empty).collect() == []
     assert {r["lang_pred"] for r in identify_languages(messy, empty).collect()} == {"und"}
+
+
+def test_a_model_has_bounded_languages(spark, monkeypatch):
+    from tabscope.llm import language
+
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, "some words of a text", name) for i, name in enumerate(["a", "a", "b", "c", "c", "d"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train_language_model(df).languages == ["a", "c"]
