@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Paths staged inside the open ``staging`` blocks, innermost last.
 _SCOPES: list[list[str]] = []
+# Where each staged table lies, for ``unstage``.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def local_session(cores: int | str = "*", app: str = "tabscope", **conf: str) -> SparkSession:
@@ -69,4 +72,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables after their last reader; results that still read them lazily fail from then on."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            _delete(table.sparkSession, path)
+            for scope in _SCOPES:
+                if path in scope:
+                    scope.remove(path)
