@@ -123,7 +123,7 @@ def _round(data: Vectors, runs: Sequence[Start], shift: np.ndarray) -> tuple[np.
             labels = _labels(found, sizes)
             own = np.zeros(found.shape)
             np.put_along_axis(own, labels, 1.0, 1)
-            sums += rows.weighted(own)
+            rows.add_to(sums, own)
             counts += own.sum(0)
             costs += np.take_along_axis(found, labels, 1).sum(0)
         return np.concatenate([sums.ravel(), counts, costs])

@@ -6,22 +6,23 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.operators.features import FeatureEncoder
-from tabscope.operators.joins import lookup_join, measured_bytes
+from tabscope.operators.features import FeatureEncoder, feature_names
+from tabscope.operators.joins import lookup_join
 from tabscope.operators.newton import Problem, trust_region
 from tabscope.operators.sums import vectors
 
 
 @dataclass(frozen=True)
 class LogisticModel:
-    """An intercept and a coefficient per encoded feature."""
+    """An intercept and a coefficient per encoded feature: all of the model that the driver holds."""
 
     encoder: FeatureEncoder
     intercept: float
-    coefficients: tuple[float, ...]
+    coefficients: Sequence[float]
 
 
 def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
@@ -55,32 +56,39 @@ def logistic_fit(
     )
     rows = encoder.assemble(given, ["__label", "__weight"], "__features")
     rows = rows.select(F.col("__label").alias("label"), F.col("__weight").alias("weight"), "__features")
-    data = vectors(rows, "__features", ["label", "weight"], "logistic")
+    data = vectors(rows, "__features", ["label", "weight"], "logistic", encoder.width)
     penalty = np.ones(data.width + 1)
     penalty[-1] = 1.0 if penalize_intercept else 0.0
     fit = trust_region(Problem(data, c, penalty), tolerance, max_iter)
-    found = fit.weights.tolist()
-    return LogisticModel(encoder, found[-1], tuple(found[:-1]))
+    return LogisticModel(encoder, float(fit.weights[-1]), fit.weights[:-1])
+
+
+def weight_table(spark: SparkSession, weights: Sequence[float], position: str, weight: str) -> DataFrame:
+    """Coefficients with their positions as a table."""
+    values = np.asarray(weights, np.float64)
+    return spark.createDataFrame(pa.table({position: pa.array(np.arange(len(values))), weight: pa.array(values)}))
 
 
 def logistic_score(df: DataFrame, model: LogisticModel, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns, the probability of class 1 and the predicted class; no Python per row.
 
     Numeric and 0/1 features enter as one expression; each category looks the coefficient of its level up in a table,
-    by broadcast within its measured size.
+    made by a join of the level index with the coefficients: by broadcast within 64 MB, else by a shuffle that spreads hot
+    levels.
     """
-    encoder, weights = model.encoder, iter(model.coefficients)
+    encoder, spark = model.encoder, df.sparkSession
     margin = F.lit(float(model.intercept))
-    for value in encoder.scaled().values():
-        margin = margin + value * F.lit(float(next(weights)))
+    for value, weight in zip(encoder.scaled().values(), model.coefficients):
+        margin = margin + value * F.lit(float(weight))
     scored = df.withColumn("__margin", margin)
-    for name, levels in encoder.levels:
-        table = [(level, float(next(weights))) for level in levels]
-        if not table:
+    for name, first in encoder.offsets().items():
+        n = encoder.levels.sizes[name]
+        if not n:
             continue
-        known = df.sparkSession.createDataFrame(table, "__level string, __weight double")
+        weights = weight_table(spark, model.coefficients[first : first + n], "place", "__weight")
+        known = encoder.levels.of(name).join(weights, "place").select(F.col("level").alias("__level"), "__weight")
         scored = scored.withColumn("__level", F.col(name).cast("string"))
-        scored = lookup_join(scored, known, ["__level"], measured_bytes(known))
+        scored = lookup_join(scored, known, ["__level"], encoder.levels.bytes[name] + 8 * n)
         scored = scored.withColumn("__margin", F.col("__margin") + F.coalesce("__weight", F.lit(0.0)))
         scored = scored.drop("__weight", "__level")
     probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))
@@ -89,9 +97,10 @@ def logistic_score(df: DataFrame, model: LogisticModel, keep: Sequence[str]) ->
 
 def coefficient_table(spark: SparkSession, model: LogisticModel) -> DataFrame:
     """(variable, coefficient, abs_coefficient), largest magnitude first; one row per feature."""
-    rows = [(name, value, abs(value)) for name, value in zip(model.encoder.names, model.coefficients)]
-    table = spark.createDataFrame(rows, "variable string, coefficient double, abs_coefficient double")
-    return table.orderBy(F.col("abs_coefficient").desc(), "variable")
+    weights = weight_table(spark, model.coefficients, "position", "coefficient")
+    table = feature_names(spark, model.encoder).join(weights, "position")
+    columns = F.col("feature").alias("variable"), "coefficient", F.abs("coefficient").alias("abs_coefficient")
+    return table.select(*columns).orderBy(F.col("abs_coefficient").desc(), "variable")
 
 
 def top_coefficients(

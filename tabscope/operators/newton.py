@@ -54,7 +54,7 @@ class Problem:
                 loss += float(weight @ np.logaddexp(0.0, -margin))
                 missed = 1.0 / (1.0 + np.exp(np.minimum(margin, 500.0)))
                 pull = -weight * side * missed
-                slope[:-1] += rows.weighted(pull[:, None])[0]
+                rows.add_to(slope[None, :-1], pull[:, None])
                 slope[-1] += pull.sum()
                 if whole:
                     bend = (weight * missed * (1.0 - missed))[:, None]
@@ -80,7 +80,7 @@ class Problem:
                 along = rows.dot(both[:-1]) + both[-1]
                 missed = 1.0 / (1.0 + np.exp(np.clip(along[:, 0], -500.0, 500.0)))
                 pull = rows.others["weight"] * missed * (1.0 - missed) * along[:, 1]
-                total[:-1] += rows.weighted(pull[:, None])[0]
+                rows.add_to(total[None, :-1], pull[:, None])
                 total[-1] += pull.sum()
             return total
 

@@ -46,9 +46,10 @@ def principal_components(data: Vectors, k: int = 2, tolerance: float = 1e-9, see
 
         def task(batches: Iterator[Rows]) -> np.ndarray:
             total = np.zeros(l * width + 2)
+            products = total[:-2].reshape(l, width)
             for rows in batches:
                 rows = moved(rows, shift)
-                total[:-2] += rows.weighted(rows.dot(block)).ravel()
+                rows.add_to(products, rows.dot(block))
                 total[-2] += rows.squares().sum()
                 total[-1] += len(rows)
             return total

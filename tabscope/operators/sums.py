@@ -57,16 +57,19 @@ class Rows:
 
     def weighted(self, weights: np.ndarray) -> np.ndarray:
         """Sum of the rows by weights (rows x m): m x width."""
+        return self.add_to(np.zeros((weights.shape[1], self.width)), weights)
+
+    def add_to(self, total: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """``total`` (m x width) with the sum of the rows by weights added; sparse rows touch their own columns alone."""
         if self.dense is not None:
-            return weights.T @ self.dense
-        out = np.zeros((self.width, weights.shape[1]))
-        if len(self.indices):
+            total += weights.T @ self.dense
+        elif len(self.indices):
             order = np.argsort(self.indices, kind="stable")
             row = np.repeat(np.arange(len(self)), np.diff(self.starts))[order]
             columns = self.indices[order]
             first = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
-            out[columns[first]] = np.add.reduceat(weights[row] * self.values[order][:, None], first, axis=0)
-        return out.T
+            total.T[columns[first]] += np.add.reduceat(weights[row] * self.values[order][:, None], first, axis=0)
+        return total
 
     def squares(self) -> np.ndarray:
         """Squared length of each row."""
@@ -136,8 +139,10 @@ class Vectors:
 
         def partial(rows: Iterator[Rows]) -> Iterator[pa.RecordBatch]:
             total = np.asarray(task(rows), np.float64).ravel()
-            slices = [total[at : at + SLICE] for at in range(0, len(total), SLICE)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(range(len(slices)), pa.int32()), "part": slices})
+            slices = {at // SLICE: total[at : at + SLICE] for at in range(0, len(total), SLICE)}
+            filled = [slot for slot, part in slices.items() if part.any()]
+            parts = pa.array([slices[slot] for slot in filled], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), parts], names=["slot", "part"])
 
         parts = self.batches(partial, "slot int, part array<double>")
         if self.parts * size > DIRECT:
@@ -150,7 +155,9 @@ class Vectors:
         return out
 
 
-def vectors(df: DataFrame, column: str = "features", others: Sequence[str] = (), name: str = "vectors") -> Vectors:
+def vectors(
+    df: DataFrame, column: str = "features", others: Sequence[str] = (), name: str = "vectors", width: int | None = None
+) -> Vectors:
     """``column`` and numeric ``others`` of ``df`` and a row number, written once, for fits that scan them many times.
 
     Rows without a vector are left out. The number tells rows apart and has no order.
@@ -158,7 +165,8 @@ def vectors(df: DataFrame, column: str = "features", others: Sequence[str] = (),
     rows = df.select(F.unwrap_udt(f"`{column}`").alias("v"), *[F.col(f"`{x}`").alias(x) for x in others])
     rows = rows.where("v is not null").withColumn("row", F.monotonically_increasing_id())
     table = stage(rows.select("v.type", "v.size", "v.indices", "v.values", "row", *others), name)
-    width = table.agg(F.max(F.coalesce("size", F.size("values")))).first()[0] or 0
+    if width is None:
+        width = table.agg(F.max(F.coalesce("size", F.size("values")))).first()[0] or 0
     table = table.drop("size")
     return Vectors(table, width, ("row", *others), table.rdd.getNumPartitions())
 

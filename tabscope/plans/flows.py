@@ -27,7 +27,7 @@ from tabscope.operators.contingency import (
     expected_frequencies,
     result_comments,
 )
-from tabscope.operators.features import category_levels, feature_names, fit_encoder
+from tabscope.operators.features import feature_names, fit_encoder, level_index
 from tabscope.operators.impute import clean_stage
 from tabscope.operators.joins import enrich_left_join, lookup_join, measured_bytes
 from tabscope.operators.metrics import classification_metrics, confusion_matrix
@@ -191,7 +191,7 @@ def supervised_flow(
     """
     columns = [spec.key, spec.target, *spec.numeric, *spec.binary, *spec.categorical]
     table = select_required(typed, columns).withColumn(spec.target, F.col(spec.target).cast("int"))
-    levels = category_levels(table, spec.categorical)
+    levels = level_index(table, spec.categorical)
     split = stratified_split(table, spec.target, spec.key, test_size, seed)
     train, test = parts(split)
     encoder = fit_encoder(train, spec.numeric, spec.binary, spec.categorical, drop_first=True, levels=levels)

@@ -223,3 +223,48 @@ def test_empty_and_mixed_rows(spark):
 
     assert data.summed(task, 5).tolist() == [1.0, 5.0, 2.0, 30.0, 3.0]
     assert data.table.agg(F.max("row")).first()[0] is not None
+
+
+def test_many_levels_stay_in_tables(spark, monkeypatch):
+    """Thousands of levels: fitted by sparse rows, scored and listed by joins, never listed on the driver."""
+    from tabscope.operators import features, joins
+    from tabscope.operators.features import feature_names, fit_encoder
+    from tabscope.operators.models import coefficient_table, logistic_fit, logistic_score
+
+    monkeypatch.setattr(features, "MOST_COLUMNS", 10)
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, False, 0))
+    n = 6000
+    df = spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 7 == 0, "hot").otherwise(F.format_string("l%05d", F.col("id") % 2500)).alias("c"),
+        F.when(F.col("id") % 11 > 0, F.format_string("k%d", F.col("id") % 3)).alias("d"),
+        (F.col("id") * 7919 % 1000 / 100.0).alias("x"),
+        ((F.col("id") * 31 % 97) > 40).cast("int").alias("y"),
+    )
+    encoder = fit_encoder(df, ["x"], [], ["c", "d"], drop_first=True)
+    levels = sorted({"hot"} | {f"l{i % 2500:05d}" for i in range(n) if i % 7})
+    assert encoder.width == 1 + len(levels) - 1 + 2
+    names = {r["position"]: r["feature"] for r in feature_names(spark, encoder).collect()}
+    assert [names[i] for i in range(encoder.width)] == ["num__x", *[f"cat__c_{x}" for x in levels[1:]], "cat__d_k1", "cat__d_k2"]
+    with pytest.raises(ValueError, match="too many columns"):
+        encoder.names
+    model = logistic_fit(df, "y", encoder, tolerance=1e-8)
+    rows = df.collect()
+    x = np.zeros((n, encoder.width))
+    at = {name: i for i, name in names.items()}
+    numbers = np.array([r["x"] for r in rows])
+    x[:, 0] = (numbers - numbers.mean()) / numbers.std()
+    for i, r in enumerate(rows):
+        for name in (f"cat__c_{r['c']}", f"cat__d_{r['d']}"):
+            if name in at:
+                x[i, at[name]] = 1.0
+    y = np.array([r["y"] for r in rows])
+    weights = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    p = 1 / (1 + np.exp(-(x @ model.coefficients + model.intercept)))
+    gradient = np.r_[x.T @ (weights * (p - y)), (weights * (p - y)).sum()] + np.r_[model.coefficients, model.intercept]
+    start = np.r_[x.T @ (weights * (0.5 - y)), (weights * (0.5 - y)).sum()]
+    assert np.linalg.norm(gradient) <= 1e-6 * np.linalg.norm(start)
+    scored = {r["id"]: r["probability"] for r in logistic_score(df, model, ["id"]).collect()}
+    assert np.allclose([scored[r["id"]] for r in rows], p)
+    table = coefficient_table(spark, model).collect()
+    assert {r["variable"]: r["coefficient"] for r in table} == pytest.approx({name: model.coefficients[i] for name, i in at.items()})

@@ -16,7 +16,7 @@ from tabscope.operators.clusters import (
     pca_scaled,
     silhouette,
 )
-from tabscope.operators.features import category_levels, feature_names, fit_encoder, one_hot, standardize
+from tabscope.operators.features import feature_names, fit_encoder, level_index, one_hot, standardize
 from tabscope.operators.models import coefficient_table, logistic_fit, logistic_score, top_coefficients
 
 
@@ -35,7 +35,7 @@ def test_encoder(spark):
     flat = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [row["x_z"] for row in standardize(flat, ["x"]).collect()] == [0.0, 0.0]
     many = spark.range(4500).select(F.format_string("l%04d", F.col("id") % 1500).alias("c"))
-    assert len(category_levels(many, ["c"])["c"]) == 1500
+    assert level_index(many, ["c"]).sizes == {"c": 1500}
     wide = fit_encoder(many, categorical=["c"], drop_first=True)
     vector = wide.assemble(many.where("c = 'l0700'").limit(1)).first()["features"]
     assert vector.size == 1499 and vector.indices.tolist() == [699] and vector.values.tolist() == [1.0]

@@ -228,7 +228,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     encoder = fit_encoder(known, ["n_chars"], ["toxic"], ["lang"])
     slots = vector_to_array(F.col("features"))
     vectors = encoder.assemble(known, ["doc_id"])
-    flat = vectors.select("doc_id", *[slots[i].alias(f"f{i}") for i in range(len(encoder.names))])
+    flat = vectors.select("doc_id", *[slots[i].alias(f"f{i}") for i in range(encoder.width)])
     return rounded(flat, "f0")
 
 
@@ -336,7 +336,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     scored = logistic_score(rows, model, rows.columns)
     residual = weight * (F.col("probability") - F.col("quality"))
     features = {**model.encoder.scaled(), **model.encoder.flags(), "intercept": F.lit(1.0)}
-    weights = [*model.coefficients, model.intercept]
+    weights = [*map(float, model.coefficients), model.intercept]
     sums = scored.agg(*[F.sum(residual * value).alias(name) for name, value in features.items()])
     entries = [(F.lit(name), (r6((F.col(name) + w) / n) + F.lit(0.0)).alias("g")) for name, w in zip(features, weights)]
     return stack_row(sums, entries, ("variable", "gradient"))
