@@ -7,7 +7,9 @@ ones cut a bucket evenly, each gaining ten bits of the 52 that are left at most.
 the smallest to infinities, and fewer do when a bucket holds so few rows that its values are counted one by one.
 The buckets of the wanted ranks are found in Spark; the driver receives one row per column and rank.
 
-Every pass reads its input again: stage a table that comes from joins or groupings before calling.
+Every pass reads its input again: stage a table that comes from joins or groupings before calling. Columns weighed by
+distinct value are read once: their distinct values are written, by one shuffle for any number of ranks, and every pass
+counts the rows of that table instead.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.numbers import nan_to_null
+from tabscope.session import stage, unstage
 
 BUCKETS = 1024
 LISTED = 16384
@@ -67,24 +70,37 @@ class _Interval:
 
 @dataclass(frozen=True)
 class _Series:
-    """The columns under study, each weighed by row or by distinct value: a place is a position in ``columns``."""
+    """The columns under study, each weighed by row or by distinct value: a place is a position in ``columns``.
+
+    ``numbers`` has a column for each; ``single`` a row (place, value) for each distinct value of those weighed so.
+    """
 
     numbers: DataFrame
     columns: tuple[str, ...]
+    single: DataFrame | None
     distinct: frozenset[int]
 
-    def located(self, cells: list[Column], wanted: Column, first: Column) -> list[Row]:
-        """Count ``cells`` (structs of place, part, cell, exact, value; NULL cells are left out), and return those that
-        hold a wanted rank with their extremes, first rank, and the size and extremes of their part."""
-        rows = self.numbers.select(F.inline(F.array(*cells))).where(F.col("cell").isNotNull())
+    def close(self) -> None:
+        """Delete the table of distinct values."""
+        if self.single is not None:
+            unstage(self.single)
+
+    def value(self, place: int) -> Column:
+        """The value of a place in a row of the table that is counted for it; NULL in rows of other places."""
+        if place in self.distinct:
+            return F.when(F.col("place") == place, F.col("value"))
+        return F.col(f"`{self.columns[place]}`")
+
+    def located(self, cells: list[tuple[int, Column]], wanted: Column, first: Column) -> list[Row]:
+        """Count ``cells`` (with their places, structs of place, part, cell, exact, value; NULL cells are left out), and
+        return those that hold a wanted rank with their extremes, first rank, and the size and extremes of their part."""
+        by_row = [cell for place, cell in cells if place not in self.distinct]
+        by_value = [cell for place, cell in cells if place in self.distinct]
+        tables = [(self.numbers, by_row), (self.single, by_value)]
+        counted = [table.select(F.inline(F.array(*own))) for table, own in tables if own]
+        rows = (counted[0].unionByName(counted[1]) if len(counted) > 1 else counted[0]).where(F.col("cell").isNotNull())
         counts = [F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
-        if self.distinct:
-            once = F.when(F.col("place").isin(*self.distinct), F.col("value"))
-            counts.append(F.count_distinct(once).alias("n_distinct"))
         counted = rows.groupBy("place", "part", "cell", "exact").agg(*counts)
-        if self.distinct:
-            weighed = F.when(F.col("place").isin(*self.distinct), F.col("n_distinct")).otherwise(F.col("n"))
-            counted = counted.withColumn("n", weighed)
         part = Window.partitionBy("part")
         before = part.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
         placed = counted.withColumns(
@@ -101,22 +117,22 @@ class _Series:
     def first_pass(self, wanted: Column) -> list[Row]:
         """Cells by magnitude; a part is a whole place."""
         cells = []
-        for i, name in enumerate(self.columns):
-            value = F.col(f"`{name}`")
+        for i in range(len(self.columns)):
+            value = self.value(i)
             doubling = F.least(F.log2(F.abs(value)), F.lit(float(HIGHEST_DOUBLING)))
             size = F.floor((doubling - F.lit(float(LOWEST_DOUBLING))) * F.lit(float(GRID))).cast("long")
             cell = F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * size)
-            cells.append(self._cell(i, i, cell, F.lit(None).cast("double"), value))
+            cells.append((i, self._cell(i, i, cell, F.lit(None).cast("double"), value)))
         return self.located(cells, wanted, F.lit(0).cast("long"))
 
     def next_pass(self, intervals: Sequence[_Interval], buckets: int) -> list[Row]:
         """Cells inside each interval; a part is an interval."""
         cells = []
         for i, interval in enumerate(intervals):
-            value = F.col(f"`{self.columns[interval.place]}`")
+            value = self.value(interval.place)
             cell = F.when(interval.holds(value), interval.bucket(value, buckets))
             exact = value if interval.listed else F.lit(None).cast("double")
-            cells.append(self._cell(interval.place, i, cell, exact, value))
+            cells.append((interval.place, self._cell(interval.place, i, cell, exact, value)))
         at = F.col("part") + 1
         first = F.element_at(F.array(*[F.lit(interval.first).cast("long") for interval in intervals]), at)
         ranks = F.array(*[_longs(interval.ranks) for interval in intervals])
@@ -158,7 +174,13 @@ def _series(df: DataFrame, columns: Sequence[str], distinct: bool | Collection[s
         *[(nan_to_null(F.col(f"`{name}`").cast("double")) + F.lit(0.0)).alias(name) for name in columns]
     )
     by_value = set(columns) if distinct is True else set(distinct or ())
-    return _Series(numbers, tuple(columns), frozenset(i for i, name in enumerate(columns) if name in by_value))
+    places = [i for i, name in enumerate(columns) if name in by_value]
+    single = None
+    if places:
+        pairs = [F.struct(F.lit(i).alias("place"), F.col(f"`{columns[i]}`").alias("value")) for i in places]
+        single = numbers.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
+        single = stage(single, "distinct-values")
+    return _Series(numbers, tuple(columns), single, frozenset(places))
 
 
 def kth_values(
@@ -169,6 +191,7 @@ def kth_values(
     series = _series(df, columns, distinct)
     wanted = F.element_at(F.array(*[_longs(ranks[name]) for name in columns]), F.col("place") + 1)
     found = series.settle(series.first_pass(wanted), buckets)
+    series.close()
     values = {(columns[place], rank): value for (place, rank), value in found.items()}
     outside = [(name, rank) for name in columns for rank in ranks[name] if (name, rank) not in values]
     if outside:
@@ -196,6 +219,7 @@ def summarize_columns(
     above = [F.least(low + 1, F.col("total") - 1) for low in below]
     rows = series.first_pass(F.array(*below, *above, F.lit(0).cast("long")))
     values = series.settle(rows, buckets)
+    series.close()
     for row in rows:
         n, quantiles = row["total"], {}
         for p in probabilities:
