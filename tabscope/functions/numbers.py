@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Lower bounds (inclusive) of the strength bands of Cramér's V.
 ASSOCIATION_BANDS = ((0.10, "very weak"), (0.30, "weak"), (0.50, "moderate"))
@@ -16,13 +16,13 @@ STRONGEST_BAND = "strong"
 
 def coerce_numeric(text: Column) -> Column:
     """Text to double; whatever is not a plain decimal number becomes NULL."""
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
 def strict_numeric(text: Column) -> Column:
     """Text to double; a malformed value fails the query."""
     bad = F.raise_error(F.concat(F.lit("not a number: "), text))
-    return F.when(text.isNull() | text.rlike(_NUMBER), F.trim(text).try_cast("double")).otherwise(bad.cast("double"))
+    return F.when(text.isNull() | text.rlike(NUMBER), F.trim(text).try_cast("double")).otherwise(bad.cast("double"))
 
 
 def nan_to_null(number: Column) -> Column:

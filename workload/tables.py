@@ -35,6 +35,7 @@ from tabscope.presets import TRAILING_ARTICLES
 from tabscope.session import scratch_path
 from tabscope.sources.tables import (
     literal_dimension,
+    read_csv_checked,
     read_csv_table,
     read_report_bundle,
     write_report_bundle,
@@ -68,6 +69,52 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv_table(spark, path, CUSTOMER)
 
 
+@query(
+    "read_csv_inferred",
+    """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment,
+      printf('%05d', c_nationkey) AS code, c_custkey % 3 = 0 AS flag FROM customer""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Types come from the texts alone: whole and decimal numbers, codes with leading zeros, booleans."""
+    customer = table(spark, sf, "customer")
+    code, flag = F.format_string("%05d", "c_nationkey"), F.col("c_custkey") % 3 == 0
+    given = customer.select(*CUSTOMER.names, code.alias("code"), flag.alias("flag"))
+    path = write_table(given, scratch_path(spark, "customer-csv"), "csv", mark=True)
+    return read_csv_checked(spark, path, keep_codes=True).table
+
+
+@query(
+    "csv_rejected",
+    """SELECT coalesce("column", '') AS "column", reason, count(*) AS n_values, CAST(sum(length(coalesce(v, ''))) AS BIGINT) AS chars
+      FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'c_acctbal' ELSE 'c_nationkey' END AS "column",
+          CASE WHEN c_custkey % 10 = 0 THEN 'number of fields' WHEN c_custkey % 10 = 1 THEN 'not a double' ELSE 'not a int' END
+            AS reason, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'x' || c_custkey ELSE '1.5' END AS v
+        FROM customer WHERE c_custkey % 10 < 3) GROUP BY ALL
+      UNION ALL SELECT '', 'accepted', count(*), 0 FROM customer WHERE c_custkey % 10 >= 3""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """One line in ten has a field too few, one a text for a number, one a fraction for an integer."""
+    key = F.col("c_custkey")
+    fields = [
+        key.cast("string"),
+        F.col("c_name"),
+        F.when(key % 10 == 2, "1.5").otherwise(F.col("c_nationkey").cast("string")),
+        F.when(key % 10 == 1, F.concat(F.lit("x"), key)).otherwise(F.col("c_acctbal").cast("string")),
+        F.when(key % 10 > 0, F.col("c_mktsegment")),
+    ]
+    path = scratch_path(spark, "lines")
+    lines = table(spark, sf, "customer").select(F.concat_ws(",", *fields).alias(",".join(CUSTOMER.names)))
+    lines.write.csv(path, header=True, sep="\u0001")  # one field a line, so that its commas are written as they are
+    found = read_csv_checked(spark, path, CUSTOMER)
+    counted = found.rejected.groupBy(F.coalesce("column", F.lit("")).alias("column"), "reason").agg(
+        F.count("*").alias("n_values"), F.sum(F.length(F.coalesce("value", F.lit("")))).alias("chars")
+    )
+    accepted = found.table.agg(F.count("*").alias("n_values")).select(
+        F.lit("").alias("column"), F.lit("accepted").alias("reason"), "n_values", F.lit(0).cast("long").alias("chars")
+    )
+    return union_reports(counted, accepted)
+
+
 # The inline dimension of the example.
 ZONES = [(0, "Àfrica, l'"), (1, "Amèriques, les"), (2, "Àsia"), (3, "Europa"), (4, "Orient Mitjà, L'")]
 
