@@ -6,11 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import by_value, except_rows, lookup, map_rows, semi, staged, texts_of
+from tabscope.llm.common import BROADCAST_KEYS, by_value, except_rows, map_rows, semi, staged, texts_of
+from tabscope.operators.joins import lookup_join, measured_bytes
+from tabscope.session import unstage
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -22,6 +25,10 @@ LEAST_MATCHES, TOKENS_PER_MATCH = 2, 12
 # Prefix extensions that the cost estimate chooses from (shared tokens required).
 MATCHES = (1, 2, 4, 8, 16)
 REMEMBERED_WORDS = 500_000
+# A token that holds more than this share of all postings is known to be expensive before they are dealt by token.
+HOT_SHARE, TRACKED_TOKENS = 1000, 8192
+# Distinct posting lists that a task counts before it passes them on, and pairs at one centre that one task compares.
+COUNTED_LISTS, CENTRE_PAIRS = 50_000, 1 << 20
 # Odd multipliers, one per word of a shingle (as many as the longest shingle), and the last mix.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -61,27 +68,31 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(df: DataFrame, key: str, text: str, size: int, percent: int, whole: bool) -> DataFrame:
-    """key, node (identity of the set), n (its size), tokens (all, or a prefix in hash order)."""
+    """key, digest (128 bits that stand for the set), n (its size), tokens (all, or a prefix in hash order)."""
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         known = WordHashes()
         for batch in batches:
-            out: dict[str, list] = {"key": batch["key"], "node": [], "n": [], "tokens": []}
+            out: dict[str, list] = {"key": batch["key"], "digest": [], "n": [], "tokens": []}
             for value in batch["text"]:
                 if len(known) > REMEMBERED_WORDS:
                     known.clear()
                 tokens = shingle_set(value, known, size)
                 n = len(tokens)
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=8).digest()
-                out["node"].append(int.from_bytes(digest, "little", signed=True) if n else None)
+                out["digest"].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
                 out["n"].append(n)
                 out["tokens"].append(tokens if whole else tokens[: prefix_length(n, percent)])
             yield out
 
-    schema = f"key {df.schema[key].dataType.simpleString()}, node long, n long, tokens array<long>"
+    schema = f"key {df.schema[key].dataType.simpleString()}, digest binary, n long, tokens array<long>"
     return map_rows(texts_of(df, key, text), schema, task)
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, on: str, spread_by: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (unique in ``on``), joined by shuffle at every size, hot keys in pieces."""
+    return lookup_join(rows, table, [on], 1, spread_by=[spread_by], broadcast_bytes=0)
+
+
 def _need(n: Column, percent: int) -> Column:
     """Least overlap of a set of ``n`` with any partner."""
     return F.ceil(n * percent / 100)
@@ -124,14 +135,117 @@ def _list_pairs(index: DataFrame, percent: int) -> DataFrame:
     return counted.where(enough).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "c")
 
 
+def _runs(postings: DataFrame, long_list: int) -> DataFrame:
+    """Postings (token, node, n) dealt by token once. Tokens that one set holds vanish; a short list becomes m, its members
+    by size, with k, how often a task saw it; the rows of longer lists are passed on as they are.
+
+    Rows of hot tokens, which a bounded sketch finds, have long lists for certain and are not dealt at all.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3  # the rows of the last token so far
+        counts: dict[bytes, int] = {}
+        long_token = None
+
+        def lists() -> pa.RecordBatch:
+            members = [np.frombuffer(raw, "<i8").reshape(2, -1) for raw in counts]
+            ends = np.r_[0, np.cumsum([m.shape[1] for m in members])]
+            flat = np.concatenate(members, 1) if members else np.zeros((2, 0), np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=["n", "node"])
+            m = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(arrow.field("m").type)
+            empty = pa.nulls(len(members), pa.int64())
+            found = [empty, empty, empty, m, pa.array(list(counts.values()), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(found, schema=arrow)
+
+        def rows(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            nothing = pa.nulls(len(token), arrow.field("m").type), pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([*map(pa.array, (token, node, n)), *nothing], schema=arrow)
+
+        def closed(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What becomes of complete runs."""
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(token)])
+            long = np.repeat((sizes > long_list) | (token[starts] == long_token if long_token is not None else False), sizes)
+            if long.any():
+                yield rows(token[long], node[long], n[long])
+            both = np.stack([n, node])
+            for at, size in zip(starts.tolist(), sizes.tolist()):
+                if 1 < size <= long_list and not long[at]:
+                    raw = both[:, at : at + size].tobytes()
+                    counts[raw] = counts.get(raw, 0) + 1
+            if len(counts) > COUNTED_LISTS:
+                yield lists()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "node", "n")]
+            kept = [np.concatenate(both) for both in zip(kept, new)]
+            cut = int(np.searchsorted(kept[0], kept[0][-1]))
+            yield from closed(*[column[:cut] for column in kept])
+            kept = [column[cut:] for column in kept]
+            if len(kept[0]) > long_list or kept[0][0] == long_token:
+                long_token = kept[0][0]
+                yield rows(*kept)
+                kept = [column[:0] for column in kept]
+        yield from closed(*kept)
+        yield lists()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("token long, node long, n long, m array<struct<n: long, node: long>>, k long")
+    arrow = to_arrow_schema(schema)
+    sketch = postings.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(token, {HOT_SHARE}, {TRACKED_TOKENS})").alias("top")).first()
+    least = max(sketch["rows"] / HOT_SHARE, 20 * long_list)
+    hot = [item["item"] for item in sketch["top"] or [] if item["count"] > least]
+    dealt = (postings.where(~F.col("token").isin(hot)) if hot else postings).repartition("token")
+    found = dealt.sortWithinPartitions("token", "n", "node").mapInArrow(task, schema)
+    if hot:
+        apart = postings.where(F.col("token").isin(hot))
+        nothing = [F.lit(None).cast(schema[name].dataType).alias(name) for name in ("m", "k")]
+        found = found.unionByName(apart.select("token", "node", "n", *nothing))
+    return staged(found, "runs")
+
+
+def _early_pairs(lists: DataFrame, costly: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough tokens of short posting lists: (a, b, c), each once with its shared tokens.
+
+    Equal lists become one row first, so that copies sharing hundreds of tokens are paired once. ``costly`` has the
+    number of expensive tokens (h) of the sets that hold any; two sets with many of them are left to the later index.
+    """
+    first = lists.groupBy("m").agg(F.sum("k").alias("k")).select("k", "m", F.posexplode("m").alias("i", "x"))
+    pairs = first.select("k", "x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    pairs = pairs.where(x["n"] >= _need(y["n"], percent))
+    counted = pairs.groupBy("x", "y").agg(F.sum("k").alias("c"))
+    counted = counted.select(*[F.col(f"{v}.{name}").alias(f"{name}_{v}") for v in "xy" for name in ("n", "node")], "c")
+    size = measured_bytes(costly)
+    for v in "xy":
+        own = costly.select(F.col("node").alias(f"node_{v}"), F.col("h").alias(f"h_{v}"), F.col("later").alias(f"later_{v}"))
+        counted = lookup_join(counted, own, [f"node_{v}"], size)
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    unseen = F.greatest(*[_need(n, percent) - _matches(n, percent) for n in (n_x, n_y)])
+    hidden = F.least(*[F.coalesce(f"h_{v}", F.lit(0)) for v in "xy"])
+    enough = F.col("c") + hidden >= _overlap(n_x, n_y, percent) - unseen
+    both_later = F.coalesce("later_x", F.lit(False)) & F.coalesce("later_y", F.lit(False))
+    ordered = F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")
+    return counted.where(enough & ~both_later).select(*ordered, "c")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a written table) with the sizes and the exact overlap of their sets; only these sets are moved."""
+    """The pairs (a written table) with the sizes and the exact overlap of their sets; only these sets are moved.
+
+    A set of many pairs, as the centre of a star is, has them spread over tasks.
+    """
     nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
     sets = semi(sets, nodes, ["node"], nodes.count())
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("overlap"))
+    joined = _spread_join(_spread_join(pairs.select("a", "b"), left, "a", "b"), right, "b", "a")
+    overlaps = joined.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("overlap"))
+    return staged(overlaps, "verified")
 
 
 def _promising(pairs: DataFrame) -> DataFrame:
@@ -143,9 +257,10 @@ def _promising(pairs: DataFrame) -> DataFrame:
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
+    size = measured_bytes(labels)
     for side in ("a", "b"):
         known = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-        pairs = pairs.join(known, side, "left")
+        pairs = lookup_join(pairs, known, [side], size)
     own = [F.coalesce(f"label_{side}", side) for side in ("a", "b")]
     return pairs.where(own[0] != own[1]).select("a", "b")
 
@@ -163,7 +278,7 @@ def connected(links: DataFrame) -> DataFrame:
     edges = staged(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
-    state = None
+    state, before = None, []
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -172,7 +287,9 @@ def connected(links: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lower.select("u", F.col("m").alias("v")))
+        before.append(edges)
         edges = staged(small.distinct(), "edges")
+        unstage(*before)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -180,7 +297,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return lookup_join(nodes, labels, ["node"], measured_bytes(labels)).withColumn("label", F.coalesce("label", "node"))
 
 
 def _adaptive_index(sets: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +310,7 @@ def _adaptive_index(sets: DataFrame, percent: int) -> DataFrame:
     """
     postings = sets.select("node", "n", F.explode("tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = postings.join(frequency, "token").groupBy("node", "n")
+    known = _spread_join(postings, frequency, "token", "node").where("df IS NOT NULL").groupBy("node", "n")
     ranked = known.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     ranked = ranked.withColumns(
         {
@@ -233,8 +350,8 @@ def jaccard_components(
     without words link with nothing; equal sets are one node throughout, however many copies there are. Only key and
     text are read, whole; repeated rows share their component; an empty table gives an empty result.
 
-    1. Every set posts a prefix in hash order, long enough that linked sets share l tokens of it; tokens held once are
-       dropped after a count that is combined map-side. A set with fewer than l expensive tokens shares a cheap one with
+    1. Every set posts a prefix in hash order, long enough that linked sets share l tokens of it. Postings are dealt by
+       token once; there tokens held once vanish and short lists are counted, see ``_runs``. A set with fewer than l expensive tokens shares a cheap one with
        every partner, so only short posting lists are paired, and pairs kept that can share as many tokens as a link needs.
     2. The other sets, whose prefixes would cost too many candidates, are lengthened: their whole sets are ordered by
        frequency among themselves, and each asks for as many shared tokens as is cheapest, see ``_adaptive_index``.
@@ -242,45 +359,43 @@ def jaccard_components(
        compared with one centre of the token instead. By then most are in one component and need no further pair.
     4. Every pair across components is verified, except those that a bound rules out: their sizes, or what both share
        with the centre.
-    Nothing is capped: each link joins its two components.
+    Nothing is capped: each link joins its two components. Equal sets are told by 128 bits of a digest; tables are deleted
+    after their last reader.
     """
     df = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     sets = _sets(df, "key", "text", size, percent, whole=False).withColumn("row", F.monotonically_increasing_id())
     sets = staged(sets, "prefixes")
-    first = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("key").alias("key"), F.count("*").alias("rows"))
-    first = staged(first, "nodes")
-    copies = sets.select("node", "row").join(first.where("rows > 1").select("node", F.col("row").alias("kept")), "node")
+    facts = staged(sets.drop("tokens"), "facts")
+    least = F.min("row").alias("node"), F.min("key").alias("key"), F.count("*").alias("rows")
+    first = staged(facts.where("n > 0").groupBy("digest").agg(*least), "nodes")
+    repeated = first.where("rows > 1").select("digest", F.col("node").alias("kept"))
+    copies = lookup_join(facts.where("n > 0"), repeated, ["digest"], measured_bytes(repeated))
     copies = staged(copies.where("row <> kept").select("row"), "copies")
-    nodes = except_rows(sets.where("n > 0").select("row", "node", "n", "tokens"), copies, ["row"], copies.count())
-    postings = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    frequency = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = staged(postings.join(frequency, "token"), "shared-tokens")
-    costly = shared.where(F.col("df") > long_list).groupBy("node").agg(F.count("*").alias("h"), F.first("n").alias("n"))
+    nodes = except_rows(sets.where("n > 0").select("row", "n", "tokens"), copies, ["row"], copies.count())
+    runs = _runs(nodes.select(F.explode("tokens").alias("token"), F.col("row").alias("node"), "n"), long_list)
+    unstage(sets, copies)
+    costly = runs.where("m is null").groupBy("node").agg(F.count("*").alias("h"), F.first("n").alias("n"))
     # A pair without a cheap shared token shares l expensive ones; l is that of the smaller set, at least 3/4 of the other.
     later = F.col("h") >= _matches(_need(F.col("n"), percent), percent)
     costly = staged(costly.select("node", "h", later.alias("later")), "costly-nodes")
-    cheap = lookup(shared.where(F.col("df") <= long_list), costly, "node", costly.count())
-    cheap = cheap.withColumns(
-        {
-            "later": F.coalesce("later", F.lit(False)),
-            "l": _matches(F.col("n"), percent),
-            "h": F.coalesce("h", F.lit(0)),
-            "reach": F.floor(F.col("n") * 100 / percent),
-        }
-    )
-    early = staged(_list_pairs(cheap, percent), "early-pairs")
+    early = staged(_early_pairs(runs.where("m is not null").select("m", "k"), costly, percent), "early-pairs")
+    unstage(runs)
 
     later = costly.where("later").select("node")
     wanted = early.select(F.explode(F.array("a", "b")).alias("node")).unionByName(later).distinct()
-    keys = staged(first.join(wanted, "node", "left_semi").select("node", "key"), "wanted-keys")
-    whole = _sets(semi(df, keys.select("key").distinct(), ["key"], keys.count()), "key", "text", size, percent, whole=True)
-    whole = staged(whole.drop("key"), "whole-sets")
-    if whole.count() > keys.count():  # rows of a repeated key were all read
-        whole = staged(whole.join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
-
-    index = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
+    keys = staged(first.join(wanted, "node", "left_semi").select("node", "key", "digest"), "wanted-keys")
+    n_keys = keys.count()
+    whole = _sets(semi(df, keys.select("key").distinct(), ["key"], n_keys), "key", "text", size, percent, whole=True)
+    names = keys.select("node", "digest")
+    whole = whole.drop("key").join(F.broadcast(names) if n_keys <= BROADCAST_KEYS else names, "digest").drop("digest")
+    whole = staged(whole, "whole-sets")
+    if whole.count() > n_keys:  # copies were read under a key of their own or the same
+        whole, doubled = staged(whole.dropDuplicates(["node"]), "whole-sets"), whole
+        unstage(doubled)
+
+    index = index_table = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
     lists = index.groupBy("token").agg(F.count("*").alias("list")).where("list > 1")
-    index = index.join(lists, "token")
+    index = _spread_join(index, lists, "token", "node").where("list IS NOT NULL")
     costly = index.where(F.col("list") > long_list)
     costly_tokens = costly.groupBy("node").agg(F.count("*").alias("h"))
     short = index.where(F.col("list") <= long_list).join(costly_tokens, "node", "left")
@@ -290,9 +405,9 @@ def jaccard_components(
     # What meets on an expensive token: the first l = 1 prefix must share one, so longer prefixes need not be compared.
     met = staged(costly.where(F.col("place") <= F.col("base")).drop("l", "list", "place", "base"), "met")
     centre = met.groupBy("token").agg(F.min(F.struct("u", "node"))["node"].alias("c"))
-    stars = met.join(centre, "token").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    stars = _spread_join(met, centre, "token", "node").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     tried = staged(_promising(pairs).unionByName(stars).distinct(), "tried")
-    verified = staged(_verify(tried, whole), "verified")
+    verified = _verify(tried, whole)
     links = verified.where(_linked(percent)).select("a", "b")
     labels = connected(links)
     rest = _apart(pairs.select("a", "b"), labels).unionByName(_across(met, centre, verified, labels, percent)).distinct()
@@ -301,10 +416,12 @@ def jaccard_components(
         more = _verify(rest, whole).where(_linked(percent)).select("a", "b")
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    least = _labelled(first.select("node", "key"), labels)
-    smallest = least.groupBy("label").agg(F.min("key").alias("component_id"))
-    component = least.join(smallest, "label").select("node", "component_id")
-    return sets.join(component, "node", "left").select(
+    unstage(whole, index_table, met, pairs, tried, rest, early)
+    own = staged(_labelled(first.select("node", "digest", "key"), labels), "labelled")
+    smallest = own.groupBy("label").agg(F.min("key").alias("component_id"))
+    component = lookup_join(own.select("digest", "label"), smallest, ["label"], measured_bytes(smallest))
+    component = staged(component.select("digest", "component_id"), "components")
+    return lookup_join(facts, component, ["digest"], measured_bytes(component)).select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "key").alias("component_id"),
@@ -318,22 +435,30 @@ def _across(met: DataFrame, centre: DataFrame, verified: DataFrame, labels: Data
     smaller r. Copies of the centre with edits of their own have no r, and differ from each other by the edits of both.
     Sets meet at the centre, once each with all expensive tokens that brought them there, so a pair is made once.
     """
-    rows = met.join(centre, "token").where("node <> c").groupBy("node", "n", "u", "reach", "c")
+    rows = _spread_join(met, centre, "token", "node").where("node <> c").groupBy("node", "n", "u", "reach", "c")
     rows = _labelled(rows.agg(F.collect_list("token").alias("ts")), labels)
     parts = rows.groupBy("c", "label").agg(F.count("*").alias("size"))
     main = parts.groupBy("c").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
     rows = rows.withColumns({"a": F.least("node", "c"), "b": F.greatest("node", "c")})
-    rows = rows.join(verified.select("a", "b", F.col("overlap").alias("o")), ["a", "b"]).join(main, "c")
+    rows = rows.join(verified.select("a", "b", F.col("overlap").alias("o")), ["a", "b"])
+    rows = _spread_join(rows, main, "c", "node")
     rows = rows.withColumn("r", F.col("n") - F.col("o") - F.col("u"))
+    rows = staged(rows, "around-centres")
     side = F.struct("n", "node", "reach", "label", "o", "r", "ts")
-    left = rows.where("label <> main").select("c", side.alias("x"))
-    right = rows.select("c", side.alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
+    # The pairs at one centre are compared in as many pieces as they need: rows outside its main component are dealt.
+    outside = F.sum((F.col("label") != F.col("main")).cast("long"))
+    pieces = rows.groupBy("c").agg(F.ceil(outside * F.count("*") / CENTRE_PAIRS).alias("pieces"))
+    rows = lookup_join(rows, pieces, ["c"], measured_bytes(pieces), spread_by=["node"])
+    piece = F.pmod(F.xxhash64("node"), F.greatest("pieces", F.lit(1)))
+    left = rows.where("label <> main").select("c", piece.alias("piece"), side.alias("x"))
+    right = rows.where("pieces > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    right = right.select("c", "piece", side.alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
     x, y = F.col("x"), F.col("y")
     enough = F.least(x["o"], y["o"]) + F.least(x["r"], y["r"]) >= _overlap(x["n"], y["n"], percent)
     sizes = F.when(x["n"] <= y["n"], _fits(x, y, percent)).otherwise(_fits(y, x, percent))
     once = F.col("in_main") | (x["node"] < y["node"])
     allowed = (x["label"] != y["label"]) & once & enough & sizes & F.arrays_overlap(x["ts"], y["ts"])
-    pairs = left.join(right, "c").where(allowed)
+    pairs = left.join(right, ["c", "piece"]).where(allowed)
     return pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
 
 
