@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from tabscope.llm.common import _arrow_schema, _slices, by_value, staged, texts_
 from tabscope.operators.joins import lookup_join, measured_bytes
 
 # Distinct chunks remembered by a task, and the longest of them; beyond it they are aligned again, with the same result.
-REMEMBERED_CHUNKS, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED_CHUNKS, REMEMBERED_LENGTH = 300_000, 64
 # Bytes of chunks aligned at a time; a single longer chunk is taken alone.
 ALIGNED_BYTES = 1 << 20
 # Products of one sweep of rows; a longer sweep is cut between rows.
 SWEEP = 1 << 20
 # Both vocabularies have fewer ids, so that a pair of ids is one number.
 ID_BITS = 20
+# Fixed value: how byte-level tokenizers of this kind split a text into words.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # A space after which a chunk may not begin: no printable ASCII character or letter follows.
 UNSAFE = re.compile(r" (?![!-~]|[^\W\d_])")
 
@@ -143,10 +146,16 @@ class Aligner:
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
             raise ValueError(f"vocabularies must have at most 2^{ID_BITS} ids")
         self.length_a, self.length_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        kind = json.loads(self.a.to_str())["pre_tokenizer"] or {}
+        told = json.loads(self.a.to_str())
+        kind = told["pre_tokenizer"] or {}
         self.cut = kind.get("type") == "ByteLevel" and kind.get("use_regex", False) and not kind.get("add_prefix_space")
         self.cut = self.cut and not any(re.search("[^▁]▁", piece) for piece in pieces)
-        self.names_a, self.names_b = ([str(i) for i in range(len(own))] for own in (self.bytes_a, self.bytes_b))
+        self.encode_a = self._faster(told, alphabet) or self._encode_a
+        # How an id is written inside a group and at the end of its side, by code: ids of A, ids of B, and both again.
+        self.names_a, self.names_b = ([b"%d" % i for i in range(len(own))] for own in (self.bytes_a, self.bytes_b))
+        both = [*self.names_a, *self.names_b]
+        last = [name + b"|" for name in self.names_a] + [name + b";" for name in self.names_b]
+        self.spelled = [name + b"," for name in both] + last
         self.forget()
 
     @staticmethod
@@ -156,6 +165,26 @@ class Aligner:
         except KeyError:  # an added token, which is never produced from plain text
             return token.encode()
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [one.ids for one in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _faster(self, told: dict, alphabet: dict[str, int]):
+        """The same tokenizer by its ranks, if its merges are in the order of its ids and nothing else shapes its tokens."""
+        model = told["model"]
+        vocabulary, first = model["vocab"], 256
+        plain = self.cut and told["normalizer"] is None and model["type"] == "BPE" and not model.get("ignore_merges")
+        plain = plain and not any(model.get(name) for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model.get("merges", ())]
+        if not plain or any(vocabulary.get(a + b) != first + i for i, (a, b) in enumerate(merges)):
+            return None
+        if sorted(vocabulary[c] for c in alphabet if c in vocabulary) != list(range(first)):
+            return None
+        import tiktoken
+
+        ranks = {self._spelled(token, alphabet): i for token, i in vocabulary.items() if i < first + len(merges)}
+        by_rank = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [by_rank.encode_ordinary(text) for text in texts]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[bytes] = []
@@ -179,28 +208,51 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode and align new chunks; facts: whether the bytes are restored, tokens of A, of B, groups, links."""
+        ends = np.cumsum([4 * len(chunk) + 4 for chunk in chunks])
         at = 0
         while at < len(chunks):
-            end, size = at, 0
-            while end < len(chunks) and (end == at or size + 4 * len(chunks[end]) <= 4 * ALIGNED_BYTES):
-                size += 4 * len(chunks[end])
-                end += 1
+            room = (ends[at - 1] if at else 0) + 4 * ALIGNED_BYTES
+            end = max(at + 1, int(np.searchsorted(ends, room, "right")))
             self._learn(chunks[at:end])
             at = end
 
+    def _flat_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A of all chunks, and their number by chunk.
+
+        Chunks that begin a text as any other follow each other in one text, which is cut between them by itself.
+        """
+        joined = [i for i, chunk in enumerate(chunks) if self.cut and not chunk.endswith(" ") and not UNSAFE.match(" " + chunk)]
+        alone = sorted(set(range(len(chunks))).difference(joined))
+        ids = [self.encode_a([" " + chunks[i]])[0] for i in alone]
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[alone] = [len(own) for own in ids]
+        if not joined:
+            return np.fromiter(chain.from_iterable(ids), np.int64), sizes
+        flat = np.array(self.encode_a(["".join([" " + chunks[i] for i in joined])])[0], np.int64)
+        ends = np.cumsum([len(chunks[i].encode()) + 1 for i in joined])
+        cuts = np.searchsorted(np.cumsum(self.length_a[flat]), ends) + 1
+        sizes[joined] = np.diff(np.r_[0, cuts])
+        if not alone:
+            return flat, sizes
+        pieces = dict(zip(joined, np.split(flat, cuts[:-1]))) | dict(zip(alone, (np.array(own, np.int64) for own in ids)))
+        return np.concatenate([pieces[i] for i in range(len(chunks))]), sizes
+
     def _learn(self, chunks: list[str]) -> None:
-        encoded = self.a.encode_batch_fast([" " + chunk for chunk in chunks], add_special_tokens=False)
-        ids_a = [e.ids for e in encoded]
+        flat_a, sizes_a = self._flat_a(chunks)
         ids_b = self.b.encode(chunks, num_threads=1)
-        whole = []
-        for i, chunk in enumerate(chunks):
-            raw = (" " + chunk).encode()
-            same = b"".join([self.bytes_a[t] for t in ids_a[i]]) == raw == b"".join([self.bytes_b[t] for t in ids_b[i]])
-            whole.append(same)
-            if not whole[-1]:
-                ids_a[i], ids_b[i] = [], []
-        sizes_a, sizes_b = (np.array([len(own) for own in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([t for own in ids for t in own], np.int64) for ids in (ids_a, ids_b))
+        sizes_b = np.fromiter(map(len, ids_b), np.int64, len(chunks))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(sizes_b.sum()))
+        raw = [b" " + chunk.encode() for chunk in chunks]
+        whole = np.ones(len(chunks), np.int64)
+        for flat, sizes, own, lengths in ((flat_a, sizes_a, self.bytes_a, self.length_a), (flat_b, sizes_b, self.bytes_b, self.length_b)):
+            spelled = b"".join(map(own.__getitem__, flat.tolist()))
+            at = np.r_[0, np.cumsum(lengths[flat])][np.r_[0, np.cumsum(sizes)]]
+            if (np.diff(at) != np.fromiter(map(len, raw), np.int64, len(raw))).any() or spelled != b"".join(raw):
+                bounds = at.tolist()
+                whole &= np.array([spelled[low:high] == one for one, low, high in zip(raw, bounds, bounds[1:])], np.int64)
+        if not whole.all():
+            flat_a, flat_b = (flat[np.repeat(whole, sizes) == 1] for flat, sizes in ((flat_a, sizes_a), (flat_b, sizes_b)))
+            sizes_a, sizes_b = sizes_a * whole, sizes_b * whole
         of_a, of_b = shared_groups(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]))
         n, n_groups = len(chunks), int(of_a[-1]) + 1 if len(of_a) else 0
         chunk_a = np.repeat(np.arange(n), sizes_a)
@@ -210,7 +262,7 @@ class Aligner:
         groups = np.bincount(chunk_of, minlength=n)
         links = np.zeros(n, np.int64)
         np.add.at(links, chunk_of, in_a * in_b)
-        facts = np.stack([np.array(whole, np.int64), sizes_a, sizes_b, groups, links], 1)
+        facts = np.stack([whole, sizes_a, sizes_b, groups, links], 1)
         self.groups += self._spell(flat_a, flat_b, of_a, of_b, chunk_of, n)
 
         # Rows: an id of A in one chunk. Its groups, times the ids of B in each group, are its links.
@@ -236,13 +288,12 @@ class Aligner:
         order = np.argsort(side, kind="stable")
         side = side[order]
         ends = np.r_[side[1:] != side[:-1], True] if len(side) else np.zeros(0, bool)
-        marks = np.where(ends, 1 + (side & 1), 0)
         ids = np.r_[flat_a, flat_b][order]
-        names = (self.names_a, self.names_b)
-        words = [names[s][t] + ",|;"[m] for s, t, m in zip((side & 1).tolist(), ids.tolist(), marks.tolist())]
+        codes = (side & 1) * len(self.names_a) + ids + np.where(ends, len(self.names_a) + len(self.names_b), 0)
+        words = list(map(self.spelled.__getitem__, codes.tolist()))
         chunk = chunk_of[side >> 1] if len(side) else side
         cuts = np.searchsorted(chunk, np.arange(n + 1)).tolist()
-        return ["".join(words[a:b]).encode() for a, b in zip(cuts, cuts[1:])]
+        return [b"".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def align(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[str], Csr]:
         """Per text its n_a, n_b, n_groups, n_links; the digest of its groups; and its linked pairs of ids."""
@@ -256,7 +307,7 @@ class Aligner:
         remembered = len(self.groups), self.facts, self.pairs
         self.learn(long)
         sizes = [len(chunks) for chunks in split]
-        places = np.fromiter((self.known[c] for chunks in split for c in chunks), np.int64, sum(sizes))
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         text_of = np.repeat(np.arange(len(texts)), sizes)
         valid = np.ones(len(texts), bool)
         valid[text_of[self.facts[places, 0] == 0]] = False
