@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from tabscope.operators.columns import require_columns
 from tabscope.operators.joins import lookup_join, measured_bytes
+from tabscope.operators.ranks import placed
 from tabscope.session import stage
 
 TRAIN, TEST = "train", "test"
-PREFIX_DIGITS = 3
+# Digits of a digest, and those that a pass looks further.
+DIGEST_DIGITS, PREFIX_DIGITS = 32, 3
+# Rows of one class that are ranked in one task, and classes whose remainders are.
+LISTED = 16_384
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -32,35 +36,55 @@ def class_quotas(df: DataFrame, target: str, test_size: float) -> DataFrame:
 
     One row per class from here on; ties of the remainder go to the smaller class.
     """
-    counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    counts = stage(df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n")), "class-counts")
+    few = counts.count() <= LISTED
+    total = F.sum("n").over(Window.partitionBy()) if few else F.lit(counts.agg(F.sum("n")).first()[0])
     n_train = total - F.ceil(total * F.lit(test_size))
     shares = counts.withColumn("n_train", n_train).withColumn("share", F.col("n") / total * F.col("n_train"))
     whole = shares.withColumn("whole", F.floor("share"))
-    spare = F.col("n_train") - F.sum("whole").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc(F.col("share") - F.col("whole")), target))
-    train = F.col("whole") + (place <= spare).cast("long")
-    return whole.withColumn("n_test", F.col("n") - train).select(target, "n", "n_test")
+    order = [F.desc(F.col("share") - F.col("whole")), F.col(target).asc()]
+    if few:
+        spare = F.col("n_train") - F.sum("whole").over(Window.partitionBy())
+        ranked = whole.withColumn("__place", F.row_number().over(Window.orderBy(*order)))
+    else:
+        spare = F.col("n_train") - F.lit(whole.agg(F.sum("whole")).first()[0])
+        ranked = placed(whole, order, "__place", 1)
+    train = F.col("whole") + (F.col("__place") <= spare).cast("long")
+    return ranked.withColumn("n_test", F.col("n") - train).select(target, "n", "n_test")
 
 
 def digest_cuts(df: DataFrame, target: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
     """(target, cut): the digest at the quota rank of each class; classes with a quota of 0 are left out.
 
-    Rows are counted by class and the first digits of their digest, map-side; running counts over at most 4096 cells a
-    class name the cell that holds the rank, and only the rows of that cell are ranked.
+    Each pass counts, by class and a few more of their first digits, the digests that begin like the one that is looked
+    for; running counts over at most 4096 cells a class name the cell that holds the rank. Passes go on until that cell
+    is small in every class, and only its rows are ranked.
     """
-    digits = F.substring("digest", 1, PREFIX_DIGITS)
-    rows = df.where(F.col(target).isNotNull()).select(F.col(target), _digest(key, seed).alias("digest"))
-    rows = rows.withColumn("cell", digits)
-    cells = rows.groupBy(target, "cell").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy(target).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).join(quotas, target)
-    rank = F.col("n_test") - F.col("before")
-    edge = placed.where(rank.between(1, F.col("rows"))).select(target, "cell", rank.alias("rank"))
-    ranked = rows.join(edge, [target, "cell"]).withColumn(
-        "place", F.row_number().over(Window.partitionBy(target, "cell").orderBy("digest"))
-    )
-    return ranked.where(F.col("place") == F.col("rank")).select(target, F.col("digest").alias("__cut"))
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).alias("__class"), _digest(key, seed).alias("digest"))
+    digits = 0
+    size = 2 * measured_bytes(quotas)  # a cell and a rank for each class are no longer
+    edge = quotas.where("n_test > 0").select(F.col(target).alias("__class"), F.col("n_test").alias("rank"))
+    while True:
+        inside = _beginning(rows, edge, digits, size).drop("rank") if digits else rows
+        digits += PREFIX_DIGITS
+        cells = inside.groupBy("__class", F.substring("digest", 1, digits).alias("cell")).agg(F.count("*").alias("rows"))
+        running = Window.partitionBy("__class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        found = cells.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
+        found = lookup_join(found, edge.select("__class", "rank"), ["__class"], size)
+        rank = F.col("rank") - F.col("before")
+        edge = stage(found.where(rank.between(1, F.col("rows"))).select("__class", "cell", "rows", rank.alias("rank")), "edges")
+        if digits >= DIGEST_DIGITS or (edge.agg(F.max("rows")).first()[0] or 0) <= LISTED:
+            break
+    order = Window.partitionBy("__class").orderBy("digest")
+    ranked = _beginning(rows, edge, digits, size).withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") == F.col("rank")).select(F.col("__class").alias(target), F.col("digest").alias("__cut"))
+
+
+def _beginning(rows: DataFrame, edge: DataFrame, digits: int, size: int) -> DataFrame:
+    """Rows whose digest begins with the cell of their class, with the rank that is looked for there."""
+    found = lookup_join(rows, edge.select("__class", "cell", "rank"), ["__class"], size, spread_by=["digest"])
+    inside = found.where(F.substring("digest", 1, digits) == F.col("cell"))
+    return inside.drop("cell")
 
 
 def stratified_split(

@@ -29,6 +29,7 @@ from tabscope.operators.quality import (
     quality_report,
     unexpected_values,
 )
+from tabscope.operators import split as split_module
 from tabscope.operators.split import class_quotas, hash_split, parts, split_summary, stratified_split
 
 
@@ -154,6 +155,16 @@ def test_splits(spark):
     assert sum(quotas({0: 3, 1: 3, 2: 5}).values()) == 4
 
 
+@pytest.mark.parametrize("listed", [0, 7])
+def test_split_by_longer_prefixes(spark, monkeypatch, listed):
+    """Cells are narrowed until they are small, and remainders are placed by ranges: the same split."""
+    df = spark.range(3000).withColumn("y", F.when(F.col("id") % 50 > 0, F.col("id") % 7))
+    want = {tuple(row) for row in stratified_split(df, "y", "id").collect()}
+    monkeypatch.setattr(split_module, "LISTED", listed)
+    monkeypatch.setattr(split_module, "PREFIX_DIGITS", 1)
+    assert {tuple(row) for row in stratified_split(df, "y", "id").collect()} == want
+
+
 def test_split_with_thousands_of_classes(spark):
     df = spark.range(9000).withColumn("y", F.format_string("c%04d", F.col("id") % 1500))
     split = stratified_split(df, "y", "id")
