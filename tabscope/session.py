@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+WAREHOUSE = "spark.sql.warehouse.dir"
 # Paths staged inside the open ``staging`` blocks, innermost last.
 _SCOPES: list[list[str]] = []
 # Where each staged table lies, for ``unstage``.
@@ -36,9 +37,15 @@ def local_session(cores: int | str = "*", app: str = "tabscope", **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir``, else the context's own, else the warehouse."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, else the context's own, else the warehouse.
+
+    On a cluster the warehouse counts only if it was set, as its default is a folder of one machine.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured and not context.master.startswith("local") and not context.getConf().contains(WAREHOUSE):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (configured or spark.conf.get(WAREHOUSE)).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

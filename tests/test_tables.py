@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,19 @@ def test_csv_round_trip_and_bundle(spark, tmp_path):
         write_table(df, str(tmp_path / "x"), "xlsx")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(contains=conf.__contains__))
+        values = {"spark.sql.warehouse.dir": "file:/here/", **conf}
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: values.get(name, default)))
+
+    assert scratch_dir(session("local[2]")) == "file:/here"
+    assert scratch_dir(session("spark://m", **{"spark.sql.warehouse.dir": "hdfs://w"})) == "hdfs://w"
+    assert scratch_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs://c/"})) == "hdfs://c"
+    with pytest.raises(ValueError, match="share"):
+        scratch_dir(session("yarn"))
+
+
 def test_scratch_follows_the_session_setting(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark) == folder
