@@ -77,6 +77,15 @@ class ForbiddenColumnRule:
     action: str = "drop before modelling"
 
 
+@dataclass(frozen=True)
+class TypeRule:
+    """A column that must be there with a given type, as Spark names it."""
+
+    column: str
+    kind: str
+    action: str = "cast before use"
+
+
 @dataclass(frozen=True)
 class NoteRule:
     """A constant row that documents a decision."""
@@ -285,6 +294,27 @@ def quality_report(
     return union_reports(*parts)
 
 
+def schema_report(df: DataFrame, rules: Sequence[ForbiddenColumnRule | TypeRule]) -> DataFrame:
+    """A row per rule on the columns: column, check, found (its type, or 'missing'), n_values present, decision.
+
+    All present values are counted by one aggregate, which reads only the columns in question: a forbidden column
+    that is there but empty can be told from one that leaks, a column of the right type from one without any value.
+    """
+    kinds = dict(df.dtypes)
+    columns = list(dict.fromkeys(rule.column for rule in rules if rule.column in kinds))
+    counted = [F.count(value_of(df, name)).alias(f"n{i}") for i, name in enumerate(columns)]
+    counts = df.agg(*counted, F.count("*").alias("rows"))
+    entries = []
+    for rule in rules:
+        found = kinds.get(rule.column, "missing")
+        forbidden = isinstance(rule, ForbiddenColumnRule)
+        broken = found != "missing" if forbidden else found != rule.kind
+        n = F.col(f"n{columns.index(rule.column)}") if rule.column in kinds else F.lit(0).cast("long")
+        check = "absent" if forbidden else f"type {rule.kind}"
+        entries.append((F.lit(rule.column), F.lit(check), F.lit(found), n, F.lit(rule.action if broken else NO_ACTION)))
+    return stack_row(counts, entries, ("column", "check", "found", "n_values", "decision"))
+
+
 Checks = Sequence[tuple[DataFrame, Sequence[Rule]] | tuple[DataFrame, Sequence[Rule], Sequence[str]]]
 
 

@@ -23,10 +23,12 @@ from tabscope.operators.quality import (
     ForbiddenColumnRule,
     NotNullRule,
     RangeRule,
+    TypeRule,
     assert_binary,
     assert_finite,
     level_report,
     quality_report,
+    schema_report,
     unexpected_values,
 )
 from tabscope.operators import split as split_module
@@ -203,3 +205,17 @@ def test_metrics_with_one_class(spark):
     got = dict(map(tuple, classification_metrics(df, "y", "p").collect()))
     assert got == {"accuracy": 1.0, "precision_macro": 1.0, "recall_macro": 1.0, "f1_macro": 1.0}
     assert confusion_matrix(df, "y", "p").where("real = 0").first()["predicted_0"] == 0
+
+
+def test_schema_report(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, "x", float("nan"))], "id long, leak string, score double")
+    rules = [ForbiddenColumnRule("leak"), ForbiddenColumnRule("gone"), TypeRule("id", "bigint"), TypeRule("score", "int"), TypeRule("gone", "int")]
+    rows = [tuple(row) for row in schema_report(df, rules).collect()]
+    assert rows == [
+        ("leak", "absent", "string", 1, "drop before modelling"),
+        ("gone", "absent", "missing", 0, "no correction"),
+        ("id", "type bigint", "bigint", 2, "no correction"),
+        ("score", "type int", "double", 1, "cast before use"),
+        ("gone", "type int", "missing", 0, "cast before use"),
+    ]
+    assert [row["n_values"] for row in schema_report(df.limit(0), rules[:1]).collect()] == [0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.quality import (
+    NO_ACTION,
     BinaryRule,
     DerivedFlagRule,
     DomainRule,
@@ -14,11 +15,13 @@ from tabscope.operators.quality import (
     NoteRule,
     NotNullRule,
     RangeRule,
+    TypeRule,
     assert_binary,
     assert_finite,
     joint_report,
     level_report,
     quality_report,
+    schema_report,
 )
 from workload.base import LABELLED, R, SCORED, labelled, query, rounded, scored_labels, table
 
@@ -241,3 +244,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     scored = scored_labels(spark, sf).select("doc_id", "score")
     assert_finite(scored, "score")
     return rounded(scored, "score")
+
+
+SCHEMA_RULES = (
+    ForbiddenColumnRule("text"),
+    ForbiddenColumnRule("answer"),
+    ForbiddenColumnRule("toxic"),
+    TypeRule("n_chars", "bigint"),
+    TypeRule("quality", "bigint"),
+    TypeRule("answer", "string"),
+)
+
+
+@query(
+    "dq_schema_rules",
+    f"""WITH rules AS (SELECT * FROM (VALUES ('text', 'absent', NULL, 'drop before modelling'),
+        ('answer', 'absent', NULL, 'drop before modelling'), ('toxic', 'absent', NULL, 'drop before modelling'),
+        ('n_chars', 'type bigint', 'BIGINT', 'cast before use'), ('quality', 'type bigint', 'BIGINT', 'cast before use'),
+        ('answer', 'type string', 'VARCHAR', 'cast before use')) v("column", "check", wanted, "action")),
+    kinds AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM {LABELLED})),
+    counted AS (SELECT count("text") AS t, count(toxic) AS x, count(n_chars) AS n, count(quality) AS q FROM {LABELLED})
+    SELECT "column", "check", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+        ELSE 'missing' END AS found,
+      CASE "column" WHEN 'text' THEN t WHEN 'toxic' THEN x WHEN 'n_chars' THEN n WHEN 'quality' THEN q ELSE 0 END AS n_values,
+      CASE WHEN (wanted IS NULL AND column_type IS NULL) OR column_type = wanted THEN '{NO_ACTION}' ELSE "action" END AS decision
+    FROM rules LEFT JOIN kinds ON "column" = column_name, counted""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_report(labelled(spark, sf), SCHEMA_RULES)
