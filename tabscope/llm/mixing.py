@@ -116,7 +116,8 @@ def mix_copies(
     digest of the seed, its key and its text, falls below the fraction; see ``_thresholds``. Reruns agree, whatever the
     partitions. Rows equal in key and text share their draw; a missing text has no words; documents without words
     follow the fraction of the shortest class; NULL is a source of its own, the last; a source without words has no
-    copies; an empty table gives no rows. Other columns are kept, and need names other than those that are added.
+    copies; an empty table gives no rows. Other columns are kept, and need names other than those that are added or begin
+    with ``__mix_``.
 
     Words are counted per source, class and step of the draw, combined map-side, so a source with a third of all rows
     is at most CLASSES * STEPS cells. Rates go to every task within 64 MB, else rows of hot sources are spread.
@@ -128,16 +129,17 @@ def mix_copies(
     cls = F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(0).cast("int")
     measured = {"size": size, "cls": cls, "step": draw(F.col(f"`{key}`"), body, seed)}
     rates = mixing_rates(df, lambda sizes: cycled_weights(sizes, cycle), share, cap, source, measured)
-    rates = staged(rates.withColumnRenamed("source", "__mix_source"), "mix-rates")
+    rates = staged(rates.withColumnsRenamed({name: f"__mix_{name}" for name in rates.columns}), "mix-rates")
     own = {f"__mix_{name}": value for name, value in measured.items()} | {"__mix_source": F.col(f"`{source}`")}
     rows = lookup_join(df.withColumns(own), rates, ["__mix_source"], measured_bytes(rates), null_safe=True)
-    taken = (F.col("source_size") > 0) & (F.col("__mix_step") < F.element_at("steps", F.col("__mix_cls") + 1))
+    own_steps = F.element_at("__mix_steps", F.col("__mix_cls") + 1)
+    taken = (F.col("__mix_source_size") > 0) & (F.col("__mix_step") < own_steps)
     return rows.select(
         *[F.col(f"`{name}`") for name in df.columns],
         F.col("__mix_size").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        (F.col("whole") + taken.cast("int")).alias("mix_copies"),
+        F.col("__mix_source_size").alias("mix_source_size"),
+        F.col("__mix_target").alias("mix_target"),
+        (F.col("__mix_whole") + taken.cast("int")).alias("mix_copies"),
     )
 
 

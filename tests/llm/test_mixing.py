@@ -99,6 +99,8 @@ def test_edges(spark, messy, messy_rows, no_documents):
     rows = [(row[0], row[1], row[3]) for row in messy_rows]
     assert got(messy.drop("n")) == brute(rows)
     assert mix_copies(no_documents, (3, 1, 2)).collect() == []
+    inner = {name: F.lit(name) for name in ("size", "step", "cls", "steps", "target", "whole", "source_size", "weight", "words")}
+    assert got(messy.withColumns(inner)) == brute(rows)
     mixed = mix_sources(messy, (3, 1, 2))
     assert mixed.columns == messy.columns
     copies = sum(r["mix_copies"] for r in mix_copies(messy, (3, 1, 2)).collect())
