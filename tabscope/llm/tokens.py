@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from tabscope.llm.common import by_value, map_rows, staged, texts_of
 
 # Distinct chunks remembered by a task; beyond it the memory starts afresh, which changes no result.
-REMEMBERED_CHUNKS = 600_000
+REMEMBERED_CHUNKS = 300_000
 REMEMBERED_LENGTH = 64
 # Chunks encoded in one call, with a separator between them that no such chunk holds.
 CALL_CHUNKS = 2_000
@@ -107,11 +107,13 @@ class ChunkEncoder:
         split = [self._chunks(text or b"") for text in texts]
         table = self.known
         new = set().union(*split).difference(table)
-        long = {chunk for chunk in new if len(chunk) > REMEMBERED_LENGTH}
-        table.update(self._learn(list(new - long)))
-        if long:
-            table = {**table, **dict(self._learn(list(long)))}
-        return [list(map(table.__getitem__, chunks)) for chunks in split]
+        long = [chunk for chunk in new if len(chunk) > REMEMBERED_LENGTH]
+        table.update(self._learn(list(new.difference(long))))
+        table.update(self._learn(long))
+        ids = [list(map(table.__getitem__, chunks)) for chunks in split]
+        for chunk in long:
+            del table[chunk]
+        return ids
 
 
 def count_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
