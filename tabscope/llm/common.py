@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,15 @@ def by_value(*names: str) -> None:
 by_value(__name__)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one task freed would stay with the process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this system's way
+        pass
+
+
 def map_rows(
     df: DataFrame, schema: str, task: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]
 ) -> DataFrame:
@@ -40,6 +50,8 @@ def map_rows(
         columns = ({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)} for part in parts)
         for out in task(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[field.name], field.type) for field in arrow], schema=arrow)
+        del columns, parts
+        give_back()
 
     return df.mapInArrow(run, declared)
 

@@ -24,7 +24,7 @@ LONG_LIST = 50
 LEAST_MATCHES, TOKENS_PER_MATCH = 2, 12
 # Prefix extensions that the cost estimate chooses from (shared tokens required).
 MATCHES = (1, 2, 4, 8, 16)
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 # A token that holds more than this share of all postings is known to be expensive before they are dealt by token.
 HOT_SHARE, TRACKED_TOKENS = 1000, 8192
 # Distinct posting lists that a task counts before it passes them on, and pairs at one centre that one task compares.
