@@ -138,12 +138,17 @@ def train_language_model(
     return LanguageModel(languages, np.log(grams / totals), allowed, totals)
 
 
-def mean_log_probs(words: list[str], model: LanguageModel) -> np.ndarray:
-    """Mean log probability of each word's n-grams (word by language); -inf where its script rules the language out."""
+def gram_sums(words: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the log probabilities of each word's n-grams (word by language), how many it has, the languages its script allows."""
     owner, cells = gram_cells(words)
     sums = np.stack([np.bincount(owner, probs[cells], len(words)) for probs in model.log_probs], 1)
-    means = sums / np.bincount(owner, minlength=len(words))[:, None]
-    return np.where(model.allowed[:, scripts_of(words)].T, means, -np.inf)
+    return sums, np.bincount(owner, minlength=len(words)), model.allowed[:, scripts_of(words)].T
+
+
+def mean_log_probs(words: list[str], model: LanguageModel) -> np.ndarray:
+    """Mean log probability of each word's n-grams (word by language); -inf where its script rules the language out."""
+    sums, grams, allowed = gram_sums(words, model)
+    return np.where(allowed, sums / grams[:, None], -np.inf)
 
 
 def _lettered(text: str) -> list[str]:
@@ -204,54 +209,43 @@ def explained_levels(
 def explained_shares(
     df: DataFrame, model: LanguageModel, levels: np.ndarray, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row: key and explained, the share of its words that reach the level of any learned language.
+    """One row per row: key and explained, the share of its words that reach the level of the language identified for them.
 
-    A text that is missing or has no letter has share 0. Whole texts are read; repeated rows are judged one by one.
+    See ``identify_languages``, whose spans say which language that is.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs, model.allowed, levels))
-
-    def task(batches: Iterator[dict]) -> Iterator[dict]:
-        *parts, levels = shared.value
-        own, known = LanguageModel(*parts), {}
-        for batch in batches:
-            texts = [_lettered((value or b"").decode()) for value in batch["text"]]
-            if len(known) > REMEMBERED_WORDS:
-                known = {}
-            new = list(set().union(*texts).difference(known))
-            if new and own.languages:
-                known.update(zip(new, (mean_log_probs(new, own) >= levels).any(1).tolist()))
-            shares = [sum(known.get(word, False) for word in words) / max(len(words), 1) for words in texts]
-            yield {"key": batch["key"], "explained": [float(share) for share in shares]}
-
-    kind = df.schema[key].dataType.simpleString()
-    return map_rows(texts_of(df, key, text, valid=True), f"key {kind}, explained double", task).withColumnRenamed("key", key)
+    return identify_languages(df, model, key, text, levels=levels).select(F.col(f"`{key}`"), "explained")
 
 
 class WordScorer:
-    """Score of each distinct word under each language; the languages that its script rules out are far below."""
+    """Score of each distinct word under each language; the languages that its script rules out are far below.
+
+    With ``levels`` also whether the word reaches the level of each language.
+    """
 
-    def __init__(self, model: LanguageModel):
-        self.model, self.known = model, {}
+    def __init__(self, model: LanguageModel, levels: np.ndarray | None = None):
+        self.model, self.levels, self.known = model, levels, {}
         self.rows = np.zeros((0, len(model.languages)))
+        self.reached = np.zeros((0, len(model.languages)), bool)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Score the words of these texts that are not known yet, all at once."""
         if len(self.known) > REMEMBERED_WORDS:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known, self.rows, self.reached = {}, self.rows[:0], self.reached[:0]
         new = list(set().union(*texts).difference(self.known))
         if not new or not self.model.languages:
             return
-        owner, cells = gram_cells(new)
-        sums = [np.bincount(owner, probs[cells], len(new)) / LONGEST_GRAM for probs in self.model.log_probs]
-        scores, allowed = np.stack(sums, 1), self.model.allowed[:, scripts_of(new)].T
+        sums, grams, allowed = gram_sums(new, self.model)
+        scores = sums / LONGEST_GRAM
         top = np.where(allowed, scores, -np.inf).max(1, keepdims=True)
         some = np.isfinite(top)
         scores = np.where(allowed, scores - np.where(some, top, 0.0), np.where(some, OUTSIDE_SCRIPT, 0.0))
         self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.rows = np.concatenate([self.rows, scores])
+        if self.levels is not None:
+            self.reached = np.concatenate([self.reached, allowed & (sums / grams[:, None] >= self.levels)])
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -280,12 +274,16 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def identify(
     text: str, words: list[str], scorer: WordScorer, penalty: float
-) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """(language of most words, score, spans of (start, end, language) in code points); the words must be learned."""
+) -> tuple[str, float, list[tuple[int, int, str]], float]:
+    """(language of most words, score, spans of (start, end, language) in code points, explained); the words must be learned.
+
+    Explained is the share of the words with a letter that reach the level of the language of their span; 0 without levels.
+    """
     languages = scorer.model.languages
     if not languages or not any(char.isalpha() for word in words for char in word):
-        return UNDETERMINED, 0.0, []
-    scores = scorer.scores(words)
+        return UNDETERMINED, 0.0, [], 0.0
+    known = scorer.places(words)
+    scores = scorer.rows[known]
     path = best_path(scores, penalty)
     shares = np.bincount(path, minlength=len(languages)) / len(path)
     best = int(shares.argmax())
@@ -295,22 +293,33 @@ def identify(
     places = [m.start() for m in WORD.finditer(text)] if len(cuts) > 2 else [0]
     starts = [0, *(places[cut] for cut in cuts[1:-1]), len(text)]
     spans = [(a, b, languages[path[cut]]) for a, b, cut in zip(starts, starts[1:], cuts)]
-    return languages[best], float(min(1.0, shares[best] * posterior)), spans
+    explained = 0.0
+    if scorer.levels is not None:
+        lettered = np.fromiter((any(map(str.isalpha, word)) for word in words), bool, len(words))
+        explained = float(scorer.reached[known, path][lettered].mean())
+    return languages[best], float(min(1.0, shares[best] * posterior)), spans, explained
 
 
 def identify_languages(
-    df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", penalty: float = SWITCH_PENALTY
+    df: DataFrame,
+    model: LanguageModel,
+    key: str = "doc_id",
+    text: str = "text",
+    penalty: float = SWITCH_PENALTY,
+    levels: np.ndarray | None = None,
 ) -> DataFrame:
     """One row per row: key, lang_pred, score (share of its words times their posterior), n_spans and spans.
 
     ``spans`` lists start:end:language in code points; together they cover the text. A text that is missing or has no
-    letter is ``und`` with score 0 and no span. Ties go to the language first in order. Only the text is read, whole;
+    letter is ``und`` with score 0 and no span. With ``levels`` (see ``explained_levels``) there is also explained, the share of
+    its words with a letter that reach the level of the language of their span; ``und`` has 0. Ties go to the language first in order. Only the text is read, whole;
     repeated rows are labelled one by one, and an empty table gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs, model.allowed))
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probs, model.allowed, levels))
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
-        scorer = WordScorer(LanguageModel(*shared.value))
+        *parts, own_levels = shared.value
+        scorer = WordScorer(LanguageModel(*parts), own_levels)
         for batch in batches:
             texts = [(value or b"").decode() for value in batch["text"]]
             words = [WORD.findall(text) for text in texts]
@@ -322,10 +331,12 @@ def identify_languages(
                 "score": [x[1] for x in found],
                 "n_spans": [len(x[2]) for x in found],
                 "spans": [",".join(f"{a}:{b}:{name}" for a, b, name in x[2]) for x in found],
+                "explained": [x[3] for x in found],
             }
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double, n_spans long, spans string"
+    schema += ", explained double" if levels is not None else ""
     return map_rows(texts_of(df, key, text, valid=True), schema, task).withColumnRenamed("key", key)
 
 

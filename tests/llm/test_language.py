@@ -1,10 +1,12 @@
 import itertools
+import random
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabscope.llm.language import best_path, identify_languages, train_language_model
+from tabscope.llm import language
+from tabscope.llm.language import best_path, explained_levels, identify_languages, train_language_model
 from tabscope.llm.queries import fold, language_model
 
 from .conftest import DOCUMENTS
@@ -66,3 +68,24 @@ def test_a_model_has_bounded_languages(spark, monkeypatch):
     rows = [(i, "some words of a text", name) for i, name in enumerate(["a", "a", "b", "c", "c", "d"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.train_language_model(df).languages == ["a", "c"]
+
+
+def test_words_are_held_against_the_language_of_their_span(spark):
+    rng = random.Random(5)
+    word = {name: lambda letters=letters: "".join(rng.choices(letters, k=rng.randint(3, 6))) for name, letters in (("a", "abcdef"), ("u", "uvwxyz"), ("m", "mnop"))}
+    rows = [(i, " ".join(word[name]() for _ in range(60)), name, "s", 1) for i in range(60) for name in ("a", "u")]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    model = train_language_model(docs)
+    levels = explained_levels(docs, model)
+    halves = " ".join([*(word["a"]() for _ in range(60)), *(word["u"]() for _ in range(40))])
+    texts = [(1, halves), (2, " ".join(word["m"]() for _ in range(50))), (3, "12 ½"), (4, None), (5, word["a"]() + " ½ 7")]
+    given = spark.createDataFrame([(key, text, None, None, None) for key, text in texts], DOCUMENTS)
+    spans = {r["doc_id"]: r for r in identify_languages(given, model, levels=levels).collect()}
+    assert spans[1]["explained"] > 0.9 and [x.split(":")[2] for x in spans[1]["spans"].split(",")] == ["a", "u"]
+    assert [spans[key]["explained"] for key in (2, 3, 4)] == [0, 0, 0] and spans[5]["explained"] in (0, 1)
+    # Held in one language by the penalty, the words of the other are not explained.
+    whole = {r["doc_id"]: r for r in identify_languages(given, model, penalty=1e9, levels=levels).collect()}
+    assert whole[1]["n_spans"] == 1 and 0.5 < whole[1]["explained"] <= 0.6
+    shares = {r["doc_id"]: r["explained"] for r in language.explained_shares(given, model, levels).collect()}
+    assert shares == {key: r["explained"] for key, r in spans.items()}
+    assert "explained" not in identify_languages(given, model).columns
