@@ -20,6 +20,8 @@ PAGE_DATE = "2024-01-01T00:00:00Z"
 PAGE_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 # How a tag begins, and the elements whose content is not text.
 TAG = re.compile(r"<([!?/]?)([a-z][^\s/>\"']*)", re.I)
+# A whole tag, up to the first > outside of quotes; nothing of it is tried twice.
+WHOLE_TAG = re.compile(r"""<([!?/]?)([a-z][^\s/>"']*+)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""", re.I)
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
 QUOTE_OR_END = re.compile(r"""["'>]""")
@@ -29,8 +31,8 @@ INLINE = frozenset(
 )
 TITLE = re.compile(r"<title\b", re.I)
 HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-SPACE = re.compile(r"[^\S\n]+")
-LINES = re.compile(r"\s*\n\s*")
+# RFC 4122: the namespace of addresses.
+URL_NAMESPACE = uuid.NAMESPACE_URL.hex
 
 
 def digest(block: bytes) -> str:
@@ -42,6 +44,21 @@ def record_id(*parts: str) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts)).urn}>"
 
 
+def _record_ids(*parts: Column) -> Column:
+    """``record_id`` of columns."""
+    name = F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.concat_ws("\n", *parts).cast("binary"))
+    digits = F.sha1(name)
+    variant = F.translate(F.substring(digits, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    groups = [
+        F.substring(digits, 1, 8),
+        F.substring(digits, 9, 4),
+        F.concat(F.lit("5"), F.substring(digits, 14, 3)),
+        F.concat(variant, F.substring(digits, 18, 3)),
+        F.substring(digits, 21, 12),
+    ]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
+
+
 def titles(page: str) -> Iterator[tuple[int, int, str]]:
     """Title elements in order: where each begins and ends, and its content. An unclosed one ends with the page."""
     at = 0
@@ -57,20 +74,26 @@ class _TagEnds:
 
     def __init__(self, page: str):
         self.page, self.known = page, {}
+        self.start, self.place = 0, -1  # from start to place nothing is a quote or >
+
+    def special(self, at: int) -> int:
+        if not self.start <= at <= self.place:
+            found = QUOTE_OR_END.search(self.page, at)
+            self.start, self.place = at, found.start() if found else len(self.page)
+        return self.place
 
     def after(self, at: int) -> int:
         """The place of the > that ends a tag whose attributes begin at ``at``; -1 if a quote or the tag stays open."""
         seen, found = [], -1
-        while special := QUOTE_OR_END.search(self.page, at):
-            at = special.start()
+        while (at := self.special(at)) < len(self.page):
             if at in self.known:
                 found = self.known[at]
                 break
             seen.append(at)
-            if special[0] == ">":
+            if self.page[at] == ">":
                 found = at
                 break
-            at = self.page.find(special[0], at + 1) + 1
+            at = self.page.find(self.page[at], at + 1) + 1
             if not at:
                 break
         self.known.update(dict.fromkeys(seen, found))
@@ -83,9 +106,18 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str]]:
     One scan, linear in the page also where nothing is closed: comments and hidden elements then end with the page, and
     a broken tag is text.
     """
-    at, ends = 0, _TagEnds(page)
+    at, ends, broken = 0, _TagEnds(page), False
     last = page.rfind(">")
     while (at := page.find("<", at)) >= 0:
+        # Until a tag is broken, one pattern takes each whole; from then on its end is looked up among those known.
+        if at < last and not broken and (tag := WHOLE_TAG.match(page, at)):
+            slash, name, attributes = tag.groups()
+            name = name.lower()
+            if slash or name not in HIDDEN:
+                end = tag.end()
+                yield at, end, name, attributes
+                at = end
+                continue
         if page.startswith("<!--", at):
             closed = page.find("-->", at + 4)
             end = len(page) if closed < 0 else closed + 3
@@ -103,6 +135,7 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str]]:
             yield at, end + 1, name, page[tag.end() : end]
             at = end + 1
         else:
+            broken = broken or tag is not None
             at += 1
 
 
@@ -118,7 +151,8 @@ def plain_text(page: str) -> str:
     """Visible text: markup out, a line break at every block element, character references resolved, space folded."""
     page = _without(page, ((start, end, "\n") for start, end, _ in titles(page)))
     text = _without(page, ((start, end, "" if name in INLINE else "\n") for start, end, name, _ in markup(page)))
-    return LINES.sub("\n", SPACE.sub(" ", html.unescape(text))).strip()
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def page_links(page: str, base: str) -> list[str]:
@@ -151,21 +185,14 @@ def responses_of_pages(
     The identifier follows from key and address. Missing addresses and pages become empty ones.
     """
     columns = {name: _valid(F.col(f"`{name}`")) for name in (key, url, page)}
-
-    def task(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            ids = [record_id("response", k, u) for k, u in zip(batch["id_key"], batch["target_uri"])]
-            yield {"key": batch["key"], "record_id": ids, "target_uri": batch["target_uri"], "payload": batch["payload"]}
-
-    kind = pages.schema[key].dataType.simpleString()
-    named = pages.select(
-        F.col(f"`{key}`").alias("key"),
-        columns[key].alias("id_key"),
+    return pages.select(
+        F.col(f"`{key}`").alias(key),
+        _record_ids(F.lit("response"), columns[key], columns[url]).alias("record_id"),
         columns[url].alias("target_uri"),
         columns[page].alias("payload"),
+        F.lit(date).alias("date"),
+        F.lit(PAGE_HEADERS).alias("http_headers"),
     )
-    built = map_rows(named, f"key {kind}, record_id string, target_uri string, payload string", task)
-    return built.withColumns({"date": F.lit(date), "http_headers": F.lit(PAGE_HEADERS)}).withColumnRenamed("key", key)
 
 
 def derive(key, source_id: str, uri: str, date: str, http: str, payload: str) -> Iterator[tuple]:

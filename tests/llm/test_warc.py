@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.llm.warc import derivatives, page_links, plain_text, responses_of_pages
+from tabscope.llm.warc import derivatives, page_links, plain_text, record_id, responses_of_pages
 
 
 def test_text_and_links():
@@ -100,3 +100,17 @@ def test_invalid_bytes_become_replacement_characters(spark):
     given = spark.range(1).select(F.col("id").alias("page_id"), F.lit("http://e.org").alias("url"), page.alias("html"))
     records = {r["record_type"]: r for r in derivatives(responses_of_pages(given)).collect()}
     assert records["conversion"]["block"] == "a�b"
+
+
+def test_responses_are_built_without_python(spark):
+    rows = [(1, "http://e.org/é", "x"), (None, None, None), (-3, "", "y"), (4, "http://e.org/\n漢", "z"), *((i, f"u{i}", "p") for i in range(5, 40))]
+    built = responses_of_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert "Arrow" not in built._jdf.queryExecution().executedPlan().toString()
+    wanted = {(key, record_id("response", "" if key is None else str(key), url or "")) for key, url, _ in rows}
+    assert {(r["page_id"], r["record_id"]) for r in built.collect()} == wanted
+
+
+def test_broken_tags_before_one_quote_are_read_at_once():
+    begun = time.perf_counter()
+    assert plain_text("<a " * 300_000 + '">') == ("<a " * 300_000 + '">')
+    assert time.perf_counter() - begun < 20
