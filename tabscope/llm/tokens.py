@@ -46,6 +46,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # The library's own memory of words stays with the thread when the tokenizer is gone; chunks are remembered here.
+        self.model._resize_cache(0)
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.separator = self._encode(SEPARATOR)
         self.known: dict[bytes, bytes] = {}

@@ -1,8 +1,13 @@
+import random
+import resource
+import string
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tabscope.llm.common import give_back
 from tabscope.llm.tokens import ChunkEncoder, count_tokens, length_histogram, length_quantile
 
 ODD = [
@@ -19,6 +24,22 @@ def test_ids_equal_those_of_the_whole_text(tokenizer_path):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_nothing_stays_when_an_encoder_is_gone(tokenizer_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=8)) for _ in range(30_000)]
+    texts = [" ".join(words).encode(), " ".join(f"{word}'s" for word in words).encode()]
+
+    def resident():
+        give_back()
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+
+    sizes = []
+    for _ in range(16):
+        ChunkEncoder(tokenizer_path).encode(texts)
+        sizes.append(resident())
+    assert sizes[-1] - sizes[3] < 12, sizes
+
+
 def brute(lengths):
     return sorted(
         (
