@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabscope.llm.common import BROADCAST_KEYS, by_value, except_rows, map_rows, semi, staged, texts_of
 from tabscope.operators.joins import lookup_join, measured_bytes
@@ -192,14 +194,9 @@ def _runs(postings: DataFrame, long_list: int) -> DataFrame:
         yield from closed(*kept)
         yield lists()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL("token long, node long, n long, m array<struct<n: long, node: long>>, k long")
     arrow = to_arrow_schema(schema)
-    sketch = postings.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(token, {HOT_SHARE}, {TRACKED_TOKENS})").alias("top")).first()
-    least = max(sketch["rows"] / HOT_SHARE, 20 * long_list)
-    hot = [item["item"] for item in sketch["top"] or [] if item["count"] > least]
+    hot = _hot_tokens(postings, 20 * long_list)
     dealt = (postings.where(~F.col("token").isin(hot)) if hot else postings).repartition("token")
     found = dealt.sortWithinPartitions("token", "n", "node").mapInArrow(task, schema)
     if hot:
@@ -209,6 +206,63 @@ def _runs(postings: DataFrame, long_list: int) -> DataFrame:
     return staged(found, "runs")
 
 
+def _hot_tokens(rows: DataFrame, least: int) -> list[int]:
+    """Tokens that a bounded sketch finds in more than ``least`` rows and a large share of all."""
+    sketch = rows.agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(token, {HOT_SHARE}, {TRACKED_TOKENS})").alias("top")).first()
+    least = max(sketch["rows"] / HOT_SHARE, least)
+    return [item["item"] for item in sketch["top"] or [] if item["count"] > least]
+
+
+def _counted(rows: DataFrame, name: str, least: int = 20 * LONG_LIST) -> DataFrame:
+    """Rows whose token other rows hold too, with the number of rows of their token; no list is made and nothing joined.
+
+    Rows are dealt by token once and counted where they lie. Rows of hot tokens are not dealt: their counts, at most
+    ``HOT_SHARE`` numbers, are summed map-side and go to the tasks. ``rows`` come from a written table and are read twice.
+    """
+    schema = StructType([*rows.schema.fields, StructField(name, LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def with_counts(batch: pa.RecordBatch | pa.Table, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shared = pa.array(counts > 1)
+        for part in pa.table([*batch.columns, pa.array(counts)], schema=arrow).filter(shared).to_batches():
+            yield part
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, size = [], None, 0  # the rows of the last token so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy(zero_copy_only=False)
+            if token[0] == token[-1] == last:
+                held, size = [*held, batch], size + batch.num_rows
+                continue
+            cut = int(np.searchsorted(token, token[-1]))
+            table = pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
+            token = table.column("token").to_numpy()
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(token)])
+            yield from with_counts(table, np.repeat(sizes, sizes))
+            held, last, size = [batch.slice(cut)], batch.column("token")[-1].as_py(), batch.num_rows - cut
+        if held:
+            yield from with_counts(pa.Table.from_batches(held), np.full(size, size))
+
+    hot = _hot_tokens(rows, least)
+    dealt = (rows.where(~F.col("token").isin(hot)) if hot else rows).repartition("token")
+    found = dealt.sortWithinPartitions("token").mapInArrow(runs, schema)
+    if not hot:
+        return found
+    apart = rows.where(F.col("token").isin(hot))
+    sums = sorted((row["token"], row["n"]) for row in apart.groupBy("token").agg(F.count("*").alias("n")).collect())
+    tokens, numbers = np.array(sums, np.int64).reshape(-1, 2).T
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column("token").to_numpy(zero_copy_only=False)
+            yield from with_counts(batch, numbers[np.searchsorted(tokens, token)])
+
+    return found.unionByName(apart.mapInArrow(known, schema))
+
+
 def _early_pairs(lists: DataFrame, costly: DataFrame, percent: int) -> DataFrame:
     """Pairs that share enough tokens of short posting lists: (a, b, c), each once with its shared tokens.
 
@@ -309,9 +363,7 @@ def _adaptive_index(sets: DataFrame, percent: int) -> DataFrame:
     rows / l candidates; the cheapest l is taken.
     """
     postings = sets.select("node", "n", F.explode("tokens").alias("token"))
-    frequency = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = _spread_join(postings, frequency, "token", "node").where("df IS NOT NULL").groupBy("node", "n")
-    ranked = known.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    ranked = _counted(postings, "df").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     ranked = ranked.withColumns(
         {
             "u": F.col("n") - F.size("s"),
@@ -393,9 +445,9 @@ def jaccard_components(
         whole, doubled = staged(whole.dropDuplicates(["node"]), "whole-sets"), whole
         unstage(doubled)
 
-    index = index_table = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
-    lists = index.groupBy("token").agg(F.count("*").alias("list")).where("list > 1")
-    index = _spread_join(index, lists, "token", "node").where("list IS NOT NULL")
+    prefixes = staged(_adaptive_index(whole.join(later, "node", "left_semi"), percent), "adaptive-index")
+    index = staged(_counted(prefixes, "list"), "adaptive-lists")
+    unstage(prefixes)
     costly = index.where(F.col("list") > long_list)
     costly_tokens = costly.groupBy("node").agg(F.count("*").alias("h"))
     short = index.where(F.col("list") <= long_list).join(costly_tokens, "node", "left")
@@ -416,7 +468,7 @@ def jaccard_components(
         more = _verify(rest, whole).where(_linked(percent)).select("a", "b")
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    unstage(whole, index_table, met, pairs, tried, rest, early)
+    unstage(whole, index, met, pairs, tried, rest, early)
     own = staged(_labelled(first.select("node", "digest", "key"), labels), "labelled")
     smallest = own.groupBy("label").agg(F.min("key").alias("component_id"))
     component = lookup_join(own.select("digest", "label"), smallest, ["label"], measured_bytes(smallest))

@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 
-from tabscope.llm.jaccard import WordHashes, jaccard_components, shingle_set
+from tabscope.llm.jaccard import WordHashes, _adaptive_index, _counted, jaccard_components, shingle_set
+from tabscope.session import stage
 
 from .conftest import DOCUMENTS, prose
 
@@ -76,3 +78,30 @@ def test_shingles_of_short_and_equal_texts():
     assert (shingle_set(b"A b\tC", known, 5) == shingle_set(b"a B c", known, 5)).all()
     assert len(shingle_set(b"a b c d e f", known, 5)) == 2
     assert shingle_set(b"a b", known, 5)[0] != shingle_set(b"b a", known, 5)[0]
+
+
+def test_tokens_are_counted_where_they_lie(spark):
+    rng = random.Random(8)
+    tokens = [rng.choice([7, -7, rng.randrange(-300, 300), rng.randrange(10**12)]) for _ in range(30_000)]
+    rows = stage(spark.createDataFrame(list(zip(tokens, range(30_000), map(float, tokens))), "token long, node long, x double"), "postings")
+    held = Counter(tokens)
+    wanted = sorted((token, node, float(token), held[token]) for node, token in enumerate(tokens) if held[token] > 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for least, batch in ((1000, 10_000), (10**9, 10_000), (10**9, 100), (30, 100)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert sorted(map(tuple, _counted(rows, "df", least).collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert _counted(rows.where("token > 10"), "df").schema["df"].dataType.simpleString() == "bigint"
+    assert _counted(rows.limit(0), "df").collect() == []
+
+
+def test_sets_of_one_large_group_are_ordered_without_a_join(spark):
+    rows = [(i, 40, [*range(30), *range(1000 + 10 * i, 1010 + 10 * i)]) for i in range(1500)]
+    sets = stage(spark.createDataFrame(rows, "node long, n long, tokens array<long>"), "sets")
+    index = _adaptive_index(sets, 75)
+    assert "Join" not in index._jdf.queryExecution().executedPlan().toString()
+    found = index.collect()
+    assert {r["u"] for r in found} == {10} and {r["token"] for r in found} <= set(range(30))
+    assert len({r["node"] for r in found}) == 1500
