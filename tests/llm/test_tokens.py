@@ -73,3 +73,20 @@ def test_counts_of_documents(messy, messy_rows, tokenizer_path, no_documents):
     histogram = length_histogram(counted)
     assert histogram.agg(F.sum("n_docs")).first()[0] == len(messy_rows)
     assert length_histogram(count_tokens(no_documents, tokenizer_path)).collect() == []
+
+
+def test_batches_of_texts_are_small(spark):
+    from tabscope.llm.common import BATCH_ROWS, BATCH_SETTING, map_rows
+
+    def sizes(batches):
+        for batch in batches:
+            yield {"n": [len(batch["id"])]}
+
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for given, most in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (300, 300)):
+            spark.conf.set(BATCH_SETTING, given)
+            found = [r["n"] for r in map_rows(spark.range(0, 9000, 1, 1), "n long", sizes).collect()]
+            assert sum(found) == 9000 and max(found) == most
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
