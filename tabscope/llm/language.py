@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import by_value, map_rows, texts_of
+from tabscope.llm.common import WORD_BATCH_BYTES, by_value, map_rows, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 # First code point of each range and its script; letters of other ranges count as "other".
@@ -36,7 +37,9 @@ MOST_LANGUAGES = 256
 SWITCH_PENALTY = 12.0
 LEAST_SCRIPT_SHARE = 0.01
 OUTSIDE_SCRIPT = -20.0
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
+# Words whose n-grams are laid out at once: a word has some 40, of 8 bytes in each of several arrays.
+WORDS_AT_ONCE = 4096
 # Fixed value: multiplier of the n-gram hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
@@ -46,6 +49,13 @@ BELOW_LEVEL = 0.02
 BINS_PER_UNIT, BINS = 64, 64 * 24
 
 
+def word_blocks(words: Iterable[str]) -> Iterator[list[str]]:
+    """The words in order, in lists of ``WORDS_AT_ONCE``: what is computed of each word alone takes bounded memory."""
+    rest = iter(words)
+    while block := list(islice(rest, WORDS_AT_ONCE)):
+        yield block
+
+
 def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the word, cell) of every n-gram of the lower-cased words, with their ends marked."""
     marked = [f" {word.lower()} " for word in words]
@@ -119,16 +129,16 @@ def train_language_model(
             for name, value in zip(batch["lang"], batch["text"]):
                 words[name].update(WORD.findall(value))
             for name, found in words.items():
-                if not found:
-                    continue
-                row, times = counts[place[name]], np.fromiter(found.values(), np.int64, len(found))
-                owner, cells = gram_cells(list(found))
-                row[:CELLS] += np.bincount(cells, times[owner], CELLS).astype(np.int64)
-                row[CELLS:] += np.bincount(scripts_of(list(found)), times, len(SCRIPTS)).astype(np.int64)
+                row = counts[place[name]]
+                for block in word_blocks(found):
+                    times = np.fromiter(map(found.__getitem__, block), np.int64, len(block))
+                    owner, cells = gram_cells(block)
+                    row[:CELLS] += np.bincount(cells, times[owner], CELLS).astype(np.int64)
+                    row[CELLS:] += np.bincount(scripts_of(block), times, len(SCRIPTS)).astype(np.int64)
         language, cell = counts.nonzero()
         yield {"language": language, "cell": cell, "n": counts[language, cell]}
 
-    found = map_rows(sample.select("lang", "text"), "language int, cell int, n long", task)
+    found = map_rows(sample.select("lang", "text"), "language int, cell int, n long", task, WORD_BATCH_BYTES)
     counts = np.zeros((len(languages), CELLS + len(SCRIPTS)))
     for row in found.groupBy("language", "cell").agg(F.sum("n").alias("n")).collect():
         counts[row["language"], row["cell"]] = row["n"]
@@ -187,15 +197,15 @@ def explained_levels(
             for name, value in zip(batch["lang"], batch["text"]):
                 words[name].update(_lettered(value))
             for name, own in words.items():
-                if own:
-                    means = mean_log_probs(list(own), rest)[:, place[name]]
+                for block in word_blocks(own):
+                    means = mean_log_probs(block, rest)[:, place[name]]
                     bins = np.minimum(-means * BINS_PER_UNIT, BINS - 1).astype(np.int64)
-                    times = np.fromiter(own.values(), np.int64, len(own))
+                    times = np.fromiter(map(own.__getitem__, block), np.int64, len(block))
                     found[place[name]] += np.bincount(bins, times, BINS).astype(np.int64)
         language, at = found.nonzero()
         yield {"language": language, "bin": at, "n": found[language, at]}
 
-    found = map_rows(sample.select("lang", "text"), "language int, bin int, n long", task)
+    found = map_rows(sample.select("lang", "text"), "language int, bin int, n long", task, WORD_BATCH_BYTES)
     bins = np.zeros((len(levels), BINS), np.int64)
     for row in found.groupBy("language", "bin").agg(F.sum("n").alias("n")).collect():
         bins[row["language"], row["bin"]] = row["n"]
@@ -228,21 +238,28 @@ class WordScorer:
         self.reached = np.zeros((0, len(model.languages)), bool)
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Score the words of these texts that are not known yet, all at once."""
+        """Score the words of these texts that are not known yet, a block of them at once."""
         if len(self.known) > REMEMBERED_WORDS:
             self.known, self.rows, self.reached = {}, self.rows[:0], self.reached[:0]
-        new = list(set().union(*texts).difference(self.known))
+        new = set().union(*texts).difference(self.known)
         if not new or not self.model.languages:
             return
-        sums, grams, allowed = gram_sums(new, self.model)
+        rows, reached = [self.rows], [self.reached]
+        for block in word_blocks(new):
+            self.known.update(zip(block, range(len(self.known), len(self.known) + len(block))))
+            scores, reaches = self._scored(block)
+            rows.append(scores)
+            reached.append(reaches)
+        self.rows, self.reached = np.concatenate(rows), np.concatenate(reached)
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the words, and whether they reach the levels; without levels no rows of the latter."""
+        sums, grams, allowed = gram_sums(words, self.model)
         scores = sums / LONGEST_GRAM
         top = np.where(allowed, scores, -np.inf).max(1, keepdims=True)
         some = np.isfinite(top)
         scores = np.where(allowed, scores - np.where(some, top, 0.0), np.where(some, OUTSIDE_SCRIPT, 0.0))
-        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.concatenate([self.rows, scores])
-        if self.levels is not None:
-            self.reached = np.concatenate([self.reached, allowed & (sums / grams[:, None] >= self.levels)])
+        return scores, self.reached[:0] if self.levels is None else allowed & (sums / grams[:, None] >= self.levels)
 
     def places(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -337,7 +354,8 @@ def identify_languages(
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double, n_spans long, spans string"
     schema += ", explained double" if levels is not None else ""
-    return map_rows(texts_of(df, key, text, valid=True), schema, task).withColumnRenamed("key", key)
+    rows = texts_of(df, key, text, valid=True)
+    return map_rows(rows, schema, task, WORD_BATCH_BYTES).withColumnRenamed("key", key)
 
 
 by_value(__name__)

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import by_value, map_rows, staged, texts_of
-from tabscope.llm.tokens import ChunkEncoder
+from tabscope.llm.common import WORD_BATCH_BYTES, by_value, listed, map_rows, staged, texts_of
+from tabscope.llm.tokens import REMEMBERED_CHUNKS, ChunkEncoder
 
 # Pieces ranked by one task, about; decides only how the ranking is spread.
 PIECES_PER_BUCKET = 50_000
@@ -19,19 +19,25 @@ BATCH_PIECES = 2_000
 
 
 def token_pieces(
-    df: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, key: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    tokenizer: str,
+    capacity: int,
+    end_id: int = 1,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED_CHUNKS,
 ) -> DataFrame:
     """Cut every document's ids (with ``end_id`` after them) into pieces of ``capacity`` and one remainder.
 
     Rows: doc_id, start, length, doc_tokens and ids (little-endian unsigned 32 bits). A missing or empty text has the
     end id alone; bytes that are no UTF-8 become the replacement character. Repeated rows are cut once each. No other
-    column of ``df`` is read.
+    column of ``df`` is read. A task remembers about ``remembered`` distinct chunks, which changes no result.
     """
     end = struct.pack("<I", end_id)
     width = 4 * capacity
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = ChunkEncoder(tokenizer, remembered)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
             for doc, chunks in zip(batch["key"], encoder.encode(batch["text"])):
@@ -46,7 +52,7 @@ def token_pieces(
             yield out
 
     schema = f"doc_id {df.schema[key].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary"
-    return map_rows(texts_of(df, key, text, valid=True), schema, task)
+    return map_rows(texts_of(df, key, text, valid=True), schema, task, WORD_BATCH_BYTES)
 
 
 def fill_window(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -136,7 +142,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     own = own.withColumns({"length": checked, "__bucket": bucket})
     counts = staged(own.groupBy("length", "__bucket").agg(F.count("*").alias("__n")), "piece-counts")
     histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    segments = spark.createDataFrame(
+    segments = listed(
+        spark,
         _segments(plan_windows(histogram, capacity)),
         "__length long, __low long, __high long, __first long, __per_window long, __place long",
     )

@@ -117,8 +117,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 CAPACITY = 2048
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.token_pieces(docs, public_tokenizers.path(WORD_TOKENIZER), CAPACITY)
+def packed(docs: DataFrame, remembered: int = packing.REMEMBERED_CHUNKS) -> DataFrame:
+    pieces = packing.token_pieces(docs, public_tokenizers.path(WORD_TOKENIZER), CAPACITY, remembered=remembered)
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests, CAPACITY)
 

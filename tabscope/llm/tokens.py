@@ -39,11 +39,12 @@ class ChunkEncoder:
     Whether that holds is tried on each letter, with the whole tokenizer, when the encoder is made.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.remembered = REMEMBERED_CHUNKS if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # The library's own memory of words stays with the thread when the tokenizer is gone; chunks are remembered here.
@@ -102,9 +103,9 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[bytes | None]) -> list[list[bytes]]:
         """Per text the little-endian 32-bit ids of its chunks; a missing text has none."""
-        if len(self.known) > REMEMBERED_CHUNKS:
+        if len(self.known) > self.remembered:
             self.known = {}
-        if len(self.marks) > REMEMBERED_CHUNKS:
+        if len(self.marks) > self.remembered:
             self.marks = {}
         split = [self._chunks(text or b"") for text in texts]
         table = self.known

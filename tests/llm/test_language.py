@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -89,3 +90,23 @@ def test_words_are_held_against_the_language_of_their_span(spark):
     shares = {r["doc_id"]: r["explained"] for r in language.explained_shares(given, model, levels).collect()}
     assert shares == {key: r["explained"] for key, r in spans.items()}
     assert "explained" not in identify_languages(given, model).columns
+
+
+def test_words_are_scored_in_blocks():
+    rng = np.random.default_rng(7)
+    probs = np.log(rng.random((3, language.CELLS)) + 0.1)
+    model = language.LanguageModel(["a", "b", "c"], probs, np.ones((3, len(language.SCRIPTS)), bool))
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 10)) for _ in range(40_000)]
+    scorer = language.WordScorer(model, np.full(3, -1.0))
+    tracemalloc.start()
+    scorer.learn([words])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 100 MB and more when all n-grams are laid out together
+    assert len(scorer.rows) == len(scorer.reached) == len(set(words))
+    sums, grams, _ = language.gram_sums(words, model)
+    at = scorer.places(words)
+    assert np.array_equal(scorer.rows[at], sums / language.LONGEST_GRAM - (sums / language.LONGEST_GRAM).max(1, keepdims=True))
+    assert np.array_equal(scorer.reached[at], sums / grams[:, None] >= -1.0)
+    blocks = list(language.word_blocks(words))
+    assert sum(blocks, []) == words and max(map(len, blocks)) == language.WORDS_AT_ONCE

@@ -90,3 +90,44 @@ def test_batches_of_texts_are_small(spark):
             assert sum(found) == 9000 and max(found) == most
     finally:
         spark.conf.set(BATCH_SETTING, before)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    import pyarrow as pa
+
+    from tabscope.llm.common import map_rows
+
+    def sizes(batches):
+        for batch in batches:
+            yield {"n": [len(batch["text"])], "size": [sum(map(len, batch["text"]))]}
+
+    texts = spark.range(0, 600, 1, 1).selectExpr("repeat('x', 10000) AS text")
+    for most in (2 << 20, 1 << 19):
+        found = map_rows(texts, "n long, size long", sizes, most).collect()
+        assert sum(r["n"] for r in found) == 600 and max(r["size"] for r in found) <= most
+
+    def whole(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    plain = [r["n"] for r in texts.mapInArrow(whole, "n long").collect()]
+    assert sum(plain) == 600 and max(plain) * 10_000 < 3e6
+
+
+def test_tables_of_the_driver_pass_no_python_worker(spark):
+    from tabscope.llm.common import listed
+
+    for rows in ([("a", 1), (None, 2), ("b", None)], []):
+        table = listed(spark, rows, "name string, n long")
+        assert [tuple(r) for r in table.collect()] == rows
+        assert table.schema == spark.createDataFrame(rows, "name string, n long").schema
+        assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+
+
+def test_chunks_are_remembered_up_to_a_number(tokenizer_path):
+    from tabscope.llm.tokens import ChunkEncoder
+
+    few, many = ChunkEncoder(tokenizer_path, 1), ChunkEncoder(tokenizer_path)
+    texts = [b"one two", b"two three, four", b"One TWO five"]
+    assert [few.encode([text]) for text in texts] == [many.encode([text]) for text in texts]
+    assert len(few.known) < len(many.known)
