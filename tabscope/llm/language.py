@@ -30,8 +30,6 @@ SCRIPT_PLACES = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 # Cells of n-gram counts per language: the bound of the model, whatever the corpus.
 CELLS = 1 << 16
 LONGEST_GRAM = 4
-# Labelled rows per language that the counts are taken from, in expectation.
-SAMPLE_ROWS = 1_000
 # Languages of a model at most: those with most labelled rows.
 MOST_LANGUAGES = 256
 SWITCH_PENALTY = 12.0
@@ -43,10 +41,11 @@ WORDS_AT_ONCE = 4096
 # Fixed value: multiplier of the n-gram hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
-# Share of the words of the training sample that may lie below the level of their language.
+# Share of the words learned from that may lie below the level of their language.
 BELOW_LEVEL = 0.02
-# Bins of mean log probabilities, per unit and in all (the last one for what is lower still).
-BINS_PER_UNIT, BINS = 64, 64 * 24
+# Bins of mean log probabilities, per unit and in all (the last one for what is lower still: nothing is with
+# fewer than 10 ** 20 n-grams).
+BINS_PER_UNIT, BINS = 64, 64 * 48
 
 
 def word_blocks(words: Iterable[str]) -> Iterator[list[str]]:
@@ -92,53 +91,52 @@ class LanguageModel:
     totals: np.ndarray | None = None
 
 
-def _sample(df: DataFrame, text: str, lang: str, key: str, sample_rows: int) -> tuple[list[str], DataFrame | None]:
-    """The languages, and about ``sample_rows`` labelled rows of each, picked by a hash of the key."""
-    labelled = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(
-        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{lang}`").alias("lang"), F.make_valid_utf8(F.col(f"`{text}`")).alias("text")
-    )
-    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    rows = {row["lang"]: row["n"] for row in counted.collect()}
-    languages = sorted(rows)
-    if not languages:
-        return [], None
-    share = F.create_map(*[F.lit(x) for name, n in rows.items() for x in (name, min(1.0, sample_rows / n))])
-    picked = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    return languages, labelled.where(F.col("lang").isin(languages) & picked)
+def _labelled(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """Label and text of all rows that have both."""
+    value, name = F.col(f"`{text}`"), F.col(f"`{lang}`")
+    return df.where(value.isNotNull() & name.isNotNull()).select(name.alias("lang"), F.make_valid_utf8(value).alias("text"))
+
+
+def _word_counts(batches: Iterator[dict]) -> Iterator[tuple[str, Counter]]:
+    """Languages and counts of their words, over all texts; they are given, and forgotten, at ``REMEMBERED_WORDS`` words."""
+    words: dict[str, Counter] = defaultdict(Counter)
+    for batch in batches:
+        for name, value in zip(batch["lang"], batch["text"]):
+            words[name].update(WORD.findall(value))
+        if sum(map(len, words.values())) > REMEMBERED_WORDS:
+            yield from words.items()
+            words.clear()
+    yield from words.items()
 
 
-def train_language_model(
-    df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
-) -> LanguageModel:
-    """Counts of n-grams and scripts per language over a bounded sample of labelled rows.
+def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Counts of n-grams and scripts per language over all labelled rows.
 
-    Each language keeps about ``sample_rows`` rows, picked by a hash of the key. Counts are summed inside tasks, then
-    by (language, cell); the driver receives at most ``CELLS`` + scripts numbers a language. The ``MOST_LANGUAGES`` labels
-    of most rows are learned, so that a model has a bounded size; rows of other labels, without text or without label
-    are left out. Without any labelled row every text is undetermined.
+    Counts are summed inside tasks, then by (language, cell); the driver receives at most ``CELLS`` + scripts numbers a
+    language. The ``MOST_LANGUAGES`` labels of most rows are learned, so that a model has a bounded size; rows of other
+    labels, without text or without label are left out. Without any labelled row every text is undetermined.
     """
-    languages, sample = _sample(df, text, lang, key, sample_rows)
+    labelled = _labelled(df, text, lang)
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    languages = sorted(row["lang"] for row in counted.collect())
     if not languages:
         return LanguageModel([], np.zeros((0, CELLS)), np.zeros((0, len(SCRIPTS)), bool))
     place = {name: i for i, name in enumerate(languages)}
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         counts = np.zeros((len(languages), CELLS + len(SCRIPTS)), np.int64)
-        for batch in batches:
-            words: dict[str, Counter] = defaultdict(Counter)
-            for name, value in zip(batch["lang"], batch["text"]):
-                words[name].update(WORD.findall(value))
-            for name, found in words.items():
-                row = counts[place[name]]
-                for block in word_blocks(found):
-                    times = np.fromiter(map(found.__getitem__, block), np.int64, len(block))
-                    owner, cells = gram_cells(block)
-                    row[:CELLS] += np.bincount(cells, times[owner], CELLS).astype(np.int64)
-                    row[CELLS:] += np.bincount(scripts_of(block), times, len(SCRIPTS)).astype(np.int64)
+        for name, found in _word_counts(batches):
+            row = counts[place[name]]
+            for block in word_blocks(found):
+                times = np.fromiter(map(found.__getitem__, block), np.int64, len(block))
+                owner, cells = gram_cells(block)
+                row[:CELLS] += np.bincount(cells, times[owner], CELLS).astype(np.int64)
+                row[CELLS:] += np.bincount(scripts_of(block), times, len(SCRIPTS)).astype(np.int64)
         language, cell = counts.nonzero()
         yield {"language": language, "cell": cell, "n": counts[language, cell]}
 
-    found = map_rows(sample.select("lang", "text"), "language int, cell int, n long", task, WORD_BATCH_BYTES)
+    rows = labelled.where(F.col("lang").isin(languages))
+    found = map_rows(rows, "language int, cell int, n long", task, WORD_BATCH_BYTES)
     counts = np.zeros((len(languages), CELLS + len(SCRIPTS)))
     for row in found.groupBy("language", "cell").agg(F.sum("n").alias("n")).collect():
         counts[row["language"], row["cell"]] = row["n"]
@@ -155,57 +153,46 @@ def gram_sums(words: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nd
     return sums, np.bincount(owner, minlength=len(words)), model.allowed[:, scripts_of(words)].T
 
 
-def mean_log_probs(words: list[str], model: LanguageModel) -> np.ndarray:
-    """Mean log probability of each word's n-grams (word by language); -inf where its script rules the language out."""
-    sums, grams, allowed = gram_sums(words, model)
-    return np.where(allowed, sums / grams[:, None], -np.inf)
-
-
-def _lettered(text: str) -> list[str]:
-    return [word for word in WORD.findall(text) if any(map(str.isalpha, word))]
+def means_without(words: list[str], seen: np.ndarray) -> np.ndarray:
+    """Mean log probability of each word's n-grams by one language's counts per cell, less one occurrence of that word."""
+    owner, cells = gram_cells(words)
+    grams = np.bincount(owner, minlength=len(words))
+    pairs, own = np.unique(owner * CELLS + cells, return_counts=True)
+    left, rest = np.maximum(seen[pairs % CELLS] - own, 0.0), np.maximum(seen.sum() - grams, 0.0)
+    return np.bincount(pairs // CELLS, own * np.log(left + 0.5), len(words)) / grams - np.log(rest + 0.5 * CELLS)
 
 
 def explained_levels(
-    df: DataFrame,
-    model: LanguageModel,
-    text: str = "text",
-    lang: str = "lang",
-    key: str = "doc_id",
-    sample_rows: int = SAMPLE_ROWS,
-    below: float = BELOW_LEVEL,
+    df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", below: float = BELOW_LEVEL
 ) -> np.ndarray:
-    """Per language the mean log probability that all but a share ``below`` of the words of its training sample reach.
+    """Per language the mean log probability that all but a share ``below`` of the words that it was learned from reach.
 
-    ``df`` and ``sample_rows`` are those of the model. Each word is scored without one occurrence of itself, so that
-    the level is that of words not seen in training. Tasks count words per bin; the driver receives ``BINS`` numbers a
-    language. A language without words has no level that a word could reach.
+    ``df`` is that of the model; all its labelled rows count. Each word with a letter is scored without one occurrence of
+    itself, so that the level is that of words not seen in training. Tasks count words per bin; the driver receives
+    ``BINS`` numbers a language. A language without words has no level that a word could reach.
     """
     levels = np.full(len(model.languages), np.inf)
-    _, sample = _sample(df, text, lang, key, sample_rows)
-    if sample is None:
+    if not model.languages:
         return levels
-    counts = np.exp(model.log_probs) * model.totals
-    without = np.log(np.maximum(counts - 1.0, 0.5) / model.totals)
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, without, model.allowed))
+    place = {name: i for i, name in enumerate(model.languages)}
+    seen = np.rint(np.exp(model.log_probs) * model.totals - 0.5)
+    shared = df.sparkSession.sparkContext.broadcast((seen, model.allowed))
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
-        rest = LanguageModel(*shared.value)
-        place = {name: i for i, name in enumerate(rest.languages)}
+        seen, allowed = shared.value
         found = np.zeros((len(place), BINS), np.int64)
-        for batch in batches:
-            words: dict[str, Counter] = defaultdict(Counter)
-            for name, value in zip(batch["lang"], batch["text"]):
-                words[name].update(_lettered(value))
-            for name, own in words.items():
-                for block in word_blocks(own):
-                    means = mean_log_probs(block, rest)[:, place[name]]
-                    bins = np.minimum(-means * BINS_PER_UNIT, BINS - 1).astype(np.int64)
-                    times = np.fromiter(map(own.__getitem__, block), np.int64, len(block))
-                    found[place[name]] += np.bincount(bins, times, BINS).astype(np.int64)
+        for name, own in _word_counts(batches):
+            at = place[name]
+            for block in word_blocks(word for word in own if any(map(str.isalpha, word))):
+                means = np.where(allowed[at, scripts_of(block)], means_without(block, seen[at]), -np.inf)
+                bins = np.minimum(-means * BINS_PER_UNIT, BINS - 1).astype(np.int64)
+                times = np.fromiter(map(own.__getitem__, block), np.int64, len(block))
+                found[at] += np.bincount(bins, times, BINS).astype(np.int64)
         language, at = found.nonzero()
         yield {"language": language, "bin": at, "n": found[language, at]}
 
-    found = map_rows(sample.select("lang", "text"), "language int, bin int, n long", task, WORD_BATCH_BYTES)
+    rows = _labelled(df, text, lang).where(F.col("lang").isin(model.languages))
+    found = map_rows(rows, "language int, bin int, n long", task, WORD_BATCH_BYTES)
     bins = np.zeros((len(levels), BINS), np.int64)
     for row in found.groupBy("language", "bin").agg(F.sum("n").alias("n")).collect():
         bins[row["language"], row["bin"]] = row["n"]

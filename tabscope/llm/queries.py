@@ -210,10 +210,6 @@ def language_model(docs: DataFrame) -> language.LanguageModel:
     return language.train_language_model(docs.where(~fold(docs)))
 
 
-def language_levels(docs: DataFrame, model: language.LanguageModel):
-    return language.explained_levels(docs.where(~fold(docs)), model)
-
-
 @query("op10_language_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

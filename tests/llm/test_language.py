@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -110,3 +112,32 @@ def test_words_are_scored_in_blocks():
     assert np.array_equal(scorer.reached[at], sums / grams[:, None] >= -1.0)
     blocks = list(language.word_blocks(words))
     assert sum(blocks, []) == words and max(map(len, blocks)) == language.WORDS_AT_ONCE
+
+
+def test_model_and_levels_come_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    row = {"a": lambda: " ".join("".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(3)), "u": lambda: "banana ½ uvu été"}
+    texts = [(name, row[name]()) for name, n in (("a", 2500), ("u", 1200)) for _ in range(n)]
+    keys = [None if i % 3 == 0 else i % 50 for i in range(len(texts))]
+    rows = [(key, text, name) for key, (name, text) in zip(keys, texts)] + [(1, None, "a"), (2, "left out", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = train_language_model(docs)
+    levels = explained_levels(docs, model)
+    for i, name in enumerate(["a", "u"]):
+        words = Counter(word for own, text in texts if own == name for word in text.split())
+        cells = {word: Counter(language.gram_cells([word])[1].tolist()) for word in words}
+        seen = Counter()
+        for word, times in words.items():
+            seen.update({cell: n * times for cell, n in cells[word].items()})
+        total = seen.total() + 0.5 * language.CELLS
+        assert math.isclose(model.totals[i, 0], total)
+        means = []
+        for word, times in words.items():
+            size = cells[word].total()
+            logs = [n * math.log((seen[cell] - n + 0.5) / (total - size)) for cell, n in cells[word].items()]
+            means += [sum(logs) / size] * times * any(map(str.isalpha, word))
+        last = sorted(means, reverse=True)[math.ceil(0.98 * len(means)) - 1]
+        assert levels[i] == -(math.floor(-last * language.BINS_PER_UNIT) + 1) / language.BINS_PER_UNIT
+    monkeypatch.setattr(language, "REMEMBERED_WORDS", 5)
+    again = train_language_model(docs)
+    assert np.array_equal(again.log_probs, model.log_probs) and np.array_equal(explained_levels(docs, again), levels)

@@ -143,6 +143,11 @@ def test_the_language_stage_decides_by_identified_spans(spark, monkeypatch):
     assert left and sum(r["lang"] == "de" for r in left) > 0.9 * len(left)
 
 
+def test_languages_are_learned_from_documents_without_a_key(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(COLUMNS).where("text <> ''").withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.language_stage(spark, docs, SMALL).count() > 0.99 * docs.count()
+
+
 def test_other_columns_stay_whatever_their_names(spark, corpus, tmp_path):
     folder, items = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 OR doc_id >= 10000")
